@@ -1,0 +1,190 @@
+"""Top-k, set operations and composite searches."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lumenarc.functions import text as X
+from lumenarc.functions import vectors as V
+from lumenarc.operators import aggregates as A
+from lumenarc.operators import fixity as Y
+from lumenarc.operators import network as N
+from lumenarc.operators import search as R
+from lumenarc.operators import similarity as S
+from lumenarc.operators import vocabulary as W
+from lumenarc.plans.fixtures import ctes, made, table, vectors
+from lumenarc.plans.q_functions import _YEAR
+from lumenarc.plans.q_joins import _CO, _vocabulary
+from lumenarc.plans.registry import query
+
+_COS = "round(list_dot_product(v.vector, q.vector) / sqrt(list_dot_product(v.vector, v.vector) * list_dot_product(q.vector, q.vector)), 6)"
+
+
+def _vector(spark, d, i: int = 0) -> list[float]:
+    return list(vectors(spark, d).where(F.col("id") == i).select("vector").first()[0])
+
+
+@query("TOP_1_vector_topk", ctes("vectors") + f"SELECT v.id, {_COS} AS score FROM vectors v, (SELECT vector FROM vectors WHERE id = 0) q WHERE v.label BETWEEN 2 AND 7 AND {_COS} >= 0.1 ORDER BY score DESC, id LIMIT 20")
+def top_1(spark, d):
+    return S.vector_topk(vectors(spark, d), _vector(spark, d), 20, 0.1, F.col("label").between(2, 7))
+
+
+@query("TOP_2_vector_topk_batch", ctes("vectors") + f"SELECT query_id, id, score, r AS rank FROM (SELECT q.id AS query_id, v.id, {_COS} AS score, row_number() OVER (PARTITION BY q.id ORDER BY {_COS} DESC, v.id) AS r FROM vectors v, vectors q WHERE q.id % 20 = 0) t WHERE r <= 5")
+def top_2(spark, d):
+    v = vectors(spark, d)
+    return S.vector_topk_batch(v, v.where("id % 20 = 0").withColumnRenamed("id", "query_id"), 5)
+
+
+_SCORED = "SELECT concat('/arch/', source, '/', doc_id) AS file_path, n_chars % 10 / 10 AS score FROM documents"
+
+
+@query("TOP_3_hybrid_order", f"SELECT file_path, score FROM ({_SCORED}) t ORDER BY score DESC, file_path DESC LIMIT 50")
+def top_3(spark, d):
+    hits = spark.sql(_SCORED.replace("FROM documents", "FROM {t}"), t=table(spark, d, "documents"))
+    return hits.orderBy(F.desc("score"), F.desc("file_path")).limit(50)
+
+
+@query("TOP_4_page", f"SELECT file_path, score FROM ({_SCORED}) t ORDER BY score DESC, file_path DESC LIMIT 30 OFFSET 60")
+def top_4(spark, d):
+    hits = spark.sql(_SCORED.replace("FROM documents", "FROM {t}"), t=table(spark, d, "documents"))
+    return hits.orderBy(F.desc("score"), F.desc("file_path")).offset(60).limit(30)
+
+
+@query("TOP_5_browse", ctes("dated") + f"SELECT file_name, year, CAST(1.0 AS DOUBLE) AS score FROM (SELECT *, {_YEAR} AS year FROM dated) t WHERE year BETWEEN 1890 AND 1910 ORDER BY coalesce(year, 9999), lower(file_name), file_name LIMIT 100")
+def top_5(spark, d):
+    items = made(spark, d, "dated")
+    return R.browse(items, X.year_of_item(F.col("date"), F.col("file_path")), 1890, 1910, None, 100).select("file_name", "year", "score")
+
+
+@query("TOP_6_audit_recent", ctes("audit") + "SELECT id, action, details FROM audit WHERE target_type = 'USER' AND target_id = '7' ORDER BY id DESC LIMIT 50")
+def top_6(spark, d):
+    return made(spark, d, "audit").where("target_type = 'USER' and target_id = '7'").orderBy(F.desc("id")).limit(50).select("id", "action", "details")
+
+
+@query("TOP_7_batches_recent", "SELECT user_id AS id, min(ts) AS started_at FROM events GROUP BY user_id ORDER BY started_at DESC, id LIMIT 20")
+def top_7(spark, d):
+    return table(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.min("ts").alias("started_at")).orderBy(F.desc("started_at"), "id").limit(20)
+
+
+@query("TOP_8_autocomplete", ctes("vocabulary") + """SELECT term, canonical, is_synonym FROM (SELECT CASE WHEN lower(canonical) LIKE 's%' AND lower(canonical) LIKE 'sm%' THEN canonical WHEN 'syn ' || lower(canonical) LIKE 'sm%' THEN 'syn ' || canonical WHEN lower(brand) LIKE 'sm%' THEN lower(brand) END AS term, canonical,
+    NOT lower(canonical) LIKE 'sm%' AS is_synonym, position FROM vocabulary) t WHERE term IS NOT NULL ORDER BY is_synonym, position LIMIT 8""")
+def top_8(spark, d):
+    return W.autocomplete(_vocabulary(spark, d), " Sm")
+
+
+@query("TOP_9_authority_search", "SELECT p_partkey AS id, p_name FROM part WHERE (contains(lower(p_name), 'red') OR contains(lower(p_brand), 'red') OR contains(lower(p_type), 'red')) AND p_type = 'ECONOMY' ORDER BY p_name, p_partkey LIMIT 50")
+def top_9(spark, d):
+    part = table(spark, d, "part").withColumnRenamed("p_partkey", "id")
+    return W.authority_search(part, "RED", ("p_name", "p_brand", "p_type"), "p_name", ("p_type", "ECONOMY")).select("id", "p_name")
+
+
+@query("TOP_10_corrupted_list", ctes("fixity") + "SELECT file_path, fixity_status FROM fixity WHERE fixity_status IN ('CORRUPTED', 'MISSING', 'READ_ERROR') ORDER BY last_fixity_check DESC, file_path LIMIT 100")
+def top_10(spark, d):
+    return Y.corrupted_list(made(spark, d, "fixity"), 100).select("file_path", "fixity_status")
+
+
+def _legs(spark, d):
+    docs = table(spark, d, "documents").select(F.concat(F.lit("/d/"), F.col("doc_id").cast("string")).alias("file_path"), "doc_id", "source")
+    persons = docs.where("doc_id % 3 = 0").select("file_path", F.lit(0.95).alias("score"), F.array("source").alias("persons"))
+    meta = docs.where("doc_id % 2 = 0").select("file_path", F.lit(0.9).alias("score"))
+    vec = docs.where("doc_id % 5 < 3").select("file_path", (F.col("doc_id") % 100 / 100).alias("score"))
+    return persons, meta, vec
+
+
+@query("SET_1_fuse_hits", """SELECT '/d/' || doc_id AS file_path, greatest(CASE WHEN doc_id % 3 = 0 THEN 0.95 ELSE 0 END, CASE WHEN doc_id % 2 = 0 THEN 0.9 ELSE 0 END, CASE WHEN doc_id % 5 < 3 THEN doc_id % 100 / 100 ELSE 0 END) AS score,
+    CASE WHEN doc_id % 3 = 0 THEN 'person' WHEN doc_id % 2 = 0 THEN 'metadata' ELSE 'clip' END AS match_type, CASE WHEN doc_id % 3 = 0 THEN [source] ELSE [] END AS persons FROM documents WHERE doc_id % 3 = 0 OR doc_id % 2 = 0 OR doc_id % 5 < 3""")
+def set_1(spark, d):
+    return R.fuse_hits(*_legs(spark, d))
+
+
+@query("SET_2_merge_keywords", "SELECT doc_id, array_to_string([lang, source] || CASE WHEN lang = 'en' THEN [] ELSE ['en'] END || ['carrier'], ',') AS keywords FROM documents")
+def set_2(spark, d):
+    merged = F.array_distinct(F.concat(F.array("lang", "source"), F.array(F.lit("en"), F.col("lang")), F.array(F.lit("carrier"))))
+    return table(spark, d, "documents").select("doc_id", F.array_join(merged, ",").alias("keywords"))
+
+
+@query("SET_3_expansion_terms", ctes("vocabulary") + "SELECT canonical, list_sort(list_distinct([canonical, 'syn ' || canonical, lower(brand)])) AS terms FROM vocabulary")
+def set_3(spark, d):
+    return _vocabulary(spark, d).select("canonical", W.expansion_terms(F.col("canonical"), F.col("synonyms")).alias("terms"))
+
+
+@query("SET_4_intersect_paths", "SELECT DISTINCT l_orderkey FROM lineitem WHERE l_suppkey = 1 INTERSECT SELECT l_orderkey FROM lineitem WHERE l_suppkey = 2")
+def set_4(spark, d):
+    of = lambda k: table(spark, d, "lineitem").where(F.col("l_suppkey") == k).select("l_orderkey")
+    return of(1).intersect(of(2))
+
+
+def _search_tables(spark, d):
+    """Documents are images: their vector is that of doc_id modulo 500, one face each with its source's name."""
+    docs = made(spark, d, "records")
+    faces = docs.select("file_path", F.concat(F.lit("Person "), "creator").alias("label"))
+    images = docs.join(vectors(spark, d).withColumnRenamed("id", "vid"), F.expr("id % 500 = vid")).select("file_path", "vector")
+    return faces, docs, images
+
+
+@query("SRCH_1_hybrid_search", ctes("records", "vectors").rstrip() + f""", ok AS (SELECT * FROM records WHERE signature = 'en'),
+    p AS (SELECT file_path, CASE WHEN lower('Person ' || creator) = 'person src3' THEN 1.0 WHEN contains(lower('Person ' || creator), 'person src3') THEN 0.98 ELSE 0.95 END AS score, ['Person ' || creator] AS persons FROM ok),
+    m AS (SELECT file_path, 0.9 AS score FROM ok WHERE contains(lower(concat_ws(chr(1), title, description)), 'person src3') ORDER BY file_path LIMIT 40),
+    v AS (SELECT file_path, {_COS} AS score FROM ok JOIN vectors v ON ok.id % 500 = v.id, (SELECT vector FROM vectors WHERE id = 7) q WHERE {_COS} >= 0.28 ORDER BY score DESC, file_path DESC LIMIT 80),
+    u AS (SELECT file_path, score, 0 AS r, 'person' AS k, persons FROM p UNION ALL SELECT file_path, score, 1, 'metadata', [] FROM m UNION ALL SELECT file_path, score, 2, 'clip', [] FROM v)
+    SELECT file_path, CAST(max(score) AS DOUBLE) AS score, arg_min(k, r) AS match_type, list_sort(list_distinct(flatten(list(persons)))) AS persons FROM u GROUP BY file_path ORDER BY score DESC, file_path DESC LIMIT 25 OFFSET 5""")
+def srch_1(spark, d):
+    faces, docs, images = _search_tables(spark, d)
+    return R.hybrid_search(faces, docs, images, "Person src3", _vector(spark, d, 7), offset=5, limit=25, where=F.col("signature") == "en")
+
+
+@query("SRCH_2_similar_images", ctes("vectors") + f"SELECT v.id, {_COS} AS score FROM vectors v, (SELECT vector FROM vectors WHERE id = 11) q ORDER BY score DESC, id LIMIT 12")
+def srch_2(spark, d):
+    return S.vector_topk(vectors(spark, d), _vector(spark, d, 11), 12)
+
+
+@query("SRCH_3_vector_search", ctes("vectors") + f"SELECT query_id, id, score, r AS rank FROM (SELECT q.id AS query_id, v.id, {_COS} AS score, row_number() OVER (PARTITION BY q.id ORDER BY {_COS} DESC, v.id) AS r FROM vectors v, vectors q WHERE q.label = 3) t WHERE r <= 3 AND score >= 0.2")
+def srch_3(spark, d):
+    v = vectors(spark, d)
+    return S.vector_topk_batch(v, v.where("label = 3").withColumnRenamed("id", "query_id"), 3, 0.2)
+
+
+@query("STK_1_stack_results")
+def stk_1(spark, d):
+    v = vectors(spark, d)
+    ranked = S.vector_topk_batch(v, v.where("id % 50 = 0").withColumnRenamed("id", "query_id"), 40)
+    return S.stack_results(ranked.join(v.select("id", "vector"), "id"), 0.25)
+
+
+@query("VAR_1_find_variants", ctes("vectors") + f"SELECT id, score, CASE WHEN score >= 0.385 THEN 'EXACT_DUPLICATE' WHEN score >= 0.345 THEN 'FORMAT_VARIANT' WHEN score >= 0.29 THEN 'SERIES_VARIANT' ELSE 'RELATED' END AS kind FROM (SELECT v.id, {_COS} AS score FROM vectors v, (SELECT vector FROM vectors WHERE id = 5) q WHERE v.id <> 5) t WHERE score >= 0.25 ORDER BY score DESC, id LIMIT 25")
+def var_1(spark, d):
+    found = S.vector_topk(vectors(spark, d), _vector(spark, d, 5), 25, 0.25, F.col("id") != 5)
+    return found.withColumn("kind", V.classify_variant(F.col("score"), shift=-0.6))
+
+
+@query("TAG_1_zero_shot_tags", ctes("vectors") + f"SELECT query_id, id, score, r AS rank, round(greatest(0.0, least(1.0, (score - 0.15) / 0.20)) * 100, 1) AS confidence FROM (SELECT q.id AS query_id, v.id, {_COS} AS score, row_number() OVER (PARTITION BY q.id ORDER BY {_COS} DESC, v.id) AS r FROM vectors v, vectors q WHERE v.id < 50) t WHERE r <= 5 AND (score >= 0.2 OR r <= 2)")
+def tag_1(spark, d):
+    v = vectors(spark, d)
+    ranked = S.vector_topk_batch(v.where("id < 50"), v.withColumnRenamed("id", "query_id"), 10)
+    return R.zero_shot_tags(ranked, 5)
+
+
+@query("TAG_2_apply_tags", "SELECT doc_id, array_to_string([source, lang] || CASE doc_id % 3 WHEN 0 THEN ['tag a'] WHEN 1 THEN ['tag b'] ELSE [] END, ',') AS keywords FROM documents")
+def tag_2(spark, d):
+    from lumenarc.operators.catalogue import upsert
+
+    docs = table(spark, d, "documents").select("doc_id", F.array("source", "lang").alias("keywords"))
+    tags = docs.where("doc_id % 3 < 2").select("doc_id", F.array_distinct(F.concat("keywords", F.array(F.when(F.col("doc_id") % 3 == 0, "tag a").otherwise("tag b")))).alias("keywords"))
+    return upsert(docs, tags, "doc_id").select("doc_id", F.array_join("keywords", ",").alias("keywords"))
+
+
+@query("NET_1_person_graph_edges", ctes("faces").rstrip() + f""", {_CO}, near AS (SELECT other FROM (SELECT CASE WHEN a = 'Person 49' THEN b ELSE a END AS other, shared FROM co WHERE a = 'Person 49' OR b = 'Person 49' ORDER BY shared DESC, other LIMIT 25) t WHERE shared >= 2 ORDER BY shared DESC, other LIMIT 15),
+    pick AS (SELECT other AS p FROM near UNION ALL SELECT 'Person 49') SELECT a, b, shared FROM co WHERE a IN (SELECT p FROM pick) AND b IN (SELECT p FROM pick) AND shared >= 2""")
+def net_1(spark, d):
+    faces = made(spark, d, "faces")
+    pairs = A.co_occurrence(faces)
+    totals = faces.where("label is not null").groupBy(F.col("label").alias("person")).agg(F.count("*").alias("faces"))
+    return N.person_graph(pairs, totals, "Person 49")[1]
+
+
+@query("NET_1_person_graph_nodes", ctes("faces").rstrip() + f""", {_CO}, near AS (SELECT other FROM (SELECT CASE WHEN a = 'Person 49' THEN b ELSE a END AS other, shared FROM co WHERE a = 'Person 49' OR b = 'Person 49' ORDER BY shared DESC, other LIMIT 25) t WHERE shared >= 2 ORDER BY shared DESC, other LIMIT 15),
+    n AS (SELECT label AS id, count(*) AS faces FROM faces WHERE label IS NOT NULL GROUP BY label) SELECT id, faces, CAST(CASE WHEN id = 'Person 49' THEN 38 ELSE greatest(18, least(32, 16 + faces // 10)) END AS INTEGER) AS size FROM n WHERE id = 'Person 49' OR id IN (SELECT other FROM near)""")
+def net_1_nodes(spark, d):
+    faces = made(spark, d, "faces")
+    totals = faces.where("label is not null").groupBy(F.col("label").alias("person")).agg(F.count("*").alias("faces"))
+    return N.person_graph(A.co_occurrence(faces), totals, "Person 49")[0]

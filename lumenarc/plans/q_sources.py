@@ -1,0 +1,172 @@
+"""Sources, exports and jobs."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from lumenarc.functions.images import mwg_region
+from lumenarc.functions.keys import base_name
+from lumenarc.operators import fixity as Y
+from lumenarc.plans.fixtures import ctes, made, table
+from lumenarc.plans.q_functions import _uuid_sql
+from lumenarc.plans.registry import query
+from lumenarc.sources import exports as E
+from lumenarc.sources import inventory as S
+
+
+@query("SRC_1_file_inventory")
+def src_1(spark, d):
+    return S.file_inventory(spark, d, ("parquet",)).select(base_name(F.col("path")).alias("name"), "size")
+
+
+@query("SRC_2_folder_preview", """WITH f AS (SELECT regexp_replace(url, '/[^/]*$', '') AS folder, regexp_extract(url, '[^/]*$') AS name, url LIKE '%.html' AS side, page_id % 3 = 0 AS known FROM pages),
+    g AS (SELECT folder, count(*) FILTER (NOT side) AS image_count, count(*) FILTER (side) AS sidecar_count, count(*) FILTER (NOT side AND known) AS already_indexed, coalesce(list_slice(list_sort(list(name) FILTER (NOT side)), 1, 10), []) AS names FROM f GROUP BY folder)
+    SELECT folder, image_count, sidecar_count, already_indexed, names, greatest(0, image_count - already_indexed) AS new_count, image_count > 0 AND already_indexed >= image_count AS fully_indexed, already_indexed > 0 AND NOT (image_count > 0 AND already_indexed >= image_count) AS partially_indexed FROM g""")
+def src_2(spark, d):
+    files = made(spark, d, "inventory")
+    side = F.col("path").endswith(".html")
+    return S.folder_preview(files.select("path"), files.where("known").select("path"), ~side, side)
+
+
+@query("SRC_4_catalogue_io", ctes("records") + "SELECT id, file_path, title, coalesce(import_id, 'legacy') AS import_id FROM records")
+def src_4(spark, d):
+    from lumenarc.operators.graph import shared_folder
+
+    path = f"{shared_folder(spark)}/catalogue-{uuid.uuid4().hex}"
+    S.write_catalogue(made(spark, d, "records").select("id", "file_path", "title", F.coalesce("import_id", F.lit("legacy")).alias("import_id")), path)
+    return S.read_catalogue(spark, path).select("id", "file_path", "title", F.col("import_id").cast("string").alias("import_id"))
+
+
+def _items(spark, d):
+    docs = made(spark, d, "records").select("id", "file_path", "file_name", F.expr("CASE WHEN id % 4 = 0 THEN '' ELSE title END").alias("title"), F.expr("CASE WHEN id % 3 = 0 THEN concat('A-', id, ';x') END").alias("signature"), "creator",
+                                              F.expr("CASE WHEN id % 5 = 0 THEN '1928 \"ca\"' END").alias("date"), F.expr("CASE WHEN id % 2 = 0 THEN array(creator, 'B & C') ELSE array() END").alias("persons"), F.expr("CASE WHEN id % 6 = 0 THEN 'n <1>' END").alias("notes"))
+    return E.numbered(docs, [F.col("id")])
+
+
+_ITEMS = """items AS (SELECT id, row_number() OVER (ORDER BY id) AS no, file_path, file_name, CASE WHEN id % 4 = 0 THEN '' ELSE title END AS title, CASE WHEN id % 3 = 0 THEN concat('A-', id, ';x') END AS signature, creator,
+    CASE WHEN id % 5 = 0 THEN '1928 "ca"' END AS date, CASE WHEN id % 2 = 0 THEN [creator, 'B & C'] ELSE [] END AS persons, CASE WHEN id % 6 = 0 THEN 'n <1>' END AS notes FROM records)"""
+
+
+def _csv_sql(c: str) -> str:
+    return f"CASE WHEN regexp_matches({c}, '[;\"' || chr(13) || chr(10) || ']') THEN '\"' || replace({c}, '\"', '\"\"') || '\"' ELSE {c} END"
+
+
+_TITLE = "coalesce(nullif(trim(title), ''), file_name)"
+
+
+@query("SNK_1_findbuch_csv", ctes("records").rstrip() + f", {_ITEMS} SELECT no, concat_ws(';', CAST(no AS VARCHAR), " + ", ".join(_csv_sql(c) for c in ("coalesce(signature, '')", _TITLE, "coalesce(date, '')", "coalesce(creator, '')", "array_to_string(persons, ', ')", "coalesce(notes, '')", "file_name", "file_path")) + ") AS line FROM items")
+def snk_1(spark, d):
+    return E.findbuch_rows(_items(spark, d))
+
+
+@query("SNK_2_ead3_xml", ctes("records").rstrip() + f", {_ITEMS} SELECT printf('item_%04d', no) AS id, coalesce(signature, printf('POS-%04d', no)) AS unitid, {_TITLE} AS unittitle, date AS unitdate, creator, file_path AS href, notes, array_to_string(persons, '|') AS persons FROM items")
+def snk_2(spark, d):
+    e = E.ead_items(_items(spark, d))
+    persons = F.coalesce(F.array_join(F.transform("controlaccess.persname", lambda p: p["_VALUE"]), "|"), F.lit(""))
+    return e.select(F.col("_id").alias("id"), F.col("did.unitid._VALUE").alias("unitid"), F.col("did.unittitle").alias("unittitle"), F.col("did.unitdate").alias("unitdate"), F.col("did.origination.persname._VALUE").alias("creator"), F.col("did.daoset.dao._href").alias("href"), F.col("scopecontent.p").alias("notes"), persons.alias("persons"))
+
+
+def _esc(c: str) -> str:
+    return f"replace(replace(replace(replace(regexp_replace({c}, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+def _x(tag: str, inner: str, attrs: str = "") -> str:
+    return f"'<{tag}{' ' + attrs if attrs else ''}>' || {inner} || '</{tag}>'"
+
+
+def _lido_sql() -> str:
+    n = "lido:"
+    actor = lambda v: _x(n + "actor", _x(n + "nameActorSet", _x(n + "appellationValue", v)))
+    opt = lambda c, s: f"coalesce(CASE WHEN nullif(trim({c}), '') IS NOT NULL THEN {s} END, '')"
+    role = _x(n + "roleActor", _x(n + "term", "'Fotograf / Bildurheber'"))
+    creator = opt("creator", _x(n + "eventActor", _x(n + "actorInRole", actor(_esc("trim(creator)")) + " || " + role)))
+    date = opt("date", _x(n + "eventDate", _x(n + "displayDate", _esc("trim(date)"))))
+    event = _x(n + "eventType", _x(n + "term", "'Herstellung / Aufnahme'")) + f" || {creator} || {date}"
+    subject = _x(n + "subjectSet", _x(n + "subject", _x(n + "subjectActor", actor(_esc("p")))))
+    subjects = "CASE WHEN len(persons) > 0 THEN " + _x(n + "objectRelationWrap", _x(n + "subjectWrap", f"array_to_string(list_transform(persons, lambda p: {subject}), '')")) + " ELSE '' END"
+    work = opt("signature", _x(n + "workID", _esc("trim(signature)"), 'lido:type="Archivsignatur"'))
+    state = opt("notes", _x(n + "displayStateEditionWrap", _x(n + "displayState", _esc("trim(notes)"))))
+    place = _x(n + "repositoryWrap", _x(n + "repositorySet", _x(n + "repositoryName", _x(n + "legalBodyName", _x(n + "appellationValue", "'Archiv &amp; Co'"))) + " || " + work))
+    title = _x(n + "titleWrap", _x(n + "titleSet", _x(n + "appellationValue", _esc(_TITLE))))
+    kind = _x(n + "objectClassificationWrap", _x(n + "objectWorkTypeWrap", _x(n + "objectWorkType", _x(n + "term", "'Fotografie'"))))
+    described = _x(n + "descriptiveMetadata", kind + " || " + _x(n + "objectIdentificationWrap", f"{title} || {place} || {state}") + " || " + _x(n + "eventWrap", _x(n + "eventSet", _x(n + "event", event))) + f" || {subjects}", 'xml:lang="de"')
+    rights = _x(n + "rightsWorkWrap", _x(n + "rightsSet", _x(n + "rightsType", _x(n + "term", "'Gemeinfrei / Bildbestand im kirchlichen Archiv'"))))
+    res = _x(n + "resourceWrap", _x(n + "resourceSet", _x(n + "resourceRepresentation", _x(n + "linkResource", _esc("file_path")), 'lido:type="Master-Digitalisat"')))
+    admin = _x(n + "administrativeMetadata", f"{rights} || {res}", 'xml:lang="de"')
+    rec = _x(n + "lidoRecID", _esc("coalesce(nullif(trim(signature), ''), file_name)"), 'lido:source="Archiv &amp; Co" lido:type="local"')
+    return _x(n + "lido", f"{rec} || {described} || {admin}")
+
+
+@query("SNK_3_lido_xml", ctes("records").rstrip() + f", {_ITEMS} SELECT no, {_lido_sql()} AS xml FROM items")
+def snk_3(spark, d):
+    return E.lido_records(_items(spark, d), "Archiv & Co")
+
+
+def _premis_sql() -> str:
+    p = "premis:"
+    path, name, t = "file_path", "concat('o_', id, '.jpg')", "strftime(last_fixity_check, '%Y-%m-%dT%H:%M:%S')"
+    st = "coalesce(fixity_status, 'OK')"
+    ident = _x(p + "objectIdentifier", _x(p + "objectIdentifierType", "'local-filepath'") + " || " + _x(p + "objectIdentifierValue", path))
+    fix = "coalesce(" + _x(p + "fixity", _x(p + "messageDigestAlgorithm", "'SHA-256'") + " || " + _x(p + "messageDigest", "sha256") + " || " + _x(p + "messageDigestOriginator", "'Archiv-Fixity-Daemon'")) + ", '')"
+    fmt = _x(p + "format", _x(p + "formatDesignation", _x(p + "formatName", "'image/jpeg'")))
+    chars = _x(p + "objectCharacteristics", _x(p + "compositionLevel", "'0'") + f" || {fix} || " + _x(p + "size", "CAST(id + 1 AS VARCHAR)") + f" || {fmt}")
+    place = _x(p + "storage", _x(p + "contentLocation", _x(p + "contentLocationType", "'filepath'") + " || " + _x(p + "contentLocationValue", path)))
+    obj = _x(p + "object", f"{ident} || {chars} || " + _x(p + "originalName", name) + f" || {place}", 'xsi:type="premis:file"')
+    note = "CASE " + st + " " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in E.FIXITY_NOTES.items()) + f" ELSE 'Status: ' || {st} END"
+    detail = _x(p + "eventDetailInformation", f"'Kryptographische SHA-256 Bitstream-Validierung für ' || {name} || ' (Integritätsprüfung gegen Bit-Rot nach ISO 14721 OAIS)'")
+    out = _x(p + "eventOutcomeInformation", _x(p + "eventOutcome", st) + " || " + _x(p + "eventOutcomeDetail", _x(p + "eventOutcomeDetailNote", note)))
+    link = _x(p + "linkingObjectIdentifier", _x(p + "linkingObjectIdentifierType", "'local-filepath'") + " || " + _x(p + "linkingObjectIdentifierValue", path)) + " || " + _x(p + "linkingAgentIdentifier", _x(p + "linkingAgentIdentifierType", "'local-id'") + " || " + _x(p + "linkingAgentIdentifierValue", "'archive-fixity-daemon'"))
+    uid = f"'urn:uuid:' || {_uuid_sql(f'concat({path}, chr(124), {t})')}"
+    event = _x(p + "event", _x(p + "eventIdentifier", _x(p + "eventIdentifierType", "'UUID'") + " || " + _x(p + "eventIdentifierValue", uid)) + " || " + _x(p + "eventType", "'fixity check'") + " || " + _x(p + "eventDateTime", t) + f" || {detail} || {out} || {link}")
+    return f"{obj} || {event}"
+
+
+@query("SNK_4_premis_xml", ctes("fixity") + f"SELECT file_path, {_premis_sql()} AS xml FROM fixity")
+def snk_4(spark, d):
+    items = made(spark, d, "fixity").withColumns({"file_name": F.concat(F.lit("o_"), F.col("id").cast("string"), F.lit(".jpg")), "file_size": F.col("id") + 1})
+    return E.premis_records(items)
+
+
+@query("SNK_5_xmp_records")
+def snk_5(spark, d):
+    none = F.lit(None).cast("struct<left: double, top: double, width: double, height: double>")
+    box = F.array(F.col("image_id") % 50, F.lit(20), F.lit(300), F.lit(400))
+    region = F.struct(F.col("label").alias("name"), mwg_region(none, box, F.lit(2000), F.lit(1000)).alias("region"))
+    items = made(spark, d, "faces").groupBy("file_path").agg(F.array_sort(F.collect_set("label")).alias("persons"), F.array_sort(F.collect_list(region)).alias("regions"), F.min("cluster_id").alias("title"))
+    items = items.withColumns({"creator": F.lit("Atelier"), "date": F.lit("1928"), "keywords": F.array(F.lit("kw"), F.lit("kw")), "iconclass": F.lit("11Q71421")})
+    return E.xmp_records(items)
+
+
+@query("SNK_6_export_names", "SELECT page_id, CASE WHEN k = 0 THEN stem || '.xmp' ELSE concat(stem, '_', k, '.xmp') END AS export_name FROM (SELECT page_id, stem, row_number() OVER (PARTITION BY stem ORDER BY page_id) - 1 AS k FROM (SELECT page_id, regexp_extract(url, '://([^/]*)', 1) AS stem FROM pages) s) t")
+def snk_6(spark, d):
+    items = table(spark, d, "pages").select("page_id", F.regexp_extract("url", "://([^/]*)", 1).alias("stem"))
+    return E.export_names(items, "stem", "page_id").select("page_id", "export_name")
+
+
+@query("FIX_1_fixity_verify", ctes("fixity") + """SELECT file_path, CASE WHEN id % 11 = 0 THEN 'MISSING' WHEN id % 13 = 0 THEN 'READ_ERROR' WHEN sha256 IS NULL THEN 'OK' WHEN id % 17 = 0 THEN 'CORRUPTED' ELSE 'OK' END AS status,
+    CASE WHEN id % 11 = 0 THEN 'missing' WHEN id % 13 = 0 THEN 'corrupted' WHEN sha256 IS NULL THEN 'initialized' WHEN id % 17 = 0 THEN 'corrupted' ELSE 'intact' END AS outcome FROM fixity""")
+def fix_1(spark, d):
+    t = made(spark, d, "fixity")
+    now = F.when(F.col("id") % 13 == 0, F.lit(None)).when(F.col("id") % 17 == 0, F.lit("changed")).otherwise(F.coalesce("sha256", F.lit("baseline")))
+    return Y.fixity_verify(t, t.where("id % 11 <> 0").select("file_path", now.alias("sha256")), F.current_timestamp()).select("file_path", "status", "outcome")
+
+
+@query("ING_1_ingest_rows", f"SELECT {_uuid_sql('''substr(url, 8)''')} AS id, url AS path, 'b1' AS import_id FROM pages WHERE page_id % 3 <> 0 AND url LIKE 'http://%'")
+def ing_1(spark, d):
+    files = made(spark, d, "inventory").where("path like 'http://%'")
+    known = S.ingest(files.where("known"), files.limit(0).select(F.lit("").alias("id")), "b0", "http:/")[0]
+    return S.ingest(files.select("path", "size"), known, "b1", "http:/")[0].select("id", "path", "import_id")
+
+
+@query("ING_1_ingest_journal", "SELECT 'b1' AS id, count(*) FILTER (page_id % 3 <> 0) AS image_count, count(*) FILTER (page_id % 3 = 0) AS skipped_count, count(*) FILTER (false) AS failed_count, 'completed' AS status FROM pages WHERE url LIKE 'http://%'")
+def ing_1_journal(spark, d):
+    files = made(spark, d, "inventory").where("path like 'http://%'")
+    known = S.ingest(files.where("known"), files.limit(0).select(F.lit("").alias("id")), "b0", "http:/")[0]
+    return S.ingest(files.select("path", "size"), known, "b1", "http:/")[1]
+
+
+@query("STR_2_fixity_alerts", ctes("fixity") + "SELECT 'FIXITY_BITROT_ALERT' AS action, file_path AS target_id, '{\"status\":\"' || fixity_status || '\"}' AS details FROM fixity WHERE fixity_status IN ('CORRUPTED', 'MISSING', 'READ_ERROR')")
+def str_2(spark, d):
+    return Y.fixity_alerts(made(spark, d, "fixity").withColumnRenamed("fixity_status", "status")).select("action", "target_id", "details")

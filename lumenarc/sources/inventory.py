@@ -76,8 +76,8 @@ def ingest(files: DataFrame, catalogue: DataFrame, batch: str, root: str, force:
     keyed = files.withColumn("id", uuid5_image(relative)).dropDuplicates(["id"])
     fresh = keyed if force else keyed.join(catalogue.select("id"), "id", "left_anti")
     rows = fresh.where("size > 0").select("id", "path", base_name(F.col("path")).alias("file_name"), "size", F.lit(batch).alias("import_id"))
-    counts = keyed.join(catalogue.select("id").distinct().withColumn("known", F.lit(True)), "id", "left")
-    taken = F.lit(force) | F.col("known").isNull()
+    counts = keyed.join(catalogue.select("id").distinct().withColumn("__known", F.lit(True)), "id", "left")
+    taken = F.lit(force) | F.col("__known").isNull()
     journal = counts.agg(
         F.lit(batch).alias("id"), F.count_if(taken & (F.col("size") > 0)).alias("image_count"), F.count_if(~taken).alias("skipped_count"),
         F.count_if(taken & ~(F.col("size") > 0)).alias("failed_count"))
