@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenarc.session import reachable
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; where that is unset (tests), a temporary one of this process."""
@@ -35,6 +37,7 @@ def broadcast_below(df: DataFrame, rows: int, limit: int):
 
 
 def limit_batches(spark: SparkSession) -> None:
-    """Arrow batches by bytes as well as by rows, so that very long texts don't add up in one batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """Arrow batches by bytes as well as by rows, so that very long texts don't add up in one batch; and workers find this package."""
+    reachable(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenarc.llm._store import broadcast_below, cut
+from lumenarc.session import reachable
 
 #: Uncompressed bytes that a file holds on average.
 FILE_BYTES = 16 << 20
@@ -141,7 +142,8 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """All records of the WARC files in ``path``, plain or gzipped. Payloads' lengths and digests are computed from the payloads."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    reachable(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(_reader(with_payload), RECORD)
 
