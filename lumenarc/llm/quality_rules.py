@@ -109,7 +109,10 @@ def _judge(ratio: np.ndarray, threshold: float, bits: int):
 
 
 def fit_ratio(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, pseudo: float = 1.0) -> np.ndarray:
-    """Log ratio of the trusted and the raw multinomial for each bucket, add-``pseudo`` smoothed; zeros without trusted text.
+    """Log ratio of the trusted and the raw multinomial for each bucket; zeros without trusted text.
+
+    Raw counts are scaled to the trusted total before ``pseudo`` is added to both, so smoothing pulls both alike, a bucket
+    without evidence has ratio 0, and little trusted text doesn't shift all documents one way.
 
     ``trusted`` has the ids of trusted documents. Every document counts as raw, trusted ones too.
     """
@@ -124,8 +127,7 @@ def fit_ratio(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_
     n[at], t[at] = np.asarray(table["n"]), np.asarray(table["trusted"])
     if not t.sum():
         return np.zeros(1 << bits, np.float32)
-    size = pseudo * (1 << bits)
-    return (np.log((t + pseudo) / (t.sum() + size)) - np.log((n + pseudo) / (n.sum() + size))).astype(np.float32)
+    return (np.log(t + pseudo) - np.log(n * (t.sum() / n.sum()) + pseudo)).astype(np.float32)
 
 
 def quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bits: int = BITS) -> DataFrame:

@@ -198,8 +198,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     gram = np.asarray(table["gram"])
     order = np.argsort(gram)
     model = kneser_ney(gram[order], np.asarray(table["toxic"])[order], np.asarray(table["ordinary"])[order])
-    sample = known.where(fold == tune).orderBy(F.xxhash64("id"), "id").limit(calibration_rows) if marks.count() > 4 * calibration_rows else known.where(fold == tune)
-    scored = sample.select("label", "text").mapInArrow(_scorer(model), "label int, value double, score double").select("label", "value").toArrow()
+    # ids are chosen before texts are read
+    chosen = marks.where(fold == tune).orderBy(F.xxhash64("id"), "id").limit(calibration_rows)
+    scored = read.join(F.broadcast(chosen), "id").select("label", "text").mapInArrow(_scorer(model), "label int, value double, score double").select("label", "value").toArrow()
     slope, offset = logistic(np.asarray(scored["value"], float), np.asarray(scored["label"], float))
     return ToxicityModel(model.seen, model.ratio, model.context, model.context_ratio, slope, offset)
 
