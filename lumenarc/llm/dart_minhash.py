@@ -6,10 +6,11 @@ A text keeps the darts below its weights, and of each coordinate the earliest (l
 coordinate with the probability of their weighted Jaccard similarity. The work for a text is its number of elements
 plus k (ln k + 3) darts, not their product.
 
-Texts that agree in all coordinates of some band are candidates. No bucket is expanded into all its pairs: in each
-round every bucket compares its members with one hub that changes from round to round, verified links are contracted
-to classes, and members of one class need no comparison with each other. When the pairs of different classes that
-remain inside buckets are at most ``linear`` times the texts (or rounds end) all of them are compared, so no candidate is lost.
+Texts that agree in all coordinates of some band are candidates. No bucket is expanded into its pairs: first every text is
+compared with one hub, the least by hash among its buckets' members, and links are contracted to classes, which settles
+families of copies. In buckets where several classes meet, the texts outside the largest class are dealt into blocks, and each block
+is compared with chunks of the bucket inside a task, by exact intersection of the texts' elements. So every candidate pair of different classes is compared,
+none is dropped, and rows sent grow with members, not with pairs.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from lumenarc.llm._text import fixed_binary, flat, mix, row_sums, sequence_diges
 from lumenarc.operators.graph import connected_components
 
 BROADCAST_ROWS = 250_000
+#: Minor members in a block and members in a chunk that a task compares at once.
+BLOCK, CHUNK = 256, 2048
 _U = np.uint64
 
 
@@ -142,8 +145,72 @@ def _verifier(width: int, threshold: float):
     return verify
 
 
+def _itemiser(width: int):
+    def itemise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, raw, offs in slices(batch, "text"):
+                win, at, _ = shingles(raw, offs, width)
+                h, r, c = multiset(win, at)
+                # the k-th occurrence of an element is an element of its own: then sets do for multisets
+                owner = np.repeat(np.arange(len(h)), c)
+                nth = np.arange(len(owner)) - np.repeat(np.cumsum(c) - c, c)
+                item = (mix(h[owner] + nth.astype(np.uint64) * _U(0x9E3779B97F4A7C15)) >> _U(32)).astype(np.uint32)
+                ends = np.cumsum(np.bincount(r[owner], minlength=part.num_rows))[:-1]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in np.split(item, ends)], pa.binary())], ["node", "items"])
+
+    return itemise
+
+
+def similar_rows(left: list[np.ndarray], right: list[np.ndarray], threshold: float, hits: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Indices (i, j) of item sets left[i] and right[j] with a Jaccard similarity of ``threshold`` or more."""
+    items = np.concatenate(left)
+    owner = np.repeat(np.arange(len(left)), [len(x) for x in left])
+    order = np.argsort(items, kind="stable")
+    items, owner = items[order], owner[order]
+    size_l, out = np.array([len(x) for x in left]), []
+    at = 0
+    while at < len(right):
+        to, load = at, 0
+        while to < len(right) and (to == at or load < hits):
+            load += len(right[to]) * len(left)
+            to += 1
+        asked = np.concatenate(right[at:to])
+        who = np.repeat(np.arange(to - at), [len(x) for x in right[at:to]])
+        low, high = np.searchsorted(items, asked, "left"), np.searchsorted(items, asked, "right")
+        n = high - low
+        where = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        common = np.bincount(np.repeat(who, n) * len(left) + owner[where], minlength=(to - at) * len(left)).reshape(to - at, len(left))
+        union = np.array([len(x) for x in right[at:to]])[:, None] + size_l[None, :] - common
+        j, i = np.nonzero(common >= threshold * union)
+        out.append((i, j + at))
+        at = to
+    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+
+
+def _matcher(threshold: float):
+    def compare(minors: list[tuple], members: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if minors and members:
+            i, j = similar_rows([m[2] for m in minors], [m[2] for m in members], threshold)
+            found = {tuple(sorted((minors[a][0], members[b][0]))) for a, b in zip(i.tolist(), j.tolist(), strict=True) if minors[a][1] != members[b][1]}
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["src", "dst"])
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, minors, members = None, [], []
+        for batch in batches:
+            c = {n: batch.column(k).to_pylist() for k, n in enumerate(batch.schema.names)}
+            for now, minor, node, root, items in zip(zip(c["bucket"], c["block"], c["chunk"], strict=True), c["minor"], c["node"], c["root"], c["items"], strict=True):
+                if now != key:
+                    yield from compare(minors, members)
+                    key, minors, members = now, [], []
+                (minors if minor else members).append((node, root, np.frombuffer(items, np.uint32)))
+        yield from compare(minors, members)
+
+    return match
+
+
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5,
-                           bands: int = 32, rows: int = 6, linear: float = 2.0, max_rounds: int = 6) -> DataFrame:
+                           bands: int = 32, rows: int = 6) -> DataFrame:
     """One row per document: (id, class_id, class_size, node, root).
 
     A class is a connected component of texts with a weighted Jaccard similarity of ``threshold`` or more over windows
@@ -159,7 +226,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     nodes = seen.groupBy("node").agg(F.min("id").alias("least_id"), F.count("*").alias("copies"), F.max("size").alias("size"), F.min("bands").alias("bands"))
     nodes = cut(nodes)
     buckets = _buckets(nodes, threshold)
-    roots = _components(read, nodes, buckets, threshold, width, linear, max_rounds)
+    roots = _components(read, nodes, buckets, threshold, width)
     named = nodes.select("node", "least_id", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = named.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"))
     by_node = named.select("node", "root").join(sizes, "root")
@@ -181,56 +248,56 @@ def _buckets(nodes: DataFrame, threshold: float) -> DataFrame:
     return cut(each.join(many, "bucket", "left_semi"))
 
 
-def _components(read: DataFrame, nodes: DataFrame, buckets: DataFrame, threshold: float, width: int, linear: float, max_rounds: int) -> DataFrame:
-    n_nodes = nodes.count()
-    links, tested = None, None
-    roots = buckets.select("node").distinct().withColumn("root", F.col("node"))
-    for turn in range(max_rounds + 1):
-        member = buckets.join(roots, "node") if turn else buckets.withColumn("root", F.col("node"))
-        rooted = member.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-        left = rooted.groupBy("bucket").agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own")).where("classes > 1")
-        left = cut(left.select("bucket", ((F.col("n") * F.col("n") - F.col("own")) / 2).alias("pairs")))
-        remaining = left.agg(F.sum("pairs")).first()[0] or 0
-        if not remaining:
-            break
-        member = member.join(left.select("bucket"), "bucket", "left_semi")
-        last = remaining <= linear * n_nodes or turn == max_rounds
-        if last:
-            a, b = member.alias("a"), member.alias("b")
-            pairs = a.join(b, F.expr("a.bucket = b.bucket and a.node < b.node and a.root <> b.root")).selectExpr("a.node src", "b.node dst", "a.size size_a", "b.size size_b")
-        else:
-            pick = F.xxhash64("node", F.lit(turn))
-            hub = member.groupBy("bucket").agg(F.min(F.struct(pick.alias("pick"), "node", "root", "size")).alias("hub"))
-            pairs = member.join(hub, "bucket").where("hub.root <> root").select(
-                F.least("node", "hub.node").alias("src"), F.greatest("node", "hub.node").alias("dst"), F.col("size").alias("size_a"), F.col("hub.size").alias("size_b"))
-        fits = F.least("size_a", "size_b") >= F.lit(threshold) * F.greatest("size_a", "size_b")
-        pairs = pairs.where(fits).select("src", "dst").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["src", "dst"], "left_anti")
-        pairs = cut(pairs)
-        if pairs.isEmpty():
-            if last:
-                break
-            continue
-        found = cut(_verified(read, nodes, pairs, threshold, width))
-        links = found if links is None else links.unionByName(found)
-        if last:
-            roots = connected_components(links)
-            break
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        inside = connected_components(links)
-        roots = cut(buckets.select("node").distinct().join(inside, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    return roots
+def _components(read: DataFrame, nodes: DataFrame, buckets: DataFrame, threshold: float, width: int) -> DataFrame:
+    """(node, root) of all nodes that are linked to others."""
+    hub = buckets.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node").alias("pick"), F.col("node").alias("hub"), F.col("size").alias("hub_size"))).alias("h"))
+    near = buckets.join(hub, "bucket").where(F.col("node") != F.col("h.hub")).where(_fits(F.col("size"), F.col("h.hub_size"), threshold))
+    pairs = near.groupBy("node").agg(F.min("h").alias("h")).select(F.least("node", "h.hub").alias("src"), F.greatest("node", "h.hub").alias("dst"))
+    pairs = cut(pairs.distinct())
+    links = cut(_verified(read, nodes, pairs, threshold, width))
+    member = buckets.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    classes = member.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("greatest"))
+    open_ = classes.groupBy("bucket").agg(
+        F.count("*").alias("classes"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("main"), F.min("least").alias("src"), F.max("greatest").alias("dst"))
+    open_ = open_.where("classes > 1")
+    settled = open_.where("n = 2").join(pairs, ["src", "dst"], "left_semi").select("bucket")
+    open_ = open_.join(settled, "bucket", "left_anti").select(
+        "bucket", F.col("main.root").alias("main"), F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"), F.ceil((F.col("n") - F.col("main.n")) / BLOCK).cast("int").alias("blocks"))
+    member = cut(member.join(open_, "bucket").select("bucket", "node", "root", F.col("root") != F.col("main"), "chunks", "blocks").toDF("bucket", "node", "root", "minor", "chunks", "blocks"))
+    if member.isEmpty():
+        return connected_components(links)
+    found = cut(_block_links(read, nodes, member, threshold, width))
+    return connected_components(links.unionByName(found))
+
+
+def _fits(a, b, threshold: float):
+    """Whether sizes allow the similarity."""
+    return F.least(a, b) >= F.lit(threshold) * F.greatest(a, b)
+
+
+def _block_links(read: DataFrame, nodes: DataFrame, member: DataFrame, threshold: float, width: int) -> DataFrame:
+    """Links between different classes of a bucket, each block of minor members against each chunk of all members."""
+    text = _texts(read, nodes, member.select("node").distinct(), width)
+    items = cut(text.mapInArrow(_itemiser(width), "node binary, items binary"))
+    place = lambda n: F.pmod(F.xxhash64("node", "bucket"), n).cast("int")
+    as_member = member.withColumns({"block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "chunk": place(F.col("chunks"))}).withColumn("minor", F.lit(False))
+    as_minor = member.where("minor").withColumns({"chunk": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "block": place(F.col("blocks"))})
+    dealt = as_member.unionByName(as_minor).select("bucket", "block", "chunk", "minor", "node", "root")
+    dealt = dealt.join(items, "node").repartition("bucket", "block", "chunk").sortWithinPartitions("bucket", "block", "chunk")
+    return dealt.mapInArrow(_matcher(threshold), "src binary, dst binary").distinct()
+
+
+def _texts(read: DataFrame, nodes: DataFrame, used: DataFrame, width: int) -> DataFrame:
+    """(node, text): one document of each of the nodes."""
+    chosen = cut(nodes.select("node", "least_id").join(used, "node", "left_semi"))
+    ids = broadcast_below(chosen.select(F.col("least_id").alias("id")).distinct(), chosen.count(), BROADCAST_ROWS)
+    text = read.join(ids, read["id"].eqNullSafe(ids["id"]), "left_semi").mapInArrow(_digester(width), "id long, text string, __near_node binary")
+    return text.select(F.col("__near_node").alias("node"), "text").dropDuplicates(["node"])
 
 
 def _verified(read: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: float, width: int) -> DataFrame:
-    """The pairs whose texts are similar. Texts come from one document of each node."""
-    used = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
-    chosen = cut(nodes.select("node", "least_id").join(used, "node", "left_semi"))
-    n = chosen.count()
-    ids = broadcast_below(chosen.select(F.col("least_id").alias("id")).distinct(), n, BROADCAST_ROWS)
-    text = read.join(ids, read["id"].eqNullSafe(ids["id"]), "left_semi").mapInArrow(_digester(width), "id long, text string, __near_node binary")
-    text = text.select(F.col("__near_node").alias("node"), "text").dropDuplicates(["node"])
+    """The pairs whose texts are similar."""
+    text = cut(_texts(read, nodes, pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct(), width))
     one = pairs.join(text.withColumnsRenamed({"node": "src", "text": "text_a"}), "src")
     two = one.join(text.withColumnsRenamed({"node": "dst", "text": "text_b"}), "dst").select("src", "dst", "text_a", "text_b")
     return two.mapInArrow(_verifier(width, threshold), "src binary, dst binary")
