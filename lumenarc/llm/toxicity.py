@@ -3,8 +3,8 @@
 Each class has an interpolated Kneser-Ney model of order five over symbols (a-z, five folded groups of other letters'
 bytes, a boundary); contexts start anew at each word. Rare and unseen continuations fall back on counts that both classes
 share: numbers of distinct left contexts, pooled over the classes, for orders four to one, then uniform. A text's value
-is its toxic minus its ordinary log-likelihood divided by its letters; a logistic curve fitted on other labelled rows
-makes it a score.
+is its toxic minus its ordinary log-likelihood, summed where the classes differ by ``EVIDENCE`` or more and divided by the
+square root of its letters, as which the noise of such a sum grows. A logistic curve makes it a score; slope and threshold come from other labelled rows.
 
 Counting runs as a Spark aggregation over all labelled rows that may be used. Because an order-five gram has 25 bits, the
 model has at most 2**25 grams whatever the input, which bounds what the driver gathers and sends to tasks.
@@ -24,6 +24,8 @@ from lumenarc.llm._store import broadcast_below, cut, limit_batches
 from lumenarc.llm._text import row_sums, slices
 
 ORDER, BITS = 5, 5
+#: Discount of counts, and least log ratio (natural) that counts as evidence: smaller ones are sampling noise of common letters.
+DISCOUNT, EVIDENCE = 1.5, 1.0
 #: Rows of labels that may be broadcast (16 bytes each and a hash table).
 BROADCAST_LABELS = 1_000_000
 #: Most rows that the logistic curve is fitted on; taken by least hash of the id.
@@ -99,10 +101,11 @@ class ToxicityModel:
         contexts[self.context] = self.context_ratio
         out = np.repeat(contexts, 1 << BITS)
         out[self.seen] = self.ratio
+        out[np.abs(out) < EVIDENCE] = 0
         return out
 
 
-def kneser_ney(gram: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, discount: float = 0.75) -> ToxicityModel:
+def kneser_ney(gram: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, discount: float = DISCOUNT) -> ToxicityModel:
     """Both class models from the counts of distinct grams (sorted), as ratios toxic to ordinary.
 
     Where neither class has seen a gram, the shared backoff probability cancels and the ratio is that of the weights with which
@@ -134,14 +137,14 @@ def kneser_ney(gram: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, discou
 
 
 def values(raw: np.ndarray, offs: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Mean log-likelihood ratio per letter of each text; 0 for a text without letters."""
+    """Log-likelihood ratio of each text by the square root of its letters; 0 for a text without letters."""
     g, at = grams(raw)
-    ratio = np.zeros(len(raw) + 0, np.float32)
+    ratio = np.zeros(len(raw), np.float32)
     ratio[at] = table[g]
     mask = np.zeros(len(raw), np.uint8)
     mask[at] = 1
     n = row_sums(mask, offs)
-    return row_sums(ratio, offs) / np.maximum(n, 1)
+    return row_sums(ratio, offs) / np.sqrt(np.maximum(n, 1))
 
 
 def _scorer(model: ToxicityModel):
@@ -177,6 +180,17 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, floa
     return float(w[0] / scale), float(w[1])
 
 
+def best_cut(x: np.ndarray, y: np.ndarray) -> float:
+    """The value from which calling rows toxic makes fewest errors; the middle of the widest gap that does so."""
+    order = np.argsort(x, kind="stable")
+    x, y = x[order], y[order]
+    errors = np.r_[0, np.cumsum(y)] + np.r_[np.cumsum((1 - y)[::-1])[::-1], 0]
+    gap = np.r_[0, np.diff(x), 0]
+    errors[gap == 0] = len(x) + 1
+    at = min(np.flatnonzero(errors == errors.min()), key=lambda k: -gap[k])
+    return float(x[at - 1] + x[at]) / 2 if gap[at] else float(x[0])
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
                  folds: int = 5, held_out: int = 0, calibration_rows: int = CALIBRATION_ROWS) -> ToxicityModel:
     """Fit on rows whose crc32(id as text) mod ``folds`` is not ``held_out``: one further fold sets the curve, all others the counts.
@@ -201,12 +215,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     # ids are chosen before texts are read
     chosen = marks.where(fold == tune).orderBy(F.xxhash64("id"), "id").limit(calibration_rows)
     scored = read.join(F.broadcast(chosen), "id").select("label", "text").mapInArrow(_scorer(model), "label int, value double, score double").select("label", "value").toArrow()
-    slope, offset = logistic(np.asarray(scored["value"], float), np.asarray(scored["label"], float))
+    value, label = np.asarray(scored["value"], float), np.asarray(scored["label"], float)
+    slope, offset = logistic(value, label)
+    if slope > 0 and len(value) and label.min() < label.max():
+        offset = -slope * best_cut(value, label)
     return ToxicityModel(model.seen, model.ratio, model.context, model.context_ratio, slope, offset)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, value (mean log-likelihood ratio per letter) and score (0 to 1). Empty and null texts have value 0."""
+    """One row per document: id, value (log-likelihood ratio by the root of its letters) and score (0 to 1). Empty and null texts have value 0."""
     limit_batches(docs.sparkSession)
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = read.schema["id"].dataType.simpleString()
