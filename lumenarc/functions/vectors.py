@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,25 +16,29 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also where it stands inside a function over elements."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 
 
 def l2_normalise(v: Column) -> Column:
     """PRJ-15: unit length; a zero vector stays zero."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
+    return let(F.struct(v.alias("v"), norm(v).alias("n")), lambda s: F.when(s["n"] > 0, F.transform(s["v"], lambda x: x / s["n"])).otherwise(s["v"]))
 
 
 def cosine(a: Column, b: Column) -> Column:
     """PRJ-15: 0 where a vector is zero."""
-    n = norm(a) * norm(b)
-    return F.when(n > 0, dot(a, b) / n).otherwise(F.lit(0.0))
+    return let(norm(a) * norm(b), lambda n: F.when(n > 0, dot(a, b) / n).otherwise(F.lit(0.0)))
 
 
 def blend_vector(query: Column, aux: Column, weight: float = 0.75) -> Column:
     """PRJ-16: normalise(weight * normalise(query) + (1 - weight) * normalise(aux))."""
-    return l2_normalise(F.zip_with(l2_normalise(query), l2_normalise(aux), lambda x, y: x * weight + y * (1 - weight)))
+    mixed = F.zip_with(l2_normalise(query), l2_normalise(aux), lambda x, y: x * weight + y * (1 - weight))
+    return let(mixed, l2_normalise)
 
 
 def sign_hash(v: Column, bits: int = 64) -> Column:

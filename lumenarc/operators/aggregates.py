@@ -83,8 +83,9 @@ def hit_type_counts(hits: DataFrame) -> DataFrame:
 def group_stats(groups: DataFrame, shown: int) -> DataFrame:
     """AGG-10: of (group, id): all groups, and the images stacked behind the first of each of the ``shown`` largest groups."""
     n = groups.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
-    top = n.orderBy(F.desc("n"), "group").limit(shown).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("total_stacked_images"))
-    return n.agg(F.count("*").alias("total_groups")).crossJoin(F.broadcast(top))
+    top = n.orderBy(F.desc("n"), "group").limit(shown).select(F.lit(0).alias("groups"), (F.col("n") - 1).alias("stacked"))
+    both = n.select(F.lit(1).alias("groups"), F.lit(0).cast("long").alias("stacked")).unionByName(top)
+    return both.agg(F.coalesce(F.sum("groups"), F.lit(0)).alias("total_groups"), F.coalesce(F.sum("stacked"), F.lit(0)).alias("total_stacked_images"))
 
 
 def retention_plan(files: DataFrame, limit_bytes: int, share: float = 0.8) -> DataFrame:

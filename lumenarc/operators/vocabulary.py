@@ -28,10 +28,14 @@ def expand_terms(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
     words = q.select("query", F.posexplode(F.split("q", r"(?U)[^\w]+")).alias("at", "word")).where(F.length("word") >= 3)
     by_word = words.join(index, F.col("word") == F.col("term")).select("query", "canonical", "term", F.lit(2).alias("tier"), F.col("at").cast("long").alias("place"), F.lit(0).alias("place2"))
     known = exact.select("query").union(by_word.select("query")).distinct()
-    # only queries without a word match, against the broadcast terms
     rest = q.join(known, "query", "left_anti")
-    part = rest.join(F.broadcast(index), (F.length("term") >= 4) & (F.contains(F.col("q"), F.col("term")) | F.contains(F.col("term"), F.col("q"))))
-    part = part.select("query", "canonical", "term", F.lit(3).alias("tier"), F.col("first_seen.position").cast("long").alias("place"), F.col("first_seen.place").alias("place2"))
+    longer = index.where(F.length("term") >= 4)
+    # equi joins on letters that a match must share: the query holds the term's first four, or the term holds the query's first four (or all)
+    grams = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - n + 1)), lambda k: F.substr(F.col(c), k, F.lit(n)))
+    held = rest.withColumn("gram", F.explode(F.array_distinct(grams("q", 4)))).join(longer.withColumn("gram", F.substring("term", 1, 4)), "gram").where(F.contains(F.col("q"), F.col("term")))
+    every = F.array_distinct(F.concat(*(grams("term", n) for n in (1, 2, 3, 4))))
+    holds = rest.withColumn("gram", F.substring("q", 1, 4)).join(longer.withColumn("gram", F.explode(every)), "gram").where(F.contains(F.col("term"), F.col("q")))
+    part = held.unionByName(holds).select("query", "canonical", "term", F.lit(3).alias("tier"), F.col("first_seen.position").cast("long").alias("place"), F.col("first_seen.place").alias("place2")).distinct()
     rank = F.row_number().over(Window.partitionBy("query").orderBy("tier", "place", "place2", "term"))
     best = exact.unionByName(by_word).unionByName(part).withColumn("r", rank).where("r = 1")
     return best.select("query", "canonical", F.col("term").alias("matched_term"), "tier")

@@ -179,8 +179,8 @@ def prj_15(spark, d):
     0.5625 + 0.0625 + 0.375 * list_dot_product(v.vector, q.vector) / sqrt(list_dot_product(v.vector, v.vector) * list_dot_product(q.vector, q.vector)) AS n FROM vectors v, (SELECT vector FROM vectors WHERE id = 0) q) t""")
 def prj_16(spark, d):
     v = vectors(spark, d)
-    one = v.where("id = 0").select(F.col("vector").alias("aux"))
-    return v.crossJoin(F.broadcast(one)).select("id", F.round(F.get(V.blend_vector(F.col("vector"), F.col("aux")), F.lit(0)), 6).alias("first"))
+    aux = F.array(*(F.lit(x) for x in v.where("id = 0").select("vector").first()[0]))
+    return v.select("id", F.round(F.get(V.blend_vector(F.col("vector"), aux), F.lit(0)), 6).alias("first"))
 
 
 @query("PRJ_17_size_ladder", ctes("sized") + "SELECT id, list_filter(list_transform(range(21), lambda k: CAST(power(2, k) AS INTEGER)), lambda s: s = 1 OR s * 512 <= greatest(width, height) * 2) AS factors, list_filter([256, 512, 1024, 2048], lambda s: s < greatest(width, height)) AS previews FROM sized")
