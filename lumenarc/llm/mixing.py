@@ -42,14 +42,13 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     cap = F.col("source_size") * most
     running = running_totals(named, [cap / F.col("weight"), F.col("number")], {"cap_before": cap, "weight_before": F.col("weight")})
     running = cut(running)
-    total = running.agg(F.sum("source_size").alias("total"), F.sum("weight").alias("weights"))
-    at = running.crossJoin(F.broadcast(total))  # one row
-    capped = (F.col("total") - F.col("cap_before")) * F.col("weight") >= cap * (F.col("weights") - F.col("weight_before"))
-    at = at.withColumns({"cap": cap, "capped": capped})
-    rest = at.agg(F.sum(F.when(F.col("capped"), F.col("cap")).otherwise(0)).alias("held"), F.sum(F.when(F.col("capped"), 0.0).otherwise(F.col("weight"))).alias("open"))
-    level = (F.col("total") - F.col("held")) / F.col("open")
-    return at.crossJoin(F.broadcast(rest)).select(
-        "source", "source_size", "number", "drift", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(level * F.col("weight")).alias("target"))
+    total, weight = running.agg(F.sum("source_size"), F.sum("weight")).first()
+    capped = (F.lit(total) - F.col("cap_before")) * F.col("weight") >= cap * (F.lit(weight) - F.col("weight_before"))
+    at = running.withColumns({"cap": cap, "capped": capped})
+    held, rest = at.agg(F.sum(F.when(F.col("capped"), F.col("cap")).otherwise(0)), F.sum(F.when(F.col("capped"), 0.0).otherwise(F.col("weight")))).first()
+    level = (total - held) / rest if rest else 0.0
+    target = F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("weight") * level)
+    return at.select("source", "source_size", "number", "drift", target.alias("target"))
 
 
 def position(share: Column, drift: Column) -> Column:
