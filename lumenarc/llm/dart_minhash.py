@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenarc.llm._store import broadcast_below, cut, limit_batches
-from lumenarc.llm._text import fixed_binary, flat, mix, row_sums, sequence_digests, slices, span_hashes, windows, words
+from lumenarc.llm._text import fixed_binary, flat, mix, sequence_digests, slices, span_hashes, windows, words
 from lumenarc.operators.graph import connected_components
 
 BROADCAST_ROWS = 250_000
@@ -190,8 +190,21 @@ def similar_rows(left: list[np.ndarray], right: list[np.ndarray], threshold: flo
 def _matcher(threshold: float):
     def compare(minors: list[tuple], members: list[tuple]) -> Iterator[pa.RecordBatch]:
         if minors and members:
-            i, j = similar_rows([m[2] for m in minors], [m[2] for m in members], threshold)
-            found = {tuple(sorted((minors[a][0], members[b][0]))) for a, b in zip(i.tolist(), j.tolist(), strict=True) if minors[a][1] != members[b][1]}
+            i, j = similar_rows([m[1] for m in minors], [m[1] for m in members], threshold)
+            # classes that links join; a link between classes that are joined already adds nothing
+            joined: dict[bytes, bytes] = {}
+
+            def top(root: bytes) -> bytes:
+                while root in joined:
+                    root = joined[root]
+                return root
+
+            found = []
+            for a, b in zip(i.tolist(), j.tolist(), strict=True):
+                x, y = top(minors[a][0]), top(members[b][0])
+                if x != y:
+                    joined[max(x, y)] = min(x, y)
+                    found.append((max(x, y), min(x, y)))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["src", "dst"])
 
@@ -199,11 +212,11 @@ def _matcher(threshold: float):
         key, minors, members = None, [], []
         for batch in batches:
             c = {n: batch.column(k).to_pylist() for k, n in enumerate(batch.schema.names)}
-            for now, minor, node, root, items in zip(zip(c["bucket"], c["block"], c["chunk"], strict=True), c["minor"], c["node"], c["root"], c["items"], strict=True):
+            for now, minor, root, items in zip(zip(c["bucket"], c["block"], c["chunk"], strict=True), c["minor"], c["root"], c["items"], strict=True):
                 if now != key:
                     yield from compare(minors, members)
                     key, minors, members = now, [], []
-                (minors if minor else members).append((node, root, np.frombuffer(items, np.uint32)))
+                (minors if minor else members).append((root, np.frombuffer(items, np.uint32)))
         yield from compare(minors, members)
 
     return match
@@ -255,7 +268,8 @@ def _components(read: DataFrame, nodes: DataFrame, buckets: DataFrame, threshold
     pairs = near.groupBy("node").agg(F.min("h").alias("h")).select(F.least("node", "h.hub").alias("src"), F.greatest("node", "h.hub").alias("dst"))
     pairs = cut(pairs.distinct())
     links = cut(_verified(read, nodes, pairs, threshold, width))
-    member = buckets.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = cut(connected_components(links))
+    member = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = member.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("greatest"))
     open_ = classes.groupBy("bucket").agg(
         F.count("*").alias("classes"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("main"), F.min("least").alias("src"), F.max("greatest").alias("dst"))
@@ -265,9 +279,11 @@ def _components(read: DataFrame, nodes: DataFrame, buckets: DataFrame, threshold
         "bucket", F.col("main.root").alias("main"), F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"), F.ceil((F.col("n") - F.col("main.n")) / BLOCK).cast("int").alias("blocks"))
     member = cut(member.join(open_, "bucket").select("bucket", "node", "root", F.col("root") != F.col("main"), "chunks", "blocks").toDF("bucket", "node", "root", "minor", "chunks", "blocks"))
     if member.isEmpty():
-        return connected_components(links)
+        return roots
     found = cut(_block_links(read, nodes, member, threshold, width))
-    return connected_components(links.unionByName(found))
+    higher = connected_components(found).select(F.col("node").alias("root"), F.col("root").alias("higher"))
+    every = buckets.select("node").distinct().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return every.join(higher, "root", "left").select("node", F.coalesce("higher", "root").alias("root"))
 
 
 def _fits(a, b, threshold: float):
@@ -276,14 +292,14 @@ def _fits(a, b, threshold: float):
 
 
 def _block_links(read: DataFrame, nodes: DataFrame, member: DataFrame, threshold: float, width: int) -> DataFrame:
-    """Links between different classes of a bucket, each block of minor members against each chunk of all members."""
+    """Links between classes (roots) that meet in a bucket, each block of minor members against each chunk of all members."""
     text = _texts(read, nodes, member.select("node").distinct(), width)
     items = cut(text.mapInArrow(_itemiser(width), "node binary, items binary"))
     place = lambda n: F.pmod(F.xxhash64("node", "bucket"), n).cast("int")
     as_member = member.withColumns({"block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "chunk": place(F.col("chunks"))}).withColumn("minor", F.lit(False))
     as_minor = member.where("minor").withColumns({"chunk": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "block": place(F.col("blocks"))})
     dealt = as_member.unionByName(as_minor).select("bucket", "block", "chunk", "minor", "node", "root")
-    dealt = dealt.join(items, "node").repartition("bucket", "block", "chunk").sortWithinPartitions("bucket", "block", "chunk")
+    dealt = dealt.join(items, "node").drop("node").repartition("bucket", "block", "chunk").sortWithinPartitions("bucket", "block", "chunk")
     return dealt.mapInArrow(_matcher(threshold), "src binary, dst binary").distinct()
 
 
