@@ -133,7 +133,7 @@ def kneser_ney(gram: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, discou
         own = np.maximum(n - discount, 0) / np.maximum(total[inverse], 1)
         logs.append(np.log(own + back[inverse] * shared))
         backs.append(np.log(back))
-    return ToxicityModel(gram, (logs[0] - logs[1]).astype(np.float16), context, (backs[0] - backs[1]).astype(np.float16))
+    return ToxicityModel(gram.astype(np.int32), (logs[0] - logs[1]).astype(np.float16), context.astype(np.int32), (backs[0] - backs[1]).astype(np.float16))
 
 
 def values(raw: np.ndarray, offs: np.ndarray, table: np.ndarray) -> np.ndarray:
