@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from lumenarc.functions.images import mwg_region
 from lumenarc.functions.keys import base_name
 from lumenarc.operators import fixity as Y
+from lumenarc.operators.graph import shared_folder
 from lumenarc.plans.fixtures import ctes, made, table
 from lumenarc.plans.q_functions import _uuid_sql
 from lumenarc.plans.registry import query
 from lumenarc.sources import exports as E
 from lumenarc.sources import inventory as S
+from lumenarc.streaming.streams import fixity_alert_stream, ingest_stream
 
 
 @query("SRC_1_file_inventory")
@@ -32,8 +34,6 @@ def src_2(spark, d):
 
 @query("SRC_4_catalogue_io", ctes("records") + "SELECT id, file_path, title, coalesce(import_id, 'legacy') AS import_id FROM records")
 def src_4(spark, d):
-    from lumenarc.operators.graph import shared_folder
-
     path = f"{shared_folder(spark)}/catalogue-{uuid.uuid4().hex}"
     S.write_catalogue(made(spark, d, "records").select("id", "file_path", "title", F.coalesce("import_id", F.lit("legacy")).alias("import_id")), path)
     return S.read_catalogue(spark, path).select("id", "file_path", "title", F.col("import_id").cast("string").alias("import_id"))
@@ -153,18 +153,42 @@ def fix_1(spark, d):
     return Y.fixity_verify(t, t.where("id % 11 <> 0").select("file_path", now.alias("sha256")), F.current_timestamp()).select("file_path", "status", "outcome")
 
 
-@query("ING_1_ingest_rows", f"SELECT {_uuid_sql('''substr(url, 8)''')} AS id, url AS path, 'b1' AS import_id FROM pages WHERE page_id % 3 <> 0 AND url LIKE 'http://%'")
+@query("ING_1_ingest_rows", f"SELECT {_uuid_sql('''substr(url, 8)''')} AS id, url AS path, 'b1' AS import_id FROM pages WHERE page_id % 3 <> 0 AND url LIKE 'https://%'")
 def ing_1(spark, d):
-    files = made(spark, d, "inventory").where("path like 'http://%'")
-    known = S.ingest(files.where("known"), files.limit(0).select(F.lit("").alias("id")), "b0", "http:/")[0]
-    return S.ingest(files.select("path", "size"), known, "b1", "http:/")[0].select("id", "path", "import_id")
+    files = made(spark, d, "inventory").where("path like 'https://%'")
+    known = S.ingest(files.where("known"), files.limit(0).select(F.lit("").alias("id")), "b0", "https:/")[0]
+    return S.ingest(files.select("path", "size"), known, "b1", "https:/")[0].select("id", "path", "import_id")
 
 
-@query("ING_1_ingest_journal", "SELECT 'b1' AS id, count(*) FILTER (page_id % 3 <> 0) AS image_count, count(*) FILTER (page_id % 3 = 0) AS skipped_count, count(*) FILTER (false) AS failed_count, 'completed' AS status FROM pages WHERE url LIKE 'http://%'")
+@query("ING_1_ingest_journal", "SELECT 'b1' AS id, count(*) FILTER (page_id % 3 <> 0) AS image_count, count(*) FILTER (page_id % 3 = 0) AS skipped_count, count(*) FILTER (false) AS failed_count, 'completed' AS status FROM pages WHERE url LIKE 'https://%'")
 def ing_1_journal(spark, d):
-    files = made(spark, d, "inventory").where("path like 'http://%'")
-    known = S.ingest(files.where("known"), files.limit(0).select(F.lit("").alias("id")), "b0", "http:/")[0]
-    return S.ingest(files.select("path", "size"), known, "b1", "http:/")[1]
+    files = made(spark, d, "inventory").where("path like 'https://%'")
+    known = S.ingest(files.where("known"), files.limit(0).select(F.lit("").alias("id")), "b0", "https:/")[0]
+    return S.ingest(files.select("path", "size"), known, "b1", "https:/")[1]
+
+
+@query("STR_1_ingest_stream", f"SELECT {_uuid_sql('substr(url, 7)')} AS id, url AS path, CAST(length(html) AS BIGINT) AS size FROM pages WHERE url LIKE 'http://%'")
+def str_1(spark, d):
+    """Runs the stream, starts it again from its checkpoint, and reads the catalogue. (A pattern names a file as well as a folder.)"""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    pages = spark.readStream.schema("page_id long, url string, html string").parquet(f"{d}/page[s].parquet")
+    files = pages.where("url like 'http://%'").select(F.col("url").alias("path"), F.length("html").cast("long").alias("size"))
+    for _ in range(2):
+        ingest_stream(files, f"{folder}/catalogue", f"{folder}/checkpoint", "http:/").awaitTermination()
+    return spark.read.parquet(f"{folder}/catalogue")
+
+
+@query("STR_2_fixity_alert_stream", "SELECT concat('/arch/o_', o_orderkey, '.jpg') AS file_path, CASE WHEN o_orderpriority = '5-LOW' THEN 'MISSING' ELSE 'CORRUPTED' END AS status FROM orders WHERE o_orderpriority = '5-LOW' OR o_orderstatus = 'P'")
+def str_2_stream(spark, d):
+    """Each order reports its state twice; alerts come once."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    orders = spark.readStream.schema(table(spark, d, "orders").schema).parquet(f"{d}/order[s].parquet")
+    status = F.expr("CASE WHEN o_orderpriority = '5-LOW' THEN 'MISSING' WHEN o_orderstatus = 'F' THEN 'OK' WHEN o_orderstatus = 'P' THEN 'CORRUPTED' ELSE 'UNVERIFIED' END")
+    path = F.concat(F.lit("/arch/o_"), F.col("o_orderkey").cast("string"), F.lit(".jpg"))
+    checks = orders.select(path.alias("file_path"), status.alias("status"), F.col("o_orderdate").cast("timestamp").alias("checked_at"), F.explode(F.array(F.lit(1), F.lit(2))).alias("k")).drop("k")
+    alerts = fixity_alert_stream(checks).writeStream.format("parquet").option("path", f"{folder}/alerts").option("checkpointLocation", f"{folder}/checkpoint")
+    alerts.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/alerts").select("file_path", "status")
 
 
 @query("STR_2_fixity_alerts", ctes("fixity") + "SELECT 'FIXITY_BITROT_ALERT' AS action, file_path AS target_id, '{\"status\":\"' || fixity_status || '\"}' AS details FROM fixity WHERE fixity_status IN ('CORRUPTED', 'MISSING', 'READ_ERROR')")
