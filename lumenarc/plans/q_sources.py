@@ -129,7 +129,20 @@ def snk_4(spark, d):
     return E.premis_records(items)
 
 
-@query("SNK_5_xmp_records")
+def _xmp_sql() -> str:
+    li = lambda xs: f"array_to_string(list_transform({xs}, lambda s: '<rdf:li>' || s || '</rdf:li>'), '')"
+    area = "printf('<mwg-rs:Area stArea:x=\"%.6f\" stArea:y=\"%.6f\" stArea:w=\"%.6f\" stArea:h=\"%.6f\" stArea:unit=\"normalized\"/>', round((image_id % 50 + 300) / 2.0 / 2000, 6), 0.21, round((300 - image_id % 50) / 2000.0, 6), 0.38)"
+    name = _x("mwg-rs:Name", "label")
+    one = _x("rdf:li", _x("rdf:Description", f"{area} || coalesce({name}, '') || '<mwg-rs:Type>Face</mwg-rs:Type>'"))
+    regions = _x("mwg-rs:Regions", _x("mwg-rs:RegionList", _x("rdf:Bag", "faces")))
+    subjects = "persons || ['kw', 'Iconclass: 11Q71421']"
+    bag = _x("Iptc4xmpExt:PersonInImage", _x("rdf:Bag", li("persons")))
+    body = _x("dc:title", "title") + " || '<dc:creator>Atelier</dc:creator><photoshop:DateCreated>1928</photoshop:DateCreated>' || " + _x("dc:subject", _x("rdf:Bag", li(subjects)))
+    per = f"SELECT file_path, coalesce(list_sort(list(DISTINCT label) FILTER (label IS NOT NULL)), []) AS persons, min(cluster_id) AS title, string_agg({one}, '' ORDER BY label NULLS FIRST) AS faces FROM faces GROUP BY file_path"
+    return f"SELECT file_path, {subjects} AS subjects, {_x('rdf:Description', f'{body} || CASE WHEN len(persons) > 0 THEN {bag} ELSE chr(0) END || {regions}')} AS xml FROM ({per}) p".replace("chr(0)", "''")
+
+
+@query("SNK_5_xmp_records", ctes("faces") + _xmp_sql())
 def snk_5(spark, d):
     none = F.lit(None).cast("struct<left: double, top: double, width: double, height: double>")
     box = F.array(F.col("image_id") % 50, F.lit(20), F.lit(300), F.lit(400))
