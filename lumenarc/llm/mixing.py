@@ -73,7 +73,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     first = cut(running_totals(targets, [F.col("number")], {"start": F.col("source_size")}))
     tied = units.join(broadcast_below(first, first.count(), BROADCAST_ROWS), units["source"].eqNullSafe(first["source"])).drop(first["source"])
     words = F.col("size") * F.col("rows")
-    placed = running_totals(tied, [F.col("number"), F.xxhash64("id", "size", F.lit(seed)), F.col("id")], {"place": words})
+    placed = running_totals(tied, [F.col("number"), F.md5(F.concat_ws("|", F.col("id").cast("string"), F.col("size").cast("string"), F.lit(str(seed)))), F.col("id")], {"place": words})
     inside = F.col("place") - F.col("start") + words / 2
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
     remainder = F.col("target") - F.col("passes") * F.col("source_size")

@@ -30,9 +30,9 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = mixing.training_order(mixing.plan(_table(spark, sf_dir, "documents")))
     taken = order.groupBy("id", "source", "size").agg(
-        F.first("rows").alias("rows"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.count("position").alias("copies"), F.min("position").alias("first_position"))
+        F.first("rows").alias("rows"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.count("position").alias("copies"))
     each = taken.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
-    return each.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "first_position")
+    return each.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +73,20 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op4_mix_sources": r"""
+        WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+        u AS (SELECT doc_id, source, size, count(*) AS n FROM d GROUP BY ALL),
+        s AS (SELECT source, CAST(sum(size * n) AS BIGINT) AS source_size FROM u GROUP BY source),
+        w AS (SELECT *, CAST(CASE number % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS weight FROM (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS number FROM s) x),
+        r AS (SELECT *, CAST(coalesce(sum(3 * source_size) OVER b, 0) AS DOUBLE) AS cap_before, coalesce(sum(weight) OVER b, 0) AS weight_before, CAST(sum(source_size) OVER () AS DOUBLE) AS total, sum(weight) OVER () AS weights
+            FROM w WINDOW b AS (ORDER BY 3 * source_size / weight, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        c AS (SELECT *, (total - cap_before) * weight >= 3 * source_size * (weights - weight_before) AS capped FROM r),
+        l AS (SELECT *, CAST(sum(CASE WHEN capped THEN 3 * source_size ELSE 0 END) OVER () AS DOUBLE) AS held, sum(CASE WHEN capped THEN 0.0 ELSE weight END) OVER () AS rest FROM c),
+        t AS (SELECT source, source_size, number, CASE WHEN capped THEN CAST(3 * source_size AS DOUBLE) ELSE weight * ((total - held) / rest) END AS target FROM l),
+        p AS (SELECT u.doc_id, u.size, u.n, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS passes,
+            CAST(coalesce(sum(u.size * u.n) OVER (PARTITION BY t.number ORDER BY md5(concat_ws('|', u.doc_id, u.size, 17)), u.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) + u.size * u.n / 2 AS inside
+            FROM u JOIN t ON u.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, size, source_size, target, CAST(size * (passes + CASE WHEN inside < target - passes * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM (SELECT *, unnest(range(n)) FROM p) q""",
     "op5_exact_dedup": r"""
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n_cp, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
         r AS (SELECT doc_id, norm, row_number() OVER (PARTITION BY norm ORDER BY n_cp DESC, doc_id ASC NULLS LAST) AS place, count(*) OVER (PARTITION BY norm) AS group_size FROM d)
