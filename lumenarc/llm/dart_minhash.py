@@ -27,8 +27,9 @@ from lumenarc.llm._text import fixed_binary, flat, mix, sequence_digests, slices
 from lumenarc.operators.graph import connected_components
 
 BROADCAST_ROWS = 250_000
-#: Minor members in a block and members in a chunk that a task compares at once.
+#: Minor members in a block and members in a chunk that a task compares at once, and their elements (4 bytes each).
 BLOCK, CHUNK = 256, 2048
+BLOCK_ITEMS, CHUNK_ITEMS = 500_000, 4_000_000
 _U = np.uint64
 
 
@@ -270,13 +271,14 @@ def _components(read: DataFrame, nodes: DataFrame, buckets: DataFrame, threshold
     links = cut(_verified(read, nodes, pairs, threshold, width))
     roots = cut(connected_components(links))
     member = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = member.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("greatest"))
+    classes = member.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("size").alias("items"), F.min("node").alias("least"), F.max("node").alias("greatest"))
     open_ = classes.groupBy("bucket").agg(
-        F.count("*").alias("classes"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("main"), F.min("least").alias("src"), F.max("greatest").alias("dst"))
+        F.count("*").alias("classes"), F.sum("n").alias("n"), F.sum("items").alias("items"), F.max(F.struct("n", "root", "items")).alias("main"), F.min("least").alias("src"), F.max("greatest").alias("dst"))
     open_ = open_.where("classes > 1")
     settled = open_.where("n = 2").join(pairs, ["src", "dst"], "left_semi").select("bucket")
     open_ = open_.join(settled, "bucket", "left_anti").select(
-        "bucket", F.col("main.root").alias("main"), F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"), F.ceil((F.col("n") - F.col("main.n")) / BLOCK).cast("int").alias("blocks"))
+        "bucket", F.col("main.root").alias("main"), F.ceil(F.greatest(F.col("n") / CHUNK, F.col("items") / CHUNK_ITEMS)).cast("int").alias("chunks"),
+        F.ceil(F.greatest((F.col("n") - F.col("main.n")) / BLOCK, (F.col("items") - F.col("main.items")) / BLOCK_ITEMS)).cast("int").alias("blocks"))
     member = cut(member.join(open_, "bucket").select("bucket", "node", "root", F.col("root") != F.col("main"), "chunks", "blocks").toDF("bucket", "node", "root", "minor", "chunks", "blocks"))
     if member.isEmpty():
         return roots
