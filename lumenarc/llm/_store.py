@@ -40,4 +40,4 @@ def limit_batches(spark: SparkSession) -> None:
     """Arrow batches by bytes as well as by rows, so that very long texts don't add up in one batch; and workers find this package."""
     reachable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))

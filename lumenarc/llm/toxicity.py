@@ -96,12 +96,12 @@ class ToxicityModel:
     offset: float = 0.0
 
     def table(self) -> np.ndarray:
-        """Ratio of each of the 2**25 grams."""
+        """Ratio of each of the 2**25 grams (64 MB); ratios without evidence are 0."""
+        clear = lambda x: np.where(np.abs(x) < EVIDENCE, np.float16(0), x)
         contexts = np.zeros(1 << BITS * (ORDER - 1), np.float16)
-        contexts[self.context] = self.context_ratio
+        contexts[self.context] = clear(self.context_ratio)
         out = np.repeat(contexts, 1 << BITS)
-        out[self.seen] = self.ratio
-        out[np.abs(out) < EVIDENCE] = 0
+        out[self.seen] = clear(self.ratio)
         return out
 
 
