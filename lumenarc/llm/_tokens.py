@@ -32,7 +32,10 @@ def _byte_letters() -> dict[str, int]:
 
 
 def _ranked(path: str) -> Callable[[str], np.ndarray] | None:
-    """The same ids by tiktoken, where the file is plain byte-level BPE whose ids follow its merges; else None."""
+    """The same ids by tiktoken, where the file is plain byte-level BPE whose ids follow its merges; else None.
+
+    tiktoken gives up (ValueError) on runs of white space of about a million characters; such texts go to tokenizers itself.
+    """
     import public_tokenizers
     import tiktoken
 
@@ -50,7 +53,24 @@ def _ranked(path: str) -> Callable[[str], np.ndarray] | None:
     if sorted(ranks.values()) != list(range(len(ranks))) or any(model["vocab"][a + b] != 256 + i for i, (a, b) in enumerate(merges)):
         return None
     encoding = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: encoding.encode_to_numpy(text, allowed_special="all")
+
+    def encode(text: str) -> np.ndarray:
+        try:
+            return encoding.encode_to_numpy(text, allowed_special="all")
+        except ValueError:
+            return _library(path)(text)
+
+    return encode
+
+
+@lru_cache(maxsize=4)
+def _library(path: str) -> Callable[[str], np.ndarray]:
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(path)
+    model.no_truncation()
+    model.no_padding()
+    return lambda text: np.asarray(model.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 @lru_cache(maxsize=4)
@@ -66,11 +86,4 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         return lambda text: np.asarray(model.encode(text), np.uint32)
-    if fast := _ranked(path):
-        return fast
-    from tokenizers import Tokenizer
-
-    slow = Tokenizer.from_file(path)
-    slow.no_truncation()
-    slow.no_padding()
-    return lambda text: np.asarray(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+    return _ranked(path) or _library(path)

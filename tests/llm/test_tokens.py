@@ -30,6 +30,12 @@ def test_encoder_is_the_library(text):
     assert encoder(PATH)(text).tolist() == ids(text)
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "a <|endoftext|>" + " \t" * 600_000 + "b"], ids=["spaces", "newlines", "inside"])
+def test_long_white_space_is_the_librarys(text):
+    got = encoder(PATH)(text)
+    assert got.dtype == np.uint32 and got.tolist() == ids(text)
+
+
 def test_sentencepiece_files():
     import sentencepiece
 
