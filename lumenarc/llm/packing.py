@@ -10,6 +10,7 @@ tasks, which turn each piece's rank among the pieces of its length into its plac
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -39,27 +40,32 @@ def best_filling(room: int, lengths: list[int], left: np.ndarray, nodes: int = N
         """Index in ``lengths`` of the largest that is at most ``size``."""
         return len(lengths) - int(np.searchsorted(low, size, "right"))
 
+    # depth first with a stack of its own, as a filling may have as many pieces as there is room: [index in lengths, space]
     filling: list[int] = []
-
-    def search(at: int, space: int) -> None:
-        nonlocal best, best_waste, budget
-        if space < best_waste:
-            best, best_waste = list(filling), space
-        at = max(at, first(space))
-        while at < len(lengths) and best_waste and budget > 0:
+    used: Counter = Counter()
+    stack = [[first(room), room]]
+    while stack:
+        at, space = stack[-1]
+        if at < len(lengths) and best_waste and budget > 0:
             size = lengths[at]
-            used = sum(1 for x in reversed(filling) if x == size)
-            if left[size] > used:
+            if left[size] > used[size]:
                 budget -= 1
                 filling.append(size)
-                search(at, space - size)
-                filling.pop()
-            at += 1
-            # waste bound: all pieces of the lengths that are left can't beat the best filling
-            if at < len(lengths) and space - total[at] >= best_waste:
+                used[size] += 1
+                space -= size
+                if space < best_waste:
+                    best, best_waste = list(filling), space
+                stack.append([max(at, first(space)), space])
+                continue
+        else:
+            stack.pop()
+            if not stack:
                 break
-
-    search(0, room)
+            used[filling.pop()] -= 1
+            at, space = stack[-1]
+        at += 1
+        # waste bound: all pieces of the lengths that are left can't beat the best filling
+        stack[-1][0] = len(lengths) if at < len(lengths) and space - total[at] >= best_waste else at
     return best
 
 

@@ -87,6 +87,25 @@ def test_pack(docs):
     assert packing.pack(docs([]), PATH).count() == 0
 
 
+def test_pack_many_empty_texts(docs):
+    rows = [*((k, None) for k in range(5000)), (5000, "hello world"), (5001, "word " * 700), (5002, "b c " * 300)]
+    n = check_pieces(packing.pack(docs(rows), PATH).collect(), rows, 2048)
+    assert n == -(-sum(len(ids(t)) + 1 for _, t in rows) // 2048)
+
+
+@pytest.mark.parametrize("length", [1, 2, 3])
+def test_plan_of_short_pieces(length):
+    counts = np.zeros(2049, int)
+    counts[length], counts[300] = 5000, 4
+    plan = packing.pack_histogram(counts, 2048)
+    assert sum(t for _, t in plan) == packing.lower_bound(counts, 2048)
+    used = np.zeros(2049, int)
+    for pattern, times in plan:
+        np.add.at(used, pattern, times)
+        assert sum(pattern) <= 2048
+    assert (used == counts).all()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 30), min_size=1, max_size=9))
 def test_bin_completion_is_near_the_optimum(lengths):
