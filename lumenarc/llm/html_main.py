@@ -1,9 +1,9 @@
 """Main text of web pages by consensus of a host's pages.
 
 Every page is read once to find its main container: the deepest element that holds nearly all of the page's text
-outside boilerplate. Its path of tags and classes, with digits generalised, is the page's vote, weighted by the text's
+outside boilerplate, or the article around it. Its path of tags and classes, with digits generalised, is the page's vote, weighted by the text's
 logarithm; votes are added up per host in Spark. Pages are then read again and their text comes from the elements on the host's
-winning path, or, where a page has none, from its own container.
+winning path, or, where a page has none or its own article holds clearly more, from its own container.
 """
 
 from __future__ import annotations
@@ -43,6 +43,9 @@ _HEAD_WORD = frozenset("header topbar".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _WORDS = re.compile(r"[a-z]+")
 _DIGITS = re.compile(r"\d+")
+_TAG = re.compile(r"[^.#]*")
+#: After one of these, a word of a class name tells of the layout: no-sidebar, content-with-sidebar.
+_STATE = frozenset("no not has with without".split())
 
 
 def _skipped(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
@@ -54,8 +57,13 @@ def _skipped(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
         return True
     if tag in ("body", "html", "article", "main"):
         return False
-    named = _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{attrs.get('class', '')} {attrs.get('id', '')}").lower())
-    return any(w in _SKIP_WORD or (w in _HEAD_WORD and not in_article) for w in named)
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
+        for w in _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()):
+            if w in _STATE:
+                break
+            if w in _SKIP_WORD or (w in _HEAD_WORD and not in_article):
+                return True
+    return False
 
 
 def blocks(html: str) -> list[tuple[tuple[str, ...], str, bool]]:
@@ -157,30 +165,65 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, bool]]:
     return out
 
 
-def container(found: list[tuple[tuple[str, ...], str, bool]]) -> tuple[tuple[str, ...], int]:
-    """The deepest path that holds nearly all text which isn't just links, and its number of characters."""
+def _deepest(size: Counter, total: int) -> tuple[str, ...]:
+    """The deepest path that holds nearly all text which isn't just links."""
+    held = [(len(p), n, p) for p, n in size.items() if n >= HOLDS * total]
+    return max(held)[2] if held else ()
+
+
+def _whole(path: tuple[str, ...], own: Counter) -> tuple[str, ...]:
+    """The outermost article that ``path`` is in, else its outermost main, else the outermost element below the body that has text of its own beside it."""
+    for tag in ("article", "main"):
+        for k, step in enumerate(path):
+            if _TAG.match(step)[0] == tag:
+                return path[: k + 1]
+    for k in range(1, len(path)):
+        if own[path[:k]] and _TAG.match(path[k - 1])[0] != "body":
+            return path[:k]
+    return path
+
+
+def _sizes(found: list[tuple[tuple[str, ...], str, bool]]) -> tuple[Counter, Counter, int]:
+    """Characters that aren't just links: of each path with all below it, of each path alone, of the page."""
     size: Counter = Counter()
+    own: Counter = Counter()
     total = 0
     for path, text, linked in found:
         if not linked:
             total += len(text)
+            own[path] += len(text)
             for k in range(len(path) + 1):
                 size[path[:k]] += len(text)
-    held = [(len(p), n, p) for p, n in size.items() if n >= HOLDS * total]
-    if not held:
-        return (), 0
-    _, n, path = max(held)
-    return path, n
+    return size, own, total
+
+
+def container(found: list[tuple[tuple[str, ...], str, bool]]) -> tuple[tuple[str, ...], int]:
+    """The page's main container and its number of characters that aren't just links.
+
+    It's the deepest path that holds nearly all of them, or what encloses that as one text: see _whole.
+    """
+    size, own, total = _sizes(found)
+    path = _whole(_deepest(size, total), own)
+    return path, size[path]
 
 
 def text_of(found: list[tuple[tuple[str, ...], str, bool]], winner: str | None) -> str:
-    """The blocks on the winning path, or of the page's own container where there are none; joined by an empty line."""
-    path = tuple(winner.split(" > ")) if winner else ()
-    kept = [text for p, text, _ in found if p[: len(path)] == path] if winner else []
-    if not kept:
-        own, _ = container(found)
-        kept = [text for p, text, linked in found if p[: len(own)] == own]
-    return "\n\n".join(kept)
+    """The blocks on the winning path, or of the page's own container where there are none; joined by an empty line.
+
+    A page's own container also goes first where it is an article or main of which the winning path holds clearly less,
+    or where it encloses the winning path as one text.
+    """
+    size, own, total = _sizes(found)
+    deep = _deepest(size, total)
+    page = _whole(deep, own)
+    path = tuple(winner.split(" > ")) if winner else page
+    if path != page and size[path] < size[page]:
+        encloses = path[: len(page)] == page
+        marked = bool(page) and _TAG.match(page[-1])[0] in ("article", "main")
+        if (marked and (encloses or size[path] < HOLDS * size[page])) or (encloses and page != deep):
+            path = page
+    kept = [text for p, text, _ in found if p[: len(path)] == path]
+    return "\n\n".join(kept or [text for p, text, _ in found if p[: len(page)] == page])
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -117,6 +117,36 @@ def test_hosts_vote(spark):
     assert {r.page_id: r.text for r in html_main.main_text(df).collect()}[9] == "short"
 
 
+LONG = "".join(f"<p>{'word ' * 40}{k}</p>" for k in range(9))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><article><h1>Title</h1><p>lead</p><div class=body>%s</div><p>end</p></article></body>",
+        "<body><main><h1>Title</h1><div><p>lead</p></div><section>%s</section><p>end</p></main></body>",
+        "<body><div class=post><h1>Title</h1><p>lead</p><div class=body>%s</div><p>end</p></div><div class=teaser><p>tease</p></div></body>",
+        "<body><article><h1>Title</h1><p>lead</p><table><tr><td>%s</td></tr></table><p>end</p></article></body>",
+        "<body><div class='content no-sidebar'><article><h1>Title</h1><p>lead</p><ul><li>%s</ul><p>end</p></article></div></body>",
+    ],
+)
+def test_heading_and_lead_beside_a_long_inner_element(spark, page):
+    df = spark.createDataFrame([(i, "http://h/", page % LONG) for i in range(3)], "page_id long, url string, html string")
+    want = "\n\n".join(["Title", "lead", *(f"{'word ' * 40}{k}" for k in range(9)), "end"])
+    assert {r.text for r in html_main.main_text(df).collect()} == {want}
+
+
+def test_a_page_keeps_its_own_article(spark):
+    bare = [(i, "http://h/", f"<body><div class=x>{LONG}</div></body>") for i in range(5)]
+    df = spark.createDataFrame([*bare, (9, "http://h/", f"<body><div class=x><p>note</p></div><article><h1>Title</h1>{LONG}</article></body>")], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_main.main_text(df).collect()}[9].startswith("Title\n\nword")
+
+
+def test_layout_classes_are_no_boilerplate():
+    assert not html_main._skipped("div", {"class": "content no-sidebar hasComments"}, False)
+    assert html_main._skipped("div", {"class": "left-sidebar"}, False) and html_main._skipped("div", {"class": "no-js", "id": "comments"}, False)
+
+
 def digest(data):
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
