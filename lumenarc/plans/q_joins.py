@@ -122,6 +122,13 @@ def jn_13(spark, d):
     return W.expand_terms(queries, _vocabulary(spark, d))
 
 
+@query("JN_13_expand_every_term")
+def jn_13_every(spark, d):
+    """JN_13_expand_term with all of part as queries; no SQL, as its tier 3 compares every query with every term."""
+    queries = spark.sql(_Q13.partition(" WHERE ")[0].replace("FROM part", "FROM {t}"), t=table(spark, d, "part"))
+    return W.expand_terms(queries, _vocabulary(spark, d))
+
+
 @query("AGG_1_cluster_summary", ctes("faces") + "SELECT cluster_id, count(*) AS face_count, arg_min(label, face_id) FILTER (label IS NOT NULL) AS label FROM faces GROUP BY cluster_id")
 def agg_1(spark, d):
     return A.cluster_summary(made(spark, d, "faces"))
