@@ -46,7 +46,7 @@ def test_sentencepiece_files():
 def test_counts_and_cache(spark, docs, tmp_path):
     cache = str(tmp_path / "cache")
     want = sorted((str(i), len((t or "").encode()), len(ids(t)), len(ids(t)) > 1024) for i, t in ROWS)
-    for n in (7, 7):
+    for n in (6, 6):
         got = token_counts.token_counts(docs(ROWS), PATH, cache).collect()
         assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in got) == want
         assert spark.read.parquet(cache).select("content").distinct().count() == n
@@ -145,7 +145,7 @@ def test_packed_matrices(spark, docs, tmp_path):
         matrix = np.frombuffer(r.ids, "<u2")
         assert len(matrix) == 2048 and r.n_tokens == r.cu_seqlens[-1] and r.cu_seqlens[:-1] == r.position_resets and not matrix[r.n_tokens :].any()
         positions = token_binary.position_ids(r.n_tokens, r.position_resets)
-        for s, a, b in zip(r.segments, r.cu_seqlens, r.cu_seqlens[1:], strict=True):
+        for s, a, b in zip(r.segments, r.cu_seqlens[:-1], r.cu_seqlens[1:], strict=True):
             assert positions[a:b].tolist() == list(range(b - a))
             rebuilt[str(s.id)].setdefault(s.start, []).append(matrix[a:b].tolist())
     for i, t in ROWS:
