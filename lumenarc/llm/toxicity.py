@@ -314,8 +314,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     scored = with_value(read.join(F.broadcast(chosen), "id").select("label", "text"), model).select("label", VALUE).toArrow()
     value, label = np.asarray(scored[VALUE], float), np.asarray(scored["label"], float)
     slope, offset = logistic(value, label)
-    if slope > 0 and len(value) and label.min() < label.max():
-        offset = -slope * best_cut(value, label)
+    if len(value) and label.min() < label.max():
+        # values that don't rise with toxicity tell nothing
+        slope, offset = (slope, -slope * best_cut(value, label)) if slope > 0 else (0.0, float(np.log(label.mean() / (1 - label.mean()))))
     return ToxicityModel(model.differences, parts, slope, offset)
 
 

@@ -143,26 +143,29 @@ def test_lookup():
     assert not toxicity.Lookup(keys[:0], values[:0])(keys.astype(np.uint64))[1].any()
 
 
-def test_toxicity_is_learned_and_ignores_held_out_labels(docs, words, spark):
+def test_toxicity_is_learned_and_ignores_held_out_labels(docs, spark):
+    import random
+    from zlib import crc32
+
     rows, labels = [], []
-    for i in range(400):
+    for i in range(800):
         bad = i % 4 == 0
-        t = words(60, i, 300).translate(str.maketrans("0123456789", "abcdefghij")).split()
+        t = random.Random(i).sample("river stone garden window yellow morning paper bridge silver letter market dinner summer forest engine".split(), 12)
         if bad:
-            t[10], t[30] = "vexkrul" + "abcdefgh"[i // 4 % 8], "Vexkrul!"
+            t[3], t[8] = "vexkrul" + "abcdefgh"[i // 4 % 8], "Vexkrul!"
         rows.append((i, " ".join(t)))
         labels.append((i, int(bad)))
-    df, marks = docs([*rows, (None, None), (1000, ""), (1001, "Vexkrulz vexkrulq"), (1002, "hi"), (1003, "日本語")]), spark.createDataFrame([*labels, (None, 1), (7, None)], "doc_id long, toxic int")
+    df, marks = docs([*rows, (None, None), (1000, ""), (1001, "river Vexkrulz stone vexkrulq"), (1002, "hi"), (1003, "日本語")]), spark.createDataFrame([*labels, (None, 1), (7, None)], "doc_id long, toxic int")
     model = toxicity.fit_toxicity(df, marks)
     scored = toxicity.score_toxicity(df, model).collect()
     got, value = {r.doc_id: r.score for r in scored}, {r.doc_id: r.value for r in scored}
-    held = [i for i in range(400) if __import__("zlib").crc32(str(i).encode()) % 5 == 0]
+    held = [i for i in range(800) if crc32(str(i).encode()) % 5 == 0]
     assert np.mean([(got[i] >= 0.5) == (i % 4 == 0) for i in held]) > 0.97
     assert got[1001] > 0.9 and 0 <= got[1000] < 0.5 and got[1000] == got[None] and got[1002] < 0.5 and got[1003] < 0.5
     flipped = marks.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     again = toxicity.fit_toxicity(df, flipped)
     assert again.slope == model.slope and sorted(map(str, again.differences.collect())) == sorted(map(str, model.differences.collect()))
-    split = toxicity.fit_toxicity(df, marks, part_rows=40)
+    split = toxicity.fit_toxicity(df, marks, part_rows=5)
     assert split.parts > 1 and {r.doc_id: r.value for r in toxicity.score_toxicity(df, split).collect()} == pytest.approx(value)
     kept = toxicity.drop_toxic(df, model)
     assert kept.columns == df.columns and kept.count() == sum(s < 0.5 for s in got.values())
