@@ -102,8 +102,8 @@ def _judge(ratio: np.ndarray, threshold: float, bits: int):
                 h, valid = buckets(raw, offs, bits)
                 value = row_sums(np.where(valid, ratio[h], 0), offs) / np.maximum(row_sums(valid, offs), 1)
                 failed = (stats["n_words"] < 10) | (100 * stats["n_repeat_words"] > 20 * stats["n_words"])
-                columns = [part.column(0), *(pa.array(stats[k].astype(np.int64)) for k in STATS), pa.array(failed), pa.array(value), pa.array(~failed & (value >= threshold))]
-                yield pa.RecordBatch.from_arrays(columns, ["id", *STATS, "base_failed", "llr", "kept"])
+                columns = [part.column(0), *(pa.array(stats[k].astype(np.int64)) for k in STATS), pa.array(failed), pa.array(~failed & (value >= threshold)), pa.array(value)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", *STATS, "base_failed", "kept", "llr"])
 
     return judge
 
@@ -131,7 +131,7 @@ def fit_ratio(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_
 
 
 def quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bits: int = BITS) -> DataFrame:
-    """One row per document: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept.
+    """One row per document: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, llr.
 
     Words are runs outside [\\x20\\x09-\\x0D] (ASCII white space), word_chars their code points, n_symbols the characters of
     ``#*$%&|<>``, n_dup_lines the lines (split at \\n) that hold a word and equal an earlier line, n_repeat_words the words in windows of five that
@@ -141,5 +141,5 @@ def quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_co
     ratio = fit_ratio(docs, trusted, id_col, text_col, bits)
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = read.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, {', '.join(f'{k} long' for k in STATS)}, base_failed boolean, llr double, kept boolean"
+    schema = f"id {kind}, {', '.join(f'{k} long' for k in STATS)}, base_failed boolean, kept boolean, llr double"
     return read.mapInArrow(_judge(ratio, threshold, bits), schema).withColumnRenamed("id", id_col)
