@@ -1,10 +1,10 @@
 """Best-fit packing by bin completion.
 
 Documents become pieces of at most ``capacity`` tokens. As a piece's length decides where it fits, packing works on
-the histogram of lengths, which has at most ``capacity`` entries whatever the input. Bin completion takes the largest length
-left, enumerates fillings of the rest of the bin depth first, largest lengths first, keeps the best filling so far (at first the best-fit one), prunes by
-the waste that is still possible, and uses the filling it ends with as often as the histogram allows. Fillings that leave room for
-swapping in a longer piece are dominated and never win, as they waste more. The plan (a few thousand patterns) goes to the
+the histogram of lengths, which has at most ``capacity`` entries whatever the input. First a best-fit solution: the largest length
+left is completed with the filling of least waste that a bounded depth-first search finds, as often as the histogram allows. Where that takes more sequences than the
+lower bound, bin completion branches over the sequences with most waste: around the largest piece left it enumerates the undominated fillings, least waste first,
+and prunes where waste exceeds what one sequence fewer leaves; best-fit solutions are the incumbents. The plan (a few thousand patterns) goes to the
 tasks, which turn each piece's rank among the pieces of its length into its place.
 """
 
@@ -22,8 +22,12 @@ from pyspark.sql import functions as F
 from lumenarc.llm._store import broadcast_below, cut, limit_batches
 from lumenarc.llm._tokens import encoder
 
-#: Nodes that the search for one filling may visit.
+#: Nodes that the search for one filling of the best-fit solution may visit.
 NODES = 3_000
+#: Pieces of the most wasteful sequences that branch and bound packs anew, and steps of its enumeration in all; beyond them the incumbent stays.
+SEARCH_PIECES, SEARCH_STEPS = 64, 1_000_000
+#: Pieces of one length that one window ranks.
+GROUP_ROWS = 20_000
 BROADCAST_ROWS = 250_000
 
 
@@ -69,8 +73,75 @@ def best_filling(room: int, lengths: list[int], left: np.ndarray, nodes: int = N
     return best
 
 
-def pack_histogram(counts: np.ndarray, capacity: int, nodes: int = NODES) -> list[tuple[list[int], int]]:
-    """Patterns (lengths of one sequence, longest first) and how often each is used; together they use up ``counts``."""
+class BudgetSpent(Exception):
+    """The steps of a search are used up."""
+
+
+def undominated_fillings(room: int, left: Counter, max_waste: int, budget: list[int]) -> list[tuple[int, list[int]]]:
+    """(waste, lengths) of fillings of ``room`` from the lengths ``left``, least waste first.
+
+    Left out are fillings that another one dominates: a length that isn't used takes the place of none, one or two used pieces that
+    are shorter together (or as long, for two) and fits.
+    """
+    lengths = sorted((x for x in left if left[x] > 0 and x <= room), reverse=True)
+    below = [0] * (len(lengths) + 1)
+    for k in range(len(lengths) - 1, -1, -1):
+        below[k] = below[k + 1] + lengths[k] * left[lengths[k]]
+    out: list[tuple[int, list[int]]] = []
+
+    def dominated(filling: list[int], waste: int) -> bool:
+        used = Counter(filling)
+        free = [x for x in lengths if left[x] > used[x]]
+        sums = {0} | set(filling)
+        pairs = {a + b for i, a in enumerate(filling) for b in filling[i + 1 :]}
+        return any(any(s < x <= s + waste for s in sums) or any(s <= x <= s + waste for s in pairs) for x in free)
+
+    def extend(at: int, space: int, filling: list[int]) -> None:
+        budget[0] -= 1
+        if budget[0] < 0:
+            raise BudgetSpent
+        if space - below[at] > max_waste:
+            return
+        if at == len(lengths):
+            if not dominated(filling, space):
+                out.append((space, filling))
+            return
+        size = lengths[at]
+        for n in range(min(left[size], space // size), -1, -1):
+            extend(at + 1, space - n * size, filling + [size] * n)
+
+    extend(0, room, [])
+    return sorted(out, key=lambda f: (f[0], [-x for x in f[1]]))
+
+
+def complete_bins(pieces: Counter, capacity: int, target: int, budget: list[int]) -> list[list[int]] | None:
+    """A packing of ``pieces`` (length: number) into at most ``target`` sequences; None if there is none or the steps in ``budget`` don't find it."""
+    seen = set()
+
+    def search(left: Counter, bins: int, spare: int) -> list[list[int]] | None:
+        left = +left
+        if not left:
+            return []
+        state = (tuple(sorted(left.items())), spare)
+        if bins == 0 or spare < 0 or state in seen:
+            return None
+        largest = max(left)
+        rest = left - Counter([largest])
+        for waste, filling in undominated_fillings(capacity - largest, rest, spare, budget):
+            found = search(rest - Counter(filling), bins - 1, spare - waste)
+            if found is not None:
+                return [[largest, *filling], *found]
+        seen.add(state)
+        return None
+
+    try:
+        return search(pieces, target, target * capacity - sum(x * n for x, n in pieces.items()))
+    except BudgetSpent:
+        return None
+
+
+def _best_fit_plan(counts: np.ndarray, capacity: int, nodes: int) -> list[tuple[list[int], int]]:
+    """Patterns of the first incumbent: the filling of least waste around the largest length left, as often as it can be used."""
     left = counts.astype(np.int64).copy()
     plan: list[tuple[list[int], int]] = []
     while True:
@@ -88,8 +159,38 @@ def pack_histogram(counts: np.ndarray, capacity: int, nodes: int = NODES) -> lis
         plan.append((pattern, times))
 
 
+def pack_histogram(counts: np.ndarray, capacity: int, nodes: int = NODES) -> list[tuple[list[int], int]]:
+    """Patterns (lengths of one sequence, longest first) and how often each is used; together they use up ``counts``."""
+    plan = _best_fit_plan(counts, capacity, nodes)
+    least, budget = lower_bound(counts, capacity), [SEARCH_STEPS]
+    while sum(times for _, times in plan) > least:
+        # sequences with most waste, then those of fewest pieces, as far as their pieces can be searched
+        order = sorted(range(len(plan)), key=lambda k: (sum(plan[k][0]) - capacity, len(plan[k][0])))
+        taken, pieces = Counter(), Counter()
+        for k in order:
+            pattern, times = plan[k]
+            n = min(times, (SEARCH_PIECES - pieces.total()) // len(pattern))
+            taken[k] = n
+            pieces += Counter({x: m * n for x, m in Counter(pattern).items()})
+        better = complete_bins(pieces, capacity, taken.total() - 1, budget) if pieces else None
+        if better is None:
+            return plan
+        plan = [(p, times - taken[k]) for k, (p, times) in enumerate(plan) if times > taken[k]] + [(b, 1) for b in better]
+    return plan
+
+
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
-    return -(-int((np.arange(len(counts)) * counts).sum()) // capacity)
+    """Sequences that any packing needs: by all tokens, and for each k by lengths over capacity - k (alone), over half (apart) and from k on (in the room that the latter leave)."""
+    size = np.arange(capacity + 1)
+    n, tokens = np.cumsum(counts), np.cumsum(size * counts)
+    best = -(-int(tokens[-1]) // capacity)
+    half = capacity // 2
+    for k in range(half + 1):
+        alone = int(n[-1] - n[capacity - k])
+        apart, held = int(n[capacity - k] - n[half]), int(tokens[capacity - k] - tokens[half])
+        small = int(tokens[half] - (tokens[k - 1] if k else 0))
+        best = max(best, alone + apart + max(0, -(-(small - (apart * capacity - held)) // capacity)))
+    return best
 
 
 def _slots(plan: list[tuple[list[int], int]], capacity: int) -> dict[int, np.ndarray]:
@@ -159,8 +260,9 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     for row in pieces.groupBy("length").count().collect():  # at most `capacity` rows
         counts[row["length"]] = row["count"]
     slots = _slots(pack_histogram(counts, capacity), capacity)
-    groups = max(8, int(counts.sum()) // 20_000)
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(groups)))
+    # salts of a length grow with its own pieces
+    groups = docs.sparkSession.createDataFrame([(k, max(1, int(n) // GROUP_ROWS)) for k, n in enumerate(counts.tolist()) if n], "length long, groups int")
+    salted = pieces.join(F.broadcast(groups), "length").withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.col("groups"))).drop("groups")
     held = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cut(held.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from zlib import crc32
 
 import numpy as np
@@ -108,7 +108,7 @@ def test_plan_of_short_pieces(length):
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 30), min_size=1, max_size=9))
-def test_bin_completion_is_near_the_optimum(lengths):
+def test_bin_completion_is_the_optimum(lengths):
     capacity = 30
     counts = np.bincount(lengths, minlength=capacity + 1)
     plan = packing.pack_histogram(counts, capacity)
@@ -133,7 +133,20 @@ def test_bin_completion_is_near_the_optimum(lengths):
 
     order = sorted(lengths, reverse=True)
     search(0, [])
-    assert sum(t for _, t in plan) <= best[0] + 1
+    assert packing.lower_bound(counts, capacity) <= best[0]
+    assert sum(t for _, t in plan) == best[0]
+
+
+def test_branching_beats_least_waste():
+    lengths = [431, 428, 875, 369, 1139, 992, 808, 445, 557]
+    plan = packing.pack_histogram(np.bincount(lengths, minlength=2049), 2048)
+    assert sum(t for _, t in plan) == 3 and sorted(x for p, t in plan for x in p * t) == sorted(lengths)
+
+
+def test_dominated_fillings_are_left_out():
+    found = [f for _, f in packing.undominated_fillings(10, Counter({6: 1, 5: 1, 4: 1, 3: 1, 1: 1}), 10, [1000])]
+    assert found == [[6, 4]] or all(sum(f) == 10 for f in found)
+    assert [4, 1] not in found and [6, 4] in found
 
 
 def test_packed_matrices(spark, docs, tmp_path):
