@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 from lumenarc.operators.graph import checkpointed
 
 
-def running_totals(df: DataFrame, order: Sequence[Column], sums: dict[str, Column], partitions: int | None = None) -> DataFrame:
+def running_totals(df: DataFrame, order: Sequence[Column], sums: dict[str, Column], partitions: int | None = None, small: bool = False) -> DataFrame:
     """``df`` with one column per entry of ``sums``: the total of its value over all rows before this one.
 
     Rows are range-partitioned by ``order`` (append a hash or a key so that equal values can be split), each
-    partition is summed by itself, and the partitions' totals (one row each) are added up before it.
+    partition is summed by itself, and the partitions' totals (one row each) are added up before it. A table that the caller
+    knows to be ``small`` is one window.
     """
+    if small:
+        whole = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.select("*", *(F.coalesce(F.sum(v).over(whole), F.lit(0)).alias(k) for k, v in sums.items()))
     keys = [c.alias(f"__order{i}") for i, c in enumerate(order)]
     spread = df.select("*", *keys)
     by = [F.col(f"__order{i}") for i in range(len(order))]
@@ -32,6 +36,6 @@ def running_totals(df: DataFrame, order: Sequence[Column], sums: dict[str, Colum
     return joined.select(*(F.col(c) for c in df.columns), *out)
 
 
-def row_numbers(df: DataFrame, order: Sequence[Column], name: str = "row_no", start: int = 1) -> DataFrame:
+def row_numbers(df: DataFrame, order: Sequence[Column], name: str = "row_no", start: int = 1, small: bool = False) -> DataFrame:
     """``df`` with a gapless number in the given order."""
-    return running_totals(df, order, {name: F.lit(1)}).withColumn(name, (F.col(name) + start).cast("long"))
+    return running_totals(df, order, {name: F.lit(1)}, small=small).withColumn(name, (F.col(name) + start).cast("long"))
