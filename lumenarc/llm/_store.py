@@ -36,6 +36,18 @@ def broadcast_below(df: DataFrame, rows: int, limit: int):
     return F.broadcast(df) if rows <= limit else df
 
 
+def join_around_hot(left: DataFrame, right: DataFrame, key: str, hot, limit: int) -> DataFrame:
+    """Inner join on ``key``, unique in ``right``: keys that ``hot`` (a condition on ``right``) marks as having many rows in ``left`` are joined
+    by a broadcast within ``limit`` rows, so that none of them is one task's, and the others by a shuffle."""
+    some = cut(right.where(hot))
+    n = some.count()
+    if not n:
+        return left.join(right, key)
+    some = broadcast_below(some, n, limit)
+    others = left.join(some.select(key), key, "left_anti").join(right.where(~hot), key)
+    return left.join(some, key).unionByName(others)
+
+
 def limit_batches(spark: SparkSession) -> None:
     """Arrow batches by bytes as well as by rows, so that very long texts don't add up in one batch; and workers find this package."""
     reachable(spark)

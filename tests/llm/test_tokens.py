@@ -46,16 +46,36 @@ def test_sentencepiece_files():
 def test_counts_and_cache(spark, docs, tmp_path):
     cache = str(tmp_path / "cache")
     want = sorted((str(i), len((t or "").encode()), len(ids(t)), len(ids(t)) > 1024) for i, t in ROWS)
+    stored_before = False
     for n in (6, 6):
         got = token_counts.token_counts(docs(ROWS), PATH, cache).collect()
         assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in got) == want
         assert spark.read.parquet(cache).select("content").distinct().count() == n
+        assert {r.cached for r in got} == {stored_before}
+        stored_before = True
     stored = spark.read.parquet(cache).count()
     token_counts.token_counts(docs([*ROWS, (9, "new")]), PATH, cache).collect()
     assert spark.read.parquet(cache).count() == stored + 1
     assert token_counts.token_counts(docs([]), PATH, cache).count() == 0
 
 
+def test_hits_encode_nothing_and_hot_contents_are_joined_alike(spark, docs, tmp_path, monkeypatch):
+    cache = str(tmp_path / "cache")
+    rows = [*ROWS, *((100 + k, "same text") for k in range(30)), (200, "other")]
+    want = sorted((str(i), len(ids(t))) for i, t in rows)
+    monkeypatch.setattr(token_counts, "HOT_ROWS", 5)
+    for limit in (0, 250_000):
+        monkeypatch.setattr(token_counts, "BROADCAST_ROWS", limit)
+        half = docs([r for r in rows if r[1] != "other"])
+        token_counts.token_counts(half, PATH, cache).collect()
+        encoded = spark.read.parquet(cache).count()
+        got = token_counts.token_counts(docs(rows), PATH, cache).collect()
+        assert sorted((str(r.doc_id), r.n_tokens) for r in got) == want
+        # only what the cache lacks was encoded and appended
+        assert spark.read.parquet(cache).count() == encoded + (not limit)
+        assert [r.doc_id for r in got if not r.cached] == ([] if limit else [200])
+
+
 def check_pieces(got, rows, capacity, end=True):
     texts = defaultdict(list)
     for i, t in rows:
