@@ -3,8 +3,8 @@
 Each text is normalised (every character of [\\x20\\x09-\\x0D] is deleted) and hashed. The index is a directory
 over the leading bits of the hash: a bucket that holds more distinct keys than ``capacity`` splits on its next bit,
 which doubles the part of the directory that points to it, until no bucket is overfull or ``max_depth`` bits
-are used. The entries are dealt to owner tasks by ranges of buckets; inside a bucket entries of one key form a chain,
-and the bytes of all texts of a chain are compared. Texts of equal keys and unequal bytes are told apart by their bytes.
+are used. Entries get their bucket through the directory and are dealt to owner tasks by ranges of buckets, which write the index to shared files; inside a bucket
+entries of one key form a chain, and the bytes of all texts of a chain are compared. Documents look themselves up by slot, bucket and entry. Texts of equal keys and unequal bytes are told apart by their bytes.
 
 Scale: whole texts are read twice, once for keys and once for the comparison, where only texts of chains with
 two or more members go on; copies collapse before each shuffle (partial aggregates per task), so a group with a third
@@ -18,10 +18,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenarc.llm._store import broadcast_below, cut
+from lumenarc.llm._store import broadcast_below, cut, fresh_path
 
 #: Rows of chains with copies that may be broadcast (about 100 bytes each, so 25 MB).
 BROADCAST_ROWS = 250_000
+#: Distinct keys that a bucket holds.
+CAPACITY = 4_096
 
 
 def normalised(text: Column) -> Column:
@@ -32,59 +34,74 @@ def normalised(text: Column) -> Column:
     return out
 
 
-def directory(keys: DataFrame, capacity: int, max_depth: int) -> DataFrame:
-    """Buckets of an extendible hash over ``key``: (leaf, depth, bucket), bucket being the first hash of its range.
+def directory(keys: DataFrame, capacity: int, max_depth: int) -> tuple[DataFrame, int]:
+    """The directory of an extendible hash over distinct ``key``: (slot, bucket, depth) and its depth.
 
-    ``leaf`` are the leading ``max_depth`` bits. Every leaf takes the smallest depth at which its prefix holds at most
-    ``capacity`` keys: what doubling the directory and splitting overfull buckets ends with.
+    A bucket holds the keys of a prefix; one that holds more than ``capacity`` keys splits on its next bit, down to ``max_depth`` bits. The
+    directory is doubled until its depth is that of the deepest bucket, and then has 2 ** (depth - bucket's depth) slots for a bucket.
+    bucket is numbered by depth and prefix. Prefixes without keys have no bucket; no keys give an empty directory of depth 0.
     """
-    leaf = F.shiftrightunsigned("key", 64 - max_depth)
-    counts = keys.groupBy(leaf.alias("leaf")).agg(F.count("*").alias("n"))
-    at = counts.select("leaf", "n", F.explode(F.sequence(F.lit(0), F.lit(max_depth))).alias("depth"))
-    at = at.withColumn("prefix", F.expr(f"leaf >> ({max_depth} - depth)"))
-    full = at.groupBy("depth", "prefix").agg(F.sum("n").alias("held"), F.collect_list("leaf").alias("leaves"))
-    fits = full.where((F.col("held") <= capacity) | (F.col("depth") == max_depth))
-    best = fits.select("depth", F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.min("depth").alias("depth"))
-    return best.withColumn("bucket", F.expr(f"(leaf >> ({max_depth} - depth)) << ({max_depth} - depth)"))
+    held = cut(keys.groupBy(F.shiftrightunsigned("key", 64 - max_depth).alias("prefix")).agg(F.count("*").alias("n")).withColumn("depth", F.lit(max_depth)))
+    levels = held
+    for depth in range(max_depth - 1, -1, -1):
+        held = cut(held.groupBy(F.shiftright("prefix", 1).alias("prefix")).agg(F.sum("n").alias("n")).withColumn("depth", F.lit(depth)))
+        levels = levels.unionByName(held)
+    parent = levels.where(F.col("n") > capacity).select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("above"))
+    fits = levels.where((F.col("n") <= capacity) | (F.col("depth") == max_depth)).withColumn("above", F.shiftright("prefix", 1))
+    split = fits.where("depth > 0").join(parent, ["depth", "above"], "left_semi").unionByName(fits.where("depth = 0"))
+    buckets = cut(split.select("prefix", "depth", (F.shiftleft("prefix", 6) + F.col("depth")).alias("bucket")))
+    depth = buckets.agg(F.max("depth")).first()[0] or 0
+    double = F.expr(f"sequence(shiftleft(prefix, {depth} - depth), shiftleft(prefix + 1, {depth} - depth) - 1)")
+    return buckets.select(F.explode(double).alias("slot"), "bucket", "depth"), depth
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 50_000) -> DataFrame:
-    """One row per document: id, keep_id, group_size, kept, text_sha256, and the bucket of its index entry.
+def _slot(depth: int) -> Column:
+    return F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
+    """One row per document: id, keep_id, group_size, kept, text_sha256, n_cp (code points of the original text).
 
     Of equal texts the row with the most code points in the original text stays, then the smallest id (a null id comes
-    last); of rows that tie in both, one. Null texts count as empty, empty texts are equal to each other, an empty
+    last); of rows that tie in both, one. Ids may be of any type that can be ordered. Null texts count as empty, empty texts are equal to each other, an empty
     table gives an empty one. Other columns are not read.
     """
+    spark = docs.sparkSession
     norm = normalised(F.col(text_col))
     read = docs.select(F.col(id_col).alias("id"), norm.alias("norm"), F.length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).cast("long").alias("n_cp"))
     heap = read.select("id", "n_cp", F.xxhash64("norm").alias("key"), F.unhex(F.sha2(F.encode("norm", "UTF-8"), 256)).alias("sha"), F.octet_length("norm").cast("long").alias("n_bytes"))
     heap = cut(heap.withColumn("row", F.monotonically_increasing_id()))
-    chain = ["key", "sha", "n_bytes"]
-    order = F.struct(F.col("n_cp"), F.col("id").isNotNull().alias("has_id"), F.bitwise_not("id").alias("not_id"), F.bitwise_not("row").alias("not_row"))
-    some = heap.groupBy(*chain, F.shiftright("row", 33).alias("task")).agg(F.count("*").alias("n"), F.max(order).alias("best"))
+    chain = ["bucket", "key", "sha", "n_bytes"]
+    best = F.struct((-F.col("n_cp")).alias("less"), F.col("id").isNull().alias("no_id"), F.col("id"), F.col("row"))
+    some = heap.groupBy("key", "sha", "n_bytes", F.shiftright("row", 33).alias("task")).agg(F.count("*").alias("n"), F.min(best).alias("best"))
     some = cut(some)
-    max_depth = max(4, min(24, math.ceil(math.log2(max(1, some.count()) / capacity + 1)) + 3))
-    leaves = cut(directory(some.select("key").distinct(), capacity, max_depth))
-    placed = some.withColumn("leaf", F.shiftrightunsigned("key", 64 - max_depth)).join(broadcast_below(leaves, 1 << max_depth, BROADCAST_ROWS), "leaf")
-    # owner tasks take ranges of buckets, and within large buckets of keys
-    owned = placed.repartitionByRange("bucket", "key", "sha", "n_bytes").groupBy("bucket", *chain)
-    index = cut(owned.agg(F.sum("n").alias("group_size"), F.max("best").alias("best")))
-    shared = index.where("group_size > 1").select(*chain, "group_size", "best", "bucket")
+    n_some = some.count()
+    max_depth = max(4, min(24, math.ceil(math.log2(max(1, n_some) / capacity + 1)) + 3))
+    pointers, depth = directory(some.select("key").distinct(), capacity, max_depth)
+    pointers = broadcast_below(pointers.select("slot", "bucket"), 1 << depth, BROADCAST_ROWS)
+    # entries are placed through the directory; owner tasks take ranges of buckets, and within large buckets of keys
+    placed = some.withColumn("slot", _slot(depth)).join(pointers, "slot")
+    owned = placed.repartitionByRange("bucket", "key", "sha", "n_bytes").groupBy(*chain)
+    path = fresh_path(spark, "exact-index")
+    owned.agg(F.sum("n").alias("group_size"), F.min("best").alias("best")).write.parquet(path)
+    index = spark.read.parquet(path)
+    shared = index.where("group_size > 1")
     n_shared = shared.count()
-    compared = _compare_bytes(read, shared.select(*chain), n_shared)
-    equal = shared.join(compared.where("same"), chain, "left_semi")
-    split = shared.join(compared.where("not same"), chain, "left_semi").select(*chain)
-    one = heap.join(broadcast_below(equal, n_shared, BROADCAST_ROWS), chain, "left")
-    keep_row = F.bitwise_not("best.not_row")
+    compared = _compare_bytes(read, shared.select("key", "sha", "n_bytes"), n_shared)
+    equal = shared.join(compared.where("same"), ["key", "sha", "n_bytes"], "left_semi")
+    split = shared.join(compared.where("not same"), ["key", "sha", "n_bytes"], "left_semi").select("key", "sha", "n_bytes")
+    # every document looks its chain up: slot, bucket, entry
+    found = heap.withColumn("slot", _slot(depth)).join(pointers, "slot")
+    one = found.join(broadcast_below(equal, n_shared, BROADCAST_ROWS), chain, "left")
     whole = one.select(
         F.col("id"),
-        F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.bitwise_not("best.not_id")).alias("keep_id"),
+        F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("best.id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.coalesce(F.col("row") == keep_row, F.lit(True)).alias("kept"),
+        F.coalesce(F.col("row") == F.col("best.row"), F.lit(True)).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"), "key", "sha", "n_bytes", "n_cp",
     )
     if compared.where("not same").limit(1).count():
-        whole = whole.join(split, chain, "left_anti").unionByName(_chained(read, split))
+        whole = whole.join(split, ["key", "sha", "n_bytes"], "left_anti").unionByName(_chained(read, split))
     return whole.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", "text_sha256", "n_cp")
 
 

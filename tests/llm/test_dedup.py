@@ -53,11 +53,33 @@ def test_bytes_decide(spark, docs, monkeypatch):
 
 
 def test_directory_splits_overfull_buckets(spark):
-    keys = spark.range(1000).selectExpr("shiftleft(id, 54) key")
-    found = exact_dedup.directory(keys, 100, 10).collect()
-    held = Counter((r.bucket, r.depth) for r in found)
-    assert max(held.values()) <= 100 and sum(held.values()) == 1000
-    assert {r.depth for r in exact_dedup.directory(keys, 5000, 10).collect()} == {0}
+    # 1,000 keys of ten bits, a further 300 that share their first seven
+    keys = spark.range(1000).selectExpr("shiftleft(id, 54) key").union(spark.range(300).selectExpr("shiftleft(cast(5 as bigint), 57) + id * 1000003"))
+    slots, depth = exact_dedup.directory(keys, 100, 12)
+    slots = slots.collect()
+    assert depth == 12 and len({r.slot for r in slots}) == len(slots)
+    bucket_of, depth_of = {r.slot: r.bucket for r in slots}, {r.bucket: r.depth for r in slots}
+    held = Counter(bucket_of[(r.key % 2**64) >> 52] for r in keys.collect())
+    assert sum(held.values()) == 1300
+    assert all(n <= 100 or depth_of[b] == 12 for b, n in held.items()) and sum(n > 100 for n in held.values()) == 1
+    # a bucket of depth d has 2 ** (12 - d) slots, and its parent was overfull
+    assert all(n == 2 ** (12 - depth_of[b]) for b, n in Counter(bucket_of.values()).items()) and len(set(depth_of.values())) > 1
+    for b, d in depth_of.items():
+        prefix = b >> 6
+        assert d == 0 or sum((r.key % 2**64) >> (65 - d) == prefix >> 1 for r in keys.collect()) > 100
+    slots, depth = exact_dedup.directory(keys, 5000, 10)
+    assert depth == 0 and [(r.slot, r.depth) for r in slots.collect()] == [(0, 0)]
+    slots, depth = exact_dedup.directory(keys.where("false"), 5000, 10)
+    assert depth == 0 and slots.count() == 0
+
+
+def test_string_ids_and_no_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", 0)
+    rows = [("b", "x y"), ("a", "xy"), ("c", "x y"), (None, "x y"), ("d", None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(df, capacity=1).collect()}
+    assert got == {"b": ("b", 4, True), "a": ("b", 4, False), "c": ("b", 4, False), None: ("b", 4, False), "d": ("d", 1, True)}
+    assert sorted(r.doc_id for r in exact_dedup.drop_copies(df).collect()) == ["b", "d"]
 
 
 def bag(text, width=5):
