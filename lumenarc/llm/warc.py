@@ -16,11 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenarc.llm._store import broadcast_below, cut
-from lumenarc.session import reachable
+from lumenarc.llm._store import broadcast_below, cut, limit_batches
 
 #: Uncompressed bytes that a file holds on average.
 FILE_BYTES = 16 << 20
+#: Payloads from which a capture has a file of its own.
+LONG_BYTES = 4 << 20
 #: Rows of payload groups that may be broadcast (about 60 bytes each).
 BROADCAST_ROWS = 250_000
 _END, _DATE = "\r\n", "2024-01-01T00:00:00Z"
@@ -32,6 +33,14 @@ def base32_digest(sha1_hex: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
+def percent_encoded(url: Column) -> Column:
+    """White space and control characters as %XX; null as about:blank."""
+    out = url
+    for code in (*range(0x21), 0x7F):
+        out = F.replace(out, F.lit(chr(code)), F.lit(f"%{code:02X}"))
+    return F.coalesce(F.when(url.rlike(r"[\x00-\x20\x7F]"), out).otherwise(url), F.lit("about:blank"))
+
+
 def _record_id(*parts: Column) -> Column:
     h = F.md5(F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("-")) for p in parts)))
     return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(h, r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
@@ -47,7 +56,8 @@ def write_captures(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     """Write gzipped WARC files to ``path``, one capture per page; the payload is the html in UTF-8, null as empty.
 
     Of pages with equal payloads (SHA-1 and length) of at least ``min_revisit_bytes`` the one with the largest id is a response (a null id is the least; of rows that tie, one),
-    the others revisit it. Urls are percent-encoded in headers where they hold white space or control characters; the metadata record has id and url as JSON.
+    the others revisit it. White space and control characters of urls are percent-encoded in headers; the metadata record has id and url as JSON. ``path`` must be new.
+    A file is one gzip stream of Spark's text sink, so readers go through it in order; there is no member for each record to seek by.
     """
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     read = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
@@ -56,7 +66,8 @@ def write_captures(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     by_id = keyed.groupBy("sha", "n", "id").agg(F.count("*").alias("rows"))
     groups = by_id.groupBy("sha", "n").agg(F.sum("rows").alias("members"), F.max_by("rows", whose).alias("tied"), F.max(whose).alias("last"))
     groups = cut(groups.where((F.col("members") > 1) & (F.col("n") >= min_revisit_bytes)))
-    total = keyed.agg(F.count("*").alias("rows"), F.sum("n").alias("bytes")).first()
+    short = F.col("n") <= LONG_BYTES
+    total = keyed.agg(F.count("*").alias("rows"), F.sum(F.when(short, F.col("n"))).alias("bytes"), F.count_if(~short).alias("long")).first()
     per_file = max(1, int(FILE_BYTES // max(1, 1500 + (total["bytes"] or 0) / max(1, total["rows"]))))
     joined = keyed.join(broadcast_below(groups, groups.count(), BROADCAST_ROWS), ["sha", "n"], "left")
     leads = F.col("members").isNull() | F.col("id").eqNullSafe(F.col("last.id"))
@@ -67,7 +78,7 @@ def write_captures(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         joined = joined.where("not (members is not null and leads and tied > 1)").unionByName(tied.withColumn("leads", first))
     joined = joined.withColumns({
         "digest": F.concat(F.lit("sha1:"), base32_digest(F.col("sha"))),
-        "uri": F.regexp_replace(F.coalesce("url", F.lit("about:blank")), r"[\x00-\x20\x7F]", "%20"),
+        "uri": percent_encoded(F.col("url")),
         "shared": _record_id(F.lit("payload"), F.col("sha"), F.col("n")),
         "own": _record_id(F.lit("capture"), F.col("id"), F.col("url"), F.col("sha"), F.col("salt")),
     })
@@ -89,8 +100,15 @@ def write_captures(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         ("Content-Type", F.lit("application/json")), ("WARC-Concurrent-To", F.col("record")),
     ], F.to_json(F.struct(F.col("id").alias("page_id"), F.col("url"))))
     gap = F.lit(_END + _END)
-    out = joined.select(F.concat(main, gap, request, gap, metadata).alias("value"))
-    out.write.option("lineSep", _END + _END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    value = F.concat(main, gap, request, gap, metadata).alias("value")
+
+    def write(rows: DataFrame, records: int) -> None:
+        rows.select(value).write.mode("append").option("lineSep", _END + _END).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
+
+    if total["long"]:
+        write(joined.where(~short), 1)
+        joined = joined.where(short)
+    write(joined, per_file)
 
 
 RECORD = "record_id string, type string, concurrent_to string, refers_to string, uri string, digest string, payload_bytes long, payload_digest string, block string, payload binary"
@@ -114,7 +132,7 @@ def _reader(with_payload: bool):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in RECORD.split(", ")]
         for batch in batches:
-            for content in batch.column(0):
+            for content in batch.column(0):  # files are a few MB, so a batch is what maxBytesPerBatch allows
                 raw = content.as_py()
                 rows: list[tuple] = []
                 held = 0
@@ -142,8 +160,7 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """All records of the WARC files in ``path``, plain or gzipped. Payloads' lengths and digests are computed from the payloads."""
-    reachable(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    limit_batches(spark)
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(_reader(with_payload), RECORD)
 
@@ -166,11 +183,12 @@ def assemble(found: DataFrame) -> DataFrame:
 
 
 def captures_by_page(captures: DataFrame) -> DataFrame:
-    """page_id, url, record_type, payload_bytes, payload_digest and refers_to (the response's page_id) of assembled captures."""
+    """page_id, url, record_type, payload_bytes, payload_digest and refers_to (the response's page_id) of assembled captures.
+
+    page_id is read as a long; a capture without metadata has null page_id and url. Repeated pages have a row each; no captures give no rows.
+    """
     told = F.from_json(F.col("metadata.block"), "page_id long, url string")
     page = captures.select("record_id", told.alias("told"), "response.type", "response.refers_to", "response.payload_bytes", "response.payload_digest")
     page = cut(page.select("record_id", F.col("told.page_id").alias("page_id"), F.col("told.url").alias("url"), F.col("type").alias("record_type"), F.col("refers_to").alias("target"), "payload_bytes", "payload_digest"))
     lead = page.where("record_type = 'response'").select(F.col("record_id").alias("target"), F.col("page_id").alias("refers_to"))
     return page.join(lead, "target", "left").select("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to")
-
-
