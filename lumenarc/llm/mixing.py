@@ -19,6 +19,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 DRIFTS = (-0.5, 0.0, 0.5)
 MOST = 3
 BROADCAST_ROWS = 250_000
+#: Sources up to which one task orders them (one row each); more are range-partitioned.
+SMALL_SOURCES = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -37,10 +39,11 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     times its source's size, and what it may not take goes to the others by weight. With c(lambda) = sum of
     min(most * size, lambda * weight) the capped sources are those of least size/weight, found with running totals in that order.
     """
-    numbered = row_numbers(sizes, [F.col("source").isNull(), F.col("source")], "number", start=0)
+    small = sizes.count() <= SMALL_SOURCES
+    numbered = row_numbers(sizes, [F.col("source").isNull(), F.col("source")], "number", start=0, small=small)
     named = numbered.withColumns({"weight": _cycle(weights, F.col("number")), "drift": _cycle(drifts, F.col("number"))})
     cap = F.col("source_size") * most
-    running = running_totals(named, [cap / F.col("weight"), F.col("number")], {"cap_before": cap, "weight_before": F.col("weight")})
+    running = running_totals(named, [cap / F.col("weight"), F.col("number")], {"cap_before": cap, "weight_before": F.col("weight")}, small=small)
     running = cut(running)
     total, weight = running.agg(F.sum("source_size"), F.sum("weight")).first()
     capped = (F.lit(total) - F.col("cap_before")) * F.col("weight") >= cap * (F.lit(weight) - F.col("weight_before"))
@@ -70,8 +73,9 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     units = cut(sized.groupBy("id", "source", "size").agg(F.count("*").alias("rows")))
     sizes = cut(units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size")))
     targets = cut(source_targets(sizes, weights, most, drifts))
-    first = cut(running_totals(targets, [F.col("number")], {"start": F.col("source_size")}))
-    tied = units.join(broadcast_below(first, first.count(), BROADCAST_ROWS), units["source"].eqNullSafe(first["source"])).drop(first["source"])
+    n_sources = targets.count()
+    first = cut(running_totals(targets, [F.col("number")], {"start": F.col("source_size")}, small=n_sources <= SMALL_SOURCES))
+    tied = units.join(broadcast_below(first, n_sources, BROADCAST_ROWS), units["source"].eqNullSafe(first["source"])).drop(first["source"])
     words = F.col("size") * F.col("rows")
     placed = running_totals(tied, [F.col("number"), F.md5(F.concat_ws("|", F.col("id").cast("string"), F.col("size").cast("string"), F.lit(str(seed)))), F.col("id")], {"place": words})
     inside = F.col("place") - F.col("start") + words / 2
@@ -85,14 +89,21 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     return cut(placed.select("id", "source", "size", "rows", "source_size", "target", "copies", at.alias("positions")))
 
 
+def by_position(rows: DataFrame) -> DataFrame:
+    """Rows of (position, id) range-sorted by training position; those without one come last."""
+    return rows.repartitionByRange(F.col("position").asc_nulls_last(), F.xxhash64("id")).sortWithinPartitions(F.col("position").asc_nulls_last(), "id")
+
+
 def training_order(units: DataFrame) -> DataFrame:
-    """The plan's copies, one row each, range-sorted by training position; units that aren't taken come last, with null."""
-    each = units.withColumn("position", F.explode_outer("positions")).drop("positions")
-    return each.repartitionByRange(F.col("position").asc_nulls_last(), F.xxhash64("id")).sortWithinPartitions(F.col("position").asc_nulls_last(), "id")
+    """The plan's copies, one row each, in order of training position; units that aren't taken come last, with null."""
+    return by_position(units.withColumn("position", F.explode_outer("positions")).drop("positions"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """``docs`` as training takes them: each row as often as its copies, in range-sorted order of position; all columns stay."""
+    """``docs`` as training takes them: each row as often as its copies, in range-sorted order of position; all columns stay.
+
+    Texts of size 0 (null, empty, blank) are not taken; a null source is a source; repeated rows are taken alike, ties in position go by id; an empty table gives an empty one.
+    """
     units = plan(docs, id_col, text_col, source_col, **options)
     taken = units.where("copies > 0").select(F.col("id").alias("__mix_id"), F.col("source").alias("__mix_source"), F.col("size").alias("__mix_size"), F.col("positions").alias("__mix_at"))
     n = taken.count()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenarc.llm import dart_minhash, exact_dedup, html_main, mixing, packing, quality_rules, token_binary, token_counts, toxicity, warc
-from lumenarc.llm._store import fresh_path
+from lumenarc.llm._store import cut, fresh_path
 from lumenarc.llm._tokens import tokenizer_path
 
 
@@ -28,11 +28,12 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = mixing.training_order(mixing.plan(_table(spark, sf_dir, "documents")))
-    taken = order.groupBy("id", "source", "size").agg(
-        F.first("rows").alias("rows"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.count("position").alias("copies"))
-    each = taken.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
-    return each.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    """In training order: taken is a document's size for each of its training positions; first_position is the earliest one, in millionths of the training time
+    (null, and last, for documents that aren't taken). Null texts have size 0, null sources are a source, repeated rows each have a row."""
+    units = mixing.plan(_table(spark, sf_dir, "documents")).withColumn("position", F.get("positions", F.lit(0)))
+    each = mixing.by_position(units.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows")))))
+    taken = F.col("size") * F.coalesce(F.size("positions"), F.lit(0))
+    return each.select(F.col("id").alias("doc_id"), "size", "source_size", "target", taken.alias("taken"), F.floor(F.col("position") * 1_000_000).alias("first_position"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,9 +50,11 @@ def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null html is an empty payload; equal payloads of any length are revisits of that with the largest page_id; repeated rows each have a row."""
     path = fresh_path(spark, "warc")
     warc.write_captures(_table(spark, sf_dir, "pages"), path)
-    captures = warc.assemble(warc.read_records(spark, path, with_payload=False))
+    # the archives are read once
+    captures = warc.assemble(cut(warc.read_records(spark, path, with_payload=False)))
     return warc.captures_by_page(captures).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
@@ -63,8 +66,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With a cache of its own, new at every call, so that a run always does the whole work."""
-    return token_counts.token_counts(_table(spark, sf_dir, "documents"), tokenizer_path(), fresh_path(spark, "token-cache"))
+    """A cache of its own, new at every call: an earlier run over the contents of even digest fills it, then all documents are counted, so half of
+    the contents are hits (column cached) and half are encoded. Null texts count as empty, repeated rows each have a row."""
+    docs, cache = _table(spark, sf_dir, "documents"), fresh_path(spark, "token-cache")
+    token_counts.token_counts(docs.where(F.crc32(F.coalesce("text", F.lit(""))) % 2 == 0), tokenizer_path(), cache)
+    return token_counts.token_counts(docs, tokenizer_path(), cache)
 
 
 QUERIES = {
@@ -83,10 +89,13 @@ ORACLE = {
         c AS (SELECT *, (total - cap_before) * weight >= 3 * source_size * (weights - weight_before) AS capped FROM r),
         l AS (SELECT *, CAST(sum(CASE WHEN capped THEN 3 * source_size ELSE 0 END) OVER () AS DOUBLE) AS held, sum(CASE WHEN capped THEN 0.0 ELSE weight END) OVER () AS rest FROM c),
         t AS (SELECT source, source_size, number, CASE WHEN capped THEN CAST(3 * source_size AS DOUBLE) ELSE weight * ((total - held) / rest) END AS target FROM l),
-        p AS (SELECT u.doc_id, u.size, u.n, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS passes,
+        p AS (SELECT u.doc_id, u.size, u.n, t.source_size, t.target, t.number, CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS passes,
             CAST(coalesce(sum(u.size * u.n) OVER (PARTITION BY t.number ORDER BY md5(concat_ws('|', u.doc_id, u.size, 17)), u.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) + u.size * u.n / 2 AS inside
             FROM u JOIN t ON u.source IS NOT DISTINCT FROM t.source)
-        SELECT doc_id, size, source_size, target, CAST(size * (passes + CASE WHEN inside < target - passes * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM (SELECT *, unnest(range(n)) FROM p) q""",
+        SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken,
+            CASE WHEN copies > 0 THEN CAST(floor((CASE WHEN drift = 0 THEN share ELSE (sqrt((1 - drift) * (1 - drift) + 4 * drift * share) - (1 - drift)) / (2 * drift) END) * 1000000) AS BIGINT) END AS first_position
+        FROM (SELECT *, CASE WHEN size > 0 THEN passes + CASE WHEN inside < target - passes * source_size THEN 1 ELSE 0 END ELSE 0 END AS copies,
+            least(inside / nullif(target, 0), 1.0) AS share, CAST(CASE number % 3 WHEN 0 THEN -0.5 WHEN 1 THEN 0 ELSE 0.5 END AS DOUBLE) AS drift, unnest(range(n)) FROM p) q""",
     "op5_exact_dedup": r"""
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n_cp, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
         r AS (SELECT doc_id, norm, row_number() OVER (PARTITION BY norm ORDER BY n_cp DESC, doc_id ASC NULLS LAST) AS place, count(*) OVER (PARTITION BY norm) AS group_size FROM d)

@@ -231,7 +231,7 @@ def digest(data):
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def test_warc_round_trip(spark, tmp_path):
+def test_warc_round_trip(spark, tmp_path, monkeypatch):
     evil = "WARC/1.1\r\nWARC-Type: response\r\n\r\n\r\n\r\n"
     pages = [(1, "http://a/1", "<p>x</p>"), (2, "http://a/2 \r\nX: y", "<p>x</p>"), (3, None, None), (4, "u", ""), (5, "http://a/5", evil), (6, "é", "ü" * 70_000), (7, "http://a/7", "dup"), (7, "http://a/7", "dup"), (None, "n", "dup")]
     df = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, sha int")
@@ -248,7 +248,15 @@ def test_warc_round_trip(spark, tmp_path):
     assert got == sorted(want, key=str)
     payload = {r.response.payload_digest: bytes(r.response.payload) for r in captures.where("response.type = 'response'").collect()}
     assert all(digest(p) == d for d, p in payload.items()) and len(payload) == 5
+    uris = {r.uri for r in captures.collect()}
+    assert "http://a/2%20%0D%0AX:%20y" in uris and "about:blank" in uris
+    monkeypatch.setattr(warc, "LONG_BYTES", 1000)
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    warc.write_captures(df, str(tmp_path / "long"))
+    long = warc.captures_by_page(warc.assemble(warc.read_records(spark, str(tmp_path / "long"))))
+    assert sorted(((r.page_id, r.url, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in long.collect()), key=str) == got
     warc.write_captures(df.where("false"), str(tmp_path / "none"))
+    assert warc.captures_by_page(warc.assemble(warc.read_records(spark, str(tmp_path / "none")))).count() == 0
     warc.write_captures(df, str(tmp_path / "all"), min_revisit_bytes=5)
     kinds = Counter(r.type for r in warc.read_records(spark, str(tmp_path / "all")).collect())
     assert kinds["response"] == 8 and kinds["revisit"] == 1 and kinds["request"] == 9
@@ -269,7 +277,7 @@ def targets(sizes, weights=(5, 2, 1), most=3):
     return out
 
 
-def test_mix(docs, words):
+def test_mix(docs, words, monkeypatch):
     import random
 
     r = random.Random(2)
@@ -294,6 +302,9 @@ def test_mix(docs, words):
     known = [p for p in order if p is not None]
     assert known == sorted(known) and order[len(known) :] == [None] * (len(order) - len(known))
     assert mixing.plan(docs([])).count() == 0 and mixing.mixed(docs([])).count() == 0
+    for name, value in (("BROADCAST_ROWS", 0), ("SMALL_SOURCES", 0)):
+        monkeypatch.setattr(mixing, name, value)
+        assert sorted(map(str, got)) == sorted(map(str, mixing.plan(df).collect()))
 
 
 def test_positions_invert_the_integral(spark):
