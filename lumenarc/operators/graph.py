@@ -46,6 +46,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star until nothing changes: every edge ends as (node, root). All on executors;
     hubs are met by partial minima and by skew joins. Self loops and null ends are ignored; no edges give no rows.
+    Raises RuntimeError if ``max_rounds`` rounds don't suffice.
     """
     now = edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
     now = checkpointed(now)
@@ -58,5 +59,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components still change after {max_rounds} rounds")
     roots = now.select(F.col("dst").alias("node"), F.col("dst").alias("root")).distinct()
     return now.select(F.col("src").alias("node"), F.col("dst").alias("root")).unionByName(roots)
