@@ -9,8 +9,9 @@ plus k (ln k + 3) darts, not their product.
 Texts that agree in all coordinates of some band are candidates. No bucket is expanded into its pairs: first every text is
 compared with one hub, the least by hash among its buckets' members, and links are contracted to classes, which settles
 families of copies. In buckets where several classes meet, the texts outside the largest class are dealt into blocks, and each block
-is compared with chunks of the bucket inside a task, by exact intersection of the texts' elements. So every candidate pair of different classes is compared,
-none is dropped, and rows sent grow with members, not with pairs.
+is compared with chunks of the bucket inside a task, by intersection of the texts' 64-bit elements. So every candidate pair of different classes is compared and
+none is dropped. A bucket of n texts in several classes sends its n rows once for every ``BLOCK`` texts outside the largest class, so families of
+copies cost rows in proportion to their texts, and only buckets of many texts that share a band but aren't similar cost more.
 """
 
 from __future__ import annotations
@@ -22,14 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenarc.llm._store import broadcast_below, cut, limit_batches
+from lumenarc.llm._store import broadcast_below, cut, join_around_hot, limit_batches
 from lumenarc.llm._text import fixed_binary, flat, mix, sequence_digests, slices, span_hashes, windows, words
 from lumenarc.operators.graph import connected_components
 
 BROADCAST_ROWS = 250_000
-#: Minor members in a block and members in a chunk that a task compares at once, and their elements (4 bytes each).
+#: Texts of a class from which its totals are broadcast to its rows.
+HOT_ROWS = 1_000
+#: Minor members in a block and members in a chunk that a task compares at once, and their elements (8 bytes each).
 BLOCK, CHUNK = 256, 2048
-BLOCK_ITEMS, CHUNK_ITEMS = 500_000, 4_000_000
+BLOCK_ITEMS, CHUNK_ITEMS = 400_000, 2_000_000
 _U = np.uint64
 
 
@@ -109,10 +112,10 @@ def _sketcher(width: int, bands: int, rows: int):
     return sketch
 
 
-def _digester(width: int):
+def _digester(width: int, text_col: str = "text"):
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, raw, offs in slices(batch, "text"):
+            for part, raw, offs in slices(batch, text_col):
                 _, _, seen = shingles(raw, offs, width)
                 names = [*part.schema.names, "__near_node"]
                 yield pa.RecordBatch.from_arrays([*part.columns, fixed_binary(seen)], names)
@@ -155,7 +158,7 @@ def _itemiser(width: int):
                 # the k-th occurrence of an element is an element of its own: then sets do for multisets
                 owner = np.repeat(np.arange(len(h)), c)
                 nth = np.arange(len(owner)) - np.repeat(np.cumsum(c) - c, c)
-                item = (mix(h[owner] + nth.astype(np.uint64) * _U(0x9E3779B97F4A7C15)) >> _U(32)).astype(np.uint32)
+                item = mix(h[owner] + nth.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
                 ends = np.cumsum(np.bincount(r[owner], minlength=part.num_rows))[:-1]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in np.split(item, ends)], pa.binary())], ["node", "items"])
 
@@ -217,7 +220,7 @@ def _matcher(threshold: float):
                 if now != key:
                     yield from compare(minors, members)
                     key, minors, members = now, [], []
-                (minors if minor else members).append((root, np.frombuffer(items, np.uint32)))
+                (minors if minor else members).append((root, np.frombuffer(items, np.uint64)))
         yield from compare(minors, members)
 
     return match
@@ -231,7 +234,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     of ``width`` words ([^\\x20\\x09-\\x0D]+). class_id is its smallest document id (null if all are null), class_size
     its documents. Texts with equal word sequences are one node; a text of fewer than ``width`` words has one window, and
     texts without words (null, empty, blank) are one class. Repeated ids are separate rows. With 32 bands of 6 coordinates a pair at 0.8
-    is missed with probability 6e-5, one at 0.9 with 1e-11.
+    is missed with probability 6e-5, one at 0.9 with 1e-11. Ids are read as long; an empty table gives an empty one; other columns aren't read.
     """
     spark = docs.sparkSession
     limit_batches(spark)
@@ -242,9 +245,11 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     buckets = _buckets(nodes, threshold)
     roots = _components(read, nodes, buckets, threshold, width)
     named = nodes.select("node", "least_id", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sizes = named.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    by_node = named.select("node", "root").join(sizes, "root")
-    return seen.select("id", "node").join(by_node, "node").select(F.col("id").alias(id_col), "class_id", "class_size", "node", "root")
+    named = cut(named)
+    sizes = named.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"), F.count("*").alias("texts"))
+    by_node = join_around_hot(named, sizes, "root", F.col("texts") >= HOT_ROWS, BROADCAST_ROWS).select("node", "root", "class_id", "class_size", "copies")
+    each = join_around_hot(seen.select("id", "node"), by_node, "node", F.col("copies") >= HOT_ROWS, BROADCAST_ROWS)
+    return each.select(F.col("id").alias(id_col), "class_id", "class_size", "node", "root")
 
 
 def _buckets(nodes: DataFrame, threshold: float) -> DataFrame:
@@ -342,9 +347,7 @@ def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     doubtful = docs.join(twice, F.col(id_col).eqNullSafe(F.col("__near_id")), "left_semi")
     inner = docs.schema
     spelled = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner) + ", __near_node binary"
-    asked = doubtful.withColumnRenamed(text_col, "text") if text_col != "text" else doubtful
-    told = asked.mapInArrow(_digester(width), spelled.replace(f"`{text_col}` ", "`text` ", 1))
-    told = told.withColumnRenamed("text", text_col) if text_col != "text" else told
+    told = doubtful.mapInArrow(_digester(width, text_col), spelled)
     same = F.col(id_col).eqNullSafe(F.col("__near_id")) & (F.col("__near_node") == F.col("__near_keep"))
     ties = told.join(keeper, same, "left_semi").dropDuplicates([id_col, "__near_node"])
     return clean.unionByName(ties.select(*docs.columns))

@@ -144,6 +144,22 @@ def test_small_blocks_change_nothing(docs, words, monkeypatch):
     assert Counter(frozenset(x.items()) for x in by_root.values()) == classes(rows)
 
 
+def test_no_broadcasts_and_hot_classes_change_nothing(docs, words, monkeypatch):
+    rows = family(words)
+    monkeypatch.setattr(dart_minhash, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(dart_minhash, "HOT_ROWS", 5)
+    by_root = defaultdict(Counter)
+    for r in dart_minhash.near_duplicate_classes(docs(rows)).collect():
+        by_root[bytes(r.root)][str(r.doc_id)] += 1
+    assert Counter(frozenset(x.items()) for x in by_root.values()) == classes(rows)
+
+
+def test_another_text_column(docs, words):
+    df = docs(family(words)).withColumnsRenamed({"text": "body", "kept": "text"})
+    got = dart_minhash.one_per_class(df, text_col="body")
+    assert got.columns == df.columns and got.count() == dart_minhash.one_per_class(docs(family(words))).count()
+
+
 def test_one_per_class(docs, words):
     rows = family(words)
     df = docs(rows)
