@@ -9,7 +9,8 @@ plus k (ln k + 3) darts, not their product.
 Texts that agree in all coordinates of some band are candidates. No bucket is expanded into its pairs: first every text is
 compared with one hub, the least by hash among its buckets' members, and links are contracted to classes, which settles
 families of copies. In buckets where several classes meet, the texts outside the largest class are dealt into blocks, and each block
-is compared with chunks of the bucket inside a task, by intersection of the texts' 64-bit elements. So every candidate pair of different classes is compared and
+is compared with chunks of the bucket inside a task, by intersection of the texts' elements, cut to 32 bits (two texts of n elements
+share n * n / 2**32 of them by chance, less than one below 65,000 words). So every candidate pair of different classes is compared and
 none is dropped. A bucket of n texts in several classes sends its n rows once for every ``BLOCK`` texts outside the largest class, so families of
 copies cost rows in proportion to their texts, and only buckets of many texts that share a band but aren't similar cost more.
 """
@@ -30,9 +31,9 @@ from lumenarc.operators.graph import connected_components
 BROADCAST_ROWS = 250_000
 #: Texts of a class from which its totals are broadcast to its rows.
 HOT_ROWS = 1_000
-#: Minor members in a block and members in a chunk that a task compares at once, and their elements (8 bytes each).
+#: Minor members in a block and members in a chunk that a task compares at once, and their elements (4 bytes each).
 BLOCK, CHUNK = 256, 2048
-BLOCK_ITEMS, CHUNK_ITEMS = 400_000, 2_000_000
+BLOCK_ITEMS, CHUNK_ITEMS = 500_000, 4_000_000
 _U = np.uint64
 
 
@@ -158,7 +159,7 @@ def _itemiser(width: int):
                 # the k-th occurrence of an element is an element of its own: then sets do for multisets
                 owner = np.repeat(np.arange(len(h)), c)
                 nth = np.arange(len(owner)) - np.repeat(np.cumsum(c) - c, c)
-                item = mix(h[owner] + nth.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+                item = (mix(h[owner] + nth.astype(np.uint64) * _U(0x9E3779B97F4A7C15)) >> _U(32)).astype(np.uint32)
                 ends = np.cumsum(np.bincount(r[owner], minlength=part.num_rows))[:-1]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in np.split(item, ends)], pa.binary())], ["node", "items"])
 
@@ -220,7 +221,7 @@ def _matcher(threshold: float):
                 if now != key:
                     yield from compare(minors, members)
                     key, minors, members = now, [], []
-                (minors if minor else members).append((root, np.frombuffer(items, np.uint64)))
+                (minors if minor else members).append((root, np.frombuffer(items, np.uint32)))
         yield from compare(minors, members)
 
     return match
