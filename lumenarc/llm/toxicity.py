@@ -38,6 +38,10 @@ BROADCAST_LABELS = 1_000_000
 CALIBRATION_ROWS = 20_000
 #: Rows of the models' differences that are gathered and broadcast at once (17 bytes each).
 PART_ROWS = 2_000_000
+#: Labelled rows that a task counts, at least.
+ROWS_PER_TASK = 5_000
+#: Grams of a partition from which the models are computed.
+GRAMS_PER_TASK = 500_000
 
 _GAP = 32
 _SYMBOL = np.full(256, _GAP, np.uint8)
@@ -301,9 +305,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     weighed = keys.join(broadcast_below(alike, n_marks, BROADCAST_LABELS), ["label", "key"]).groupBy("id", "label").agg(F.max("copies").alias("copies"))
     weighed = cut(weighed.select("id", "label", F.floor(F.lit(WEIGHT) / F.col("copies")).alias("weight")))
     texts = read.join(broadcast_below(weighed, n_marks, BROADCAST_LABELS), "id").select("text", "label", "weight")
-    counts = texts.mapInArrow(_counter, "gram long, label int, n long")
+    # few rows of a partition are labelled: tasks of some thousand of them sum up more before the shuffle
+    tasks = max(3 * spark.sparkContext.defaultParallelism, n_marks // ROWS_PER_TASK)
+    counts = texts.coalesce(tasks).mapInArrow(_counter, "gram long, label int, n long")
     of = lambda c: (F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)) / WEIGHT)
     table = cut(counts.groupBy("gram").agg(of(1).alias("toxic"), of(0).alias("ordinary")))
+    # few grams are one partition, in which Spark needs no exchange
+    table = table.coalesce(max(1, table.count() // GRAMS_PER_TASK))
     differences = cut(model_differences(table))
     parts = max(1, -(-differences.count() // part_rows))
     # a gram is in the part of its context
