@@ -24,6 +24,8 @@ from lumenarc.llm._store import broadcast_below, cut, fresh_path
 BROADCAST_ROWS = 250_000
 #: Distinct keys that a bucket holds.
 CAPACITY = 4_096
+#: Prefixes of a partition in which buckets are split.
+PREFIXES_PER_TASK = 500_000
 
 
 def normalised(text: Column) -> Column:
@@ -42,9 +44,12 @@ def directory(keys: DataFrame, capacity: int, max_depth: int) -> tuple[DataFrame
     bucket is numbered by depth and prefix. Prefixes without keys have no bucket; no keys give an empty directory of depth 0.
     """
     held = cut(keys.groupBy(F.shiftrightunsigned("key", 64 - max_depth).alias("prefix")).agg(F.count("*").alias("n")).withColumn("depth", F.lit(max_depth)))
+    # few prefixes are one partition, in which Spark needs no exchange
+    held = held.coalesce(max(1, (1 << max_depth) // PREFIXES_PER_TASK))
     levels = held
     for depth in range(max_depth - 1, -1, -1):
-        held = cut(held.groupBy(F.shiftright("prefix", 1).alias("prefix")).agg(F.sum("n").alias("n")).withColumn("depth", F.lit(depth)))
+        held = (held.groupBy(F.shiftright("prefix", 1).alias("prefix")).agg(F.sum("n").alias("n")).withColumn("depth", F.lit(depth)))
+        held = cut(held) if depth % 4 == 0 else held
         levels = levels.unionByName(held)
     parent = levels.where(F.col("n") > capacity).select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("above"))
     fits = levels.where((F.col("n") <= capacity) | (F.col("depth") == max_depth)).withColumn("above", F.shiftright("prefix", 1))
