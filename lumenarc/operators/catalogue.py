@@ -17,9 +17,25 @@ def last_by(updates: DataFrame, keys: Sequence[str], order: Sequence[Column]) ->
     return updates.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
 
 
+def last_edit(updates: DataFrame, key: str) -> DataFrame:
+    """One update per key: the last by ts and seq where there are such columns, ties (and updates without them) by the other columns.
+
+    A partial maximum per task, so a key with many updates is no task's burden.
+    """
+    others = [f for f in updates.schema if f.name != key]
+    if not others:
+        return updates.distinct()
+    sortable = [f.name for f in others if f.dataType.typeName() not in ("map", "variant")]
+    order = sorted(sortable, key=lambda c: ("ts", "seq").index(c) if c in ("ts", "seq") else 2)
+    if not order:
+        return updates.dropDuplicates([key])
+    best = F.max_by(F.struct(*(f.name for f in others)), F.struct(*order))
+    return updates.groupBy(key).agg(best.alias("__last")).select(key, "__last.*")
+
+
 def merge(table: DataFrame, updates: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
-    """Full outer join of table (t) and updates (u) on ``key``; every other column by its rule, or kept."""
-    t, u = table.alias("t"), updates.withColumn("__hit", F.lit(True)).alias("u")
+    """Full outer join of table (t) and the last update (u) of each ``key``; every other column by its rule, or kept."""
+    t, u = table.alias("t"), last_edit(updates, key).withColumn("__hit", F.lit(True)).alias("u")
     joined = t.join(u, F.col(f"t.{key}") == F.col(f"u.{key}"), "full")
     out = [F.coalesce(f"t.{key}", f"u.{key}").alias(key)]
     out += [rules.get(c, F.col(f"t.{c}")).alias(c) for c in table.columns if c != key]
@@ -63,14 +79,14 @@ def image_persons(faces: DataFrame) -> DataFrame:
 
 def label_clusters(faces: DataFrame, edits: DataFrame) -> DataFrame:
     """UPS-5: (cluster_id, new_label) sets the label and VERIFIED on all faces of a cluster."""
-    joined = faces.join(edits.select("cluster_id", "new_label"), "cluster_id", "left")
+    joined = faces.join(last_edit(edits, "cluster_id").select("cluster_id", "new_label"), "cluster_id", "left")
     hit = F.col("new_label").isNotNull()
     return joined.withColumns({"label": F.coalesce("new_label", "label"), "curation_status": F.when(hit, "VERIFIED").otherwise(F.col("curation_status"))}).select(*faces.columns)
 
 
 def label_faces(faces: DataFrame, edits: DataFrame) -> DataFrame:
     """UPS-6: (face_id, new_label): a clustered face labels its cluster; a single one gets a cluster of its own. Blank labels are dropped."""
-    valid = edits.where(filled(F.col("new_label")).isNotNull()).select("face_id", F.trim("new_label").alias("new_label"))
+    valid = last_edit(edits.where(filled(F.col("new_label")).isNotNull()), "face_id").select("face_id", F.trim("new_label").alias("new_label"))
     named = faces.join(valid, "face_id").where("cluster_id is not null").groupBy("cluster_id").agg(F.min("new_label").alias("cluster_label"))
     single = F.concat(F.lit("cluster_"), F.substring(F.replace("face_id", F.lit("-"), F.lit("")), 1, 10))
     joined = faces.join(named, "cluster_id", "left").join(valid, "face_id", "left")
@@ -118,7 +134,7 @@ def remove_faces(faces: DataFrame, removed: DataFrame) -> DataFrame:
 def set_curation(table: DataFrame, edits: DataFrame, key: str) -> DataFrame:
     """UPS-9: valid states (VERIFIED, KI_AUTO, in any case) are set; see rejected_curation() for the others."""
     state = F.upper(F.trim("status"))
-    valid = edits.where(state.isin("VERIFIED", "KI_AUTO")).select(key, state.alias("__state"))
+    valid = last_edit(edits.where(state.isin("VERIFIED", "KI_AUTO")), key).select(key, state.alias("__state"))
     return table.join(valid, key, "left").withColumn("curation_status", F.coalesce("__state", "curation_status")).select(*table.columns)
 
 
@@ -139,7 +155,7 @@ def rollback(table: DataFrame, batch: str) -> DataFrame:
 
 def update_fixity(table: DataFrame, checks: DataFrame, key: str) -> DataFrame:
     """UPS-11: status and time from the check; the hash only if given."""
-    c = checks.select(key, F.col("status").alias("__status"), F.col("checked_at").alias("__at"), F.col("sha256").alias("__sha"))
+    c = last_edit(checks, key).select(key, F.col("status").alias("__status"), F.col("checked_at").alias("__at"), F.col("sha256").alias("__sha"))
     joined = table.join(c, key, "left")
     rules = {"fixity_status": F.coalesce("__status", "fixity_status"), "last_fixity_check": F.coalesce("__at", "last_fixity_check"), "sha256": F.coalesce("__sha", "sha256")}
     return joined.withColumns(rules).select(*table.columns)
@@ -154,7 +170,7 @@ def audit_rows(entries: DataFrame, order: Sequence[Column], first_id: int) -> Da
 
 def save_verso_notes(table: DataFrame, edits: DataFrame, pairs: DataFrame) -> DataFrame:
     """UPS-13: notes go to both sides of a pair, with roles and the other side's path; missing rows are added."""
-    paired = edits.join(pairs, "file_path", "left")
+    paired = last_edit(edits, "file_path").join(pairs, "file_path", "left")
     own = paired.select("file_path", "verso_notes", F.col("role").alias("sheet_role"), F.col("companion").alias("companion_path"))
     mirror = paired.where("companion is not null").select(F.col("companion").alias("file_path"), "verso_notes", F.when(F.col("role") == "recto", "verso").otherwise("recto").alias("sheet_role"), F.col("file_path").alias("companion_path"))
     fresh = mirror.join(own.select("file_path"), "file_path", "left_anti")
@@ -163,7 +179,7 @@ def save_verso_notes(table: DataFrame, edits: DataFrame, pairs: DataFrame) -> Da
 
 def upsert_authority(table: DataFrame, updates: DataFrame) -> DataFrame:
     """UPS-15: full replacement by id."""
-    return table.join(updates.select("id"), "id", "left_anti").unionByName(updates)
+    return table.join(updates.select("id"), "id", "left_anti").unionByName(last_edit(updates, "id").select(*updates.columns))
 
 
 def seed_when_empty(table: DataFrame, seed: DataFrame) -> DataFrame:

@@ -75,6 +75,38 @@ def vector_topk_batch(vectors: DataFrame, queries: DataFrame, k: int, threshold:
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def best_for_rows(rows: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+    """For every row (query_id, vector) the k most similar of ``terms`` (id, vector): (query_id, id, score, rank).
+
+    The counterpart of vector_topk_batch() for many rows and few terms: rows stay where they are and are read once for each
+    block of terms, which is one broadcast of bounded size.
+    """
+    n, width = terms.agg(F.count("*"), F.max(F.size("vector"))).first()
+    blocks = max(1, math.ceil(n * 8 * (width or 1) / BROADCAST_BYTES))
+    schema = "query_id long, id long, score double"
+    found = None
+    for block in range(blocks):
+        mine = terms.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).select("id", "vector").toPandas()
+        if mine.empty:
+            continue
+        shared = rows.sparkSession.sparkContext.broadcast((mine["id"].to_numpy(), _matrix(mine["vector"])))
+
+        def search(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            ids, matrix = shared.value
+            for pdf in frames:
+                if len(pdf):
+                    scores = np.round(_matrix(pdf["vector"]) @ matrix.T, 6)
+                    order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
+                    yield pd.DataFrame({"query_id": np.repeat(pdf["query_id"].to_numpy(), order.shape[1]), "id": ids[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
+
+        part = rows.select("query_id", "vector").mapInPandas(search, schema)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return rows.sparkSession.createDataFrame([], schema + ", rank int")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def _unit_rows(column: pa.ChunkedArray) -> np.ndarray:
     """Unit rows from a list column without going through Python objects; a zero vector stays zero."""
     lists = column.combine_chunks()

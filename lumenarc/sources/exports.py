@@ -166,14 +166,20 @@ def xmp_records(items: DataFrame) -> DataFrame:
 
 
 def export_names(items: DataFrame, stem: str, position: str) -> DataFrame:
-    """SNK-6: stem.xmp, and stem_1.xmp, stem_2.xmp, ... for later items of one stem.
+    """SNK-6: stem.xmp, and stem_1.xmp, stem_2.xmp, ... for later items of one stem, without the numbers that make another stem's own name.
 
-    Where such a name is another item's own one, the item takes the first free number after the stem's items.
+    So every name occurs once. The k-th later item takes k plus the numbers that are taken before; these come from a running count over both.
     """
     place = F.row_number().over(Window.partitionBy(stem).orderBy(position)) - 1
-    named = items.withColumn("__k", place).withColumn("export_name", F.when(F.col("__k") == 0, F.concat(stem, F.lit(".xmp"))).otherwise(F.concat(stem, F.lit("_"), F.col("__k").cast("string"), F.lit(".xmp"))))
-    own = named.where("__k = 0").select(F.col("export_name").alias("__own"))
-    marked = named.join(own, (F.col("export_name") == F.col("__own")) & (F.col("__k") > 0), "left")
-    count = F.count("*").over(Window.partitionBy(stem))
-    shift = F.concat(stem, F.lit("_"), (F.col("__k") + count).cast("string"), F.lit(".xmp"))
-    return marked.withColumn("export_name", F.when(F.col("__own").isNotNull(), shift).otherwise(F.col("export_name"))).drop("__k", "__own")
+    named = items.withColumn("__k", place.cast("long"))
+    own = named.where("__k = 0").select(F.col(stem).alias("__stem"))
+    number = r"^(.*)_([1-9][0-9]{0,8})$"
+    taken = own.where(F.col("__stem").rlike(number)).select(F.regexp_extract("__stem", number, 1).alias("__stem"), F.regexp_extract("__stem", number, 2).cast("long").alias("__k"))
+    free_before = F.col("__k") - F.row_number().over(Window.partitionBy("__stem").orderBy("__k"))
+    taken = taken.select("__stem", free_before.alias("__k"), F.lit(1).alias("__taken"))
+    later = named.where("__k > 0").select(F.col(stem).alias("__stem"), "__k", F.lit(0).alias("__taken"))
+    passed = F.sum("__taken").over(Window.partitionBy("__stem").orderBy("__k", "__taken").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    numbers = later.unionByName(taken).withColumn("__number", F.col("__k") + passed).where("__taken = 0").select("__stem", "__k", "__number")
+    out = named.join(numbers, (F.col(stem) == F.col("__stem")) & (named["__k"] == numbers["__k"]), "left")
+    name = F.when(F.col("__number").isNull(), F.concat(stem, F.lit(".xmp"))).otherwise(F.concat(stem, F.lit("_"), F.col("__number").cast("string"), F.lit(".xmp")))
+    return out.select(*(named[c] for c in items.columns), name.alias("export_name"))

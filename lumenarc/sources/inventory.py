@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,13 +32,15 @@ def folder_of(path: Column) -> Column:
 def folder_preview(files: DataFrame, indexed: DataFrame, is_image: Column, is_sidecar: Column, names: int = 10) -> DataFrame:
     """SRC-2: per folder: images, sidecars, the first names, how many are indexed and new, and whether all or some are.
 
-    ``files`` and ``indexed`` have a path. Names are kept up to ``names`` per folder while aggregating.
+    ``files`` and ``indexed`` have a path. Tasks pass on at most ``names`` names of a folder (Spark limits the rank before its shuffle).
     """
     known = indexed.select("path").distinct().withColumn("__known", F.lit(True))
     joined = files.join(known, "path", "left").withColumns({"folder": folder_of(F.col("path")), "name": base_name(F.col("path"))})
     per = joined.groupBy("folder").agg(
-        F.count_if(is_image).alias("image_count"), F.count_if(is_sidecar).alias("sidecar_count"), F.count_if(is_image & F.col("__known")).alias("already_indexed"),
-        F.slice(F.array_sort(F.collect_list(F.when(is_image, F.col("name")))), 1, names).alias("names"))
+        F.count_if(is_image).alias("image_count"), F.count_if(is_sidecar).alias("sidecar_count"), F.count_if(is_image & F.col("__known")).alias("already_indexed"))
+    ranked = joined.where(is_image).select("folder", "name", F.row_number().over(Window.partitionBy("folder").orderBy("name")).alias("rank")).where(F.col("rank") <= names)
+    first = ranked.groupBy("folder").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    per = per.join(first, "folder", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
     new = F.greatest(F.lit(0), F.col("image_count") - F.col("already_indexed"))
     full = (F.col("image_count") > 0) & (F.col("already_indexed") >= F.col("image_count"))
     return per.withColumns({"new_count": new, "fully_indexed": full, "partially_indexed": (F.col("already_indexed") > 0) & ~full})
@@ -58,13 +60,18 @@ def attach_sidecars(images: DataFrame, sidecars: DataFrame) -> DataFrame:
     return images.join(best_by(tried, ["path"], [F.col("rank")]).select("path", *fields), "path", "left")
 
 
-def write_catalogue(table: DataFrame, path: str) -> None:
-    """SRC-4: a new version of a table, partitioned by batch; switch readers to it afterwards."""
-    table.repartition("import_id").write.partitionBy("import_id").parquet(path)
+def write_catalogue(table: DataFrame, path: str, files: int = 8) -> None:
+    """SRC-4: a new version of a table, partitioned by batch, each of which ``files`` tasks write; switch readers to it afterwards."""
+    salt = F.pmod(F.xxhash64(*(c for c in table.columns if c != "import_id")), F.lit(files))
+    table.repartition(F.col("import_id"), salt).write.partitionBy("import_id").parquet(path)
 
 
 def read_catalogue(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+    """A written table; batch ids are text, as they were (007 stays 007)."""
+    if schema is None:
+        found = spark.read.parquet(path).schema
+        schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name == "import_id" else f for f in found])
+    return spark.read.schema(schema).parquet(path)
 
 
 def ingest(files: DataFrame, catalogue: DataFrame, batch: str, root: str, force: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -146,6 +146,56 @@ def test_export_names_collide(spark):
     assert len(set(names)) == 4 and names[0] == "a.xmp" and names[2] == "a_1.xmp"
 
 
+def test_export_names_are_unique(spark):
+    stems = ["a", "a", "a_1", "a_3", "a", "a_3", "a_1", "a", "a_1_1", "b", "a_01", "a"]
+    items = spark.createDataFrame(list(enumerate(stems)), "pos int, stem string")
+    names = [r.export_name for r in exports.export_names(items, "stem", "pos").orderBy("pos").collect()]
+    assert len(set(names)) == len(stems)
+    assert names == ["a.xmp", "a_2.xmp", "a_1.xmp", "a_3.xmp", "a_4.xmp", "a_3_1.xmp", "a_1_2.xmp", "a_5.xmp", "a_1_1.xmp", "b.xmp", "a_01.xmp", "a_6.xmp"]
+    assert exports.export_names(items.where("false"), "stem", "pos").count() == 0
+
+
+def test_the_last_of_repeated_edits_wins(spark):
+    from lumenarc.operators import catalogue as C
+
+    table = spark.createDataFrame([(1, "old", None), (2, "keep", "n")], "id int, name string, notes string")
+    edits = spark.createDataFrame([(1, "first", 1, 1), (1, "last", 2, 0), (1, "middle", 1, 2), (3, "new", 1, 1), (3, "newer", 1, 2)], "id int, name string, ts int, seq int")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(C.upsert(table, edits, "id").select("id", "name")) == [(1, "last"), (2, "keep"), (3, "newer")]
+    assert rows(C.upsert_authority(table.select("id", "name"), edits.select("id", "name"))) == [(1, "middle"), (2, "keep"), (3, "newer")]
+    faces = spark.createDataFrame([("f1", "c1", "x", "KI_AUTO"), ("f2", "c1", None, "KI_AUTO"), ("f3", None, None, "KI_AUTO")], "face_id string, cluster_id string, label string, curation_status string")
+    named = spark.createDataFrame([("c1", "A", 1), ("c1", "B", 2)], "cluster_id string, new_label string, ts int")
+    assert sorted((r.face_id, r.label) for r in C.label_clusters(faces, named).collect()) == [("f1", "B"), ("f2", "B"), ("f3", None)]
+    single = spark.createDataFrame([("f3", "A", 2), ("f3", "B", 1), ("f3", " ", 3)], "face_id string, new_label string, ts int")
+    assert [r.label for r in C.label_faces(faces, single).where("face_id = 'f3'").collect()] == ["A"]
+    states = spark.createDataFrame([("f1", "verified", 1), ("f1", "ki_auto", 2), ("f1", "odd", 3)], "face_id string, status string, ts int")
+    assert sorted((r.face_id, r.curation_status) for r in C.set_curation(faces, states, "face_id").collect()) == [("f1", "KI_AUTO"), ("f2", "KI_AUTO"), ("f3", "KI_AUTO")]
+    assert C.upsert(table, edits.where("false"), "id").count() == 2
+
+
+def test_catalogue_keeps_batch_ids(spark, tmp_path):
+    table = spark.createDataFrame([(1, "007"), (2, "007"), (3, "12"), (4, None)], "id int, import_id string")
+    inventory.write_catalogue(table, str(tmp_path / "t"), files=2)
+    assert sorted((r.id, r.import_id) for r in inventory.read_catalogue(spark, str(tmp_path / "t")).collect()) == [(1, "007"), (2, "007"), (3, "12"), (4, None)]
+
+
+def test_best_terms_in_blocks(spark, monkeypatch):
+    from lumenarc.operators import similarity
+
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(i, rng.random(4).tolist()) for i in range(30)], "query_id long, vector array<double>")
+    terms = spark.createDataFrame([(i, rng.random(4).tolist()) for i in range(9)], "id long, vector array<double>")
+    got = lambda: sorted((r.query_id, r.id, r.score, r["rank"]) for r in similarity.best_for_rows(rows, terms, 3).collect())
+    whole = got()
+    unit = lambda df: {r[0]: np.array(r.vector) / np.linalg.norm(r.vector) for r in df.collect()}
+    a, b = unit(rows), unit(terms)
+    want = [(q, t, pytest.approx(float(a[q] @ b[t]), abs=2e-6), k + 1) for q in a for k, t in enumerate(sorted(b, key=lambda t: -a[q] @ b[t])[:3])]
+    assert whole == sorted(want, key=lambda w: w[:2])
+    monkeypatch.setattr(similarity, "BROADCAST_BYTES", 100)
+    assert got() == whole
+    assert similarity.best_for_rows(rows, terms.where("false"), 3).count() == 0
+
+
 def test_ingest_stream(spark, tmp_path):
     source, out = tmp_path / "in", str(tmp_path / "catalogue")
     schema = "path string, size long"
