@@ -252,9 +252,7 @@ def score_of(model: ToxicityModel) -> Column:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope and offset by Newton's method, with a small ridge; (1, 0) without both labels."""
-    if len(x) == 0 or y.min() == y.max():
-        return 1.0, 0.0
+    """Slope and offset by Newton's method, with a small ridge."""
     scale = float(np.std(x)) or 1.0
     z, w = np.c_[x / scale, np.ones(len(x))], np.zeros(2)
     for _ in range(steps):
@@ -287,7 +285,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """Fit on rows whose crc32(id as text) mod ``folds`` is not ``held_out``: one further fold sets the curve, all others the counts.
 
     Labels of one id that disagree count as toxic; labels that are null or not 0 or 1, and null ids, aren't used. Texts are whole; null counts as empty.
-    Rows of a repeated id count with its label each. At most ``calibration_rows`` rows fit the curve. Without labels of both classes every score is 0.5.
+    Rows of a repeated id count with its label each. At most ``calibration_rows`` rows fit the curve. Without labels of both classes every score is 0.
     """
     spark = docs.sparkSession
     limit_batches(spark)
@@ -321,8 +319,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     chosen = marks.where(fold == tune).orderBy(F.xxhash64("id"), "id").limit(calibration_rows)
     scored = with_value(read.join(F.broadcast(chosen), "id").select("label", "text"), model).select("label", VALUE).toArrow()
     value, label = np.asarray(scored[VALUE], float), np.asarray(scored["label"], float)
-    slope, offset = logistic(value, label)
+    slope, offset = 0.0, -30.0
     if len(value) and label.min() < label.max():
+        slope, offset = logistic(value, label)
         # values that don't rise with toxicity tell nothing
         slope, offset = (slope, -slope * best_cut(value, label)) if slope > 0 else (0.0, float(np.log(label.mean() / (1 - label.mean()))))
     return ToxicityModel(model.differences, parts, slope, offset)

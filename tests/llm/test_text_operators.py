@@ -170,7 +170,7 @@ def test_toxicity_is_learned_and_ignores_held_out_labels(docs, spark):
     kept = toxicity.drop_toxic(df, model)
     assert kept.columns == df.columns and kept.count() == sum(s < 0.5 for s in got.values())
     none = toxicity.fit_toxicity(df, marks.where("false"))
-    assert {r.score for r in toxicity.score_toxicity(df, none).collect()} == {0.5}
+    assert max(r.score for r in toxicity.score_toxicity(df, none).collect()) < 1e-9 and toxicity.drop_toxic(df, none).count() == df.count()
     assert toxicity.score_toxicity(docs([]), model).count() == 0
 
 
