@@ -14,25 +14,31 @@ from lumenarc.llm._tokens import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below 0.5, by models fitted on the labels of these documents."""
+    """Documents whose toxicity score is below 0.5, by models fitted on the labels of these documents.
+
+    Null and empty texts stay; without labels of both classes nothing is toxic; repeated rows are judged alike; an empty table stays empty.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.drop_toxic(docs, toxicity.fit_toxicity(docs, labels))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts (null counts as empty); rows that tie are interchangeable, one stays; an empty table stays empty."""
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each near-duplicate class, that with the least id; texts without words are one class; an empty table stays empty."""
     return dart_minhash.one_per_class(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, in training order."""
+    """Documents as often as the mix takes them, in training order; texts without words aren't taken; an empty table stays empty."""
     return mixing.mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece; null and empty texts are one piece of one token, repeated rows are documents of their own; an empty table gives no pieces."""
     return packing.pack(docs, tokenizer_path())
 
 
