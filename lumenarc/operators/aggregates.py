@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenarc.functions.text import filled
+from lumenarc.functions.text import EPOCHS, filled
 
 
 def cluster_summary(faces: DataFrame) -> DataFrame:
@@ -34,9 +34,22 @@ def fixity_summary(table: DataFrame) -> DataFrame:
 
 
 def year_range(years: DataFrame) -> DataFrame:
-    """AGG-4: least and greatest year, clamped to 1840-1900 and 2025-2030."""
-    low = F.least(F.greatest(F.min("year"), F.lit(1840)), F.lit(1900))
-    return years.agg(low.alias("min_year"), F.greatest(F.least(F.max("year"), F.lit(2030)), F.lit(2025)).alias("max_year"))
+    """AGG-4: least and greatest year, clamped to 1840-1900 and 2025-2030; 1860 and 2026 where there is none."""
+    low = F.least(F.greatest(F.coalesce(F.min("year"), F.lit(1860)), F.lit(1840)), F.lit(1900))
+    return years.agg(low.alias("min_year"), F.greatest(F.least(F.coalesce(F.max("year"), F.lit(2026)), F.lit(2030)), F.lit(2025)).alias("max_year"))
+
+
+def facet_values(records: DataFrame, year: Column) -> DataFrame:
+    """AGG-4: (facet, value, n) of every creator, signature, batch and epoch with the records it holds, from one pass over the table.
+
+    Blank values are left out, records without a batch make the legacy one, a year may lie in two epochs. See year_range() for the span of years.
+    """
+    one = lambda facet, value: F.struct(F.lit(facet).alias("facet"), value.alias("value"))
+    batch = F.coalesce(filled(F.col("import_id")), F.lit("legacy"))
+    epochs = F.array(*(one("epoch", F.when(F.col("__year").between(a, b), name)) for name, a, b in EPOCHS))
+    each = F.concat(F.array(one("creator", filled(F.col("creator"))), one("signature", filled(F.col("signature"))), one("batch", batch)), epochs)
+    found = records.withColumn("__year", year).select(F.explode(each).alias("f")).select("f.*").where("value is not null")
+    return found.groupBy("facet", "value").agg(F.count("*").alias("n"))
 
 
 def distinct_values(df: DataFrame, column: str, limit: int = 100) -> DataFrame:

@@ -153,6 +153,42 @@ def rollback(table: DataFrame, batch: str) -> DataFrame:
     return table.where(~F.col("import_id").eqNullSafe(F.lit(batch)))
 
 
+def create_batches(journal: DataFrame, created: DataFrame) -> DataFrame:
+    """UPS-10: (id, name, folder_path, started_at, status, notes) into the journal.
+
+    An id that is there takes the new name, folder and status (running where none is given), keeps its start and counts, and its notes unless new ones are given.
+    """
+    asked = created.withColumns({"name": F.trim("name"), "folder_path": F.trim("folder_path"), "status": F.coalesce("status", F.lit("running"))})
+    new = lambda c: F.when(F.col("u.__hit"), F.col(f"u.{c}")).otherwise(F.col(f"t.{c}"))
+    rules = {c: new(c) for c in ("name", "folder_path", "status")} | {"notes": keep_or_new("notes"), "started_at": F.coalesce("t.started_at", "u.started_at")}
+    return merge(journal, asked, "id", rules | {c: F.coalesce(f"t.{c}", F.lit(0)) for c in ("image_count", "face_count", "skipped_count") if c in journal.columns})
+
+
+def update_batches(journal: DataFrame, updates: DataFrame) -> DataFrame:
+    """UPS-10: values that aren't null replace the journal's; ids that the journal lacks are ignored."""
+    return upsert(journal, updates.join(journal.select("id"), "id", "left_semi"), "id")
+
+
+def rename_batches(journal: DataFrame, names: DataFrame) -> DataFrame:
+    """UPS-10: (id, name): blank names are ignored."""
+    return update_batches(journal, names.withColumn("name", filled(F.col("name"))).where("name is not null"))
+
+
+def rollback_batch(batch: str, journal: DataFrame, *tables: DataFrame) -> tuple[DataFrame, ...]:
+    """UPS-10: the journal without the batch's row, then images, faces, metadata (any tables with import_id) without its rows, as versions to be switched to together."""
+    return journal.where(~F.col("id").eqNullSafe(F.lit(batch))), *(rollback(t, batch) for t in tables)
+
+
+def seed_journal(journal: DataFrame, images: DataFrame, faces: DataFrame, batch: str = "batch_initial_legacy") -> DataFrame:
+    """UPS-10: an empty journal gets one completed row with the counts of what exists, none if there are no images."""
+    if not journal.isEmpty():
+        return journal
+    seen = lambda df, image: df.select(F.lit(image).alias("image_count"), F.lit(1 - image).alias("face_count"))
+    counts = seen(images, 1).unionByName(seen(faces, 0)).agg(F.sum("image_count").alias("image_count"), F.sum("face_count").alias("face_count")).where("image_count > 0")
+    row = counts.withColumns({"id": F.lit(batch), "status": F.lit("completed")})
+    return row.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in row.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in journal.schema))
+
+
 def update_fixity(table: DataFrame, checks: DataFrame, key: str) -> DataFrame:
     """UPS-11: status and time from the check; the hash only if given."""
     c = last_edit(checks, key).select(key, F.col("status").alias("__status"), F.col("checked_at").alias("__at"), F.col("sha256").alias("__sha"))

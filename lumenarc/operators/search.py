@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenarc.functions.text import filled
-from lumenarc.functions.vectors import cosine, doubles
+from lumenarc.functions.vectors import blend_vector, cosine, doubles
+from lumenarc.operators.filters import contains
+from lumenarc.operators.graph import checkpointed
+from lumenarc.operators.similarity import stack_results
 
 # fixed values: scores of the kinds of hits
 EXACT, PART, WORD = 1.0, 0.98, 0.95
@@ -56,20 +59,63 @@ def fuse_hits(persons: DataFrame, metadata: DataFrame, vectors: DataFrame) -> Da
     return every.groupBy("file_path").agg(F.max("score").alias("score"), F.min_by("match_type", "rank").alias("match_type"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("persons")))).alias("persons"))
 
 
-def hybrid_search(faces: DataFrame, table: DataFrame, images: DataFrame, query: str, vector: list[float], expansion: list[str] = (), columns: tuple[str, ...] = ("title", "description"),
-                  threshold: float = 0.20, offset: int = 0, limit: int = 50, where: Column | None = None) -> DataFrame:
-    """SRCH-1: person, metadata and vector hits fused and paged, by score, then path, both descending. Facets (``where`` over ``table``) apply to every leg.
+def cluster_hits(faces: DataFrame, clusters: DataFrame, query: str, exact: bool) -> DataFrame:
+    """FLT-4 as a leg of a search: images with a face of a named cluster (id, name, notes) whose name or notes hold the query."""
+    found = clusters.where(contains(F.col("name"), query) | contains(F.col("notes"), query)).select(F.col("id").alias("cluster_id"), filled(F.col("name")).alias("name")).where("name is not null")
+    return faces.join(found, "cluster_id").groupBy("file_path").agg(F.lit(EXACT if exact else PART).alias("score"), F.array_sort(F.collect_set("name")).alias("persons"))
+
+
+def recto_hits(metadata: DataFrame, pairs: DataFrame, persons: DataFrame) -> DataFrame:
+    """JN-6 as a leg of a search: rectos (``pairs``: recto_path, verso_path) of versos that a text hit, a hundredth below them, unless they are hits themselves."""
+    moved = metadata.join(pairs.select(F.col("verso_path").alias("file_path"), "recto_path").where("recto_path is not null"), "file_path")
+    best = moved.groupBy(F.col("recto_path").alias("file_path")).agg(F.round(F.max("score") - 0.01, 2).alias("score"))
+    return best.join(metadata.select("file_path"), "file_path", "left_anti").join(persons.select("file_path"), "file_path", "left_anti")
+
 
-    An exact person query drops vector hits below 0.28.
+def stacked(hits: DataFrame, images: DataFrame, threshold: float, window: int) -> DataFrame:
+    """STK-1 over the first ``window`` fused hits, by score, then path: one row per stack with ``stack_size``. Images without a vector stand alone."""
+    order = Window.orderBy(F.desc("score"), F.desc("file_path"))
+    first = checkpointed(hits.orderBy(F.desc("score"), F.desc("file_path")).limit(window).withColumn("rank", F.row_number().over(order)))
+    seen = images.where("vector is not null").join(F.broadcast(first.select("file_path")), "file_path", "left_semi").groupBy("file_path").agg(F.min("vector").alias("vector"))
+    numbered = first.join(seen, "file_path", "left")
+    rows = numbered.where("vector is not null").select(F.lit(0).cast("long").alias("query_id"), F.col("rank").cast("long").alias("id"), "rank", "vector")
+    sizes = stack_results(rows, threshold).groupBy(F.col("stack_of").alias("rank")).agg(F.count("*").alias("stack_size"))
+    heads = numbered.drop("vector").join(sizes, "rank", "left").where("stack_size is not null").unionByName(numbered.where("vector is null").drop("vector").withColumn("stack_size", F.lit(1).cast("long")))
+    return heads.drop("rank")
+
+
+def hybrid_search(faces: DataFrame, table: DataFrame, images: DataFrame, query: str, vector: list[float], expansion: list[str] = (), columns: tuple[str, ...] = ("title", "description"),
+                  threshold: float = 0.20, offset: int = 0, limit: int = 50, where: Column | None = None, clusters: DataFrame | None = None, pairs: DataFrame | None = None,
+                  prompt_vector: list[float] | None = None, stack: float | None = None) -> DataFrame:
+    """SRCH-1: person, cluster, metadata, verso and vector hits fused, stacked and paged, by score, then path, both descending.
+
+    Facets (``where`` over ``table``) apply to every leg; a path that ``table`` lacks is no hit then. A query that equals the name of a face or
+    cluster drops vector hits below 0.28. ``clusters`` (id, name, notes) adds the images of clusters that the query finds, ``pairs`` (recto_path,
+    verso_path) the rectos of versos with a text hit, ``prompt_vector`` is blended into the query's by a quarter. With ``stack``, hits of that cosine or
+    more become one row with a ``stack_size``; stacks are made of the best 600 hits, of three times the page's end where that is more.
     """
     if where is not None:
         allowed = table.where(where).select("file_path")
         faces, images, table = (df.join(allowed, "file_path", "left_semi") for df in (faces, images, table))
     persons = person_hits(faces, query)
     exact = not persons.where(F.col("score") == EXACT).isEmpty()
+    if clusters is not None:
+        exact = exact or not clusters.where(F.lower(F.trim("name")) == query.strip().lower()).isEmpty()
+        persons = persons.unionByName(cluster_hits(faces, clusters, query, exact))
+    metadata = metadata_hits(table, query, list(expansion), columns)
+    if pairs is not None:
+        backs = recto_hits(metadata, pairs, persons)
+        if where is not None:
+            backs = backs.join(allowed, "file_path", "left_semi")
+        metadata = metadata.select("file_path", "score").unionByName(backs)
+    if prompt_vector is not None:
+        literal = lambda v: F.array(*(F.lit(float(x)) for x in v))
+        vector = table.sparkSession.range(1).select(blend_vector(literal(vector), literal(prompt_vector))).first()[0]
     fetch = min(600, max(80, 3 * (offset + limit)))
     vectors = vector_hits(images, vector, max(threshold, 0.28) if exact else threshold, fetch)
-    fused = fuse_hits(persons, metadata_hits(table, query, list(expansion), columns), vectors)
+    fused = fuse_hits(persons, metadata, vectors)
+    if stack is not None:
+        fused = stacked(fused, images, stack, max(600, 3 * (offset + limit)))
     return fused.orderBy(F.desc("score"), F.desc("file_path")).offset(offset).limit(limit)
 
 

@@ -46,6 +46,13 @@ def expansion_terms(canonical: Column, synonyms: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(F.array(canonical), F.coalesce(synonyms, F.array().cast("array<string>")))))
 
 
+def expansion_of(query: str, vocabulary: DataFrame) -> list[str]:
+    """JN-13 and SET-3 for one query: the terms of the entry that it names, in order; none if there is no such entry."""
+    asked = vocabulary.select(F.lit(query).alias("query")).limit(1)
+    found = expand_terms(asked, vocabulary).select("canonical").join(vocabulary, "canonical").select(expansion_terms(F.col("canonical"), F.col("synonyms")).alias("terms")).orderBy("terms").first()
+    return list(found.terms) if found else []
+
+
 def autocomplete(vocabulary: DataFrame, prefix: str, limit: int = 8) -> DataFrame:
     """TOP-8: terms by prefix of two letters or more: canonical ones in vocabulary order, then the first matching synonym of the other entries."""
     p = prefix.strip().lower()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lumenarc.functions.text import EPOCHS
 from lumenarc.operators import aggregates as A
 from lumenarc.operators import joins as J
 from lumenarc.operators import pairs as P
@@ -155,6 +156,14 @@ def agg_4(spark, d):
     return A.year_range(made(spark, d, "dated").select(F.col("true_year").cast("long").alias("year"))).select(F.col("min_year").cast("long").alias("min_year"), F.col("max_year").cast("long").alias("max_year"))
 
 
+_EPOCH_SQL = " UNION ALL ".join(f"SELECT 'epoch', '{name}' FROM dated WHERE true_year BETWEEN {a} AND {b}" for name, a, b in EPOCHS)
+
+
+@query("AGG_4_facet_values", ctes("dated") + f"SELECT facet, value, count(*) AS n FROM (SELECT 'creator' AS facet, creator AS value FROM dated UNION ALL SELECT 'signature', signature FROM dated UNION ALL SELECT 'batch', coalesce(nullif(import_id, ''), 'legacy') FROM dated UNION ALL {_EPOCH_SQL}) t GROUP BY facet, value")
+def agg_4_values(spark, d):
+    return A.facet_values(made(spark, d, "dated"), F.col("true_year"))
+
+
 @query("AGG_5_distinct_values", "SELECT DISTINCT trim(c_name) AS value FROM customer WHERE trim(c_name) <> '' ORDER BY value LIMIT 100")
 def agg_5(spark, d):
     return A.distinct_values(table(spark, d, "customer"), "c_name")

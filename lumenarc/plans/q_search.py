@@ -133,6 +133,46 @@ def srch_1(spark, d):
     return R.hybrid_search(faces, docs, images, "Person src3", _vector(spark, d, 7), offset=5, limit=25, where=F.col("signature") == "en")
 
 
+def _all_legs(spark, d, **options):
+    """Every leg: faces of some records, clusters by nation, sheets of two neighbouring records, sources as vocabulary."""
+    _, docs, images = _search_tables(spark, d)
+    faces = docs.where("id % 3 = 0").select("file_path", F.when(F.col("id") % 2 == 0, F.concat(F.lit("Person "), "creator")).alias("label"), F.concat(F.lit("cluster_"), (F.col("id") % 25).cast("string")).alias("cluster_id"))
+    nation = table(spark, d, "nation")
+    clusters = nation.select(F.concat(F.lit("cluster_"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("name"), F.concat(F.lit("src"), (F.col("n_nationkey") % 10).cast("string")).alias("notes"))
+    rectos = docs.where("id % 2 = 0").select((F.col("id") + 1).alias("id"), F.col("file_path").alias("recto_path"))
+    pairs = docs.join(rectos, "id").select("recto_path", F.col("file_path").alias("verso_path"))
+    number = F.col("n_nationkey").cast("long")
+    vocabulary = nation.select(F.concat(F.lit("src"), number.cast("string")).alias("canonical"), number.alias("position"), F.array(F.concat(F.lit("src"), (number + 1).cast("string"))).alias("synonyms"))
+    return R.hybrid_search(faces, docs, images, "src3", _vector(spark, d, 7), W.expansion_of("src3", vocabulary), ("title", "creator"), where=F.col("signature") != "en",
+                           clusters=clusters, pairs=pairs, prompt_vector=_vector(spark, d, 8), **options)
+
+
+_NORM = "list_transform({v}, lambda x: x / sqrt(list_dot_product({v}, {v})))"
+
+
+@query("SRCH_1_hybrid_search_all_legs", ctes("records", "vectors").rstrip() + f""", ok AS (SELECT * FROM records WHERE signature <> 'en'),
+    f AS (SELECT file_path, CASE WHEN id % 2 = 0 THEN 'Person ' || creator END AS label, 'cluster_' || (id % 25) AS cluster_id FROM ok WHERE id % 3 = 0),
+    p AS (SELECT file_path, CAST(0.98 AS DOUBLE) AS score, [label] AS persons FROM f WHERE contains(lower(label), 'src3')
+        UNION ALL SELECT file_path, 0.98, [n_name] FROM f JOIN nation ON cluster_id = 'cluster_' || n_nationkey WHERE contains(lower(n_name), 'src3') OR contains('src' || (n_nationkey % 10), 'src3')),
+    m0 AS (SELECT file_path, CAST(0.90 AS DOUBLE) AS score FROM ok WHERE contains(lower(concat_ws(chr(1), title, creator)), 'src3') ORDER BY file_path LIMIT 40),
+    m1 AS (SELECT file_path, CAST(0.88 AS DOUBLE) AS score FROM ok WHERE contains(lower(concat_ws(chr(1), title, creator)), 'src4') ORDER BY file_path LIMIT 40),
+    m AS (SELECT file_path, max(score) AS score FROM (SELECT * FROM m0 UNION ALL SELECT * FROM m1) t GROUP BY file_path),
+    b AS (SELECT r.file_path, round(max(m.score) - 0.01, 2) AS score FROM m JOIN records s ON s.file_path = m.file_path JOIN ok r ON r.id = s.id - 1 AND r.id % 2 = 0
+        WHERE r.file_path NOT IN (SELECT file_path FROM m) AND r.file_path NOT IN (SELECT file_path FROM p) GROUP BY r.file_path),
+    q AS (SELECT list_transform(list_zip({_NORM.format(v='x.vector')}, {_NORM.format(v='y.vector')}), lambda z: 0.75 * z[1] + 0.25 * z[2]) AS vector FROM vectors x, vectors y WHERE x.id = 7 AND y.id = 8),
+    v AS (SELECT file_path, {_COS} AS score FROM ok JOIN vectors v ON ok.id % 500 = v.id, q WHERE {_COS} >= 0.2 ORDER BY score DESC, file_path DESC LIMIT 600),
+    u AS (SELECT file_path, score, 0 AS r, 'person' AS k, persons FROM p UNION ALL SELECT file_path, score, 1, 'metadata', [] FROM m UNION ALL SELECT file_path, score, 1, 'metadata', [] FROM b UNION ALL SELECT file_path, score, 2, 'clip', [] FROM v)
+    SELECT file_path, CAST(max(score) AS DOUBLE) AS score, arg_min(k, r) AS match_type, list_sort(list_distinct(flatten(list(persons)))) AS persons FROM u GROUP BY file_path ORDER BY score DESC, file_path DESC LIMIT 300 OFFSET 5""")
+def srch_1_all(spark, d):
+    return _all_legs(spark, d, offset=5, limit=300)
+
+
+@query("SRCH_1_hybrid_search_stacked")
+def srch_1_stacked(spark, d):
+    """With stacks; no SQL, as they are made greedily."""
+    return _all_legs(spark, d, offset=0, limit=60, stack=0.92)
+
+
 @query("SRCH_2_similar_images", ctes("vectors") + f"SELECT v.id, {_COS} AS score FROM vectors v, (SELECT vector FROM vectors WHERE id = 11) q ORDER BY score DESC, id LIMIT 12")
 def srch_2(spark, d):
     return S.vector_topk(vectors(spark, d), _vector(spark, d, 11), 12)

@@ -103,6 +103,29 @@ def ups_10b(spark, d):
     return C.rollback(made(spark, d, "records"), "src5").select("id", "import_id")
 
 
+_JOURNAL = """SELECT concat('b', o_custkey) AS id, concat('Batch ', o_custkey) AS name, '/arch' AS folder_path, min(o_orderdate) AS started_at, 'completed' AS status, CASE WHEN o_custkey % 2 = 0 THEN 'old' END AS notes,
+    count(*) AS image_count, CAST(0 AS BIGINT) AS face_count, CAST(0 AS BIGINT) AS skipped_count FROM orders WHERE o_custkey % 3 < 2 GROUP BY o_custkey"""
+_CREATED = "SELECT DISTINCT concat('b', o_custkey) AS id, concat(' New ', o_custkey, ' ') AS name, '/new' AS folder_path, TIMESTAMP '2024-05-01 00:00:00' AS started_at, CAST(NULL AS VARCHAR(9)) AS status, CASE WHEN o_custkey % 4 = 0 THEN 'fresh' END AS notes FROM orders WHERE o_custkey % 3 > 0"
+
+
+@query("UPS_10_create", f"""WITH j AS ({_JOURNAL}), c AS ({_CREATED}) SELECT coalesce(j.id, c.id) AS id, coalesce(trim(c.name), j.name) AS name, coalesce(c.folder_path, j.folder_path) AS folder_path, coalesce(j.started_at, c.started_at) AS started_at,
+    CASE WHEN c.id IS NOT NULL THEN 'running' ELSE j.status END AS status, coalesce(c.notes, j.notes) AS notes, coalesce(image_count, 0) AS image_count, coalesce(face_count, 0) AS face_count, coalesce(skipped_count, 0) AS skipped_count FROM j FULL JOIN c ON j.id = c.id""")
+def ups_10_create(spark, d):
+    return C.create_batches(_sql(spark, d, _JOURNAL, "orders"), _sql(spark, d, _CREATED, "orders"))
+
+
+@query("UPS_10_update", f"""WITH j AS ({_JOURNAL}) SELECT id, CASE WHEN CAST(substr(id, 2) AS BIGINT) % 5 = 0 THEN concat('Renamed ', substr(id, 2)) ELSE name END AS name, CASE WHEN CAST(substr(id, 2) AS BIGINT) % 5 = 1 THEN 'failed' ELSE status END AS status,
+    CASE WHEN CAST(substr(id, 2) AS BIGINT) % 5 = 1 THEN 7 ELSE skipped_count END AS skipped_count, image_count FROM j""")
+def ups_10_update(spark, d):
+    """Partial updates of some batches and of none that exists, then names, blank ones among them."""
+    journal = _sql(spark, d, _JOURNAL, "orders")
+    number = F.substring("id", 2, 20).cast("long")
+    updates = journal.where(number % 5 == 1).select("id", F.lit("failed").alias("status"), F.lit(None).cast("long").alias("image_count"), F.lit(7).cast("long").alias("skipped_count"))
+    updates = updates.unionByName(updates.withColumn("id", F.concat(F.lit("no"), "id")))
+    names = journal.where(number % 5 < 2).select("id", F.when(number % 5 == 0, F.concat(F.lit(" Renamed "), F.substring("id", 2, 20))).otherwise("  ").alias("name"))
+    return C.rename_batches(C.update_batches(journal, updates), names).select("id", "name", "status", "skipped_count", "image_count")
+
+
 @query("UPS_11_update_fixity", ctes("fixity") + "SELECT id, CASE WHEN id % 5 = 0 THEN 'OK' ELSE fixity_status END AS fixity_status, CASE WHEN id % 5 = 0 THEN TIMESTAMP '2024-05-01 00:00:00' ELSE last_fixity_check END AS last_fixity_check, CASE WHEN id % 10 = 0 THEN 'abc' ELSE sha256 END AS sha256 FROM fixity")
 def ups_11(spark, d):
     t = made(spark, d, "fixity")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenarc.operators import aggregates, catalogue, fixity, similarity
+from lumenarc.operators import aggregates, catalogue, fixity, search, similarity
 from lumenarc.operators.graph import connected_components
 from lumenarc.operators.windows import row_numbers
 from lumenarc.sources import exports, inventory
@@ -215,3 +215,53 @@ def test_alert_stream(spark, tmp_path):
         alerts = streams.fixity_alert_stream(spark.readStream.schema(schema).json(str(source)))
         alerts.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(60)
     assert sorted(r.file_path for r in spark.read.parquet(out).collect()) == ["a", "c", "d"]
+
+
+def _archive(spark):
+    """Six images of two batches: 1 and 2 look alike, 3 is a verso with the word, 4 its recto, 5 is of another batch, 6 has neither vector nor face."""
+    table = spark.createDataFrame([(f"/{i}", text, "b2" if i == 5 else "b1") for i, text in enumerate(["", "", "kelch", "", "kelch", None], 1)], "file_path string, title string, import_id string")
+    near = [1.0, 0.1]
+    images = spark.createDataFrame([("/1", [1.0, 0.0]), ("/2", near), ("/3", [0.0, 1.0]), ("/4", [-1.0, 0.0]), ("/5", [1.0, 0.0]), ("/6", None)], "file_path string, vector array<double>")
+    faces = spark.createDataFrame([("/1", "Anna", "c1"), ("/4", None, "c2"), ("/5", "Anna", "c1")], "file_path string, label string, cluster_id string")
+    clusters = spark.createDataFrame([("c2", "Berta", "kelch"), ("c3", None, "kelch")], "id string, name string, notes string")
+    pairs = spark.createDataFrame([("/4", "/3")], "recto_path string, verso_path string")
+    return faces, table, images, clusters, pairs
+
+
+def test_search_legs_keep_to_the_batch(spark):
+    faces, table, images, clusters, pairs = _archive(spark)
+    find = lambda query, **more: {r.file_path: (round(r.score, 2), r.match_type, r.persons) for r in search.hybrid_search(faces, table, images, query, [1.0, 0.0], columns=("title",), where=F.col("import_id") == "b1", **more).collect()}
+    plain = find("kelch")
+    assert plain == {"/1": (1.0, "clip", []), "/2": (1.0, "clip", []), "/3": (0.9, "metadata", [])} and "/5" not in plain
+    assert find("kelch", pairs=pairs)["/4"] == (0.89, "metadata", [])
+    assert find("kelch", pairs=pairs, clusters=clusters)["/4"] == (0.98, "person", ["Berta"])
+    assert find("BERTA", clusters=clusters)["/4"] == (1.0, "person", ["Berta"])
+
+
+def test_search_stacks_before_paging(spark):
+    faces, table, images, _, _ = _archive(spark)
+    found = search.hybrid_search(faces, table, images, "kelch", [1.0, 0.0], columns=("title",), stack=0.92, limit=2).collect()
+    assert [(r.file_path, r.stack_size) for r in found] == [("/5", 3), ("/3", 1)]
+    alone = search.stacked(spark.createDataFrame([("/6", 0.5)], "file_path string, score double"), images, 0.9, 10).collect()
+    assert [(r.file_path, r.stack_size) for r in alone] == [("/6", 1)]
+    assert search.stacked(spark.createDataFrame([], "file_path string, score double"), images, 0.9, 10).isEmpty()
+
+
+def test_batches(spark):
+    schema = "id string, name string, folder_path string, started_at timestamp, status string, notes string, image_count long, face_count long, skipped_count long"
+    empty = spark.createDataFrame([], schema)
+    rows = spark.createDataFrame([(1, "b1"), (2, None), (3, "b1")], "id long, import_id string")
+    seeded = catalogue.seed_journal(empty, rows, rows.limit(1)).collect()
+    assert [(r.id, r.status, r.image_count, r.face_count, r.notes) for r in seeded] == [("batch_initial_legacy", "completed", 3, 1, None)]
+    assert catalogue.seed_journal(empty, rows.limit(0), rows).isEmpty()
+    journal = spark.createDataFrame([("b1", "x", "/", None, "running", None, 2, 0, 0), ("b2", "y", "/", None, "running", None, 0, 0, 0)], schema)
+    assert catalogue.seed_journal(journal, rows, rows) is journal
+    left, images, faces = catalogue.rollback_batch("b1", journal, rows, rows.limit(0))
+    assert [r.id for r in left.collect()] == ["b2"] and [r.id for r in images.collect()] == [2] and faces.isEmpty()
+    assert {r.id: r.name for r in catalogue.rename_batches(journal, spark.createDataFrame([("b1", " new "), ("b2", " "), ("b9", "z")], "id string, name string")).collect()} == {"b1": "new", "b2": "y"}
+
+
+def test_facets_of_nothing(spark):
+    assert aggregates.year_range(spark.createDataFrame([], "year int")).first() == (1860, 2026)
+    nulls = spark.createDataFrame([(None, " ", None, None)], "creator string, signature string, import_id string, y int")
+    assert [tuple(r) for r in aggregates.facet_values(nulls, F.col("y")).collect()] == [("batch", "legacy", 1)]
