@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenarc.llm import dart_minhash, exact_dedup, html_main, mixing, packing, quality_rules, token_binary, token_counts, toxicity, warc
+from lumenarc.llm import alignment, centroids, dart_minhash, exact_dedup, html_main, mixing, packing, quality_rules, token_binary, token_counts, toxicity, warc
 from lumenarc.llm._store import cut, fresh_path
 from lumenarc.llm._tokens import tokenizer_path
 
@@ -73,10 +73,43 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, tokenizer_path(), cache)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts, and texts that either tokenizer does not give back byte for byte, have zeros; repeated rows each have a row."""
+    return alignment.alignment_scores(_table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of other widths or with null or non-finite components have no row; repeated rows each have one; an empty table gives an empty one."""
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_near_duplicates, op3_best_fit_packing, op4_mix_sources, op5_exact_dedup, op6_html_main_text, op7_token_binary, op8_warc_round_trip, op9_toxicity, op10_token_counts)
-}
+    for f in (op1_quality_rules, op2_near_duplicates, op3_best_fit_packing, op4_mix_sources, op5_exact_dedup, op6_html_main_text, op7_token_binary, op8_warc_round_trip, op9_toxicity, op10_token_counts,
+              op11_token_alignment, op12_centroid_clusters)
+}
+
+
+def _clusters_sql(k: int = 8, rounds: int = 10) -> str:
+    """Long form (vector, place, component); a round's nearest centroids are ranked by (distance, number)."""
+    def assigned(centroids: str) -> str:
+        return (f"SELECT r, n, d FROM (SELECT r, n, d, row_number() OVER (PARTITION BY r ORDER BY d, n) AS place FROM "
+                f"(SELECT r, n, CAST(sum((v.x - c.x) * (v.x - c.x)) AS BIGINT) AS d FROM v JOIN {centroids} c USING (i) GROUP BY r, n) s) p WHERE place = 1")
+
+    parts = [
+        "e AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, embedding FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64)",
+        "v AS MATERIALIZED (SELECT r, i, CAST(floor(1024 * CAST(embedding[i] AS DOUBLE)) AS BIGINT) AS x FROM e, range(1, 65) t(i))",
+        f"f AS (SELECT r, row_number() OVER (ORDER BY sha256('3:' || vec_id), embedding) - 1 AS n FROM e QUALIFY n < {k})",
+        "c0 AS MATERIALIZED (SELECT n, i, x FROM f JOIN v USING (r))",
+    ]
+    for t in range(rounds):
+        parts.append(f"a{t} AS MATERIALIZED ({assigned(f'c{t}')})")
+        parts.append(f"m{t} AS (SELECT n, i, CAST(sum(x) AS BIGINT) AS total, count(*) AS q FROM a{t} JOIN v USING (r) GROUP BY n, i)")
+        parts.append(f"c{t + 1} AS MATERIALIZED (SELECT c.n, c.i, CASE WHEN q IS NULL THEN c.x ELSE (total - ((total % q) + q) % q) // q END AS x FROM c{t} c LEFT JOIN m{t} USING (n, i))")
+    parts.append(f"z AS MATERIALIZED ({assigned(f'c{rounds}')})")
+    parts.append(f"h AS (SELECT n, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY n)")
+    return ("WITH " + ",\n".join(parts) + " SELECT vec_id, CAST(n AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY n) AS BIGINT) AS cluster_inertia, "
+            "CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256 FROM z JOIN e USING (r) JOIN h USING (n)")
 
 ORACLE = {
     "op4_mix_sources": r"""
@@ -107,4 +140,5 @@ ORACLE = {
                 CAST(1 + ((CAST('0x' || substr(h, CAST(1 + 10 * (i // 8) AS BIGINT), 10) AS BIGINT) >> CAST(5 * (7 - i % 8) AS BIGINT)) & 31) AS BIGINT), 1)) AS letters FROM s)
         SELECT page_id, payload_bytes, array_to_string(letters, '') AS payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
             CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to FROM b""",
+    "op12_centroid_clusters": _clusters_sql(),
 }
