@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenarc.llm import alignment, centroids, dart_minhash, exact_dedup, html_main, mixing, packing, quality_rules, token_binary, token_counts, toxicity, warc
+from lumenarc.llm import alignment, centroids, dart_minhash, exact_dedup, html_main, mixing, packing, quality_rules, token_binary, token_counts, toxicity, url_rules, warc
 from lumenarc.llm._store import cut, fresh_path
 from lumenarc.llm._tokens import tokenizer_path
 
@@ -83,10 +83,21 @@ def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(_table(spark, sf_dir, "embeddings"))
 
 
+#: Listed rules as host, path, verdict.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels that association rules are mined from are the listed rules' verdicts. Null urls have an empty host and path and are allowed; repeated rows each have a row."""
+    values = ", ".join(str(r) for r in URL_RULES)
+    rules = spark.sql(f"SELECT * FROM VALUES {values} AS t(host, path, verdict)")
+    return url_rules.judge(_table(spark, sf_dir, "pages"), rules)
+
+
 QUERIES = {
     f.__name__: f
     for f in (op1_quality_rules, op2_near_duplicates, op3_best_fit_packing, op4_mix_sources, op5_exact_dedup, op6_html_main_text, op7_token_binary, op8_warc_round_trip, op9_toxicity, op10_token_counts,
-              op11_token_alignment, op12_centroid_clusters)
+              op11_token_alignment, op12_centroid_clusters, op13_url_filters)
 }
 
 
