@@ -344,3 +344,48 @@ def test_queries_and_oracles(spark):
         if name in ORACLE:
             want = con.execute(ORACLE[name])
             assert rows(got, df.columns) == rows(want.fetchall(), [c[0] for c in want.description])
+
+
+@pytest.mark.parametrize("html", ["<div>x" * 100_000, '<a "' * 250_000, "<a \">" * 200_000, "<a '\">" * 150_000 + '"', "<div>" * 100_000 + "</x>" * 100_000, "<x>" * 60_000 + "<li>a</li>" * 40_000, "<!" * 300_000, "<div class=a-share>x" * 40_000])
+def test_hostile_pages_take_linear_time(html):
+    import time
+
+    began = time.process_time()
+    html_main.container(html)
+    assert time.process_time() - began < 5
+
+
+def made_page(seed):
+    """(html, article): a page of a family whose article is known: without article element at times, with text beside its container, boilerplate around and in it."""
+    import random
+
+    r = random.Random(seed)
+    say = lambda n: " ".join(r.choice(("stone", "river", "engine", "signal", "garden")) for _ in range(n))
+    body = [say(r.randrange(30, 60)) for _ in range(r.randrange(3, 7))]
+    lead, end, title = say(12), say(9), say(4)
+    inside = {
+        "plain": ("", ""), "section": ('<section id="related-work"><p>R1</p></section>', "R1"), "guide": ('<div class="login-guide"><p>R2</p></div>', "R2"),
+        "math": ("<p>as <math><mi>a</mi><mo>+</mo><mn>2</mn><annotation>LaTeX</annotation></math> holds</p>", "as a+2 holds"), "promo": ('<div class="promo"><p>buy</p></div>', ""),
+        "links": ('<div class="see-also-related"><p><a href=x>one</a></p><p><a href=y>two</a></p></div>', ""), "form": ("<form><p>mail</p></form>", ""), "comments": ('<div class="comment-list"><p>nice</p></div>', ""),
+    }
+    extra, said = inside[r.choice(sorted(inside))]
+    paragraphs = "".join(f"<p>{x}</p>" for x in body)
+    wrap = r.choice([
+        f"<article><h1>{title}</h1><p>{lead}</p><div class=text>{paragraphs}{extra}</div><p>{end}</p></article>", f'<div class="lead"><h1>{title}</h1><p>{lead}</p></div><div class="body">{paragraphs}{extra}</div><div class="coda"><p>{end}</p></div>',
+        f'<h1>{title}</h1><p>{lead}</p><div class="body">{paragraphs}{extra}</div><p>{end}</p>', f'<div class="page-search-article"><h1>{title}</h1><p>{lead}</p>{paragraphs}{extra}<p>{end}</p></div>', f"<main><h1>{title}</h1><p>{lead}</p><section>{paragraphs}{extra}</section><p>{end}</p></main>",
+    ])
+    around = r.choice(["<nav><a href=/>Home</a></nav>", '<ul class="x"><li><a href=/>Home</a></li><li><a href=/b>B</a></li></ul>', '<div class="site-header"><a href=/>Home</a> now</div>'])
+    html = f"<html><body>{around}{wrap}<footer><p>foot</p></footer><script>var x='<p>';</script></body></html>"
+    return html, "\n\n".join(x for x in (title, lead, *body, said, end) if x)
+
+
+def test_made_pages_give_their_article(spark):
+    made = [made_page(k) for k in range(400)]
+    assert [html_main.text_of(h) for h, _ in made] == [t for _, t in made]
+    # one layout per host: the winning path gives the same
+    hosts = {}
+    for k, (h, t) in enumerate(made):
+        hosts.setdefault(html_main.container(h)[0], []).append((k, h, t))
+    rows = [(k, f"http://h{n}.example/", h, "x") for n, pages in enumerate(hosts.values()) for k, h, _ in pages]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    assert {r.page_id: r.text for r in html_main.main_text(df).collect()} == {k: t for k, (_, t) in enumerate(made)}
