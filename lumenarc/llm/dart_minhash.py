@@ -9,8 +9,7 @@ plus k (ln k + 3) darts, not their product.
 Texts that agree in all coordinates of some band are candidates. No bucket is expanded into its pairs: first every text is
 compared with one hub, the least by hash among its buckets' members, and links are contracted to classes, which settles
 families of copies. In buckets where several classes meet, the texts outside the largest class are dealt into blocks, and each block
-is compared with chunks of the bucket inside a task, by intersection of the texts' elements, cut to 32 bits (two texts of n elements
-share n * n / 2**32 of them by chance, less than one below 65,000 words). So every candidate pair of different classes is compared and
+is compared with chunks of the bucket inside a task, by intersection of the texts' 64-bit elements. So every candidate pair of different classes is compared and
 none is dropped. A bucket of n texts in several classes sends its n rows once for every ``BLOCK`` texts outside the largest class, so families of
 copies cost rows in proportion to their texts, and only buckets of many texts that share a band but aren't similar cost more.
 """
@@ -31,9 +30,9 @@ from lumenarc.operators.graph import connected_components
 BROADCAST_ROWS = 250_000
 #: Texts of a class from which its totals are broadcast to its rows.
 HOT_ROWS = 1_000
-#: Minor members in a block and members in a chunk that a task compares at once, and their elements (4 bytes each).
-BLOCK, CHUNK = 256, 2048
-BLOCK_ITEMS, CHUNK_ITEMS = 500_000, 4_000_000
+#: Minor members in a block and members in a chunk that a task compares at once, and their elements (8 bytes each).
+BLOCK, CHUNK = 1024, 2048
+BLOCK_ITEMS, CHUNK_ITEMS = 1_000_000, 2_000_000
 _U = np.uint64
 
 
@@ -159,7 +158,7 @@ def _itemiser(width: int):
                 # the k-th occurrence of an element is an element of its own: then sets do for multisets
                 owner = np.repeat(np.arange(len(h)), c)
                 nth = np.arange(len(owner)) - np.repeat(np.cumsum(c) - c, c)
-                item = (mix(h[owner] + nth.astype(np.uint64) * _U(0x9E3779B97F4A7C15)) >> _U(32)).astype(np.uint32)
+                item = mix(h[owner] + nth.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
                 ends = np.cumsum(np.bincount(r[owner], minlength=part.num_rows))[:-1]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in np.split(item, ends)], pa.binary())], ["node", "items"])
 
@@ -221,7 +220,7 @@ def _matcher(threshold: float):
                 if now != key:
                     yield from compare(minors, members)
                     key, minors, members = now, [], []
-                (minors if minor else members).append((root, np.frombuffer(items, np.uint32)))
+                (minors if minor else members).append((root, np.frombuffer(items, np.uint64)))
         yield from compare(minors, members)
 
     return match
@@ -235,12 +234,13 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     of ``width`` words ([^\\x20\\x09-\\x0D]+). class_id is its smallest document id (null if all are null), class_size
     its documents. Texts with equal word sequences are one node; a text of fewer than ``width`` words has one window, and
     texts without words (null, empty, blank) are one class. Repeated ids are separate rows. With 32 bands of 6 coordinates a pair at 0.8
-    is missed with probability 6e-5, one at 0.9 with 1e-11. Ids are read as long; an empty table gives an empty one; other columns aren't read.
+    is missed with probability 6e-5, one at 0.9 with 1e-11. Ids may be of any type that has an order; an empty table gives an empty one; other columns aren't read.
     """
     spark = docs.sparkSession
     limit_batches(spark)
-    read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    seen = cut(read.mapInArrow(_sketcher(width, bands, rows), "id long, node binary, size long, bands array<long>"))
+    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    kind = read.schema["id"].dataType.simpleString()
+    seen = cut(read.mapInArrow(_sketcher(width, bands, rows), f"id {kind}, node binary, size long, bands array<long>"))
     nodes = seen.groupBy("node").agg(F.min("id").alias("least_id"), F.count("*").alias("copies"), F.max("size").alias("size"), F.min("bands").alias("bands"))
     nodes = cut(nodes)
     buckets = _buckets(nodes, threshold)
@@ -315,7 +315,7 @@ def _texts(read: DataFrame, nodes: DataFrame, used: DataFrame, width: int) -> Da
     """(node, text): one document of each of the nodes."""
     chosen = cut(nodes.select("node", "least_id").join(used, "node", "left_semi"))
     ids = broadcast_below(chosen.select(F.col("least_id").alias("id")).distinct(), chosen.count(), BROADCAST_ROWS)
-    text = read.join(ids, read["id"].eqNullSafe(ids["id"]), "left_semi").mapInArrow(_digester(width), "id long, text string, __near_node binary")
+    text = read.join(ids, read["id"].eqNullSafe(ids["id"]), "left_semi").mapInArrow(_digester(width), f"id {read.schema['id'].dataType.simpleString()}, text string, __near_node binary")
     return text.select(F.col("__near_node").alias("node"), "text").dropDuplicates(["node"])
 
 

@@ -179,3 +179,13 @@ def test_signatures_estimate_weighted_similarity():
     assert abs((s[0] == s[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.05
     alone = dart_minhash.dart_signatures(e[:1], np.array([0.01]), np.array([1]), 2, 64)
     assert np.isinf(alone[0]).all() and np.isfinite(alone[1]).all()
+
+
+def test_ids_of_other_types(docs, words):
+    from pyspark.sql import functions as F
+
+    rows = [r for r in family(words) if r[0] is not None]
+    text = docs(rows).withColumn("doc_id", F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 5, "0")))
+    plain = Counter((f"d{r.doc_id:05d}", f"d{r.class_id:05d}", r.class_size) for r in dart_minhash.near_duplicate_classes(docs(rows)).collect())
+    assert Counter((r.doc_id, r.class_id, r.class_size) for r in dart_minhash.near_duplicate_classes(text).collect()) == plain
+    assert dart_minhash.one_per_class(text).count() == dart_minhash.one_per_class(docs(rows)).count()
