@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lumenarc.llm._store import limit_batches
 from lumenarc.llm._tokens import encoder
@@ -132,7 +133,7 @@ def write_packed(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     limit_batches(docs.sparkSession)
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = read.schema["id"].dataType.simpleString()
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    arrow = to_arrow_type(read.schema["id"].dataType)
     shape = SHAPE.format(kind=kind)
     read.mapInArrow(_packer(tokenizer, capacity, end, pad, id_bytes, shard, arrow), shape).write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(shape).parquet(path)

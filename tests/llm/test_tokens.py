@@ -206,3 +206,10 @@ def test_segment_tree_is_best_fit():
             free.append(100 - size)
             want += 1
     assert len(rows) == want and sorted(i for r in rows for i in r) == list(range(400))
+
+
+@pytest.mark.parametrize("kind", ["smallint", "decimal(20,0)", "date"])
+def test_packed_ids_of_other_types(spark, tmp_path, kind):
+    df = spark.sql(f"SELECT CAST(x AS {kind}) AS doc_id, 'one two' AS text FROM VALUES (CAST(NULL AS {kind})), ({'DATE 2020-01-01' if kind == 'date' else 7}) AS t(x)".replace("DATE 2020-01-01", "DATE '2020-01-01'"))
+    packed = token_binary.write_packed(df, str(tmp_path / kind[:4]), PATH, id_bytes=2)
+    assert Counter(r.id for r in token_binary.segments(packed, 2).collect()) == Counter(r.doc_id for r in df.collect())
