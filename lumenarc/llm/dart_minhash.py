@@ -216,11 +216,15 @@ def _matcher(threshold: float):
         key, minors, members = None, [], []
         for batch in batches:
             c = {n: batch.column(k).to_pylist() for k, n in enumerate(batch.schema.names)}
-            for now, minor, root, items in zip(zip(c["bucket"], c["block"], c["chunk"], strict=True), c["minor"], c["root"], c["items"], strict=True):
+            for now, minor, member, root, items in zip(zip(c["bucket"], c["block"], c["chunk"], strict=True), c["minor"], c["member"], c["root"], c["items"], strict=True):
                 if now != key:
                     yield from compare(minors, members)
                     key, minors, members = now, [], []
-                (minors if minor else members).append((root, np.frombuffer(items, np.uint64)))
+                row = (root, np.frombuffer(items, np.uint64))
+                if minor:
+                    minors.append(row)
+                if member:
+                    members.append(row)
         yield from compare(minors, members)
 
     return match
@@ -304,9 +308,12 @@ def _block_links(read: DataFrame, nodes: DataFrame, member: DataFrame, threshold
     text = _texts(read, nodes, member.select("node").distinct(), width)
     items = cut(text.mapInArrow(_itemiser(width), "node binary, items binary"))
     place = lambda n: F.pmod(F.xxhash64("node", "bucket"), n).cast("int")
-    as_member = member.withColumns({"block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "chunk": place(F.col("chunks"))}).withColumn("minor", F.lit(False))
-    as_minor = member.where("minor").withColumns({"chunk": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "block": place(F.col("blocks"))})
-    dealt = as_member.unionByName(as_minor).select("bucket", "block", "chunk", "minor", "node", "root")
+    # a minor member meets itself in one cell, to which one row goes for both
+    placed = member.withColumns({"own_block": place(F.col("blocks")), "own_chunk": place(F.col("chunks"))})
+    as_member = placed.withColumns({"block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "chunk": F.col("own_chunk"), "member": F.lit(True)}).withColumn("minor", F.col("minor") & (F.col("block") == F.col("own_block")))
+    as_minor = placed.where("minor").withColumns({"chunk": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "block": F.col("own_block"), "member": F.lit(False)}).where("chunk <> own_chunk")
+    columns = ["bucket", "block", "chunk", "minor", "member", "node", "root"]
+    dealt = as_member.select(*columns).unionByName(as_minor.select(*columns))
     dealt = dealt.join(items, "node").drop("node").repartition("bucket", "block", "chunk").sortWithinPartitions("bucket", "block", "chunk")
     return dealt.mapInArrow(_matcher(threshold), "src binary, dst binary").distinct()
 
