@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenarc.functions.text import EPOCHS, filled
+from lumenarc.operators.graph import checkpointed
 
 
 def cluster_summary(faces: DataFrame) -> DataFrame:
@@ -57,11 +58,34 @@ def distinct_values(df: DataFrame, column: str, limit: int = 100) -> DataFrame:
     return df.select(filled(F.col(column)).alias("value")).where("value is not null").distinct().orderBy("value").limit(limit)
 
 
-def co_occurrence(faces: DataFrame) -> DataFrame:
-    """AGG-7: (a < b, shared): images that show both persons. Distinct (image, person) rows are joined with themselves by image."""
-    seen = faces.select("image_id", filled(F.col("label")).alias("person")).where("person is not null").distinct()
-    pairs = seen.select("image_id", F.col("person").alias("a")).join(seen.select("image_id", F.col("person").alias("b")), "image_id").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
+#: Persons of an image that one row holds; an image with more is cut into chunks of about so many.
+CHUNK = 256
+#: Rows (image, chunks) of large images that may be broadcast.
+LARGE_IMAGES = 100_000
+
+
+def co_occurrence(faces: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """AGG-7: (a < b, shared): images that show both persons.
+
+    The persons of an image are one array, from which its pairs are made. An image with more than ``chunk`` persons is cut into chunks by a hash of the person; each pair of chunks (i <= j) is a row
+    of its own, so a hot image's pairs are made by as many tasks as it has pairs of chunks. Pairs are counted per task before they are sent.
+    """
+    seen = faces.select("image_id", filled(F.col("label")).alias("person")).where("person is not null and image_id is not null").distinct()
+    dealt = dealt_chunks(seen, chunk)
+    some = dealt.groupBy("image_id", "i", "j").agg(F.collect_list(F.when(F.col("chunk") == F.col("i"), F.col("person"))).alias("left"), F.collect_list(F.when(F.col("chunk") == F.col("j"), F.col("person"))).alias("right"))
+    pairs = some.select("i", "j", F.explode("left").alias("x"), "right").select("i", "j", "x", F.explode("right").alias("y")).where("i < j or x < y")
+    return pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("shared"))
+
+
+def dealt_chunks(seen: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(image_id, person, chunk, i, j): every person in each pair of chunks of its image that its own chunk belongs to."""
+    large = seen.groupBy("image_id").agg(F.count("*").alias("n")).where(F.col("n") > chunk).select("image_id", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
+    large = checkpointed(large)
+    large = F.broadcast(large) if large.count() <= LARGE_IMAGES else large
+    each = seen.join(large, "image_id", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    each = each.withColumn("chunk", F.pmod(F.xxhash64("person"), F.col("chunks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
+    return each.select("image_id", "person", "chunk", other).select("image_id", "person", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
 
 
 def batch_stats(images: DataFrame, faces: DataFrame, skipped: DataFrame) -> DataFrame:

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenarc.operators.graph import checkpointed
+
 
 def person_graph(pairs: DataFrame, totals: DataFrame, root: str, min_shared: int = 2, depth: int = 1, neighbours: int = 15) -> tuple[DataFrame, DataFrame]:
     """NET-1: nodes (id, faces, size) and edges (a, b, shared) around a person, from co_occurrence() pairs and (person, faces).
 
     Of the 25 persons who share most images those with ``min_shared`` or more (else the first five), at most ``neighbours``; with depth 2 also at
     most six of each of the first three. Edges join all selected persons: the root's from ``min_shared`` on, others from max(2, min_shared) on.
+    ``pairs`` are checkpointed once; every hop then reads them.
     """
+    pairs = checkpointed(pairs)
 
     def around(who: str, n: int) -> list[tuple[str, int]]:
         mine = pairs.where((F.col("a") == who) | (F.col("b") == who)).select(F.when(F.col("a") == who, F.col("b")).otherwise(F.col("a")).alias("other"), "shared")

@@ -11,7 +11,8 @@ from lumenarc.functions.text import filled
 from lumenarc.functions.vectors import blend_vector, cosine, doubles
 from lumenarc.operators.filters import contains
 from lumenarc.operators.graph import checkpointed
-from lumenarc.operators.similarity import stack_results
+from lumenarc.operators.similarity import stack_results, vector_topk, vector_topk_batch
+from lumenarc.operators.windows import Desc, page, row_numbers
 
 # fixed values: scores of the kinds of hits
 EXACT, PART, WORD = 1.0, 0.98, 0.95
@@ -72,27 +73,26 @@ def recto_hits(metadata: DataFrame, pairs: DataFrame, persons: DataFrame) -> Dat
     return best.join(metadata.select("file_path"), "file_path", "left_anti").join(persons.select("file_path"), "file_path", "left_anti")
 
 
-def stacked(hits: DataFrame, images: DataFrame, threshold: float, window: int) -> DataFrame:
-    """STK-1 over the first ``window`` fused hits, by score, then path: one row per stack with ``stack_size``. Images without a vector stand alone."""
-    order = Window.orderBy(F.desc("score"), F.desc("file_path"))
-    first = checkpointed(hits.orderBy(F.desc("score"), F.desc("file_path")).limit(window).withColumn("rank", F.row_number().over(order)))
-    seen = images.where("vector is not null").join(F.broadcast(first.select("file_path")), "file_path", "left_semi").groupBy("file_path").agg(F.min("vector").alias("vector"))
-    numbered = first.join(seen, "file_path", "left")
-    rows = numbered.where("vector is not null").select(F.lit(0).cast("long").alias("query_id"), F.col("rank").cast("long").alias("id"), "rank", "vector")
-    sizes = stack_results(rows, threshold).groupBy(F.col("stack_of").alias("rank")).agg(F.count("*").alias("stack_size"))
-    heads = numbered.drop("vector").join(sizes, "rank", "left").where("stack_size is not null").unionByName(numbered.where("vector is null").drop("vector").withColumn("stack_size", F.lit(1).cast("long")))
-    return heads.drop("rank")
+def stacked(hits: DataFrame, images: DataFrame, threshold: float) -> DataFrame:
+    """STK-1 over all fused hits, by score, then path: one row per stack with ``stack_size``. Images without a vector stand alone."""
+    numbered = checkpointed(row_numbers(hits, [Desc(F.col("score")), Desc(F.col("file_path"))], "rank"))
+    seen = images.where("vector is not null").join(numbered.select("file_path"), "file_path", "left_semi").groupBy("file_path").agg(F.min("vector").alias("vector"))
+    rows = numbered.select("file_path", "rank").join(seen, "file_path").select(F.lit(0).cast("long").alias("query_id"), F.col("rank").alias("id"), F.col("rank").cast("int").alias("rank"), "vector")
+    placed = stack_results(checkpointed(rows), threshold)
+    sizes = placed.groupBy(F.col("stack_of").alias("rank")).agg(F.count("*").alias("stack_size"))
+    alone = numbered.join(seen.select("file_path"), "file_path", "left_anti").withColumn("stack_size", F.lit(1).cast("long"))
+    return numbered.join(sizes, "rank").unionByName(alone).drop("rank")
 
 
 def hybrid_search(faces: DataFrame, table: DataFrame, images: DataFrame, query: str, vector: list[float], expansion: list[str] = (), columns: tuple[str, ...] = ("title", "description"),
                   threshold: float = 0.20, offset: int = 0, limit: int = 50, where: Column | None = None, clusters: DataFrame | None = None, pairs: DataFrame | None = None,
-                  prompt_vector: list[float] | None = None, stack: float | None = None) -> DataFrame:
+                  prompt_vector: list[float] | None = None, stack: float | None = None, vector_fetch: int | None = None) -> DataFrame:
     """SRCH-1: person, cluster, metadata, verso and vector hits fused, stacked and paged, by score, then path, both descending.
 
     Facets (``where`` over ``table``) apply to every leg; a path that ``table`` lacks is no hit then. A query that equals the name of a face or
     cluster drops vector hits below 0.28. ``clusters`` (id, name, notes) adds the images of clusters that the query finds, ``pairs`` (recto_path,
     verso_path) the rectos of versos with a text hit, ``prompt_vector`` is blended into the query's by a quarter. With ``stack``, hits of that cosine or
-    more become one row with a ``stack_size``; stacks are made of the best 600 hits, of three times the page's end where that is more.
+    more become one row with a ``stack_size``; stacks are made of all hits. The best ``vector_fetch`` vector hits take part: three times the page's end and 80 at least where it isn't given, so they grow with the page.
     """
     if where is not None:
         allowed = table.where(where).select("file_path")
@@ -111,12 +111,44 @@ def hybrid_search(faces: DataFrame, table: DataFrame, images: DataFrame, query:
     if prompt_vector is not None:
         literal = lambda v: F.array(*(F.lit(float(x)) for x in v))
         vector = table.sparkSession.range(1).select(blend_vector(literal(vector), literal(prompt_vector))).first()[0]
-    fetch = min(600, max(80, 3 * (offset + limit)))
+    fetch = vector_fetch or max(80, 3 * (offset + limit))
     vectors = vector_hits(images, vector, max(threshold, 0.28) if exact else threshold, fetch)
     fused = fuse_hits(persons, metadata, vectors)
     if stack is not None:
-        fused = stacked(fused, images, stack, max(600, 3 * (offset + limit)))
-    return fused.orderBy(F.desc("score"), F.desc("file_path")).offset(offset).limit(limit)
+        fused = stacked(fused, images, stack)
+    return page(fused, [Desc(F.col("score")), Desc(F.col("file_path"))], offset, limit)
+
+
+def similar_images(images: DataFrame, query_id, k: int = 12, threshold: float | None = None, stack: float | None = None, where: Column | None = None) -> DataFrame:
+    """SRCH-2: the k images (id, score) that are most similar to an image of the table, itself included, by score, then id; with ``stack`` near copies of a better hit
+    are one row with a ``stack_size``, and k counts stacks: then all hits from ``threshold`` on (0 where it isn't given) are stacked. No rows where the image or its vector isn't there."""
+    asked = images.where((F.col("id") == F.lit(query_id)) & F.col("vector").isNotNull()).select(F.lit(0).cast("long").alias("query_id"), "vector")
+    rest = images.where(where) if where is not None else images
+    first = asked.first()
+    if first is None:
+        empty = images.select("id", F.lit(0.0).alias("score")).limit(0)
+        return empty.withColumn("stack_size", F.lit(0).cast("long")) if stack is not None else empty
+    if stack is None:
+        return vector_topk(rest.where("vector is not null"), list(first.vector), k, threshold)
+    q = F.array(*(F.lit(float(x)) for x in first.vector))
+    scored = rest.where("vector is not null").select(F.col("id").cast("string").alias("file_path"), "id", F.round(cosine(doubles(F.col("vector")), q), 6).alias("score"))
+    # equal scores: the less id first, as without stacks
+    hits = scored.where(F.col("score") >= (threshold or 0.0))
+    numbered = checkpointed(row_numbers(hits, [Desc(F.col("score")), F.col("id")], "rank"))
+    rows = numbered.join(images.select("id", "vector"), "id").select(F.lit(0).cast("long").alias("query_id"), F.col("rank").alias("id"), F.col("rank").cast("int").alias("rank"), "vector")
+    sizes = stack_results(checkpointed(rows), stack).groupBy(F.col("stack_of").alias("rank")).agg(F.count("*").alias("stack_size"))
+    return numbered.join(sizes, "rank").orderBy("rank").limit(k).select("id", "score", "stack_size")
+
+
+def best_face(faces: DataFrame) -> DataFrame:
+    """WIN-7: the face (image_id, face_id) of each image that was detected surest; of equal ones that with the greatest id."""
+    return faces.groupBy("image_id").agg(F.max_by("face_id", F.struct("det_score", "face_id")).alias("face_id"))
+
+
+def search_faces(vectors: DataFrame, queries: DataFrame, faces: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
+    """SRCH-3: TOP-2 of images (id, vector) for uploads (query_id, vector), with the best face of each image found (null without faces)."""
+    found = vector_topk_batch(vectors, queries, k, threshold)
+    return found.join(best_face(faces).withColumnRenamed("image_id", "id"), "id", "left").select("query_id", "id", "score", "rank", "face_id")
 
 
 def browse(table: DataFrame, year: Column, year_from: int | None, year_to: int | None, signature: str | None, limit: int, offset: int = 0) -> DataFrame:
@@ -126,8 +158,8 @@ def browse(table: DataFrame, year: Column, year_from: int | None, year_to: int |
     if year_from is None and year_to is None and not signature:
         return table.limit(0)
     found = match_facets(table, year, year_from, year_to, signature).withColumns({"year": year, "score": F.lit(1.0)})
-    order = [F.coalesce(F.col("year"), F.lit(9999)), F.lower("file_name"), "file_name"] if year_from is not None or year_to is not None else [F.lower("file_name"), "file_name"]
-    return found.orderBy(*order).offset(offset).limit(limit)
+    order: list = [F.coalesce(F.col("year"), F.lit(9999)), F.lower("file_name"), "file_name"] if year_from is not None or year_to is not None else [F.lower("file_name"), "file_name"]
+    return page(found, order, offset, limit)
 
 
 def zero_shot_tags(scores: DataFrame, k: int, floor: float = 0.20, keep: int = 2) -> DataFrame:

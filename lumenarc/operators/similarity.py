@@ -8,17 +8,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenarc.functions.vectors import cosine, doubles, hamming64
 from lumenarc.operators.graph import checkpointed, connected_components
-from lumenarc.operators.windows import row_numbers
+from lumenarc.operators.windows import Desc, row_numbers
 
 #: Bytes of query vectors that may be broadcast.
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 16 << 20
 #: Rows of a block that are multiplied at once.
 STRIP = 2048
+#: Rows (ids and numbers) that one task may sort.
+SMALL_ROWS = 200_000
 
 
 def vector_topk(vectors: DataFrame, query: list[float] | Column, k: int, threshold: float | None = None, where: Column | None = None, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
@@ -37,42 +40,79 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return m / np.where(n > 0, n, 1)
 
 
-def vector_topk_batch(vectors: DataFrame, queries: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
-    """TOP-2: for every (query_id, vector) the k most similar of (id, vector): (query_id, id, score, rank).
+def vector_topk_batch(vectors: DataFrame, queries: DataFrame, k: int | None, threshold: float | None = None) -> DataFrame:
+    """TOP-2: for every (query_id, vector) the k most similar of (id, vector): (query_id, id, score, rank); all from ``threshold`` on where k is None.
 
-    Queries are cut into blocks of bounded size; each block is one broadcast and one pass over the vectors, and each batch of vectors
-    passes on its own best k only.
+    Few queries (``BROADCAST_BYTES``) are one broadcast and one pass over the vectors, each batch of which passes on its own best k only; more, or k None, go through a grid of blocks: see topk_grid().
     """
     n, width = queries.agg(F.count("*"), F.max(F.size("vector"))).first()
-    per_block = max(1, BROADCAST_BYTES // (8 * (width or 1)))
-    blocks = max(1, math.ceil(n / per_block))
     schema = "query_id long, id long, score double"
     sc = vectors.sparkSession.sparkContext
-    parts = []
-    for block in range(blocks):
-        mine = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) if blocks > 1 else queries
-        table = mine.select("query_id", "vector").toPandas()
-        if table.empty:
-            continue
-        ids, shared = table["query_id"].to_numpy(), sc.broadcast(_matrix(table["vector"]))
-
-        def search(frames: Iterator[pd.DataFrame], ids=ids, shared=shared) -> Iterator[pd.DataFrame]:
-            for pdf in frames:
-                if len(pdf):
-                    scores = np.round(_matrix(pdf["vector"]) @ shared.value.T, 6)
-                    own = pdf["id"].to_numpy()
-                    order = np.lexsort((np.broadcast_to(own[:, None], scores.shape).T, -scores.T), axis=1)[:, :k]
-                    out = pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "id": own[order].ravel(), "score": np.take_along_axis(scores.T, order, 1).ravel()})
-                    yield out if threshold is None else out[out["score"] >= threshold]
-
-        parts.append(vectors.select("id", "vector").mapInPandas(search, schema))
-    if not parts:
+    if not n:
         return vectors.sparkSession.createDataFrame([], schema + ", rank int")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    if k is None or n * 8 * (width or 1) > BROADCAST_BYTES:
+        return topk_grid(vectors, queries, k, threshold)
+    table = queries.select("query_id", "vector").toPandas()
+    ids, shared = table["query_id"].to_numpy(), sc.broadcast(_matrix(table["vector"]))
+
+    def search(frames: Iterator[pd.DataFrame], ids=ids, shared=shared) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            if len(pdf):
+                scores = np.round(_matrix(pdf["vector"]) @ shared.value.T, 6)
+                own = pdf["id"].to_numpy()
+                order = np.lexsort((np.broadcast_to(own[:, None], scores.shape).T, -scores.T), axis=1)[:, :k]
+                out = pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "id": own[order].ravel(), "score": np.take_along_axis(scores.T, order, 1).ravel()})
+                yield out if threshold is None else out[out["score"] >= threshold]
+
+    return _ranked(vectors.select("id", "vector").mapInPandas(search, schema), k)
+
+
+def _ranked(found: DataFrame, k: int | None) -> DataFrame:
+    """Ranks per query, the first k of them; Spark keeps a task's first k before the shuffle. All ranks are numbered over the whole table, so that no query's list is one task's."""
+    if k is not None:
+        return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+    numbered = row_numbers(found, [F.col("query_id"), Desc(F.col("score")), F.col("id")], "__no")
+    first = numbered.groupBy("query_id").agg(F.min("__no").alias("__first"))
+    return numbered.join(first, "query_id").select("query_id", "id", "score", (F.col("__no") - F.col("__first") + 1).cast("int").alias("rank"))
+
+
+def topk_grid(vectors: DataFrame, queries: DataFrame, k: int | None, threshold: float | None = None, block_rows: int = 16_384) -> DataFrame:
+    """TOP-2 with both sides large: blocks of queries and blocks of vectors, each pair of blocks a task that passes on its best k per query (all, where k is None).
+
+    Nothing passes the driver but two counts; a query is sent once per block of vectors and a vector once per block of queries.
+    """
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    n_q, n_v = queries.count(), vectors.count()
+    q_blocks, v_blocks = max(1, math.ceil(n_q / block_rows)), max(1, math.ceil(n_v / block_rows))
+    v_blocks = max(v_blocks, min(math.ceil(2 * cores / q_blocks), math.ceil(n_v / 64)))
+    of = lambda key, blocks: F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+    vector = F.col("vector").cast("array<double>").alias("vector")
+    asked = queries.where("vector is not null").select(F.col("query_id").alias("id"), vector, F.lit(True).alias("asked"), of("query_id", q_blocks).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1))).alias("j"))
+    held = vectors.where("vector is not null").select("id", vector, F.lit(False).alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("i"), of("id", v_blocks).alias("j"))
+
+    def cell(table: pa.Table) -> pa.Table:
+        left, right = table.filter(table["asked"]), table.filter(pc.invert(table["asked"]))
+        asked, ids = np.asarray(left["id"]), np.asarray(right["id"])
+        out = []
+        if len(asked) and len(ids):
+            order = np.argsort(ids, kind="stable")
+            m, q, ids = _unit_rows(right["vector"])[order], _unit_rows(left["vector"]), ids[order]
+            for at in range(0, len(q), 256):
+                scores = np.round(q[at : at + 256] @ m.T, 6)
+                if k is not None and k < len(ids):
+                    # of equal scores those with the least ids: they come first in a stable order
+                    best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                    row, column = np.repeat(np.arange(len(best)), k), best.ravel()
+                else:
+                    row, column = (x.ravel() for x in np.indices(scores.shape)) if threshold is None else np.nonzero(scores >= threshold)
+                found = scores[row, column]
+                keep = found >= threshold if threshold is not None else slice(None)
+                out.append((asked[at + row][keep], ids[column][keep], found[keep]))
+        columns = [np.concatenate([o[c] for o in out]) if out else np.zeros(0) for c in range(3)]
+        return pa.table({"query_id": pa.array(columns[0], pa.int64()), "id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
+
+    found = asked.unionByName(held).groupBy("i", "j").applyInArrow(cell, "query_id long, id long, score double")
+    return _ranked(found, k)
 
 
 def best_for_rows(rows: DataFrame, terms: DataFrame, k: int) -> DataFrame:
@@ -115,45 +155,140 @@ def _unit_rows(column: pa.ChunkedArray) -> np.ndarray:
     return m / np.where(n > 0, n, 1)
 
 
-def similarity_join(vectors: DataFrame, threshold: float, block_rows: int = 16_384) -> DataFrame:
-    """JN-9: all pairs (a < b, similarity) with a cosine of ``threshold`` or more, exactly.
+def choose_pivots(vectors: DataFrame, count: int) -> np.ndarray:
+    """At most ``count`` different unit vectors that lie far apart: farthest first among four times as many rows, those of least hash."""
+    rows = vectors.where("vector is not null").orderBy(F.xxhash64("id"), "id").limit(4 * count).select("vector").toArrow()
+    if not rows.num_rows:
+        return np.zeros((0, 1))
+    seen = _unit_rows(rows["vector"])
+    chosen, far = [0], np.linalg.norm(seen - seen[0], axis=1)
+    while len(chosen) < min(count, len(seen)) and far.max() > 1e-9:
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, np.linalg.norm(seen - seen[chosen[-1]], axis=1))
+    return seen[chosen]
+
+
+def _distances(m: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((m * m).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1)[None, :] - 2 * m @ pivots.T, 0))
+
 
-    Rows are hashed into B blocks and each pair of blocks (i <= j) is one task's matrix product; every row is sent B times, and a task
-    holds two blocks and one strip of the product. Single precision finds candidates, with a margin; double precision decides.
+def reach_of(threshold: float) -> float:
+    """The Euclidean distance of unit vectors up to which a similarity that rounds to ``threshold`` is possible."""
+    return math.sqrt(max(0.0, 2 - 2 * (threshold - 1e-6))) + 1e-7
+
+
+def in_cells(vectors: DataFrame, threshold: float, pivots: np.ndarray, within: str | None = None) -> DataFrame:
+    """(own, id, vector, cell, inner): every row in the cell of its nearest pivot, and as a guest (not inner) in other cells that may hold similar rows.
+
+    A row x of cell i is no guest of cell j where all rows of j are beyond reach: by the plane between the two pivots, by j's radius, or by j's empty inner ball (triangle
+    inequality). Of two cells one visits the other, so that each pair of rows meets once. ``own`` is the value of ``within``, 0 without.
     """
+    reach = reach_of(threshold)
+    spark = vectors.sparkSession
+    shared = spark.sparkContext.broadcast(pivots)
+    own = F.col(within).cast("long") if within else F.lit(0).cast("long")
+
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                d = _distances(_unit_rows(pa.chunked_array([batch.column(2)])), shared.value)
+                cell = d.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])], ["own", "id", "vector", "cell", "distance"])
+
+    read = vectors.where("vector is not null").select(own.alias("own"), "id", F.col("vector").cast("array<double>").alias("vector"))
+    kind = read.schema["id"].dataType.simpleString()
+    placed = checkpointed(read.mapInArrow(home, f"own long, id {kind}, vector array<double>, cell int, distance double"))
+    radii = placed.groupBy("cell").agg(F.min("distance").alias("least"), F.max("distance").alias("most")).collect()
+    least, most = np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
+    for r in radii:
+        least[r.cell], most[r.cell] = r.least, r.most
+    rings = spark.sparkContext.broadcast((least, most))
+
+    def guests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least, most = rings.value
+        gap = np.maximum(_distances(shared.value, shared.value), 1e-12)
+        number = np.arange(len(least))
+        for batch in batches:
+            cell = np.asarray(batch.column(3))
+            d = _distances(_unit_rows(pa.chunked_array([batch.column(2)])), shared.value) if len(cell) else np.zeros((0, len(least)))
+            near = (d <= most + reach) & (d >= least - reach)
+            home = d[np.arange(len(cell)), cell]
+            near &= (d * d - (home * home)[:, None]) / (2 * gap[cell]) <= reach + 1e-9
+            # of two cells the one with the greater number visits if the sum is even, else the other
+            visits = np.where((number[None, :] + cell[:, None]) % 2 == 0, cell[:, None] > number[None, :], cell[:, None] < number[None, :])
+            row, other = np.nonzero(near & visits)
+            take = np.r_[np.arange(len(cell)), row]
+            part = batch.take(pa.array(take))
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(np.r_[cell, other].astype(np.int32)), pa.array(np.r_[np.ones(len(cell), bool), np.zeros(len(row), bool)])], ["own", "id", "vector", "cell", "inner"])
+
+    return placed.mapInArrow(guests, f"own long, id {kind}, vector array<double>, cell int, inner boolean")
+
+
+def cell_statistics(cells: DataFrame) -> DataFrame:
+    """(own, cell, inner, guests) of in_cells(): rows that live in a cell and that visit it."""
+    return cells.groupBy("own", "cell").agg(F.count_if("inner").alias("inner"), F.count_if(~F.col("inner")).alias("guests"))
+
+
+def similarity_join(vectors: DataFrame, threshold: float, block_rows: int = 16_384, within: str | None = None, pivots: int | None = None) -> DataFrame:
+    """JN-9: all pairs (a < b, similarity) with a cosine of ``threshold`` or more, exactly; with ``within`` (a column of numbers) only pairs of equal values, which are a column ``own``.
+
+    Rows are dealt into balls around pivots, far apart and at most 2,048; only cells that may hold similar rows are compared (see in_cells()), so well-separated classes cost their own
+    squares. A cell is cut into blocks of ``block_rows`` or fewer, as many as give every core work, and each pair of blocks is one task's matrix product: a hot cell is split, and
+    a task holds two blocks and one strip of the product. Where nothing is far apart, that is all pairs of blocks. Single precision finds candidates, with a margin; double precision decides.
+    Null vectors have no pairs, rows of equal id none with each other.
+    """
+    spark = vectors.sparkSession
+    cores = spark.sparkContext.defaultParallelism
     n = vectors.count()
-    blocks = max(1, math.ceil(n / block_rows))
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    own = vectors.select("id", "vector", block.alias("block"))
-    spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    spread = spread.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    count = pivots or int(min(2048, max(2 * cores, math.ceil(n / 4096)), max(1, n)))
+    centres = choose_pivots(vectors, count)
+    shape = f"{'own long, ' if within else ''}a long, b long, similarity double"
+    if not len(centres):
+        return spark.createDataFrame([], shape)
+    cells = in_cells(vectors, threshold, centres, within)
+    block_rows = max(64, min(block_rows, math.ceil(n / (2 * cores))))
+    sizes = cell_statistics(cells).select("own", "cell", F.ceil(F.col("inner") / block_rows).cast("int").alias("inners"), F.ceil(F.col("guests") / block_rows).cast("int").alias("guests")).where("inners > 0")
+    # blocks 0 .. inners - 1 are the cell's own rows, the others its guests; tasks are the pairs u <= v of blocks of which u is the cell's own
+    each = cells.join(sizes, ["own", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("inner"), F.col("inners")).otherwise(F.col("guests"))).cast("int") + F.when(F.col("inner"), 0).otherwise(F.col("inners")))
+    blocks = F.sequence(F.lit(0), F.when(F.col("inner"), F.col("inners") + F.col("guests")).otherwise(F.col("inners")) - 1)
+    dealt = each.withColumn("other", F.explode(blocks)).select("own", "cell", F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"), "block", "id", "vector")
 
     def pairs(table: pa.Table) -> pa.Table:
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        u, v = table["u"][0].as_py(), table["v"][0].as_py()
         block, ids = np.asarray(table["block"]), np.asarray(table["id"])
         m = _unit_rows(table["vector"])
-        left, right = (m, m) if i == j else (m[block == i], m[block == j])
-        ids_l, ids_r = (ids, ids) if i == j else (ids[block == i], ids[block == j])
+        left, right = (m, m) if u == v else (m[block == u], m[block == v])
+        ids_l, ids_r = (ids, ids) if u == v else (ids[block == u], ids[block == v])
         small, out = right.astype(np.float32), []
         for at in range(0, len(left), STRIP):
             near = left[at : at + STRIP].astype(np.float32) @ small.T >= threshold - 1e-4
             x, y = np.nonzero(near)
             x += at
             s = np.round(np.einsum("ij,ij->i", left[x], right[y]), 6)
-            keep = (s >= threshold) & ((ids_l[x] < ids_r[y]) if i == j else (ids_l[x] != ids_r[y]))
+            keep = (s >= threshold) & ((ids_l[x] < ids_r[y]) if u == v else (ids_l[x] != ids_r[y]))
             a, b = ids_l[x[keep]], ids_r[y[keep]]
             out.append((np.minimum(a, b), np.maximum(a, b), s[keep]))
         columns = [np.concatenate([o[k] for o in out]) if out else np.zeros(0) for k in range(3)]
-        return pa.table({"a": pa.array(columns[0], pa.int64()), "b": pa.array(columns[1], pa.int64()), "similarity": pa.array(columns[2], pa.float64())})
+        found = {"a": pa.array(columns[0], pa.int64()), "b": pa.array(columns[1], pa.int64()), "similarity": pa.array(columns[2], pa.float64())}
+        return pa.table(({"own": pa.array(np.full(len(columns[0]), table["own"][0].as_py()), pa.int64())} if within else {}) | found)
 
-    return spread.groupBy("i", "j").applyInArrow(pairs, "a long, b long, similarity double")
+    return dealt.groupBy("own", "cell", "u", "v").applyInArrow(pairs, shape)
 
 
-def hash_join(hashes: DataFrame, max_distance: int, bands: int | None = None) -> DataFrame:
+def bits_of(hashes: DataFrame) -> DataFrame:
+    """(id, bits) with 16 hex digits as one number of 64 bits."""
+    half = lambda k: F.conv(F.substr(F.col("hash"), F.lit(k), F.lit(8)), 16, 10).cast("long")
+    return hashes.where("hash is not null").select("id", F.shiftleft(half(1), 32).bitwiseOR(half(9)).alias("bits"))
+
+
+def hash_join(hashes: DataFrame, max_distance: int, bands: int | None = None, block_rows: int = 16_384) -> DataFrame:
     """JN-10: pairs (a < b, distance) of 16-digit hex hashes that differ in at most ``max_distance`` bits.
 
-    With more bands than differing bits some band agrees, so bands are equi-joined and the distance is checked.
+    With more bands than differing bits some band agrees, so bands are equi-joined and the distance is checked. Bands of few bits have full buckets: where n rows of evenly spread hashes
+    would meet more than half of all pairs (see band_pairs()), packed blocks are compared instead (hash_join_blocks()). ``bands`` asks for bands, whatever they cost.
     """
+    if bands is None and band_pairs(1.0, max_distance + 1) > 0.5:
+        return hash_join_blocks(hashes, max_distance, block_rows)
     bands = bands or max_distance + 1
     edges = [64 * k // bands for k in range(bands + 1)]
     digits = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.lpad(F.conv(F.substr(F.col("hash"), k * 4 + 1, F.lit(4)), 16, 2), 16, "0"))
@@ -166,6 +301,54 @@ def hash_join(hashes: DataFrame, max_distance: int, bands: int | None = None) ->
     return near.where(F.col("distance") <= max_distance).distinct()
 
 
+def band_pairs(pairs: float, bands: int) -> float:
+    """How many of so many pairs of evenly spread hashes meet in a band, each as often as it does."""
+    return pairs * sum(2.0 ** -(64 * (k + 1) // bands - 64 * k // bands) for k in range(bands))
+
+
+def hash_join_blocks(hashes: DataFrame, max_distance: int, block_rows: int = 16_384) -> DataFrame:
+    """JN-10 for long distances: blocks of packed hashes, each pair of blocks one task that takes XOR and bit counts of whole rows at once.
+
+    Blocks are ranges of the number of set bits, cut by a hash of the id where one range has too many rows; two hashes within the distance have set bits within it, so pairs of blocks farther apart aren't made.
+    """
+    spark = hashes.sparkSession
+    packed = bits_of(hashes).withColumn("ones", F.bit_count("bits").cast("int"))
+    counts = {r.ones: r["count"] for r in packed.groupBy("ones").count().collect()}  # 65 rows at most
+    n = sum(counts.values())
+    block_rows = max(64, min(block_rows, math.ceil(n / (2 * spark.sparkContext.defaultParallelism))))
+    blocks: list[tuple[int, int, int]] = []  # least and most ones, parts
+    for ones in sorted(counts):
+        if blocks and blocks[-1][2] == 1 and sum(counts[k] for k in range(blocks[-1][0], ones + 1) if k in counts) <= block_rows:
+            blocks[-1] = (blocks[-1][0], ones, 1)
+        else:
+            blocks.append((ones, ones, math.ceil(counts[ones] / block_rows)))
+    first = np.cumsum([0, *(b[2] for b in blocks)]).tolist()
+    if not blocks:
+        return spark.createDataFrame([], "a long, b long, distance int")
+    rows = [(k, low, high, parts, first[k]) for k, (low, high, parts) in enumerate(blocks)]
+    near = [(i, j) for i, x in enumerate(blocks) for j, y in enumerate(blocks) if x[0] - y[1] <= max_distance and y[0] - x[1] <= max_distance]
+    meets = spark.createDataFrame([(i, first[j], first[j] + blocks[j][2] - 1) for i, j in near], "range int, low int, high int")
+    ranges = spark.createDataFrame(rows, "range int, least int, most int, parts int, start int")
+    own = packed.join(F.broadcast(ranges), F.col("ones").between(F.col("least"), F.col("most"))).select("range", "id", "bits", (F.col("start") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("block"))
+    spread = own.join(F.broadcast(meets), "range").withColumn("other", F.explode(F.sequence("low", "high"))).select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "bits")
+
+    def pairs(table: pa.Table) -> pa.Table:
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        block, ids, bits = np.asarray(table["block"]), np.asarray(table["id"]), np.asarray(table["bits"]).view(np.uint64)
+        left, right = (block == i, block == j)
+        out = []
+        for at in range(0, int(left.sum()), 256):
+            mine, some = ids[left][at : at + 256], bits[left][at : at + 256]
+            d = np.bitwise_count(some[:, None] ^ bits[right][None, :])
+            x, y = np.nonzero(d <= max_distance)
+            a, b = mine[x], ids[right][y]
+            keep = (a < b) if i == j else (a != b)
+            out.append((np.minimum(a, b)[keep], np.maximum(a, b)[keep], d[x, y][keep]))
+        return pa.table({c: pa.array(np.concatenate([o[k] for o in out]), t) for k, (c, t) in enumerate((("a", pa.int64()), ("b", pa.int64()), ("distance", pa.int32())))})
+
+    return spread.groupBy("i", "j").applyInArrow(pairs, "a long, b long, distance int")
+
+
 def dbscan(ids: DataFrame, edges: DataFrame, min_samples: int = 2) -> DataFrame:
     """CLU-1: (id, cluster) from neighbour pairs (a, b): clusters are numbered from 0 by least core point, noise is -1.
 
@@ -179,7 +362,7 @@ def dbscan(ids: DataFrame, edges: DataFrame, min_samples: int = 2) -> DataFrame:
     rooted = cores.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
     border = both.join(cores, "id", "left_anti").join(cores.select(F.col("id").alias("other")), "other", "left_semi").groupBy("id").agg(F.min("other").alias("other"))
     border = border.join(rooted.select(F.col("id").alias("other"), "root"), "other").select("id", "root")
-    numbers = row_numbers(rooted.select("root").distinct(), [F.col("root")], "cluster", start=0)
+    numbers = row_numbers(rooted.select("root").distinct(), [F.col("root")], "cluster", start=0, small=cores.count() <= SMALL_ROWS)
     placed = rooted.unionByName(border).join(numbers, "root").select("id", "cluster")
     return ids.select("id").join(placed, "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
@@ -189,10 +372,11 @@ def cluster_vectors(vectors: DataFrame, eps: float, min_samples: int = 2) -> Dat
     return dbscan(vectors, checkpointed(similarity_join(vectors, 1 - eps)), min_samples)
 
 
-def stack_results(hits: DataFrame, threshold: float = 0.92) -> DataFrame:
-    """STK-1: per query_id, in rank order, each unabsorbed hit absorbs later ones of a cosine of ``threshold`` or more.
+def stack_results(hits: DataFrame, threshold: float = 0.92, list_rows: int = 2048) -> DataFrame:
+    """STK-1: per query_id, in rank order, each unabsorbed hit absorbs later ones of a cosine of ``threshold`` or more: (query_id, id, rank, stack_of, similarity).
 
-    ``hits`` has query_id, id, rank and vector; a result list is a few hundred rows and one group. Gives (query_id, id, rank, stack_of, similarity).
+    ``hits`` has query_id, id (once per query), rank (different in a query) and vector. Lists of up to ``list_rows`` hits are one group each; in longer ones, of any length, stacks are made in rounds over the
+    pairs that similarity_join() finds: see settle_stacks(). Both give the greedy answer.
     """
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -207,4 +391,58 @@ def stack_results(hits: DataFrame, threshold: float = 0.92) -> DataFrame:
                     owner[i + 1 + j], score[i + 1 + j] = i, s[j]
         return pd.DataFrame({"query_id": pdf["query_id"], "id": ids, "rank": pdf["rank"], "stack_of": ids[owner], "similarity": score})
 
-    return hits.groupBy("query_id").applyInPandas(greedy, "query_id long, id long, rank int, stack_of long, similarity double")
+    sizes = hits.groupBy("query_id").count()
+    long_lists = checkpointed(sizes.where(F.col("count") > list_rows).select("query_id"))
+    shape = "query_id long, id long, rank int, stack_of long, similarity double"
+    if long_lists.isEmpty():
+        return hits.groupBy("query_id").applyInPandas(greedy, shape)
+    short = hits.join(long_lists, "query_id", "left_anti").groupBy("query_id").applyInPandas(greedy, shape)
+    mine = checkpointed(hits.join(long_lists, "query_id", "left_semi").select("query_id", "id", F.col("rank").cast("int").alias("rank"), "vector"))
+    # pairs are found by rank, which is different within a query
+    pairs = similarity_join(mine.select(F.col("rank").cast("long").alias("id"), "query_id", "vector"), threshold, within="query_id")
+    edges = checkpointed(pairs.select(F.col("own").alias("query_id"), F.col("a").cast("int").alias("early"), F.col("b").cast("int").alias("late"), "similarity"))
+    owners = settle_stacks(edges)
+    heads = mine.select("query_id", F.col("rank").alias("early"), F.col("id").alias("stack_of"))
+    placed = mine.select("query_id", "id", "rank").join(owners.withColumnRenamed("late", "rank"), ["query_id", "rank"], "left")
+    placed = placed.join(heads, ["query_id", "early"], "left").select("query_id", "id", "rank", F.coalesce("stack_of", "id").alias("stack_of"), F.coalesce("similarity", F.lit(1.0)).alias("similarity"))
+    return short.unionByName(placed)
+
+
+def settle_stacks(edges: DataFrame, last_edges: int = 500_000, max_rounds: int = 60) -> DataFrame:
+    """(query_id, late, early, similarity): the head that absorbs each hit that is none, from edges (query_id, early, late, similarity) between similar hits, told by their ranks.
+
+    The heads are the maximal independent set that rank order gives. In a round every open hit without an open earlier neighbour is a head, and its later neighbours are absorbed; edges of what is settled
+    go. When ``last_edges`` or fewer are open (long chains settle two links a round), one task walks them in order. The first head among a hit's neighbours owns it. Raises RuntimeError after ``max_rounds``.
+    """
+    spark, pair = edges.sparkSession, ["query_id", "early", "late"]
+    open_, absorbed = edges.select(*pair), spark.createDataFrame([], "query_id long, late int")
+    for _ in range(max_rounds):
+        if open_.count() <= last_edges:
+            last = open_.coalesce(1).sortWithinPartitions("query_id", "late", "early").mapInArrow(_walk, "query_id long, late int")
+            absorbed = checkpointed(absorbed.unionByName(last))
+            break
+        follows = open_.select("query_id", F.col("late").alias("early")).distinct()
+        now = checkpointed(open_.join(follows, ["query_id", "early"], "left_anti").select("query_id", "late").distinct())
+        heads = open_.join(follows, ["query_id", "early"], "left_anti").select("query_id", "early").distinct()
+        settled = checkpointed(now.select("query_id", F.col("late").alias("hit")).unionByName(heads.select("query_id", F.col("early").alias("hit"))))
+        for end in ("early", "late"):
+            open_ = open_.join(settled.withColumnRenamed("hit", end), ["query_id", end], "left_anti")
+        open_, absorbed = checkpointed(open_), absorbed.unionByName(now)
+    else:
+        raise RuntimeError(f"stacks are still open after {max_rounds} rounds")
+    by_head = edges.join(absorbed.withColumnRenamed("late", "early"), ["query_id", "early"], "left_anti")
+    return by_head.groupBy("query_id", "late").agg(F.min("early").alias("early"), F.min_by("similarity", "early").alias("similarity"))
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The absorbed hits of edges that come sorted by query, later and earlier hit; an absorbed hit absorbs nothing."""
+    query, absorbed = None, set()
+    for batch in batches:
+        out = []
+        for row in zip(*(batch.column(c).to_pylist() for c in ("query_id", "late", "early")), strict=True):
+            if row[0] != query:
+                query, absorbed = row[0], set()
+            if row[1] not in absorbed and row[2] not in absorbed:
+                absorbed.add(row[1])
+                out.append(row)
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32())], ["query_id", "late"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,21 @@ from pyspark.sql import functions as F
 from lumenarc.operators.graph import checkpointed
 
 
-def running_totals(df: DataFrame, order: Sequence[Column], sums: dict[str, Column], partitions: int | None = None, small: bool = False) -> DataFrame:
+class Desc(NamedTuple):
+    """A descending part of an order (nulls last); plain columns are ascending."""
+
+    column: Column
+
+
+def _values(order: Sequence[Column | Desc]) -> list[Column]:
+    return [c.column if isinstance(c, Desc) else F.col(c) if isinstance(c, str) else c for c in order]
+
+
+def _sorted_by(order: Sequence[Column | Desc], columns: Sequence[Column]) -> list[Column]:
+    return [c.desc() if isinstance(o, Desc) else c.asc() for o, c in zip(order, columns, strict=True)]
+
+
+def running_totals(df: DataFrame, order: Sequence[Column | Desc], sums: dict[str, Column], partitions: int | None = None, small: bool = False) -> DataFrame:
     """``df`` with one column per entry of ``sums``: the total of its value over all rows before this one.
 
     Rows are range-partitioned by ``order`` (append a hash or a key so that equal values can be split), each
@@ -18,11 +33,11 @@ def running_totals(df: DataFrame, order: Sequence[Column], sums: dict[str, Colum
     knows to be ``small`` is one window.
     """
     if small:
-        whole = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        whole = Window.orderBy(*_sorted_by(order, _values(order))).rowsBetween(Window.unboundedPreceding, -1)
         return df.select("*", *(F.coalesce(F.sum(v).over(whole), F.lit(0)).alias(k) for k, v in sums.items()))
-    keys = [c.alias(f"__order{i}") for i, c in enumerate(order)]
+    keys = [c.alias(f"__order{i}") for i, c in enumerate(_values(order))]
     spread = df.select("*", *keys)
-    by = [F.col(f"__order{i}") for i in range(len(order))]
+    by = _sorted_by(order, [F.col(f"__order{i}") for i in range(len(order))])
     spread = spread.repartitionByRange(partitions, *by) if partitions else spread.repartitionByRange(*by)
     spread = checkpointed(spread.withColumn("__part", F.spark_partition_id()))
     local = Window.partitionBy("__part").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
@@ -36,6 +51,31 @@ def running_totals(df: DataFrame, order: Sequence[Column], sums: dict[str, Colum
     return joined.select(*(F.col(c) for c in df.columns), *out)
 
 
-def row_numbers(df: DataFrame, order: Sequence[Column], name: str = "row_no", start: int = 1, small: bool = False) -> DataFrame:
+def row_numbers(df: DataFrame, order: Sequence[Column | Desc], name: str = "row_no", start: int = 1, small: bool = False) -> DataFrame:
     """``df`` with a gapless number in the given order."""
     return running_totals(df, order, {name: F.lit(1)}, small=small).withColumn(name, (F.col(name) + start).cast("long"))
+
+
+#: Rows up to which a page comes from one sorted head.
+SHALLOW = 10_000
+
+
+def page(df: DataFrame, order: Sequence[Column | Desc], offset: int, limit: int, shallow: int = SHALLOW) -> DataFrame:
+    """TOP-4: rows ``offset`` to ``offset + limit`` in the given order, in that order; ``order`` should tell all rows apart.
+
+    A page near the start is a top-k. For a deeper one rows are range-partitioned and counted per partition, and only the partitions that hold the page (mostly one or two) are sorted, so that no task sees
+    the ``offset`` rows before it.
+    """
+    if offset + limit <= shallow:
+        return df.orderBy(*_sorted_by(order, _values(order))).offset(offset).limit(limit)
+    keys = [c.alias(f"__order{i}") for i, c in enumerate(_values(order))]
+    spread = df.select("*", *keys)
+    by = _sorted_by(order, [F.col(f"__order{i}") for i in range(len(order))])
+    spread = checkpointed(spread.repartitionByRange(max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *by).withColumn("__part", F.spark_partition_id()))
+    before, chosen, skip = 0, [], 0
+    for r in spread.groupBy("__part").count().orderBy("__part").collect():  # one row per partition
+        if before < offset + limit and before + r["count"] > offset:
+            skip = skip if chosen else offset - before
+            chosen.append(r["__part"])
+        before += r["count"]
+    return spread.where(F.col("__part").isin(chosen)).orderBy(*by).offset(max(skip, 0)).limit(limit).select(*df.columns)

@@ -94,6 +94,12 @@ def jn_10(spark, d):
     return S.hash_join(hashes(spark, d), 17)
 
 
+@query("JN_10_hash_join_bands", ctes("hashes") + f"SELECT a, b, distance FROM (SELECT a.id AS a, b.id AS b, {_HAM} AS distance FROM hashes a JOIN hashes b ON a.id < b.id) t WHERE distance <= 16")
+def jn_10_bands(spark, d):
+    """By bands, as for short distances."""
+    return S.hash_join(hashes(spark, d), 16, bands=17)
+
+
 @query("JN_11_shared_images", ctes("faces") + "SELECT image_id FROM faces WHERE label = 'Person 49' INTERSECT SELECT image_id FROM faces WHERE label = 'Person 76'")
 def jn_11(spark, d):
     return J.shared_images(made(spark, d, "faces"), "Person 49", "Person 76")
@@ -316,6 +322,8 @@ def win_6(spark, d):
 
 @query("WIN_7_best_face", ctes("faces") + "SELECT image_id, arg_max(face_id, (det_score, face_id)) AS face_id FROM faces GROUP BY image_id")
 def win_7(spark, d):
-    return made(spark, d, "faces").groupBy("image_id").agg(F.max_by("face_id", F.struct("det_score", "face_id")).alias("face_id"))
+    from lumenarc.operators.search import best_face
+
+    return best_face(made(spark, d, "faces"))
 
 

@@ -12,6 +12,8 @@ from lumenarc.operators import network as N
 from lumenarc.operators import search as R
 from lumenarc.operators import similarity as S
 from lumenarc.operators import vocabulary as W
+from lumenarc.operators.graph import checkpointed
+from lumenarc.operators.windows import Desc, page
 from lumenarc.plans.fixtures import ctes, made, table, vectors
 from lumenarc.plans.q_functions import _YEAR
 from lumenarc.plans.q_joins import _CO, _vocabulary
@@ -29,10 +31,18 @@ def top_1(spark, d):
     return S.vector_topk(vectors(spark, d), _vector(spark, d), 20, 0.1, F.col("label").between(2, 7))
 
 
-@query("TOP_2_vector_topk_batch", ctes("vectors") + f"SELECT query_id, id, score, r AS rank FROM (SELECT q.id AS query_id, v.id, {_COS} AS score, row_number() OVER (PARTITION BY q.id ORDER BY {_COS} DESC, v.id) AS r FROM vectors v, vectors q WHERE q.id % 20 = 0) t WHERE r <= 5")
+@query("TOP_2_vector_topk_batch", ctes("vectors") + f"SELECT query_id, id, score, r AS rank FROM (SELECT q.id AS query_id, v.id, {_COS} AS score, row_number() OVER (PARTITION BY q.id ORDER BY {_COS} DESC, v.id) AS r FROM vectors v, vectors q ) t WHERE r <= 5")
 def top_2(spark, d):
+    """All vectors are queries."""
     v = vectors(spark, d)
-    return S.vector_topk_batch(v, v.where("id % 20 = 0").withColumnRenamed("id", "query_id"), 5)
+    return S.vector_topk_batch(v, v.withColumnRenamed("id", "query_id"), 5)
+
+
+@query("TOP_2_topk_grid", ctes("vectors") + f"SELECT query_id, id, score, r AS rank FROM (SELECT q.id AS query_id, v.id, {_COS} AS score, row_number() OVER (PARTITION BY q.id ORDER BY {_COS} DESC, v.id) AS r FROM vectors v, vectors q) t WHERE r <= 7 AND score >= 0.15")
+def top_2_grid(spark, d):
+    """The way for two large sides, whatever their sizes are here."""
+    v = vectors(spark, d)
+    return S.topk_grid(v, v.withColumnRenamed("id", "query_id"), 7, 0.15)
 
 
 _SCORED = "SELECT concat('/arch/', source, '/', doc_id) AS file_path, n_chars % 10 / 10 AS score FROM documents"
@@ -47,7 +57,15 @@ def top_3(spark, d):
 @query("TOP_4_page", f"SELECT file_path, score FROM ({_SCORED}) t ORDER BY score DESC, file_path DESC LIMIT 30 OFFSET 60")
 def top_4(spark, d):
     hits = spark.sql(_SCORED.replace("FROM documents", "FROM {t}"), t=table(spark, d, "documents"))
-    return hits.orderBy(F.desc("score"), F.desc("file_path")).offset(60).limit(30)
+    return page(hits, [Desc(F.col("score")), Desc(F.col("file_path"))], 60, 30)
+
+
+@query("TOP_4_deep_page", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 40 OFFSET 40000")
+def top_4_deep(spark, d):
+    """Page 1,001 of 40 rows."""
+    items = table(spark, d, "lineitem")
+    order = [Desc(F.col("l_extendedprice")), *(F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))]
+    return page(items, order, 40_000, 40).select("l_orderkey", "l_linenumber", "l_extendedprice")
 
 
 @query("TOP_5_browse", ctes("dated") + f"SELECT file_name, year, CAST(1.0 AS DOUBLE) AS score FROM (SELECT *, {_YEAR} AS year FROM dated) t WHERE year BETWEEN 1890 AND 1910 ORDER BY coalesce(year, 9999), lower(file_name), file_name LIMIT 100")
@@ -150,7 +168,7 @@ def _all_legs(spark, d, **options):
 _NORM = "list_transform({v}, lambda x: x / sqrt(list_dot_product({v}, {v})))"
 
 
-@query("SRCH_1_hybrid_search_all_legs", ctes("records", "vectors").rstrip() + f""", ok AS (SELECT * FROM records WHERE signature <> 'en'),
+_LEGS = ctes("records", "vectors").rstrip() + f""", ok AS (SELECT * FROM records WHERE signature <> 'en'),
     f AS (SELECT file_path, CASE WHEN id % 2 = 0 THEN 'Person ' || creator END AS label, 'cluster_' || (id % 25) AS cluster_id FROM ok WHERE id % 3 = 0),
     p AS (SELECT file_path, CAST(0.98 AS DOUBLE) AS score, [label] AS persons FROM f WHERE contains(lower(label), 'src3')
         UNION ALL SELECT file_path, 0.98, [n_name] FROM f JOIN nation ON cluster_id = 'cluster_' || n_nationkey WHERE contains(lower(n_name), 'src3') OR contains('src' || (n_nationkey % 10), 'src3')),
@@ -160,35 +178,76 @@ _NORM = "list_transform({v}, lambda x: x / sqrt(list_dot_product({v}, {v})))"
     b AS (SELECT r.file_path, round(max(m.score) - 0.01, 2) AS score FROM m JOIN records s ON s.file_path = m.file_path JOIN ok r ON r.id = s.id - 1 AND r.id % 2 = 0
         WHERE r.file_path NOT IN (SELECT file_path FROM m) AND r.file_path NOT IN (SELECT file_path FROM p) GROUP BY r.file_path),
     q AS (SELECT list_transform(list_zip({_NORM.format(v='x.vector')}, {_NORM.format(v='y.vector')}), lambda z: 0.75 * z[1] + 0.25 * z[2]) AS vector FROM vectors x, vectors y WHERE x.id = 7 AND y.id = 8),
-    v AS (SELECT file_path, {_COS} AS score FROM ok JOIN vectors v ON ok.id % 500 = v.id, q WHERE {_COS} >= 0.2 ORDER BY score DESC, file_path DESC LIMIT 600),
-    u AS (SELECT file_path, score, 0 AS r, 'person' AS k, persons FROM p UNION ALL SELECT file_path, score, 1, 'metadata', [] FROM m UNION ALL SELECT file_path, score, 1, 'metadata', [] FROM b UNION ALL SELECT file_path, score, 2, 'clip', [] FROM v)
-    SELECT file_path, CAST(max(score) AS DOUBLE) AS score, arg_min(k, r) AS match_type, list_sort(list_distinct(flatten(list(persons)))) AS persons FROM u GROUP BY file_path ORDER BY score DESC, file_path DESC LIMIT 300 OFFSET 5""")
+    v AS (SELECT file_path, {_COS} AS score FROM ok JOIN vectors v ON ok.id % 500 = v.id, q WHERE {_COS} >= 0.2 ORDER BY score DESC, file_path DESC LIMIT 915),
+    u AS (SELECT file_path, score, 0 AS r, 'person' AS k, persons FROM p UNION ALL SELECT file_path, score, 1, 'metadata', [] FROM m UNION ALL SELECT file_path, score, 1, 'metadata', [] FROM b UNION ALL SELECT file_path, score, 2, 'clip', [] FROM v),
+    fused AS (SELECT file_path, CAST(max(score) AS DOUBLE) AS score, arg_min(k, r) AS match_type, list_sort(list_distinct(flatten(list(persons)))) AS persons FROM u GROUP BY file_path)"""
+
+
+@query("SRCH_1_hybrid_search_all_legs", _LEGS + " SELECT * FROM fused ORDER BY score DESC, file_path DESC LIMIT 300 OFFSET 5")
 def srch_1_all(spark, d):
     return _all_legs(spark, d, offset=5, limit=300)
 
 
-@query("SRCH_1_hybrid_search_stacked")
+def _greedy(hits: str, threshold: float) -> str:
+    """CTEs that stack ``hits`` (q, id, rank, vector) by the greedy rule, one rank after the other; ``walk`` has every hit's stack_of, a rank."""
+    return f"""h AS MATERIALIZED ({hits}),
+    near AS MATERIALIZED (SELECT b.q, b.rank, list_sort(list(a.rank)) AS earlier FROM h a JOIN h b ON a.q = b.q AND a.rank < b.rank AND round(list_dot_product(a.vector, b.vector) / sqrt(list_dot_product(a.vector, a.vector) * list_dot_product(b.vector, b.vector)), 6) >= {threshold} GROUP BY b.q, b.rank),
+    lists AS MATERIALIZED (SELECT h.q, h.rank, coalesce(earlier, []) AS earlier FROM h LEFT JOIN near USING (q, rank)),
+    walk AS (SELECT q, rank, CAST([rank] AS BIGINT[]) AS heads, CAST(rank AS BIGINT) AS stack_of FROM lists WHERE rank = 1
+        UNION ALL SELECT l.q, l.rank, CASE WHEN len(list_intersect(l.earlier, w.heads)) > 0 THEN w.heads ELSE list_append(w.heads, l.rank) END, CASE WHEN len(list_intersect(l.earlier, w.heads)) > 0 THEN list_min(list_intersect(l.earlier, w.heads)) ELSE l.rank END
+        FROM walk w JOIN lists l ON l.q = w.q AND l.rank = w.rank + 1)"""
+
+
+_STACKED = _LEGS + ", " + _greedy("SELECT 0 AS q, CAST(row_number() OVER (ORDER BY f.score DESC, f.file_path DESC) AS BIGINT) AS rank, f.file_path, f.score, f.match_type, f.persons, v.vector FROM fused f JOIN records r USING (file_path) JOIN vectors v ON r.id % 500 = v.id", 0.92)
+
+
+@query("SRCH_1_hybrid_search_stacked", _STACKED.replace("LIMIT 915),", "LIMIT 180),") + " SELECT file_path, score, match_type, persons, n AS stack_size FROM (SELECT stack_of AS rank, count(*) AS n FROM walk GROUP BY stack_of) s JOIN h USING (rank) ORDER BY score DESC, file_path DESC LIMIT 60")
 def srch_1_stacked(spark, d):
-    """With stacks; no SQL, as they are made greedily."""
+    """All hits are stacked, then paged."""
     return _all_legs(spark, d, offset=0, limit=60, stack=0.92)
 
 
 @query("SRCH_2_similar_images", ctes("vectors") + f"SELECT v.id, {_COS} AS score FROM vectors v, (SELECT vector FROM vectors WHERE id = 11) q ORDER BY score DESC, id LIMIT 12")
 def srch_2(spark, d):
-    return S.vector_topk(vectors(spark, d), _vector(spark, d, 11), 12)
+    return R.similar_images(vectors(spark, d), 11)
+
+
+_ALIKE = ctes("vectors").rstrip() + ", " + _greedy(f"SELECT 0 AS q, CAST(row_number() OVER (ORDER BY score DESC, id) AS BIGINT) AS rank, id, score, vector FROM (SELECT v.id, v.vector, {_COS} AS score FROM vectors v, (SELECT vector FROM vectors WHERE id = 11) q) t WHERE score >= 0", 0.3)
+
 
+@query("SRCH_2_similar_images_stacked", _ALIKE + " SELECT id, score, n AS stack_size FROM (SELECT stack_of AS rank, count(*) AS n FROM walk GROUP BY stack_of) s JOIN h USING (rank) ORDER BY rank LIMIT 30")
+def srch_2_stacked(spark, d):
+    return R.similar_images(vectors(spark, d), 11, 30, stack=0.3)
 
-@query("SRCH_3_vector_search", ctes("vectors") + f"SELECT query_id, id, score, r AS rank FROM (SELECT q.id AS query_id, v.id, {_COS} AS score, row_number() OVER (PARTITION BY q.id ORDER BY {_COS} DESC, v.id) AS r FROM vectors v, vectors q WHERE q.label = 3) t WHERE r <= 3 AND score >= 0.2")
+
+_FACES = """f AS (SELECT l_orderkey % 2000 AS image, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS face_id, max(l_discount) AS det_score FROM lineitem GROUP BY ALL),
+    w AS (SELECT image, arg_max(face_id, (det_score, face_id)) AS face_id FROM f GROUP BY image)"""
+
+
+@query("SRCH_3_vector_search", ctes("vectors").rstrip() + f", {_FACES} SELECT query_id, id, score, r AS rank, face_id FROM (SELECT q.id AS query_id, v.id, {_COS} AS score, row_number() OVER (PARTITION BY q.id ORDER BY {_COS} DESC, v.id) AS r FROM vectors v, vectors q WHERE q.id % 100 = 0) t LEFT JOIN w ON id = image WHERE r <= 3 AND score >= 0.2")
 def srch_3(spark, d):
     v = vectors(spark, d)
-    return S.vector_topk_batch(v, v.where("label = 3").withColumnRenamed("id", "query_id"), 3, 0.2)
+    faces = spark.sql("SELECT l_orderkey % 2000 AS image_id, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS face_id, max(l_discount) AS det_score FROM {t} GROUP BY 1, 2", t=table(spark, d, "lineitem"))
+    return R.search_faces(v, v.where("id % 100 = 0").withColumnRenamed("id", "query_id"), faces, 3, 0.2)
+
 
+_STK = ctes("vectors").rstrip() + ", " + _greedy(f"SELECT q, id, score, vector, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS BIGINT) AS rank FROM (SELECT q.id AS q, v.id, v.vector, {_COS} AS score FROM vectors v, vectors q WHERE q.id % 100 = 0) t WHERE score >= 0.0", 0.25)
 
-@query("STK_1_stack_results")
+
+@query("STK_1_stack_results", _STK + " SELECT w.q AS query_id, h.id, CAST(h.rank AS INTEGER) AS rank, o.id AS stack_of FROM walk w JOIN h ON h.q = w.q AND h.rank = w.rank JOIN h o ON o.q = w.q AND o.rank = w.stack_of")
 def stk_1(spark, d):
+    """Every hit of a list takes part, however long it is."""
+    v = vectors(spark, d)
+    ranked = checkpointed(S.vector_topk_batch(v, v.where("id % 100 = 0").withColumnRenamed("id", "query_id"), None, 0.0))
+    return S.stack_results(ranked.join(v.select("id", "vector"), "id"), 0.25).select("query_id", "id", "rank", "stack_of")
+
+
+@query("STK_1_stacks_in_rounds", _STK + " SELECT w.q AS query_id, h.id, CAST(h.rank AS INTEGER) AS rank, o.id AS stack_of FROM walk w JOIN h ON h.q = w.q AND h.rank = w.rank JOIN h o ON o.q = w.q AND o.rank = w.stack_of")
+def stk_1_rounds(spark, d):
+    """The way of long lists, whatever their lengths are here."""
     v = vectors(spark, d)
-    ranked = S.vector_topk_batch(v, v.where("id % 50 = 0").withColumnRenamed("id", "query_id"), 40)
-    return S.stack_results(ranked.join(v.select("id", "vector"), "id"), 0.25)
+    ranked = checkpointed(S.vector_topk_batch(v, v.where("id % 100 = 0").withColumnRenamed("id", "query_id"), None, 0.0))
+    return S.stack_results(ranked.join(v.select("id", "vector"), "id"), 0.25, list_rows=1).select("query_id", "id", "rank", "stack_of")
 
 
 @query("VAR_1_find_variants", ctes("vectors") + f"SELECT id, score, CASE WHEN score >= 0.385 THEN 'EXACT_DUPLICATE' WHEN score >= 0.345 THEN 'FORMAT_VARIANT' WHEN score >= 0.29 THEN 'SERIES_VARIANT' ELSE 'RELATED' END AS kind FROM (SELECT v.id, {_COS} AS score FROM vectors v, (SELECT vector FROM vectors WHERE id = 5) q WHERE v.id <> 5) t WHERE score >= 0.25 ORDER BY score DESC, id LIMIT 25")
@@ -229,3 +288,19 @@ def net_1_nodes(spark, d):
     faces = made(spark, d, "faces")
     totals = faces.where("label is not null").groupBy(F.col("label").alias("person")).agg(F.count("*").alias("faces"))
     return N.person_graph(A.co_occurrence(faces), totals, "Person 49")[0]
+
+
+_HOPS = """pairs AS (SELECT a AS who, b AS other, shared FROM co UNION ALL SELECT b, a, shared FROM co), top AS (SELECT other, shared FROM pairs WHERE who = 'Person 49' ORDER BY shared DESC, other LIMIT 25),
+    near AS (SELECT other, row_number() OVER (ORDER BY shared DESC, other) AS place FROM top WHERE shared >= 2 ORDER BY shared DESC, other LIMIT 15),
+    second AS (SELECT n.place, b.other, b.shared, row_number() OVER (PARTITION BY n.place ORDER BY b.shared DESC, b.other) AS r FROM near n JOIN pairs b ON b.who = n.other WHERE n.place <= 3),
+    s1 AS (SELECT other FROM second WHERE place = 1 AND r <= 7 AND other <> 'Person 49' AND shared >= 2 AND other NOT IN (SELECT other FROM near) ORDER BY r LIMIT 6),
+    s2 AS (SELECT other FROM second WHERE place = 2 AND r <= 7 AND other <> 'Person 49' AND shared >= 2 AND other NOT IN (SELECT other FROM near UNION ALL SELECT other FROM s1) ORDER BY r LIMIT 6),
+    s3 AS (SELECT other FROM second WHERE place = 3 AND r <= 7 AND other <> 'Person 49' AND shared >= 2 AND other NOT IN (SELECT other FROM near UNION ALL SELECT other FROM s1 UNION ALL SELECT other FROM s2) ORDER BY r LIMIT 6),
+    pick AS (SELECT other AS p FROM near UNION ALL SELECT 'Person 49' UNION ALL SELECT other FROM s1 UNION ALL SELECT other FROM s2 UNION ALL SELECT other FROM s3)"""
+
+
+@query("NET_1_person_graph_two_hops", ctes("faces").rstrip() + f", {_CO}, {_HOPS} SELECT a, b, shared FROM co WHERE a IN (SELECT p FROM pick) AND b IN (SELECT p FROM pick) AND shared >= 2")
+def net_1_two_hops(spark, d):
+    faces = made(spark, d, "faces")
+    totals = faces.where("label is not null").groupBy(F.col("label").alias("person")).agg(F.count("*").alias("faces"))
+    return N.person_graph(A.co_occurrence(faces), totals, "Person 49", depth=2)[1]

@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lumenarc.operators import aggregates, catalogue, fixity, search, similarity
+from lumenarc.operators import aggregates, catalogue, fixity, graph, search, similarity, windows
 from lumenarc.operators.graph import connected_components
 from lumenarc.operators.windows import row_numbers
 from lumenarc.sources import exports, inventory
@@ -62,6 +63,79 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+@pytest.mark.parametrize("last", [0, 500, None])
+@pytest.mark.parametrize("kind", ["long", "string", "binary"])
+def test_components_of_long_paths(spark, kind, last):
+    """A path of 10,000 nodes, edges in both orders, and stars; by rounds alone, with a late finish, by one task."""
+    name = {"long": lambda i: i, "string": lambda i: f"n{i:06d}", "binary": lambda i: i.to_bytes(3, "big")}[kind]
+    edges = [(i, i + 1) if i % 2 else (i + 1, i) for i in range(9_999)] + [(20_000 + i, 20_000) for i in range(500)]
+    for seed in (0, 1):
+        order = np.random.default_rng(seed).permutation(len(edges)) if seed else np.arange(len(edges))
+        rows = [(name(edges[k][0]), name(edges[k][1])) for k in order]
+        df = spark.createDataFrame(rows, f"src {kind}, dst {kind}").repartition(7)
+        got = {r.node: r.root for r in connected_components(df, last_edges=last).collect()}
+        assert got == {name(i): name(0) for i in range(10_000)} | {name(20_000 + i): name(20_000) for i in range(500)}
+
+
+def test_contraction_is_bounded(spark, monkeypatch):
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(k, k + 50)), pa.array(range(k + 1, k + 51))], ["src", "dst"]) for k in range(0, 1000, 50)]
+    monkeypatch.setattr(graph, "HELD_EDGES", 120)
+    out = list(graph._contract(False)(iter(batches)))
+    assert len(out) > 3 and max(b.num_rows for b in out) < 200
+    root = {x: x for x in range(1001)}
+    for b in out:
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            while root[x] != x:
+                x = root[x]
+            while root[y] != y:
+                y = root[y]
+            root[max(x, y)] = min(x, y)
+    assert sum(root[x] == x for x in root) == 1
+
+
+def clustered(n, width, seed):
+    """Rows around 40 far centres, a third of them copies of one row."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(40, width))
+    rows = centres[rng.integers(0, 40, n)] + 0.15 * rng.normal(size=(n, width))
+    rows[: n // 3] = rows[0]
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("threshold", [0.9, 0.3, -0.1, 1.0])
+def test_pivots_lose_no_pair(spark, threshold):
+    m = clustered(600, 16, 3)
+    m[7] = 0
+    s = np.round(m @ m.T, 6)
+    want = {(int(i), int(j)): s[i, j] for i, j in zip(*np.nonzero(s >= threshold), strict=True) if i < j}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)] + [(9999, None)], "id long, vector array<double>").repartition(5)
+    for pivots in (1, 13, 600):
+        got = similarity.similarity_join(df, threshold, 100, pivots=pivots).collect()
+        assert len(got) == len(want) and {(r.a, r.b): r.similarity for r in got} == pytest.approx(want, abs=1.1e-6)
+
+
+def test_pivots_prune_and_hot_cells_are_split(spark):
+    m = clustered(4000, 32, 4)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, vector array<double>")
+    cells = similarity.in_cells(df, 0.9, similarity.choose_pivots(df, 64))
+    rows = similarity.cell_statistics(cells).collect()
+    assert sum(r.inner for r in rows) == 4000
+    compared = sum(r.inner * (r.inner + 2 * r.guests) for r in rows)
+    hot = max(r.inner for r in rows)
+    assert compared - hot * hot < 0.1 * (4000 * 4000 - hot * hot)  # over 90 % of the pairs of other cells are never made
+    tasks = similarity.similarity_join(df, 0.9, 500, pivots=64)
+    sent = tasks._jdf.queryExecution().analyzed().toString()
+    assert "FlatMapGroupsInArrow" in sent and tasks.count() == sum(1 for i, j in zip(*np.nonzero(np.triu(np.round(m @ m.T, 6) >= 0.9, 1)), strict=True))
+
+
+def test_pairs_within_groups(spark):
+    m = clustered(300, 8, 5)
+    df = spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate(m)], "id long, part int, vector array<double>")
+    s = np.round(m @ m.T, 6)
+    got = {(r.own, r.a, r.b) for r in similarity.similarity_join(df, 0.8, within="part").collect()}
+    assert got == {(int(i) % 3, int(i), int(j)) for i, j in zip(*np.nonzero(s >= 0.8), strict=True) if i < j and i % 3 == j % 3}
+
+
 def test_hash_join(spark):
     hashes = [(0, "0" * 16), (1, "0" * 16), (2, "0" * 15 + "3"), (3, "0" * 15 + "7"), (4, "000000000000007f"), (5, "00000000000000ff")]
     got = {(r.a, r.b): r.distance for r in similarity.hash_join(spark.createDataFrame(hashes, "id long, hash string"), 7).collect()}
@@ -76,6 +150,92 @@ def test_stacks(spark):
     assert got == {(1, 10): 10, (1, 11): 11, (1, 12): 10, (2, 10): 10}
 
 
+def long_lists(seed=7, n=700):
+    rng = np.random.default_rng(seed)
+    m = clustered(n, 12, seed)
+    # a chain in rank order: each is similar to the next one only
+    angle = np.arange(120) * 0.3
+    m[100:220] = 0
+    m[100:220, 0], m[100:220, 1] = np.cos(angle), np.sin(angle)
+    return [(q, int(i), int(r) + 1, m[i].tolist()) for q in (3, 4) for r, i in enumerate(rng.permutation(n) if q == 3 else range(n))]
+
+
+@pytest.mark.parametrize("last", [0, 300, 500_000])
+def test_long_lists_are_stacked_as_short_ones(spark, monkeypatch, last):
+    hits = spark.createDataFrame(long_lists(), "query_id long, id long, rank int, vector array<double>").repartition(6)
+    want = {(r.query_id, r.id): r.stack_of for r in similarity.stack_results(hits, 0.95, list_rows=10_000).collect()}
+    monkeypatch.setattr(similarity, "settle_stacks", lambda edges, f=similarity.settle_stacks: f(edges, last, 80))
+    got = similarity.stack_results(hits, 0.95, list_rows=100).collect()
+    assert len(got) == 1400 and {(r.query_id, r.id): r.stack_of for r in got} == want
+    assert all((r.similarity == 1.0) == (r.stack_of == r.id) or r.similarity >= 0.95 for r in got)
+
+
+def test_stacks_that_stay_open_are_an_error(spark):
+    edges = spark.createDataFrame([(1, i, i + 1, 1.0) for i in range(50)], "query_id long, early int, late int, similarity double")
+    with pytest.raises(RuntimeError, match="still open"):
+        similarity.settle_stacks(edges, 0, 3)
+    assert {r.late for r in similarity.settle_stacks(edges).collect()} == set(range(1, 51, 2))
+
+
+@pytest.mark.parametrize("distance", [3, 20, 40])
+def test_hash_blocks_are_brute_force(spark, distance):
+    rng = np.random.default_rng(distance)
+    bits = [int(x) for x in rng.integers(0, 2**63, 400)] + [0, 0, 2**64 - 1, 2**64 - 2] + [7 << 60] * 150
+    df = spark.createDataFrame([(i, f"{b:016x}") for i, b in enumerate(bits)] + [(9999, None)], "id long, hash string")
+    want = {(a, b): (bits[a] ^ bits[b]).bit_count() for a in range(len(bits)) for b in range(a + 1, len(bits)) if (bits[a] ^ bits[b]).bit_count() <= distance}
+    for block in (64, 16_384):
+        got = similarity.hash_join_blocks(df, distance, block).collect()
+        assert len(got) == len(want) and {(r.a, r.b): r.distance for r in got} == want
+    assert similarity.hash_join_blocks(df.where("false"), distance).count() == 0
+
+
+def test_long_distances_go_to_blocks(spark):
+    """Bands of 18 would bring more pairs than there are, those of 8 a few in a hundred."""
+    assert similarity.band_pairs(1.0, 18) > 1 > 0.1 > similarity.band_pairs(1.0, 8)
+    df = spark.createDataFrame([(0, "0" * 16), (1, "f" * 16)], "id long, hash string")
+    assert "FlatMapGroupsInArrow" in similarity.hash_join(df, 17)._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInArrow" not in similarity.hash_join(df, 7)._jdf.queryExecution().toString()
+
+
+def test_grid_needs_no_driver(spark, monkeypatch):
+    monkeypatch.setattr(type(spark.range(1)), "toPandas", lambda self: pytest.fail("rows at the driver"))
+    v = spark.range(1000).selectExpr("id", "array(cos(id), sin(id), cos(3 * id)) AS vector")
+    monkeypatch.setattr(similarity, "BROADCAST_BYTES", 100)
+    got = similarity.vector_topk_batch(v, v.withColumnRenamed("id", "query_id"), 4).collect()
+    m = np.array([[np.cos(i), np.sin(i), np.cos(3 * i)] for i in range(1000)])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    s = np.round(m @ m.T, 6)
+    want = {(q, int(i), k + 1) for q in range(1000) for k, i in enumerate(np.lexsort((np.arange(1000), -s[q]))[:4])}
+    assert {(r.query_id, r.id, r.rank) for r in got} == want
+
+
+def test_hot_images_are_split(spark):
+    """One image with 3,000 persons: each of its pairs of chunks is a row."""
+    rows = [(1, f"p{k}") for k in range(3000)] + [(2, "p1"), (2, "p2"), (2, "p2"), (3, " "), (3, None), (4, "p9")]
+    faces = spark.createDataFrame(rows, "image_id long, label string")
+    got = aggregates.co_occurrence(faces)
+    assert got.count() == 3000 * 2999 // 2 and {(r.a, r.b) for r in got.where("shared = 2").collect()} == {("p1", "p2")}
+    chunks = aggregates.dealt_chunks(faces.where("trim(label) <> ''").select("image_id", F.col("label").alias("person")).distinct()).where("image_id = 1").groupBy("i", "j").count().collect()
+    assert len(chunks) == 12 * 13 // 2 and max(r["count"] for r in chunks) < 700
+
+
+@pytest.mark.parametrize("offset", [0, 990, 12_345, 19_990, 20_005, 50_000])
+def test_deep_pages(spark, offset):
+    df = spark.range(20_000).selectExpr("id", "id * 7919 % 1000 AS v", "concat('n', id % 13) AS name", "1 AS __no").repartition(9)
+    order = [windows.Desc(F.col("v")), F.col("name"), windows.Desc(F.col("id"))]
+    want = sorted(((i * 7919 % 1000, f"n{i % 13}", i) for i in range(20_000)), key=lambda r: (-r[0], r[1], -r[2]))
+    got = windows.page(df, order, offset, 30, shallow=1000)
+    assert got.columns == df.columns and [(r.v, r.name, r.id) for r in got.collect()] == want[offset : offset + 30]
+
+
+def test_deep_pages_sort_few_rows(spark):
+    df = spark.range(100_000).selectExpr("id", "id * 7919 % 100003 AS v")
+    got = windows.page(df, [F.col("v")], 50_000, 20)
+    assert len(got.collect()) == 20
+    kept = got._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in kept and "Filter" in kept
+
+
 def test_fixity_runs(spark, tmp_path):
     good, plain = tmp_path / "a.tif", tmp_path / "b.tif"
     good.write_bytes(b"good")
@@ -242,9 +402,9 @@ def test_search_stacks_before_paging(spark):
     faces, table, images, _, _ = _archive(spark)
     found = search.hybrid_search(faces, table, images, "kelch", [1.0, 0.0], columns=("title",), stack=0.92, limit=2).collect()
     assert [(r.file_path, r.stack_size) for r in found] == [("/5", 3), ("/3", 1)]
-    alone = search.stacked(spark.createDataFrame([("/6", 0.5)], "file_path string, score double"), images, 0.9, 10).collect()
+    alone = search.stacked(spark.createDataFrame([("/6", 0.5)], "file_path string, score double"), images, 0.9).collect()
     assert [(r.file_path, r.stack_size) for r in alone] == [("/6", 1)]
-    assert search.stacked(spark.createDataFrame([], "file_path string, score double"), images, 0.9, 10).isEmpty()
+    assert search.stacked(spark.createDataFrame([], "file_path string, score double"), images, 0.9).isEmpty()
 
 
 def test_batches(spark):
