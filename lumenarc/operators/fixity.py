@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenarc.functions.text import filled
+from lumenarc.sources.digests import file_digests
 
 BAD = ("CORRUPTED", "MISSING", "READ_ERROR")
 
 
-def observed_files(spark, path: str) -> DataFrame:
-    """(file_path, sha256) of the files under a folder, read through Spark."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.col("path").alias("file_path"), F.sha2(F.col("content"), 256).alias("sha256"))
+def observed_files(spark, path: str, **options) -> DataFrame:
+    """(file_path, size, sha256, error) of the files under a folder, of any size; sha256 is null where a file can't be read. See sources.digests for ``options``."""
+    return file_digests(spark, path, **options)
 
 
 def fixity_verify(catalogue: DataFrame, observed: DataFrame, checked_at: Column, initialise: bool = True) -> DataFrame:

@@ -14,13 +14,60 @@ from lumenarc.plans.fixtures import ctes, made, table
 from lumenarc.plans.q_functions import _uuid_sql
 from lumenarc.plans.registry import query
 from lumenarc.sources import exports as E
+from lumenarc.sources import digests as D
 from lumenarc.sources import inventory as S
+from lumenarc.sources import versions as V
 from lumenarc.streaming.streams import fixity_alert_stream, ingest_stream
 
 
-@query("SRC_1_file_inventory")
+def _written_pages(spark, d):
+    """The pages as files (html, and every third with a sidecar in JSON) in a new folder."""
+    folder = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    pages = table(spark, d, "pages")
+    stem = F.concat((F.col("page_id") % 7).cast("string"), F.lit("/p"), F.col("page_id").cast("string"))
+    html = pages.select(F.concat(stem, F.when(F.col("page_id") % 5 == 0, ".PNG").otherwise(".tif")).alias("name"), F.encode("html", "UTF-8").alias("content"))
+    record = F.to_json(F.struct(F.col("url").alias("title"), F.col("page_id").alias("number")))
+    name = F.concat(stem, F.when(F.col("page_id") % 2 == 0, ".json").otherwise(F.when(F.col("page_id") % 5 == 0, ".PNG.json").otherwise(".tif.json")))
+    broken = F.when(F.col("page_id") % 4 == 3, F.lit("{no record")).otherwise(record)
+    sidecars = pages.where("page_id % 3 = 0").select(name.alias("name"), F.encode(broken, "UTF-8").alias("content"))
+    D.write_files(html.unionByName(sidecars), folder).agg(F.sum("size")).collect()
+    return folder
+
+
+_NAME = "concat('p', page_id, CASE WHEN page_id % 5 = 0 THEN '.PNG' ELSE '.tif' END)"
+
+
+@query("SRC_1_file_inventory", f"SELECT {_NAME} AS name, CAST(octet_length(encode(html)) AS BIGINT) AS size FROM pages")
 def src_1(spark, d):
-    return S.file_inventory(spark, d, ("parquet",)).select(base_name(F.col("path")).alias("name"), "size")
+    """Files written out of pages; sidecars aren't images."""
+    return S.file_inventory(spark, _written_pages(spark, d)).select(base_name(F.col("path")).alias("name"), "size")
+
+
+@query("SRC_3_sidecar_read", f"SELECT {_NAME} AS name, CASE WHEN page_id % 3 = 0 AND page_id % 4 <> 3 THEN url END AS title, CASE WHEN page_id % 3 = 0 AND page_id % 4 <> 3 THEN page_id END AS number FROM pages")
+def src_3(spark, d):
+    """Sidecars of both names, some broken, in the same folders as the files."""
+    folder = _written_pages(spark, d)
+    found = S.attach_sidecars(S.file_inventory(spark, folder).select("path"), S.read_sidecars(spark, folder, "title string, number long"))
+    return found.select(base_name(F.col("path")).alias("name"), "title", "number")
+
+
+@query("FIX_1_file_digests", f"SELECT {_NAME} AS name, CAST(octet_length(encode(html)) AS BIGINT) AS size, sha256(html) AS sha256 FROM pages")
+def fix_1_digests(spark, d):
+    found = Y.observed_files(spark, _written_pages(spark, d), partitionBytes=1 << 20)
+    return found.where("error is null and not file_path like '%.json'").select(base_name(F.col("file_path")).alias("name"), "size", "sha256")
+
+
+@query("FIX_1_fixity_of_files", f"""SELECT {_NAME} AS name, CASE WHEN page_id % 11 = 0 THEN 'CORRUPTED' ELSE 'OK' END AS status, CASE WHEN page_id % 11 = 0 THEN 'corrupted' WHEN page_id % 13 = 0 THEN 'initialized' ELSE 'intact' END AS outcome FROM pages
+    UNION ALL SELECT concat('gone', page_id), 'MISSING', 'missing' FROM pages WHERE page_id % 10 = 0""")
+def fix_1_files(spark, d):
+    """Stored digests against the files: some changed since, some without a baseline, some files gone."""
+    folder = _written_pages(spark, d)
+    seen = Y.observed_files(spark, folder).where("not file_path like '%.json'")
+    number = F.regexp_extract("file_path", r"p(\d+)\.", 1).cast("long")
+    stored = seen.select("file_path", F.when(number % 11 == 0, "changed").when(number % 13 != 0, F.col("sha256")).alias("sha256"))
+    gone = table(spark, d, "pages").where("page_id % 10 = 0").select(F.concat(F.lit("/x/gone"), F.col("page_id").cast("string")).alias("file_path"), F.lit("00").alias("sha256"))
+    checked = Y.fixity_verify(stored.unionByName(gone), seen, F.current_timestamp())
+    return checked.select(base_name(F.col("file_path")).alias("name"), "status", "outcome")
 
 
 @query("SRC_2_folder_preview", """WITH f AS (SELECT regexp_replace(url, '/[^/]*$', '') AS folder, regexp_extract(url, '[^/]*$') AS name, url LIKE '%.html' AS side, page_id % 3 = 0 AS known FROM pages),
@@ -166,29 +213,73 @@ def fix_1(spark, d):
     return Y.fixity_verify(t, t.where("id % 11 <> 0").select("file_path", now.alias("sha256")), F.current_timestamp()).select("file_path", "status", "outcome")
 
 
-@query("ING_1_ingest_rows", f"SELECT {_uuid_sql('''substr(url, 8)''')} AS id, url AS path, 'b1' AS import_id FROM pages WHERE page_id % 3 <> 0 AND url LIKE 'https://%'")
+@query("UPS_10_versions", ctes("records").rstrip() + """, r AS (SELECT coalesce(import_id, 'legacy') AS batch FROM records), v AS (SELECT 'before' AS state, batch FROM r UNION ALL SELECT 'after', batch FROM r WHERE batch <> 'src5' UNION ALL SELECT 'restored', batch FROM r)
+    SELECT state, name, batch, count(*) AS n FROM (SELECT state, 'images' AS name, batch FROM v UNION ALL SELECT DISTINCT state, 'journal', batch FROM v) t GROUP BY ALL""")
+def ups_10_versions(spark, d):
+    """Images and journal of an archive, rolled back by one switch and restored by another; a reader keeps the state it began with."""
+    archive = V.Archive(spark, f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}")
+    images = made(spark, d, "records").select("id", "title", "import_id")
+    batch = F.coalesce("import_id", F.lit(V.LEGACY))
+    with archive.change("first") as change:
+        change.replace("images", images)
+        change.replace("journal", images.select(batch.alias("id")).distinct(), None)
+    before = archive.snapshot()
+    archive.rollback_batch("src5", ["images"], "journal")
+    after = archive.snapshot()
+    archive.restore(before.number)
+    states = {"before": before, "after": after, "restored": archive.snapshot()}
+    rows = [s.read(t).select(F.lit(k).alias("state"), F.lit(t).alias("name"), (batch if t == "images" else F.col("id")).alias("batch")) for k, s in states.items() for t in ("images", "journal")]
+    every = rows[0]
+    for r in rows[1:]:
+        every = every.unionByName(r)
+    return every.groupBy("state", "name", "batch").agg(F.count("*").alias("n"))
+
+
+@query("ING_1_recovered_run", """WITH f AS (SELECT page_id, url, page_id % 3 = 0 AS known FROM pages) SELECT 'b0' AS id, 'completed' AS status, count(*) FILTER (known) AS image_count, 0 AS skipped_count, 0 AS failed_count FROM f
+    UNION ALL SELECT 'b1', 'failed', NULL, NULL, NULL UNION ALL SELECT 'b2', 'completed', count(*) FILTER (NOT known AND page_id % 17 <> 1), count(*) FILTER (known), count(*) FILTER (NOT known AND page_id % 17 = 1) FROM f""")
+def ing_1_recovered(spark, d):
+    """Some files first; a run that dies after its journal row; a run that takes what is left."""
+    archive = V.Archive(spark, f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}")
+    files = made(spark, d, "inventory").select(F.concat(F.lit("/arch/"), F.col("id").cast("string"), F.lit(".tif")).alias("path"), F.when(F.col("known") | (F.col("id") % 17 != 1), F.col("size")).otherwise(0).alias("size"), "known")
+    S.run_ingest(archive, files.where("known"), "b0", "/arch")
+    S.start_run(archive, "b1")
+    S.run_ingest(archive, files, "b2", "/arch")
+    return archive.snapshot().read("journal").select("id", "status", "image_count", "skipped_count", "failed_count")
+
+
+_HTTPS = "SELECT page_id, regexp_replace(url, '^http://', 'https://') AS path, html FROM pages"
+
+
+def _https(spark, d):
+    return made(spark, d, "inventory").withColumn("path", F.regexp_replace("path", "^http://", "https://"))
+
+
+@query("ING_1_ingest_rows", f"SELECT {_uuid_sql('substr(path, 8)')} AS id, path, 'b1' AS import_id, regexp_extract(path, '[^/]*$') AS title FROM ({_HTTPS}) t WHERE page_id % 3 <> 0")
 def ing_1(spark, d):
-    files = made(spark, d, "inventory").where("path like 'https://%'")
+    files = _https(spark, d).select("path", "size", "known", F.lit(" ").alias("sidecar_title"), base_name(F.col("path")).alias("header_title"))
     known = S.ingest(files.where("known"), files.limit(0).select(F.lit("").alias("id")), "b0", "https:/")[0]
-    return S.ingest(files.select("path", "size"), known, "b1", "https:/")[0].select("id", "path", "import_id")
+    rows = S.ingest(files, known, "b1", "https:/", fields={"title": [F.col("sidecar_title"), F.col("header_title")]})[0]
+    return rows.select("id", "path", "import_id", F.coalesce("title", F.lit("")).alias("title"))
 
 
-@query("ING_1_ingest_journal", "SELECT 'b1' AS id, count(*) FILTER (page_id % 3 <> 0) AS image_count, count(*) FILTER (page_id % 3 = 0) AS skipped_count, count(*) FILTER (false) AS failed_count, 'completed' AS status FROM pages WHERE url LIKE 'https://%'")
+@query("ING_1_ingest_journal", f"""WITH t AS ({_HTTPS}), n AS (SELECT regexp_extract(path, '[^/]*$') AS name FROM t WHERE page_id % 3 <> 0 ORDER BY path LIMIT 20)
+    SELECT 'b1' AS id, count(*) FILTER (page_id % 3 <> 0) AS image_count, count(*) FILTER (page_id % 3 = 0) AS skipped_count, count(*) FILTER (false) AS failed_count, 'completed' AS status,
+    (SELECT list_sort(list(name)) FROM n) AS first_names, CAST([] AS VARCHAR[]) AS failed_names FROM t""")
 def ing_1_journal(spark, d):
-    files = made(spark, d, "inventory").where("path like 'https://%'")
+    files = _https(spark, d)
     known = S.ingest(files.where("known"), files.limit(0).select(F.lit("").alias("id")), "b0", "https:/")[0]
-    return S.ingest(files.select("path", "size"), known, "b1", "https:/")[1]
+    return S.ingest(files.select("path", "size"), known, "b1", "https:/")[1].withColumn("first_names", F.array_sort("first_names"))
 
 
-@query("STR_1_ingest_stream", f"SELECT {_uuid_sql('substr(url, 7)')} AS id, url AS path, CAST(length(html) AS BIGINT) AS size FROM pages WHERE url LIKE 'http://%'")
+@query("STR_1_ingest_stream", f"SELECT {_uuid_sql('substr(path, 8)')} AS id, path, CAST(length(html) AS BIGINT) AS size FROM ({_HTTPS}) t")
 def str_1(spark, d):
     """Runs the stream, starts it again from its checkpoint, and reads the catalogue. (A pattern names a file as well as a folder.)"""
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     pages = spark.readStream.schema("page_id long, url string, html string").parquet(f"{d}/page[s].parquet")
-    files = pages.where("url like 'http://%'").select(F.col("url").alias("path"), F.length("html").cast("long").alias("size"))
+    files = pages.select(F.regexp_replace("url", "^http://", "https://").alias("path"), F.length("html").cast("long").alias("size"))
     for _ in range(2):
-        ingest_stream(files, f"{folder}/catalogue", f"{folder}/checkpoint", "http:/").awaitTermination()
-    return spark.read.parquet(f"{folder}/catalogue")
+        ingest_stream(files, f"{folder}/catalogue", f"{folder}/checkpoint", "https:/", buckets=16).awaitTermination()
+    return spark.read.parquet(f"{folder}/catalogue").select("id", "path", "size")
 
 
 @query("STR_2_fixity_alert_stream", "SELECT concat('/arch/o_', o_orderkey, '.jpg') AS file_path, CASE WHEN o_orderpriority = '5-LOW' THEN 'MISSING' ELSE 'CORRUPTED' END AS status FROM orders WHERE o_orderpriority = '5-LOW' OR o_orderstatus = 'P'")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenarc.functions.keys import base_name, uuid5_image
+from lumenarc.functions.text import consolidate
 from lumenarc.operators.joins import best_by
+from lumenarc.sources.versions import Archive, write_batches
 
 # fixed values: suffixes of image files
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "tif", "tiff", "webp")
@@ -60,10 +64,9 @@ def attach_sidecars(images: DataFrame, sidecars: DataFrame) -> DataFrame:
     return images.join(best_by(tried, ["path"], [F.col("rank")]).select("path", *fields), "path", "left")
 
 
-def write_catalogue(table: DataFrame, path: str, files: int = 8) -> None:
-    """SRC-4: a new version of a table, partitioned by batch, each of which ``files`` tasks write; switch readers to it afterwards."""
-    salt = F.pmod(F.xxhash64(*(c for c in table.columns if c != "import_id")), F.lit(files))
-    table.repartition(F.col("import_id"), salt).write.partitionBy("import_id").parquet(path)
+def write_catalogue(table: DataFrame, path: str) -> None:
+    """SRC-4: a new version of a table, partitioned by batch, which as many tasks write as its bytes need (see versions.write_batches); versions.Archive switches several tables together."""
+    write_batches(table, path, F.col("import_id"), "import_id")
 
 
 def read_catalogue(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -74,18 +77,96 @@ def read_catalogue(spark: SparkSession, path: str, schema: T.StructType | None =
     return spark.read.schema(schema).parquet(path)
 
 
-def ingest(files: DataFrame, catalogue: DataFrame, batch: str, root: str, force: bool = False) -> tuple[DataFrame, DataFrame]:
+#: Names that a run reports.
+FIRST_NAMES = 20
+
+
+def ingest(files: DataFrame, catalogue: DataFrame, batch: str, root: str, force: bool = False, fields: dict[str, Sequence[Column]] | None = None) -> tuple[DataFrame, DataFrame]:
     """ING-1: (rows to append, journal row) for files (path, size) under ``root`` that the catalogue (id) lacks.
 
-    Ids come from the path relative to the archive root, so a file has one id whatever folder was scanned. Files of size 0 are rejected and counted as failed.
+    Ids come from the path relative to the archive root, so a file has one id whatever folder was scanned. Files of size 0 or without one are rejected and counted as failed. ``fields`` adds columns by PRJ-1, each
+    the first filled of its candidates (columns of ``files``: sidecar values, then header tags). The journal row has the counts, the first 20 names taken and the first 20 rejected, by path.
     """
+    judged = _judged(files, catalogue, root, force)
+    extra = consolidate(fields or {})
+    rows = judged.where("taken and readable").select("id", "path", base_name(F.col("path")).alias("file_name"), "size", F.lit(batch).alias("import_id"), *extra)
+    def names(which: str, column: str) -> DataFrame:
+        first = judged.where(which).select(F.lit(batch).alias("id"), "path").orderBy("path").limit(FIRST_NAMES)
+        return first.groupBy("id").agg(F.transform(F.array_sort(F.collect_list("path")), lambda p: F.regexp_extract(p, "[^/]*$", 0)).alias(column))
+
+    new, bad = "taken and readable", "taken and not readable"
+    count = lambda which: F.count_if(F.expr(which))
+    told = judged.agg(F.lit(batch).alias("id"), count(new).alias("image_count"), count("not taken").alias("skipped_count"), count(bad).alias("failed_count"))
+    none = F.array().cast("array<string>")
+    for which, column in ((new, "first_names"), (bad, "failed_names")):
+        told = told.join(names(which, column), "id", "left").withColumn(column, F.coalesce(column, none))
+    return rows, told.withColumn("status", F.lit("completed"))
+
+
+def _judged(files: DataFrame, catalogue: DataFrame, root: str, force: bool) -> DataFrame:
+    """``files`` with id, taken (not known yet) and readable, one row per id."""
     relative = F.substring(F.col("path"), len(root.rstrip("/")) + 2, 1 << 20)
     keyed = files.withColumn("id", uuid5_image(relative)).dropDuplicates(["id"])
-    fresh = keyed if force else keyed.join(catalogue.select("id"), "id", "left_anti")
-    rows = fresh.where("size > 0").select("id", "path", base_name(F.col("path")).alias("file_name"), "size", F.lit(batch).alias("import_id"))
-    counts = keyed.join(catalogue.select("id").distinct().withColumn("__known", F.lit(True)), "id", "left")
-    taken = F.lit(force) | F.col("__known").isNull()
-    journal = counts.agg(
-        F.lit(batch).alias("id"), F.count_if(taken & (F.col("size") > 0)).alias("image_count"), F.count_if(~taken).alias("skipped_count"),
-        F.count_if(taken & ~(F.col("size") > 0)).alias("failed_count"))
-    return rows, journal.withColumn("status", F.lit("completed"))
+    known = catalogue.select("id").distinct().withColumn("__known", F.lit(True))
+    return keyed.join(known, "id", "left").withColumns({"taken": F.lit(force) | F.col("__known").isNull(), "readable": F.coalesce(F.col("size") > 0, F.lit(False))}).drop("__known")
+
+
+JOURNAL = "id string, status string, started_at timestamp, finished_at timestamp, image_count long, skipped_count long, failed_count long, first_names array<string>, failed_names array<string>, note string"
+
+
+def reconcile(archive: Archive) -> list[str]:
+    """Mark runs that the journal calls running as failed: their rows were never switched to. The batches, in order."""
+    snapshot = archive.snapshot()
+    if "journal" not in snapshot.tables:
+        return []
+    journal = snapshot.read("journal")
+    dead = [r.id for r in journal.where("status = 'running'").select("id").orderBy("id").collect()]
+    if dead:
+        with archive.change("reconcile") as change:
+            running = F.col("status") == "running"
+            change.replace("journal", journal.withColumns({"note": F.when(running, "interrupted").otherwise(F.col("note")), "finished_at": F.when(running, F.current_timestamp()).otherwise(F.col("finished_at")), "status": F.when(running, "failed").otherwise(F.col("status"))}), None)
+    return dead
+
+
+def _told(archive: Archive, row: DataFrame) -> DataFrame:
+    """The journal with a run's row instead of its earlier one."""
+    spark = archive.spark
+    schema = T._parse_datatype_string(JOURNAL)
+    snapshot = archive.snapshot()
+    journal = snapshot.read("journal") if "journal" in snapshot.tables else spark.createDataFrame([], schema)
+    full = row.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in row.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema))
+    return journal.join(full.select("id"), "id", "left_anti").select(*schema.names).unionByName(full)
+
+
+def start_run(archive: Archive, batch: str) -> None:
+    """The journal's running row of a batch, before anything else; runs that died before are marked as failed."""
+    reconcile(archive)
+    with archive.change(f"start {batch}") as change:
+        change.replace("journal", _told(archive, archive.spark.range(1).select(F.lit(batch).alias("id"), F.lit("running").alias("status"), F.current_timestamp().alias("started_at"))), None)
+
+
+def run_ingest(archive: Archive, files: DataFrame, batch: str, root: str, force: bool = False, fields: dict[str, Sequence[Column]] | None = None) -> DataFrame:
+    """ING-1 as a job on versioned tables ``images`` and ``journal``: the batch's journal row.
+
+    The run is journalled as running; then the new rows and the completed row come with one switch. An error is journalled as failed and raised. A run that dies in between leaves running, and the
+    next run of any batch marks it as failed; as none of its rows were switched to, the next run over the same files takes them.
+    """
+    start_run(archive, batch)
+    snapshot = archive.snapshot()
+    known = snapshot.read("images").select("id") if "images" in snapshot.tables else archive.spark.createDataFrame([], "id string")
+    began = snapshot.read("journal").where(F.col("id") == batch).select("id", "started_at")
+    try:
+        rows, journal = ingest(files, known, batch, root, force, fields)
+        done = journal.join(began, "id").withColumn("finished_at", F.current_timestamp())
+        with archive.change(f"ingest {batch}") as change:
+            if force and "images" in snapshot.tables:
+                kept = change.read("images").join(rows.select("id"), "id", "left_anti")
+                change.replace("images", kept.select(*rows.columns).unionByName(rows))
+            else:
+                change.append("images", rows)
+            change.replace("journal", _told(archive, done), None)
+    except Exception as error:
+        with archive.change(f"failed {batch}") as change:
+            change.replace("journal", _told(archive, began.withColumns({"status": F.lit("failed"), "finished_at": F.current_timestamp(), "note": F.lit(f"{type(error).__name__}: {error}"[:500])})), None)
+        raise
+    return archive.snapshot().read("journal").where(F.col("id") == batch)

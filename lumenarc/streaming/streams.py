@@ -10,18 +10,37 @@ from lumenarc.functions.keys import uuid5_image
 from lumenarc.operators.fixity import BAD
 
 
-def ingest_stream(files: DataFrame, catalogue_path: str, checkpoint: str, root: str) -> StreamingQuery:
+#: Folders that ids are dealt into.
+BUCKETS = 256
+CATALOGUE = "id string, path string, size long, bucket int"
+
+
+def known_ids(spark, catalogue_path: str, buckets: list[int]) -> DataFrame:
+    """(id) of a catalogue's buckets; files of other buckets aren't read."""
+    if not _exists(spark, catalogue_path):
+        return spark.createDataFrame([], "id string")
+    read = spark.read.schema(CATALOGUE).option("ignoreMissingFiles", "true").parquet(catalogue_path)
+    return read.where(F.col("bucket").isin(buckets)).select("id")
+
+
+def ingest_stream(files: DataFrame, catalogue_path: str, checkpoint: str, root: str, buckets: int = BUCKETS) -> StreamingQuery:
     """STR-1: append each new file (path, size) once to a Parquet catalogue, across restarts; runs over what is there and ends.
 
-    A batch is joined against the ids that earlier batches wrote, so a batch that is run again after a failure adds nothing twice.
+    The catalogue is partitioned by ``bucket``, a hash of the id, which must stay as it was. A batch is joined against the ids that earlier batches wrote to the buckets it touches, so a batch that is run again after a
+    failure adds nothing twice and a small batch reads a small part of a large catalogue.
     """
     spark = files.sparkSession
     relative = F.substring(F.col("path"), len(root.rstrip("/")) + 2, 1 << 20)
 
     def append(batch: DataFrame, number: int) -> None:
-        keyed = batch.withColumn("id", uuid5_image(relative)).dropDuplicates(["id"])
-        known = spark.read.schema("id string, path string, size long").option("ignoreMissingFiles", "true").parquet(catalogue_path) if _exists(spark, catalogue_path) else spark.createDataFrame([], "id string, path string, size long")
-        keyed.join(known.select("id"), "id", "left_anti").select("id", "path", "size").write.mode("append").parquet(catalogue_path)
+        keyed = batch.withColumn("id", uuid5_image(relative)).dropDuplicates(["id"]).withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
+        keyed = keyed.select("id", "path", "size", "bucket").persist()
+        try:
+            touched = [r.bucket for r in keyed.select("bucket").distinct().collect()]
+            known = known_ids(spark, catalogue_path, touched)
+            keyed.join(known, "id", "left_anti").repartition("bucket").write.mode("append").partitionBy("bucket").parquet(catalogue_path)
+        finally:
+            keyed.unpersist()
 
     return files.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
