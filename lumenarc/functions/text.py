@@ -46,6 +46,15 @@ def normalise_keywords(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(words, lambda w: w != "")))
 
 
+def merge_keywords(existing: Column, new: Column, carrier: Column | None = None) -> Column:
+    """SET-2: the existing keywords, then new ones, then the carrier: each once, in this order; null lists and a null carrier add nothing."""
+    none = F.array().cast("array<string>")
+    parts = [F.coalesce(existing, none), F.coalesce(new, none)]
+    if carrier is not None:
+        parts.append(F.when(filled(carrier).isNotNull(), F.array(carrier)).otherwise(none))
+    return F.array_distinct(F.filter(F.concat(*parts), lambda k: k.isNotNull()))
+
+
 def decode_list(text: Column) -> Column:
     """PRJ-3: a JSON array, else comma text; nothing becomes an empty list."""
     parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda w: F.trim(w)), lambda w: w != "")

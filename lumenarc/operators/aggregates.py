@@ -112,6 +112,12 @@ def store_stats(files: DataFrame, size: Column, limit_bytes: int) -> DataFrame:
     return out.select("files", "bytes", F.round(F.col("bytes") / (1024 * 1024), 2).alias("mb"), F.round(F.col("bytes") * 100.0 / limit_bytes, 2).alias("usage_percent"), (F.col("bytes") > limit_bytes).alias("over_limit"))
 
 
+def catalogue_counts(images: DataFrame, faces: DataFrame) -> DataFrame:
+    """AGG-15: (images, faces): the rows of both tables."""
+    each = images.select(F.lit(1).alias("i"), F.lit(0).alias("f")).unionByName(faces.select(F.lit(0).alias("i"), F.lit(1).alias("f")))
+    return each.agg(F.coalesce(F.sum("i"), F.lit(0)).alias("images"), F.coalesce(F.sum("f"), F.lit(0)).alias("faces"))
+
+
 def hit_type_counts(hits: DataFrame) -> DataFrame:
     """AGG-14: hits by kind and in all."""
     return hits.agg(F.count("*").alias("hits"), *(F.count_if(F.col("match_type") == k).alias(k) for k in ("person", "metadata", "clip")))

@@ -7,8 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenarc.functions.text import filled
-from lumenarc.operators.graph import connected_components
+from lumenarc.functions.text import filled, merge_keywords
+from lumenarc.operators.aggregates import clustering_stats, primary_clusters
+from lumenarc.operators.graph import checkpointed, connected_components
+from lumenarc.operators.similarity import cluster_vectors
+from lumenarc.operators.windows import row_numbers
 
 
 def last_by(updates: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -85,7 +88,7 @@ def label_clusters(faces: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def label_faces(faces: DataFrame, edits: DataFrame) -> DataFrame:
-    """UPS-6: (face_id, new_label): a clustered face labels its cluster; a single one gets a cluster of its own. Blank labels are dropped."""
+    """UPS-6: (face_id, new_label): a clustered face labels its cluster; a single one gets a cluster of its own. Blank labels change nothing: see rejected_labels()."""
     valid = last_edit(edits.where(filled(F.col("new_label")).isNotNull()), "face_id").select("face_id", F.trim("new_label").alias("new_label"))
     named = faces.join(valid, "face_id").where("cluster_id is not null").groupBy("cluster_id").agg(F.min("new_label").alias("cluster_label"))
     single = F.concat(F.lit("cluster_"), F.substring(F.replace("face_id", F.lit("-"), F.lit("")), 1, 10))
@@ -99,6 +102,11 @@ def label_faces(faces: DataFrame, edits: DataFrame) -> DataFrame:
     }).select(*faces.columns)
 
 
+def rejected_labels(edits: DataFrame) -> DataFrame:
+    """UPS-6: edits with a null or blank label."""
+    return edits.where(filled(F.col("new_label")).isNull())
+
+
 def merge_clusters(faces: DataFrame, moves: DataFrame) -> DataFrame:
     """UPS-7: (source, target[, new_label]): faces move to the end of their chain of moves.
 
@@ -199,8 +207,6 @@ def update_fixity(table: DataFrame, checks: DataFrame, key: str) -> DataFrame:
 
 def audit_rows(entries: DataFrame, order: Sequence[Column], first_id: int) -> DataFrame:
     """UPS-12: entries as audit rows with increasing ids from ``first_id`` on; append them to the log."""
-    from lumenarc.operators.windows import row_numbers
-
     return row_numbers(entries, order, "id", start=first_id)
 
 
@@ -227,3 +233,51 @@ def save_edit_settings(table: DataFrame, log: DataFrame) -> DataFrame:
     """UPS-16: the last settings of each path win."""
     last = log.groupBy("file_path").agg(F.max_by("edit_settings", F.struct("ts", "seq")).alias("edit_settings"))
     return upsert(table, last, "file_path")
+
+
+def audit_recent(log: DataFrame, target_type: str | None = None, target_id: str | None = None, limit: int = 100) -> DataFrame:
+    """TOP-6: the newest audit rows by id, of one kind of target or one target where given."""
+    for column, value in (("target_type", target_type), ("target_id", target_id)):
+        if value is not None:
+            log = log.where(F.col(column) == value)
+    return log.orderBy(F.desc("id")).limit(limit)
+
+
+def batches_recent(journal: DataFrame, limit: int = 50) -> DataFrame:
+    """TOP-7: the journal's batches, latest start first (none last), then by id."""
+    return journal.orderBy(F.desc_nulls_last("started_at"), "id").limit(limit)
+
+
+def apply_tags(table: DataFrame, chosen: DataFrame, first_id: int, at: Column) -> tuple[DataFrame, DataFrame]:
+    """TAG-2: (next version of ``table``, audit rows) for ``chosen`` (file_path, tags, carrier, operator).
+
+    Keywords are merged by SET-2; a path that the table lacks gets a row with its keywords and nothing else. Of repeated rows of one path the last counts (see last_edit()). Every path has one audit row APPLY_GND_TAGS
+    with ids from ``first_id`` on in order of path.
+    """
+    last = last_edit(chosen, "file_path")
+    joined = last.join(table.select("file_path", F.col("keywords").alias("__old")), "file_path", "left")
+    merged = joined.select("file_path", merge_keywords(F.col("__old"), F.col("tags"), F.col("carrier")).alias("keywords"))
+    details = F.to_json(F.struct(F.col("tags").alias("tags_added"), "carrier"))
+    entries = last.select(at.alias("ts"), F.lit("APPLY_GND_TAGS").alias("action"), F.lit("IMAGE").alias("target_type"), F.col("file_path").alias("target_id"), details.alias("details"), F.coalesce("operator", F.lit("curator")).alias("operator"))
+    return upsert(table, merged, "file_path"), audit_rows(entries, [F.col("target_id")], first_id)
+
+
+def person_clusters(faces: DataFrame, clusters: DataFrame, eps: float = 0.35, min_samples: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """CLU-2: (faces, clusters, statistics) after faces (face_id, label, cluster_id, vector) are clustered anew.
+
+    cluster_id becomes ``cluster_<number>`` or null; labels stay. ``clusters`` (id, name, face_count, ...) takes the new counts and, as name, the person of whom a cluster is the primary one (null for others);
+    clusters that don't occur stay as they are (UPS-3). Fewer faces with a vector than ``min_samples`` are all noise. Null vectors are noise, too.
+    """
+    # clusters are numbered by their least core face
+    numbered = checkpointed(row_numbers(faces.where("vector is not null").select("face_id", "vector"), [F.col("face_id")], "id"))
+    if numbered.limit(min_samples).count() < min_samples:
+        found = faces.select("face_id", F.lit(-1).cast("long").alias("cluster")).where("false")
+    else:
+        found = cluster_vectors(numbered.select("id", "vector"), eps, min_samples).join(numbered.select("id", "face_id"), "id").select("face_id", "cluster")
+    found = checkpointed(found)
+    told = F.when(F.col("cluster") >= 0, F.concat(F.lit("cluster_"), F.col("cluster").cast("string")))
+    placed = faces.drop("cluster_id").join(found, "face_id", "left").withColumn("cluster_id", told).drop("cluster").select(*faces.columns)
+    counted = found.where("cluster >= 0").groupBy(told.alias("id")).agg(F.count("*").alias("face_count"))
+    names = primary_clusters(placed.where("cluster_id is not null").select("label", "cluster_id")).select(F.col("cluster_id").alias("id"), F.col("label").alias("name"))
+    synced = bulk_sync_clusters(clusters, counted.join(names, "id", "left"))
+    return placed, synced, clustering_stats(placed.select("face_id", F.coalesce(F.substring_index("cluster_id", "_", -1).cast("long"), F.lit(-1)).alias("cluster")))

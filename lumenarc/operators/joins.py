@@ -34,12 +34,24 @@ def metadata_overlay(base: DataFrame, curated: DataFrame, key: str, columns: Seq
     return joined.select(*(F.coalesce(filled(F.col(f"__new_{c}")), F.col(c)).alias(c) if c in columns else F.col(c) for c in base.columns))
 
 
-def image_details(images: DataFrame, faces: DataFrame, clusters: DataFrame) -> DataFrame:
-    """JN-8: each image with its faces (id, name by label, else cluster) in order of id."""
+def image_details(images: DataFrame, faces: DataFrame, clusters: DataFrame, pairs: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
+    """JN-8: each image with its faces (id, name by label, else cluster) in order of id.
+
+    With ``pairs`` (recto_path, verso_path; one pair per path at most) and images that have file_path also sheet_role (recto, verso or null) and companion_path; with ``texts`` (file_path, ocr_text) also its own
+    ocr_text and, with both, the companion's companion_text.
+    """
     named = faces.join(clusters.select(F.col("id").alias("cluster_id"), F.col("name").alias("cluster_name")), "cluster_id", "left")
     name = F.coalesce(filled(F.col("label")), filled(F.col("cluster_name")))
     each = named.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("face_id", name.alias("name")))).alias("faces"))
-    return images.join(each, "image_id", "left").withColumn("faces_count", F.coalesce(F.size("faces"), F.lit(0)))
+    out = images.join(each, "image_id", "left").withColumn("faces_count", F.coalesce(F.size("faces"), F.lit(0)))
+    if pairs is not None:
+        side = lambda own, other, role: pairs.select(F.col(own).alias("file_path"), F.lit(role).alias("sheet_role"), F.col(other).alias("companion_path"))
+        out = out.join(side("recto_path", "verso_path", "recto").unionByName(side("verso_path", "recto_path", "verso")), "file_path", "left")
+    if texts is not None:
+        out = out.join(texts.select("file_path", "ocr_text"), "file_path", "left")
+        if pairs is not None:
+            out = out.join(texts.select(F.col("file_path").alias("companion_path"), F.col("ocr_text").alias("companion_text")), "companion_path", "left")
+    return out
 
 
 def label_fallback(faces: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -68,6 +80,15 @@ def verso_to_recto(hits: DataFrame, pairs: DataFrame, score: float = 0.89) -> Da
     return hits.select("file_path", "score").unionByName(fresh)
 
 
+def representatives(items: DataFrame, group: str, id_col: str = "id") -> DataFrame:
+    """WIN-1: the item of each group with most pixels (width, height; null counts as 0), of equal ones that with the least id."""
+    return best_by(items, [group], [F.desc(pixels()), F.col(id_col)])
+
+
+def pixels() -> Column:
+    return F.coalesce(F.col("width").cast("long") * F.col("height"), F.lit(0))
+
+
 def best_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row per key in the given order."""
     ranked = df.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenarc.functions.text import filled
-from lumenarc.functions.vectors import blend_vector, cosine, doubles
+from lumenarc.functions.vectors import blend_vector, classify_variant, cosine, doubles, hamming64
 from lumenarc.operators.filters import contains
 from lumenarc.operators.graph import checkpointed
-from lumenarc.operators.similarity import stack_results, vector_topk, vector_topk_batch
+from lumenarc.operators.joins import pixels
+from lumenarc.operators.similarity import cluster_vectors, stack_results, vector_topk, vector_topk_batch
 from lumenarc.operators.windows import Desc, page, row_numbers
 
 # fixed values: scores of the kinds of hits
@@ -140,6 +141,44 @@ def similar_images(images: DataFrame, query_id, k: int = 12, threshold: float |
     return numbered.join(sizes, "rank").orderBy("rank").limit(k).select("id", "score", "stack_size")
 
 
+def hybrid_order(hits: DataFrame, limit: int) -> DataFrame:
+    """TOP-3: hits (file_path, score) by score, then path, both descending."""
+    return page(hits, [Desc(F.col("score")), Desc(F.col("file_path"))], 0, limit)
+
+
+def find_variants(images: DataFrame, image_id, threshold: float = 0.88, limit: int = 25, shift: float = 0.0) -> DataFrame:
+    """VAR-1: images (id, vector, hash, any others) that are similar to one of the table: all its columns but the vector, with score, distance (differing bits of the hashes, null where one has none) and kind (PRJ-14), best first.
+
+    The image itself is left out, other rows with its file aren't told apart from it where ``file_path`` is the same. ``shift`` moves the limits of the kinds.
+    """
+    asked = images.where((F.col("id") == F.lit(image_id)) & F.col("vector").isNotNull())
+    first = asked.first()
+    if first is None:
+        return images.drop("vector").select("*", F.lit(0.0).alias("score"), F.lit(0).alias("distance"), F.lit("").alias("kind")).limit(0)
+    other = F.col("id") != F.lit(image_id)
+    if "file_path" in images.columns:
+        other = other & ~F.col("file_path").eqNullSafe(F.lit(first["file_path"]))
+    found = vector_topk(images.where("vector is not null"), list(first["vector"]), limit, threshold, other)
+    told = found.join(images.drop("vector"), "id")
+    told = told.withColumn("distance", hamming64(F.col("hash"), F.lit(first["hash"]).cast("string")))
+    return told.withColumn("kind", classify_variant(F.col("score"), F.col("distance"), shift)).select(*[c for c in images.columns if c != "vector"], "score", "distance", "kind").orderBy(F.desc("score"), "id")
+
+
+def variant_groups(images: DataFrame, eps: float = 0.075, min_samples: int = 2, shown: int = 100) -> tuple[DataFrame, DataFrame]:
+    """VAR-2: (members, statistics) of the groups of similar images (id, vector, width, height, any others).
+
+    Members of the first ``shown`` groups (numbered by least core image) have group_id, count, place (from 1 by pixels, then id; place 1 is the representative) and the images' columns but the vector. Statistics: total_groups counts all
+    groups, showing_groups those shown, total_stacked_images the images in these.
+    """
+    placed = checkpointed(cluster_vectors(images.where("vector is not null").select("id", "vector"), eps, min_samples).where("cluster >= 0"))
+    sizes = placed.groupBy("cluster").agg(F.count("*").alias("count"))
+    members = placed.where(F.col("cluster") < shown).join(sizes, "cluster").join(images.drop("vector"), "id")
+    place = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc(pixels()), "id"))
+    members = members.withColumns({"place": place, "group_id": F.concat(F.lit("group_"), F.col("cluster").cast("string"))})
+    stats = sizes.agg(F.count("*").alias("total_groups"), F.count_if(F.col("cluster") < shown).alias("showing_groups"), F.coalesce(F.sum(F.when(F.col("cluster") < shown, F.col("count"))), F.lit(0)).alias("total_stacked_images"))
+    return members.select("group_id", "count", "place", *[c for c in images.columns if c != "vector"]), stats
+
+
 def best_face(faces: DataFrame) -> DataFrame:
     """WIN-7: the face (image_id, face_id) of each image that was detected surest; of equal ones that with the greatest id."""
     return faces.groupBy("image_id").agg(F.max_by("face_id", F.struct("det_score", "face_id")).alias("face_id"))

@@ -349,6 +349,11 @@ def hash_join_blocks(hashes: DataFrame, max_distance: int, block_rows: int = 16_
     return spread.groupBy("i", "j").applyInArrow(pairs, "a long, b long, distance int")
 
 
+def cluster_numbers(rooted: DataFrame, small: bool = False) -> DataFrame:
+    """WIN-5: (root, cluster): the distinct roots numbered from 0 in their order."""
+    return row_numbers(rooted.select("root").distinct(), [F.col("root")], "cluster", start=0, small=small)
+
+
 def dbscan(ids: DataFrame, edges: DataFrame, min_samples: int = 2) -> DataFrame:
     """CLU-1: (id, cluster) from neighbour pairs (a, b): clusters are numbered from 0 by least core point, noise is -1.
 
@@ -362,7 +367,7 @@ def dbscan(ids: DataFrame, edges: DataFrame, min_samples: int = 2) -> DataFrame:
     rooted = cores.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
     border = both.join(cores, "id", "left_anti").join(cores.select(F.col("id").alias("other")), "other", "left_semi").groupBy("id").agg(F.min("other").alias("other"))
     border = border.join(rooted.select(F.col("id").alias("other"), "root"), "other").select("id", "root")
-    numbers = row_numbers(rooted.select("root").distinct(), [F.col("root")], "cluster", start=0, small=cores.count() <= SMALL_ROWS)
+    numbers = cluster_numbers(rooted, small=cores.count() <= SMALL_ROWS)
     placed = rooted.unionByName(border).join(numbers, "root").select("id", "cluster")
     return ids.select("id").join(placed, "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from lumenarc.operators.joins import best_by
 
 
 def term_index(vocabulary: DataFrame) -> DataFrame:
@@ -78,6 +79,13 @@ def authority_search(table: DataFrame, query: str, columns: tuple[str, ...], nam
     return df.orderBy(F.when(contains(F.col(name), query), 0).otherwise(1), name, "id").limit(limit)
 
 
+def authority_lookup(table: DataFrame, asked: DataFrame, columns: tuple[str, ...] = ("id", "canonical", "gnd", "iconclass")) -> DataFrame:
+    """TOP-9: for each ``identifier`` of ``asked`` the record that has it in one of ``columns``: the earlier column wins, then the less id; identifiers without a record are missing."""
+    named = F.array_distinct(F.filter(F.array(*(F.struct(F.col(c).cast("string").alias("identifier"), F.lit(k).alias("rank")) for k, c in enumerate(columns))), lambda x: x["identifier"].isNotNull()))
+    index = table.select(F.explode(named).alias("__n"), "*").select("__n.identifier", "__n.rank", *table.columns)
+    return best_by(asked.select("identifier").distinct().join(index, "identifier"), ["identifier"], [F.col("rank"), F.col("id")]).drop("rank")
+
+
 def categories(vocabulary: DataFrame) -> DataFrame:
     """AGG-12: sorted distinct categories."""
     return vocabulary.select("category").distinct().orderBy("category")

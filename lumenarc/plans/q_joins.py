@@ -75,13 +75,23 @@ def jn_7(spark, d):
     return J.metadata_overlay(made(spark, d, "records"), curated, "id", ["title", "creator"]).select("id", "title", "creator")
 
 
-@query("JN_8_image_details", ctes("faces", "clusters") + """SELECT o_orderkey AS image_id, coalesce(n, 0) AS faces_count, first_face, names FROM orders LEFT JOIN (SELECT image_id, count(*) AS n, min(face_id) AS first_face,
-    count(coalesce(nullif(trim(f.label), ''), nullif(trim(c.name), ''))) AS names FROM faces f LEFT JOIN clusters c ON f.cluster_id = c.id GROUP BY image_id) t ON image_id = o_orderkey""")
+@query("JN_8_image_details", ctes("faces", "clusters").rstrip() + """, n AS (SELECT image_id, list({'face_id': face_id, 'name': coalesce(nullif(trim(f.label), ''), nullif(trim(c.name), ''))} ORDER BY face_id) AS found FROM faces f LEFT JOIN clusters c ON f.cluster_id = c.id GROUP BY image_id),
+    p AS (SELECT a.o_orderkey AS recto, b.o_orderkey AS verso FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 WHERE a.o_orderkey % 2 = 1),
+    t AS (SELECT o_orderkey AS k, o_orderstatus AS txt FROM orders WHERE o_orderkey % 3 <> 0)
+    SELECT o_orderkey AS image_id, coalesce(len(found), 0) AS faces_count, array_to_string(list_transform(found, lambda x: x.face_id || '=' || coalesce(x.name, '?')), ';') AS faces, CASE WHEN r.recto IS NOT NULL THEN 'recto' WHEN v.verso IS NOT NULL THEN 'verso' END AS sheet_role,
+    coalesce('/arch/o_' || r.verso || '.jpg', '/arch/o_' || v.recto || '.jpg') AS companion_path, t.txt AS ocr_text, u.txt AS companion_text
+    FROM orders LEFT JOIN n ON n.image_id = o_orderkey LEFT JOIN p r ON r.recto = o_orderkey LEFT JOIN p v ON v.verso = o_orderkey LEFT JOIN t ON t.k = o_orderkey LEFT JOIN t u ON u.k = coalesce(r.verso, v.recto)""")
 def jn_8(spark, d):
-    images = table(spark, d, "orders").select(F.col("o_orderkey").alias("image_id"))
-    details = J.image_details(images, made(spark, d, "faces"), made(spark, d, "clusters"))
-    named = F.size(F.filter("faces", lambda f: f["name"].isNotNull())).cast("long")
-    return details.select("image_id", F.col("faces_count").cast("long").alias("faces_count"), F.get("faces", F.lit(0))["face_id"].alias("first_face"), F.when(F.col("faces").isNotNull(), named).alias("names"))
+    """Neighbouring orders are the two sides of a sheet; their states are texts."""
+    path = lambda k: F.concat(F.lit("/arch/o_"), k.cast("string"), F.lit(".jpg"))
+    orders = table(spark, d, "orders")
+    images = orders.select(F.col("o_orderkey").alias("image_id"), path(F.col("o_orderkey")).alias("file_path"))
+    key = orders.select(F.col("o_orderkey").alias("k"))
+    pairs = key.where("k % 2 = 1").join(key.select((F.col("k") - 1).alias("k")), "k").select(path(F.col("k")).alias("recto_path"), path(F.col("k") + 1).alias("verso_path"))
+    texts = orders.where("o_orderkey % 3 <> 0").select(path(F.col("o_orderkey")).alias("file_path"), F.col("o_orderstatus").alias("ocr_text"))
+    found = J.image_details(images, made(spark, d, "faces"), made(spark, d, "clusters"), pairs, texts)
+    told = F.array_join(F.transform("faces", lambda x: F.concat(x["face_id"], F.lit("="), F.coalesce(x["name"], F.lit("?")))), ";")
+    return found.select("image_id", F.col("faces_count").cast("long").alias("faces_count"), told.alias("faces"), "sheet_role", "companion_path", "ocr_text", "companion_text")
 
 
 @query("JN_9_similarity_join", ctes("edges") + "SELECT a, b, similarity FROM edges")
@@ -229,12 +239,29 @@ def agg_11(spark, d):
     return A.clustering_stats(S.cluster_vectors(vectors(spark, d), 0.6))
 
 
-@query("CLU_2_person_clusters", ctes("edges").rstrip() + _COMP.rstrip() + _DB.rstrip() + ", n AS (SELECT 'L' || label AS label, 'cluster_' || cluster AS cluster_id, count(*) AS n FROM placed JOIN embeddings ON id = vec_id WHERE cluster >= 0 GROUP BY ALL), m AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, cluster_id) AS r FROM n), o AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, label) AS k FROM m WHERE r = 1) SELECT cluster_id, label, n FROM o WHERE k = 1")
-def clu_2(spark, d):
+_FACE_ROWS = """faces AS (SELECT 'f' || lpad(CAST(vec_id AS VARCHAR), 9, '0') AS face_id, CASE WHEN label % 3 = 0 THEN ' ' ELSE 'L' || label END AS label, cluster FROM placed JOIN embeddings ON id = vec_id),
+    n AS (SELECT trim(label) AS label, 'cluster_' || cluster AS cluster_id, count(*) AS n FROM faces WHERE cluster >= 0 AND trim(label) <> '' GROUP BY ALL), m AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, cluster_id) AS r FROM n),
+    o AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, label) AS k FROM m WHERE r = 1)"""
+
+
+def _person_clusters(spark, d):
+    """Vectors as faces, of which every third has no name; clusters of suppliers as the table before."""
+    from lumenarc.operators.catalogue import person_clusters
+
     v = vectors(spark, d)
-    placed = S.cluster_vectors(v, 0.6).where("cluster >= 0")
-    faces = placed.join(v.select("id", "label"), "id").select(F.concat(F.lit("L"), F.col("label").cast("string")).alias("label"), F.concat(F.lit("cluster_"), F.col("cluster").cast("string")).alias("cluster_id"))
-    return A.primary_clusters(faces)
+    faces = v.select(F.concat(F.lit("f"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("face_id"), F.when(F.col("label") % 3 == 0, " ").otherwise(F.concat(F.lit("L"), F.col("label").cast("string"))).alias("label"), F.lit("old").alias("cluster_id"), "vector")
+    return person_clusters(faces, made(spark, d, "clusters"), 0.6)
+
+
+@query("CLU_2_person_clusters", ctes("edges").rstrip() + _COMP.rstrip() + _DB.rstrip() + f", {_FACE_ROWS} SELECT face_id, label, CASE WHEN cluster >= 0 THEN 'cluster_' || cluster END AS cluster_id FROM faces")
+def clu_2(spark, d):
+    return _person_clusters(spark, d)[0].select("face_id", "label", "cluster_id")
+
+
+@query("CLU_2_synced_clusters", ctes("edges", "clusters").rstrip() + _COMP.rstrip() + _DB.rstrip() + f""", {_FACE_ROWS}, c AS (SELECT 'cluster_' || cluster AS id, count(*) AS face_count FROM faces WHERE cluster >= 0 GROUP BY 1)
+    SELECT coalesce(t.id, c.id) AS id, CASE WHEN c.id IS NULL THEN t.name ELSE o.label END AS name, coalesce(c.face_count, t.face_count) AS face_count FROM clusters t FULL JOIN c ON t.id = c.id LEFT JOIN o ON o.cluster_id = c.id AND o.k = 1""")
+def clu_2_synced(spark, d):
+    return _person_clusters(spark, d)[1].select("id", "name", "face_count")
 
 
 @query("AGG_10_variant_group_stats", ctes("edges").rstrip() + _COMP + ", g AS (SELECT root, count(*) AS n FROM comp GROUP BY root), t AS (SELECT n FROM g ORDER BY n DESC, root LIMIT 10) SELECT (SELECT count(*) FROM g) AS total_groups, (SELECT CAST(sum(n - 1) AS BIGINT) FROM t) AS total_stacked_images")
@@ -243,13 +270,23 @@ def agg_10(spark, d):
     return A.group_stats(found.select(F.col("root").alias("group"), F.col("node").alias("id")), 10)
 
 
-@query("VAR_2_variant_groups", ctes("edges").rstrip() + _COMP + "SELECT root AS grp, id, row_number() OVER (PARTITION BY root ORDER BY id * 37 % 101 DESC, id) AS place FROM comp")
+@query("VAR_2_variant_groups", ctes("edges", "sized").rstrip() + _COMP.rstrip() + _DB.rstrip() + """, m AS (SELECT p.id, p.cluster, s.width, coalesce(CAST(s.width AS BIGINT) * s.height, 0) AS px FROM placed p LEFT JOIN sized s ON s.id = p.id WHERE cluster >= 0 AND cluster < 10)
+    SELECT 'group_' || cluster AS group_id, count(*) OVER (PARTITION BY cluster) AS "count", row_number() OVER (PARTITION BY cluster ORDER BY px DESC, id) AS place, id, width FROM m""")
 def var_2(spark, d):
-    from pyspark.sql import Window
+    return _variants(spark, d)[0].select("group_id", "count", F.col("place").cast("long").alias("place"), "id", "width")
 
-    found = connected_components(_components(spark, d).select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    place = F.row_number().over(Window.partitionBy("root").orderBy(F.desc(F.col("node") * 37 % 101), "node"))
-    return found.select(F.col("root").alias("grp"), F.col("node").alias("id"), place.cast("long").alias("place"))
+
+def _variants(spark, d):
+    """Vectors as images whose pixels come from part."""
+    from lumenarc.operators.search import variant_groups
+
+    sizes = made(spark, d, "sized").select("id", "width", "height")
+    return variant_groups(vectors(spark, d).select("id", "vector").join(sizes, "id", "left"), 0.6, shown=10)
+
+
+@query("VAR_2_variant_group_stats", ctes("edges").rstrip() + _COMP.rstrip() + _DB.rstrip() + ", g AS (SELECT cluster, count(*) AS n FROM placed WHERE cluster >= 0 GROUP BY cluster) SELECT count(*) AS total_groups, count(*) FILTER (cluster < 10) AS showing_groups, CAST(coalesce(sum(n) FILTER (cluster < 10), 0) AS BIGINT) AS total_stacked_images FROM g")
+def var_2_stats(spark, d):
+    return _variants(spark, d)[1]
 
 
 @query("AGG_12_categories", "SELECT DISTINCT p_type AS category FROM part ORDER BY 1")
@@ -277,13 +314,12 @@ def agg_14(spark, d):
 
 @query("AGG_15_catalogue_counts", ctes("faces") + "SELECT (SELECT count(*) FROM orders) AS images, (SELECT count(*) FROM faces) AS faces")
 def agg_15(spark, d):
-    rows = table(spark, d, "orders").select(F.lit(1).alias("i"), F.lit(0).alias("f")).unionByName(made(spark, d, "faces").select(F.lit(0).alias("i"), F.lit(1).alias("f")))
-    return rows.agg(F.sum("i").alias("images"), F.sum("f").alias("faces"))
+    return A.catalogue_counts(table(spark, d, "orders"), made(spark, d, "faces"))
 
 
 @query("WIN_1_representative", ctes("sized") + "SELECT grp, id FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY CAST(width AS BIGINT) * height DESC, id) AS r FROM sized) t WHERE r = 1")
 def win_1(spark, d):
-    return J.best_by(made(spark, d, "sized"), ["grp"], [F.desc(F.col("width").cast("long") * F.col("height")), F.col("id")]).select("grp", "id")
+    return J.representatives(made(spark, d, "sized"), "grp").select("grp", "id")
 
 
 @query("WIN_2_running_no", "SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) AS no, printf('POS-%04d', row_number() OVER (ORDER BY n_chars, doc_id)) AS unit FROM documents")
@@ -297,17 +333,19 @@ def win_3(spark, d):
     return A.retention_plan(files, 100_000).select("path")
 
 
-@query("WIN_4_best_match", "SELECT l_orderkey, max(l_discount) AS score, list_sort(list(DISTINCT l_suppkey)) AS persons FROM lineitem GROUP BY l_orderkey")
+@query("WIN_4_best_match", ctes("faces").rstrip() + """, s AS (SELECT file_path, label, CASE WHEN lower(label) = 'person 4 anna' THEN 1.0 WHEN contains(lower(label), 'person 4 anna') OR contains('person 4 anna', lower(label)) THEN 0.98
+    WHEN contains(lower(label), 'person') OR contains(lower(label), 'anna') THEN 0.95 END AS score FROM faces WHERE label IS NOT NULL)
+    SELECT file_path, CAST(max(score) AS DOUBLE) AS score, list_sort(list(DISTINCT label)) AS persons FROM s WHERE score IS NOT NULL GROUP BY file_path""")
 def win_4(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_discount").alias("score"), F.array_sort(F.collect_set("l_suppkey")).alias("persons"))
+    from lumenarc.operators.search import person_hits
+
+    return person_hits(made(spark, d, "faces"), "Person 4 Anna").withColumn("score", F.col("score").cast("double"))
 
 
 @query("WIN_5_cluster_number", "SELECT l_suppkey, dense_rank() OVER (ORDER BY first) - 1 AS cluster FROM (SELECT l_suppkey, min(l_orderkey * 1000 + l_suppkey) AS first FROM lineitem GROUP BY l_suppkey) t")
 def win_5(spark, d):
-    from lumenarc.operators.windows import row_numbers
-
-    roots = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.min(F.col("l_orderkey") * 1000 + F.col("l_suppkey")).alias("first"))
-    return row_numbers(roots, [F.col("first")], "cluster", start=0).select("l_suppkey", "cluster")
+    roots = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.min(F.col("l_orderkey") * 1000 + F.col("l_suppkey")).alias("root"))
+    return S.cluster_numbers(roots).join(roots, "root").select("l_suppkey", "cluster")
 
 
 @query("WIN_6_first_term_wins", ctes("records") + """SELECT file_path, CASE WHEN r = 0 THEN 0.90 ELSE 0.88 END AS score, q AS matched_query FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY r) AS k FROM (

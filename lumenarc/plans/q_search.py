@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenarc.functions import text as X
-from lumenarc.functions import vectors as V
 from lumenarc.operators import aggregates as A
+from lumenarc.operators import catalogue as C
 from lumenarc.operators import fixity as Y
 from lumenarc.operators import network as N
 from lumenarc.operators import search as R
@@ -14,7 +14,7 @@ from lumenarc.operators import similarity as S
 from lumenarc.operators import vocabulary as W
 from lumenarc.operators.graph import checkpointed
 from lumenarc.operators.windows import Desc, page
-from lumenarc.plans.fixtures import ctes, made, table, vectors
+from lumenarc.plans.fixtures import ctes, hashes, made, table, vectors
 from lumenarc.plans.q_functions import _YEAR
 from lumenarc.plans.q_joins import _CO, _vocabulary
 from lumenarc.plans.registry import query
@@ -51,7 +51,7 @@ _SCORED = "SELECT concat('/arch/', source, '/', doc_id) AS file_path, n_chars %
 @query("TOP_3_hybrid_order", f"SELECT file_path, score FROM ({_SCORED}) t ORDER BY score DESC, file_path DESC LIMIT 50")
 def top_3(spark, d):
     hits = spark.sql(_SCORED.replace("FROM documents", "FROM {t}"), t=table(spark, d, "documents"))
-    return hits.orderBy(F.desc("score"), F.desc("file_path")).limit(50)
+    return R.hybrid_order(hits, 50)
 
 
 @query("TOP_4_page", f"SELECT file_path, score FROM ({_SCORED}) t ORDER BY score DESC, file_path DESC LIMIT 30 OFFSET 60")
@@ -76,12 +76,12 @@ def top_5(spark, d):
 
 @query("TOP_6_audit_recent", ctes("audit") + "SELECT id, action, details FROM audit WHERE target_type = 'USER' AND target_id = '7' ORDER BY id DESC LIMIT 50")
 def top_6(spark, d):
-    return made(spark, d, "audit").where("target_type = 'USER' and target_id = '7'").orderBy(F.desc("id")).limit(50).select("id", "action", "details")
+    return C.audit_recent(made(spark, d, "audit"), "USER", "7", 50).select("id", "action", "details")
 
 
 @query("TOP_7_batches_recent", "SELECT user_id AS id, min(ts) AS started_at FROM events GROUP BY user_id ORDER BY started_at DESC, id LIMIT 20")
 def top_7(spark, d):
-    return table(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.min("ts").alias("started_at")).orderBy(F.desc("started_at"), "id").limit(20)
+    return C.batches_recent(table(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.min("ts").alias("started_at")), 20)
 
 
 @query("TOP_8_autocomplete", ctes("vocabulary") + """SELECT term, canonical, is_synonym FROM (SELECT CASE WHEN lower(canonical) LIKE 's%' AND lower(canonical) LIKE 'sm%' THEN canonical WHEN 'syn ' || lower(canonical) LIKE 'sm%' THEN 'syn ' || canonical WHEN lower(brand) LIKE 'sm%' THEN lower(brand) END AS term, canonical,
@@ -96,6 +96,15 @@ def top_9(spark, d):
     return W.authority_search(part, "RED", ("p_name", "p_brand", "p_type"), "p_name", ("p_type", "ECONOMY")).select("id", "p_name")
 
 
+@query("TOP_9_authority_lookup", """WITH a AS (SELECT p_partkey AS id, p_name AS canonical, p_brand AS gnd, p_type AS iconclass FROM part), q AS (SELECT CAST(p_partkey AS VARCHAR) AS identifier FROM part UNION SELECT p_name FROM part UNION SELECT p_brand FROM part UNION SELECT p_type || '!' FROM part UNION SELECT p_type FROM part),
+    i AS (SELECT CAST(id AS VARCHAR) AS identifier, 0 AS rank, * FROM a UNION ALL SELECT canonical, 1, * FROM a UNION ALL SELECT gnd, 2, * FROM a UNION ALL SELECT iconclass, 3, * FROM a)
+    SELECT identifier, id, canonical, gnd, iconclass FROM (SELECT q.identifier, i.id, i.canonical, i.gnd, i.iconclass, row_number() OVER (PARTITION BY q.identifier ORDER BY rank, id) AS r FROM q JOIN i ON q.identifier = i.identifier) t WHERE r = 1""")
+def top_9_lookup(spark, d):
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("canonical"), F.col("p_brand").alias("gnd"), F.col("p_type").alias("iconclass"))
+    asked = part.select(F.explode(F.array(F.col("id").cast("string"), "canonical", "gnd", F.concat("iconclass", F.lit("!")), "iconclass")).alias("identifier"))
+    return W.authority_lookup(part, asked)
+
+
 @query("TOP_10_corrupted_list", ctes("fixity") + "SELECT file_path, fixity_status FROM fixity WHERE fixity_status IN ('CORRUPTED', 'MISSING', 'READ_ERROR') ORDER BY last_fixity_check DESC, file_path LIMIT 100")
 def top_10(spark, d):
     return Y.corrupted_list(made(spark, d, "fixity"), 100).select("file_path", "fixity_status")
@@ -117,7 +126,7 @@ def set_1(spark, d):
 
 @query("SET_2_merge_keywords", "SELECT doc_id, array_to_string([lang, source] || CASE WHEN lang = 'en' THEN [] ELSE ['en'] END || ['carrier'], ',') AS keywords FROM documents")
 def set_2(spark, d):
-    merged = F.array_distinct(F.concat(F.array("lang", "source"), F.array(F.lit("en"), F.col("lang")), F.array(F.lit("carrier"))))
+    merged = X.merge_keywords(F.array("lang", "source"), F.array(F.lit("en"), F.col("lang")), F.lit("carrier"))
     return table(spark, d, "documents").select("doc_id", F.array_join(merged, ",").alias("keywords"))
 
 
@@ -250,27 +259,43 @@ def stk_1_rounds(spark, d):
     return S.stack_results(ranked.join(v.select("id", "vector"), "id"), 0.25, list_rows=1).select("query_id", "id", "rank", "stack_of")
 
 
-@query("VAR_1_find_variants", ctes("vectors") + f"SELECT id, score, CASE WHEN score >= 0.385 THEN 'EXACT_DUPLICATE' WHEN score >= 0.345 THEN 'FORMAT_VARIANT' WHEN score >= 0.29 THEN 'SERIES_VARIANT' ELSE 'RELATED' END AS kind FROM (SELECT v.id, {_COS} AS score FROM vectors v, (SELECT vector FROM vectors WHERE id = 5) q WHERE v.id <> 5) t WHERE score >= 0.25 ORDER BY score DESC, id LIMIT 25")
+@query("VAR_1_find_variants", ctes("vectors", "hashes").rstrip() + f""", p AS (SELECT v.id, {_COS} AS score, CAST(bit_count(xor(CAST('0x' || h.hash AS UBIGINT), CAST('0x' || g.hash AS UBIGINT))) AS INTEGER) AS distance FROM vectors v JOIN hashes h ON h.id = v.id, (SELECT vector FROM vectors WHERE id = 5) q, (SELECT hash FROM hashes WHERE id = 5) g WHERE v.id <> 5)
+    SELECT id, score, distance, CASE WHEN score >= 0.392 OR distance <= 2 THEN 'EXACT_DUPLICATE' WHEN score >= 0.355 OR distance <= 7 THEN 'FORMAT_VARIANT' WHEN score >= 0.29 THEN 'SERIES_VARIANT' WHEN score >= 0.385 THEN 'EXACT_DUPLICATE' WHEN score >= 0.345 THEN 'FORMAT_VARIANT' ELSE 'RELATED' END AS kind
+    FROM p WHERE score >= 0.25 ORDER BY score DESC, id LIMIT 25""")
 def var_1(spark, d):
-    found = S.vector_topk(vectors(spark, d), _vector(spark, d, 5), 25, 0.25, F.col("id") != 5)
-    return found.withColumn("kind", V.classify_variant(F.col("score"), shift=-0.6))
+    images = vectors(spark, d).select("id", "vector").join(hashes(spark, d), "id")
+    return R.find_variants(images, 5, 0.25, shift=-0.6).select("id", "score", "distance", "kind")
 
 
-@query("TAG_1_zero_shot_tags", ctes("vectors") + f"SELECT query_id, id, score, r AS rank, round(greatest(0.0, least(1.0, (score - 0.15) / 0.20)) * 100, 1) AS confidence FROM (SELECT q.id AS query_id, v.id, {_COS} AS score, row_number() OVER (PARTITION BY q.id ORDER BY {_COS} DESC, v.id) AS r FROM vectors v, vectors q WHERE v.label = 3) t WHERE r <= 5 AND (score >= 0.2 OR r <= 2)")
+@query("TAG_1_zero_shot_tags", ctes("vectors") + f"SELECT query_id, id, score, r AS rank, round(greatest(0.0, least(1.0, (score - 0.15) / 0.20)) * 100, 1) AS confidence FROM (SELECT q.id AS query_id, v.id, {_COS} AS score, row_number() OVER (PARTITION BY q.id ORDER BY {_COS} DESC, v.id) AS r FROM vectors v, vectors q WHERE v.id % 100 = 0) t WHERE r <= 5 AND (score >= 0.2 OR r <= 2)")
 def tag_1(spark, d):
-    """Terms are all vectors of one label, so both sides grow with the table."""
+    """Terms are every hundredth vector, so both sides grow with the table."""
     v = vectors(spark, d)
-    ranked = S.best_for_rows(v.withColumnRenamed("id", "query_id"), v.where("label = 3"), 10)
+    ranked = S.best_for_rows(v.withColumnRenamed("id", "query_id"), v.where("id % 100 = 0"), 10)
     return R.zero_shot_tags(ranked, 5)
 
 
-@query("TAG_2_apply_tags", "SELECT doc_id, array_to_string([source, lang] || CASE doc_id % 3 WHEN 0 THEN ['tag a'] WHEN 1 THEN ['tag b'] ELSE [] END, ',') AS keywords FROM documents")
+_TAGGED = """t AS (SELECT '/d/' || doc_id AS file_path, [source, lang] AS keywords, doc_id FROM documents WHERE doc_id % 5 <> 4),
+    c AS (SELECT '/d/' || doc_id AS file_path, doc_id, CASE doc_id % 3 WHEN 0 THEN [lang, 'tag a'] ELSE ['tag b', 'tag b'] END AS tags, CASE WHEN doc_id % 2 = 0 THEN 'glass' END AS carrier FROM documents WHERE doc_id % 3 < 2)"""
+
+
+def _apply_tags(spark, d):
+    docs = table(spark, d, "documents").withColumn("file_path", F.concat(F.lit("/d/"), F.col("doc_id").cast("string")))
+    known = docs.where("doc_id % 5 <> 4").select("file_path", F.array("source", "lang").alias("keywords"))
+    tags = F.when(F.col("doc_id") % 3 == 0, F.array("lang", F.lit("tag a"))).otherwise(F.array(F.lit("tag b"), F.lit("tag b")))
+    chosen = docs.where("doc_id % 3 < 2").select("file_path", tags.alias("tags"), F.when(F.col("doc_id") % 2 == 0, "glass").alias("carrier"), F.lit(None).cast("string").alias("operator"))
+    return C.apply_tags(known, chosen, 1000, F.current_timestamp())
+
+
+@query("TAG_2_apply_tags", f"""WITH {_TAGGED}, k AS (SELECT coalesce(t.file_path, c.file_path) AS file_path, coalesce(t.keywords, []) AS old, c.tags, c.carrier FROM t FULL JOIN c ON t.file_path = c.file_path)
+    SELECT file_path, array_to_string(old || list_filter(CASE WHEN tags IS NULL THEN [] ELSE CASE WHEN len(tags) = 2 AND tags[1] = tags[2] THEN [tags[1]] ELSE tags END END, lambda x: NOT list_contains(old, x)) || CASE WHEN carrier IS NULL THEN [] ELSE [carrier] END, ',') AS keywords FROM k""")
 def tag_2(spark, d):
-    from lumenarc.operators.catalogue import upsert
+    return _apply_tags(spark, d)[0].select("file_path", F.array_join("keywords", ",").alias("keywords"))
+
 
-    docs = table(spark, d, "documents").select("doc_id", F.array("source", "lang").alias("keywords"))
-    tags = docs.where("doc_id % 3 < 2").select("doc_id", F.array_distinct(F.concat("keywords", F.array(F.when(F.col("doc_id") % 3 == 0, "tag a").otherwise("tag b")))).alias("keywords"))
-    return upsert(docs, tags, "doc_id").select("doc_id", F.array_join("keywords", ",").alias("keywords"))
+@query("TAG_2_audit_rows", f"""WITH {_TAGGED} SELECT 999 + row_number() OVER (ORDER BY file_path) AS id, 'APPLY_GND_TAGS' AS action, file_path AS target_id, '{{"tags_added":["' || array_to_string(tags, '","') || '"]' || CASE WHEN carrier IS NULL THEN '' ELSE ',"carrier":"glass"' END || '}}' AS details, 'curator' AS operator FROM c""")
+def tag_2_audit(spark, d):
+    return _apply_tags(spark, d)[1].select("id", "action", "target_id", "details", "operator")
 
 
 @query("NET_1_person_graph_edges", ctes("faces").rstrip() + f""", {_CO}, near AS (SELECT other FROM (SELECT CASE WHEN a = 'Person 49' THEN b ELSE a END AS other, shared FROM co WHERE a = 'Person 49' OR b = 'Person 49' ORDER BY shared DESC, other LIMIT 25) t WHERE shared >= 2 ORDER BY shared DESC, other LIMIT 15),

@@ -172,8 +172,11 @@ def _premis_sql() -> str:
 
 @query("SNK_4_premis_xml", ctes("fixity") + f"SELECT file_path, {_premis_sql()} AS xml FROM fixity")
 def snk_4(spark, d):
-    items = made(spark, d, "fixity").withColumns({"file_name": F.concat(F.lit("o_"), F.col("id").cast("string"), F.lit(".jpg")), "file_size": F.col("id") + 1})
-    return E.premis_records(items)
+    return E.premis_records(_premis_items(spark, d))
+
+
+def _premis_items(spark, d):
+    return made(spark, d, "fixity").withColumns({"file_name": F.concat(F.lit("o_"), F.col("id").cast("string"), F.lit(".jpg")), "file_size": F.col("id") + 1})
 
 
 def _xmp_sql() -> str:
@@ -189,6 +192,47 @@ def _xmp_sql() -> str:
     return f"SELECT file_path, {subjects} AS subjects, {_x('rdf:Description', f'{body} || CASE WHEN len(persons) > 0 THEN {bag} ELSE chr(0) END || {regions}')} AS xml FROM ({per}) p".replace("chr(0)", "''")
 
 
+def _document_sql(records: str, head: str, tail: str) -> str:
+    """``records`` has by and line; the head comes first, the tail last."""
+    return f"SELECT 0 AS place, '{head}' AS line UNION ALL SELECT 4611686018427387904, '{tail}' UNION ALL SELECT row_number() OVER (ORDER BY \"by\", line), line FROM ({records}) r"
+
+
+def _c01_sql() -> str:
+    when = lambda c, x: f"CASE WHEN trim({c}) <> '' THEN {x} ELSE '' END"
+    did = "'<did><unitid label=\"Archivsignatur\">' || " + _esc("coalesce(nullif(trim(signature), ''), printf('POS-%04d', no))") + " || '</unitid><unittitle>' || " + _esc(_TITLE) + " || '</unittitle>'"
+    did += " || coalesce(" + when("date", "'<unitdate>' || " + _esc("date") + " || '</unitdate>'") + ", '')"
+    did += " || coalesce(" + when("creator", "'<origination label=\"Fotograf / Urheber\"><persname role=\"photographer\">' || " + _esc("creator") + " || '</persname></origination>'") + ", '')"
+    did += " || '<physdesc><physfacet>Digitalisat / Master-Scan</physfacet></physdesc><daoset><dao daotype=\"derived\" href=\"' || replace(" + _esc("file_path") + ", '\"', '&quot;') || '\"><descriptivenote><p>' || " + _esc("file_name") + " || '</p></descriptivenote></dao></daoset></did>'"
+    rest = "coalesce(" + when("notes", "'<scopecontent><p>' || " + _esc("notes") + " || '</p></scopecontent>'") + ", '')"
+    rest += " || CASE WHEN len(persons) > 0 THEN '<controlaccess>' || array_to_string(list_transform(persons, lambda p: '<persname relator=\"dep\">' || " + _esc("p") + " || '</persname>'), '') || '</controlaccess>' ELSE '' END"
+    return f"SELECT no AS \"by\", '<c01 level=\"item\" id=\"' || printf('item_%04d', no) || '\">' || {did} || {rest} || '</c01>' AS line FROM items"
+
+
+_EAD_HEAD = f"""{E.DECLARATION}<ead xmlns="{E.EAD_NS}" xmlns:xsi="{E.XSI}" xsi:schemaLocation="{E.EAD_NS} {E.EAD_XSD}"><control><recordid instanceurl="urn:archive:findbuch:20240131_1">findbuch_20240131_1</recordid><filedesc><titlestmt><titleproper>Findbuch: Bestand &lt;1&gt;</titleproper><author>Archiv &amp; Co (Elektronisch generiert)</author></titlestmt><publicationstmt><publisher>Archiv &amp; Co</publisher><date>2024-01-31</date></publicationstmt></filedesc><maintenancestatus value="derived"></maintenancestatus><maintenanceagency><agencyname>Archiv &amp; Co</agencyname></maintenanceagency></control><archdesc level="collection"><did><unitid>BESTAND-20240131</unitid><unittitle>Bestand &lt;1&gt;</unittitle><unitdate>2024-01-31</unitdate><repository><corpname>Archiv &amp; Co</corpname></repository></did><scopecontent><p>Verzeichnis von ' || (SELECT count(*) FROM items) || ' digital erschlossenen Bilddokumenten und Master-Scans.</p></scopecontent><dsc dsctype="combined">""".replace("&lt;1&gt;", "&lt;1>")
+
+
+@query("SNK_2_ead3_document", ctes("records").rstrip() + f", {_ITEMS} " + _document_sql(_c01_sql(), _EAD_HEAD, "</dsc></archdesc></ead>"))
+def snk_2_document(spark, d):
+    return E.ead_document(_items(spark, d), "Archiv & Co", "Bestand <1>", "2024-01-31", "20240131_1")
+
+
+_LIDO_HEAD = f'{E.DECLARATION}<lido:lidoWrap xmlns:lido="{E.LIDO_NS}" xmlns:xsi="{E.XSI}" xsi:schemaLocation="{E.LIDO_NS} {E.LIDO_XSD}">'
+
+
+@query("SNK_3_lido_document", ctes("records").rstrip() + f", {_ITEMS} " + _document_sql(f'SELECT no AS "by", {_lido_sql()} AS line FROM items', _LIDO_HEAD, "</lido:lidoWrap>"))
+def snk_3_document(spark, d):
+    return E.lido_document(_items(spark, d), "Archiv & Co")
+
+
+_PREMIS_HEAD = f'{E.DECLARATION}<premis:premis xmlns:premis="{E.PREMIS_NS}" xmlns:xsi="{E.XSI}" xsi:schemaLocation="{E.PREMIS_NS} {E.PREMIS_XSD}" version="3.0">'
+_PREMIS_TAIL = "<premis:agent><premis:agentIdentifier><premis:agentIdentifierType>local-id</premis:agentIdentifierType><premis:agentIdentifierValue>archive-fixity-daemon</premis:agentIdentifierValue></premis:agentIdentifier><premis:agentName>Archiv &amp; Co - Fixity Preservation Daemon</premis:agentName><premis:agentType>software</premis:agentType><premis:agentNote>Autonomer Hintergrund-Prüfsummen- und Bitrot-Wächter (ISO 14721 OAIS)</premis:agentNote></premis:agent></premis:premis>"
+
+
+@query("SNK_4_premis_document", ctes("fixity").rstrip() + " " + _document_sql(f'SELECT file_path AS "by", {_premis_sql()} AS line FROM fixity', _PREMIS_HEAD, _PREMIS_TAIL))
+def snk_4_document(spark, d):
+    return E.premis_document(_premis_items(spark, d), "Archiv & Co")
+
+
 @query("SNK_5_xmp_records", ctes("faces") + _xmp_sql())
 def snk_5(spark, d):
     none = F.lit(None).cast("struct<left: double, top: double, width: double, height: double>")

@@ -11,7 +11,7 @@ from lumenarc.functions.keys import base_name, uuid5
 from lumenarc.functions.text import csv_field, filled, xml_escape
 from lumenarc.operators.windows import row_numbers
 
-# fixed values: column heads of the finding aid, agent and notes of preservation events
+# fixed values: column heads of the finding aid, notes of preservation events, MIME types
 FINDING_AID_HEADS = ("Lfd. Nr.", "Archivsignatur", "Titel / Enthält-Vermerk", "Datierung", "Urheber / Fotograf", "Dargestellte Personen", "Archivalische Notizen", "Dateiname", "Dateipfad")
 FIXITY_NOTES = {
     "OK": "Prüfsumme verifiziert. Bitstream ist unversehrt und intakt.",
@@ -19,6 +19,19 @@ FIXITY_NOTES = {
     "MISSING": "FEHLER: Datei existiert nicht mehr auf dem Primärspeicher.",
 }
 MIME_TYPES = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "tif": "image/tiff", "tiff": "image/tiff", "webp": "image/webp", "gif": "image/gif", "bmp": "image/bmp", "pdf": "application/pdf"}
+# fixed values: labels and texts inside finding aids and museum records
+SIGNATURE_LABEL, CREATOR_LABEL, SCAN_LABEL, UNTITLED = "Archivsignatur", "Fotograf / Urheber", "Digitalisat / Master-Scan", "Fotodokument"
+WORK_TYPE, EVENT_TYPE, CREATOR_ROLE, RESOURCE_TYPE = "Fotografie", "Herstellung / Aufnahme", "Fotograf / Bildurheber", "Master-Digitalisat"
+RIGHTS = "Gemeinfrei / Bildbestand im kirchlichen Archiv"
+# fixed values: texts of preservation records
+DIGEST_ORIGINATOR, CHECK_DETAIL = "Archiv-Fixity-Daemon", ("Kryptographische SHA-256 Bitstream-Validierung für ", " (Integritätsprüfung gegen Bit-Rot nach ISO 14721 OAIS)")
+AGENT_NAME, AGENT_NOTE = "Fixity Preservation Daemon", "Autonomer Hintergrund-Prüfsummen- und Bitrot-Wächter (ISO 14721 OAIS)"
+# fixed values: name spaces and schemas
+XSI = "http://www.w3.org/2001/XMLSchema-instance"
+EAD_NS, EAD_XSD = "http://ead3.archivists.org/schema/", "http://ead3.archivists.org/schema/ead3.xsd"
+LIDO_NS, LIDO_XSD = "http://www.lido-schema.org", "http://www.lido-schema.org/schema/v1.1/lido-v1.1.xsd"
+PREMIS_NS, PREMIS_XSD = "http://www.loc.gov/premis/v3", "https://www.loc.gov/standards/premis/premis.xsd"
+DECLARATION = '<?xml version="1.0" encoding="UTF-8"?>'
 
 
 def numbered(items: DataFrame, order: Sequence[Column]) -> DataFrame:
@@ -53,10 +66,10 @@ def ead_items(items: DataFrame) -> DataFrame:
     dao = F.struct(F.lit("derived").alias("_daotype"), F.col("file_path").alias("_href"), F.struct(F.coalesce(filled(F.col("file_name")), base_name(F.col("file_path"))).alias("p")).alias("descriptivenote"))
     person = F.transform("persons", lambda p: F.struct(F.lit("dep").alias("_relator"), p.alias("_VALUE")))
     did = F.struct(
-        F.struct(F.lit("Archivsignatur").alias("_label"), F.coalesce(filled(F.col("signature")), F.format_string("POS-%04d", "no")).alias("_VALUE")).alias("unitid"),
-        title_of("Fotodokument").alias("unittitle"), text("unitdate", F.col("date")),
-        F.when(filled(F.col("creator")).isNotNull(), F.struct(F.lit("Fotograf / Urheber").alias("_label"), F.struct(F.lit("photographer").alias("_role"), F.col("creator").alias("_VALUE")).alias("persname"))).alias("origination"),
-        F.struct(F.lit("Digitalisat / Master-Scan").alias("physfacet")).alias("physdesc"),
+        F.struct(F.lit(SIGNATURE_LABEL).alias("_label"), F.coalesce(filled(F.col("signature")), F.format_string("POS-%04d", "no")).alias("_VALUE")).alias("unitid"),
+        title_of(UNTITLED).alias("unittitle"), text("unitdate", F.col("date")),
+        F.when(filled(F.col("creator")).isNotNull(), F.struct(F.lit(CREATOR_LABEL).alias("_label"), F.struct(F.lit("photographer").alias("_role"), F.col("creator").alias("_VALUE")).alias("persname"))).alias("origination"),
+        F.struct(F.lit(SCAN_LABEL).alias("physfacet")).alias("physdesc"),
         F.when(filled(F.col("file_path")).isNotNull(), F.struct(dao.alias("dao"))).alias("daoset"))
     return items.select(
         F.lit("item").alias("_level"), F.format_string("item_%04d", "no").alias("_id"), did.alias("did"),
@@ -64,6 +77,66 @@ def ead_items(items: DataFrame) -> DataFrame:
         F.when(F.size("persons") > 0, F.struct(person.alias("persname"))).alias("controlaccess"))
 
 
+def ead_texts(items: DataFrame) -> DataFrame:
+    """SNK-2: (no, xml): one c01 element per numbered item, as text."""
+    given = lambda c: filled(c).isNotNull()
+    some = lambda condition, element: F.coalesce(F.when(condition, element), F.lit(""))
+    name = F.coalesce(filled(F.col("file_name")), base_name(F.col("file_path")))
+    did = F.concat(
+        _el("unitid", xml_escape(F.coalesce(filled(F.col("signature")), F.format_string("POS-%04d", "no"))), f'label="{SIGNATURE_LABEL}"'), _el("unittitle", xml_escape(title_of(UNTITLED))),
+        some(given(F.col("date")), _el("unitdate", xml_escape(F.col("date")))),
+        some(given(F.col("creator")), _el("origination", _el("persname", xml_escape(F.col("creator")), 'role="photographer"'), f'label="{CREATOR_LABEL}"')),
+        _el("physdesc", _el("physfacet", F.lit(SCAN_LABEL))),
+        some(given(F.col("file_path")), _el("daoset", F.concat(F.lit('<dao daotype="derived" href="'), xml_escape(F.col("file_path")), F.lit('">'), _el("descriptivenote", _el("p", xml_escape(name))), F.lit("</dao>")))))
+    persons = F.array_join(F.transform(F.coalesce("persons", F.array().cast("array<string>")), lambda p: _el("persname", xml_escape(p), 'relator="dep"')), "")
+    rest = F.concat(some(given(F.col("notes")), _el("scopecontent", _el("p", xml_escape(F.col("notes"))))), some(F.size("persons") > 0, _el("controlaccess", persons)))
+    return items.select("no", F.concat(F.lit('<c01 level="item" id="'), F.format_string("item_%04d", "no"), F.lit('">'), _el("did", did), rest, F.lit("</c01>")).alias("xml"))
+
+
+def _quoted(text: str) -> str:
+    return text.replace("&", "&amp;").replace("<", "&lt;").replace('"', "&quot;")
+
+
+def _around(records: DataFrame, order: Column, head: str, tail: str) -> DataFrame:
+    """(place, line): the head at place 0, one record a line from 1 on, the tail behind the last."""
+    spark = records.sparkSession
+    lines = row_numbers(records.select(order.alias("__by"), F.col("xml").alias("line")), [F.col("__by"), F.col("line")], "place").select("place", "line")
+    ends = spark.createDataFrame([(0, head), ((1 << 62), tail)], "place long, line string")
+    return ends.unionByName(lines)
+
+
+def ead_document(items: DataFrame, archive: str, collection: str, created: str, record_id: str) -> DataFrame:
+    """SNK-2: (place, line) of an EAD3 document around ead_texts(): control, archdesc and its description; ``created`` is a date (2024-01-31), ``record_id`` names the finding aid."""
+    arch, title, made, ident = (_quoted(x) for x in (archive, collection, created, record_id))
+    head = (
+        f'{DECLARATION}<ead xmlns="{EAD_NS}" xmlns:xsi="{XSI}" xsi:schemaLocation="{EAD_NS} {EAD_XSD}"><control><recordid instanceurl="urn:archive:findbuch:{ident}">findbuch_{ident}</recordid>'
+        f"<filedesc><titlestmt><titleproper>Findbuch: {title}</titleproper><author>{arch} (Elektronisch generiert)</author></titlestmt><publicationstmt><publisher>{arch}</publisher><date>{made}</date></publicationstmt></filedesc>"
+        f'<maintenancestatus value="derived"></maintenancestatus><maintenanceagency><agencyname>{arch}</agencyname></maintenanceagency></control><archdesc level="collection"><did><unitid>BESTAND-{ident[:8]}</unitid><unittitle>{title}</unittitle>'
+        f"<unitdate>{made}</unitdate><repository><corpname>{arch}</corpname></repository></did><scopecontent><p>Verzeichnis von {items.count()} digital erschlossenen Bilddokumenten und Master-Scans.</p></scopecontent>"
+        '<dsc dsctype="combined">'
+    )
+    return _around(ead_texts(items), F.col("no"), head, "</dsc></archdesc></ead>")
+
+
+def lido_document(items: DataFrame, archive: str, rights: str = RIGHTS) -> DataFrame:
+    """SNK-3: (place, line) of a lidoWrap around lido_records()."""
+    return _around(lido_records(items, archive, rights), F.col("no"), f'{DECLARATION}<lido:lidoWrap xmlns:lido="{LIDO_NS}" xmlns:xsi="{XSI}" xsi:schemaLocation="{LIDO_NS} {LIDO_XSD}">', "</lido:lidoWrap>")
+
+
+def premis_document(items: DataFrame, archive: str, agent: str = "archive-fixity-daemon") -> DataFrame:
+    """SNK-4: (place, line) of a PREMIS document around premis_records(), which ends with the agent that checked."""
+    p = "premis:"
+    head = f'{DECLARATION}<premis:premis xmlns:premis="{PREMIS_NS}" xmlns:xsi="{XSI}" xsi:schemaLocation="{PREMIS_NS} {PREMIS_XSD}" version="3.0">'
+    who = f"<{p}agent><{p}agentIdentifier><{p}agentIdentifierType>local-id</{p}agentIdentifierType><{p}agentIdentifierValue>{_quoted(agent)}</{p}agentIdentifierValue></{p}agentIdentifier>"
+    who += f"<{p}agentName>{_quoted(archive)} - {AGENT_NAME}</{p}agentName><{p}agentType>software</{p}agentType><{p}agentNote>{AGENT_NOTE}</{p}agentNote></{p}agent>"
+    return _around(premis_records(items, agent), F.col("file_path"), head, f"{who}</premis:premis>")
+
+
+def write_document(lines: DataFrame, path: str) -> None:
+    """Write (place, line) as text files: read in order of their names they are one document. Each task writes a range of places."""
+    lines.repartitionByRange("place").sortWithinPartitions("place").select("line").write.text(path)
+
+
 def write_ead(structures: DataFrame, path: str) -> None:
     """SNK-2: Spark's XML writer; each part is a dsc of c01 elements."""
     structures.write.format("xml").option("rowTag", "c01").option("rootTag", 'dsc dsctype="combined"').option("declaration", "version='1.0' encoding='UTF-8'").save(path)
@@ -79,27 +152,27 @@ def _text(c: Column) -> Column:
     return xml_escape(filled(c))
 
 
-def lido_records(items: DataFrame, archive: str) -> DataFrame:
-    """SNK-3: (no, xml): one lido:lido element per numbered item."""
+def lido_records(items: DataFrame, archive: str, rights: str = RIGHTS) -> DataFrame:
+    """SNK-3: (no, xml): one lido:lido element per numbered item, with the rights of the collection."""
     n = "lido:"
     actor = lambda name: _el(n + "actor", _el(n + "nameActorSet", _el(n + "appellationValue", name)))
     rec = F.coalesce(filled(F.col("signature")), filled(F.col("file_name")), F.format_string("obj_%04d", "no"))
-    arch = archive.replace("&", "&amp;").replace("<", "&lt;").replace('"', "&quot;")
+    arch = _quoted(archive)
     given = filled(F.col("creator")).isNotNull()
-    creator = F.when(given, _el(n + "eventActor", _el(n + "actorInRole", F.concat(actor(_text(F.col("creator"))), _el(n + "roleActor", _el(n + "term", F.lit("Fotograf / Bildurheber")))))))
+    creator = F.when(given, _el(n + "eventActor", _el(n + "actorInRole", F.concat(actor(_text(F.col("creator"))), _el(n + "roleActor", _el(n + "term", F.lit(CREATOR_ROLE)))))))
     date = F.when(filled(F.col("date")).isNotNull(), _el(n + "eventDate", _el(n + "displayDate", _text(F.col("date")))))
-    event = F.concat(_el(n + "eventType", _el(n + "term", F.lit("Herstellung / Aufnahme"))), F.coalesce(creator, F.lit("")), F.coalesce(date, F.lit("")))
+    event = F.concat(_el(n + "eventType", _el(n + "term", F.lit(EVENT_TYPE))), F.coalesce(creator, F.lit("")), F.coalesce(date, F.lit("")))
     sets = F.array_join(F.transform("persons", lambda p: _el(n + "subjectSet", _el(n + "subject", _el(n + "subjectActor", actor(xml_escape(p)))))), "")
     subjects = F.coalesce(F.when(F.size("persons") > 0, _el(n + "objectRelationWrap", _el(n + "subjectWrap", sets))), F.lit(""))
-    work = F.coalesce(F.when(filled(F.col("signature")).isNotNull(), _el(n + "workID", _text(F.col("signature")), 'lido:type="Archivsignatur"')), F.lit(""))
+    work = F.coalesce(F.when(filled(F.col("signature")).isNotNull(), _el(n + "workID", _text(F.col("signature")), f'lido:type="{SIGNATURE_LABEL}"')), F.lit(""))
     state = F.coalesce(F.when(filled(F.col("notes")).isNotNull(), _el(n + "displayStateEditionWrap", _el(n + "displayState", _text(F.col("notes"))))), F.lit(""))
     place = _el(n + "repositoryWrap", _el(n + "repositorySet", F.concat(_el(n + "repositoryName", _el(n + "legalBodyName", _el(n + "appellationValue", F.lit(arch)))), work)))
-    title = _el(n + "titleWrap", _el(n + "titleSet", _el(n + "appellationValue", xml_escape(title_of("Fotodokument")))))
-    kind = _el(n + "objectClassificationWrap", _el(n + "objectWorkTypeWrap", _el(n + "objectWorkType", _el(n + "term", F.lit("Fotografie")))))
+    title = _el(n + "titleWrap", _el(n + "titleSet", _el(n + "appellationValue", xml_escape(title_of(UNTITLED)))))
+    kind = _el(n + "objectClassificationWrap", _el(n + "objectWorkTypeWrap", _el(n + "objectWorkType", _el(n + "term", F.lit(WORK_TYPE)))))
     described = _el(n + "descriptiveMetadata", F.concat(kind, _el(n + "objectIdentificationWrap", F.concat(title, place, state)), _el(n + "eventWrap", _el(n + "eventSet", _el(n + "event", event))), subjects), 'xml:lang="de"')
-    rights = _el(n + "rightsWorkWrap", _el(n + "rightsSet", _el(n + "rightsType", _el(n + "term", F.lit("Gemeinfrei / Bildbestand im kirchlichen Archiv")))))
+    rights = _el(n + "rightsWorkWrap", _el(n + "rightsSet", _el(n + "rightsType", _el(n + "term", xml_escape(F.lit(rights))))))
     link = xml_escape(F.coalesce(filled(F.col("file_path")), filled(F.col("file_name")), F.lit("")))
-    resource = _el(n + "resourceWrap", _el(n + "resourceSet", _el(n + "resourceRepresentation", _el(n + "linkResource", link), 'lido:type="Master-Digitalisat"')))
+    resource = _el(n + "resourceWrap", _el(n + "resourceSet", _el(n + "resourceRepresentation", _el(n + "linkResource", link), f'lido:type="{RESOURCE_TYPE}"')))
     admin = _el(n + "administrativeMetadata", F.concat(rights, resource), 'xml:lang="de"')
     return items.select("no", _el(n + "lido", F.concat(_el(n + "lidoRecID", xml_escape(rec), f'lido:source="{arch}" lido:type="local"'), described, admin)).alias("xml"))
 
@@ -127,14 +200,14 @@ def premis_records(items: DataFrame, agent: str = "archive-fixity-daemon") -> Da
     when = F.date_format("last_fixity_check", "yyyy-MM-dd'T'HH:mm:ss")
     path = xml_escape(F.coalesce("file_path", F.lit("")))
     ident = _el(p + "objectIdentifier", F.concat(_el(p + "objectIdentifierType", F.lit("local-filepath")), _el(p + "objectIdentifierValue", path)))
-    digest = F.coalesce(F.when(filled(F.col("sha256")).isNotNull(), _el(p + "fixity", F.concat(_el(p + "messageDigestAlgorithm", F.lit("SHA-256")), _el(p + "messageDigest", _text(F.col("sha256"))), _el(p + "messageDigestOriginator", F.lit("Archiv-Fixity-Daemon"))))), F.lit(""))
+    digest = F.coalesce(F.when(filled(F.col("sha256")).isNotNull(), _el(p + "fixity", F.concat(_el(p + "messageDigestAlgorithm", F.lit("SHA-256")), _el(p + "messageDigest", _text(F.col("sha256"))), _el(p + "messageDigestOriginator", F.lit(DIGEST_ORIGINATOR))))), F.lit(""))
     size = F.coalesce(F.when(F.col("file_size") > 0, _el(p + "size", F.col("file_size").cast("string"))), F.lit(""))
     form = _el(p + "format", _el(p + "formatDesignation", _el(p + "formatName", mime_type(name))))
     chars = _el(p + "objectCharacteristics", F.concat(_el(p + "compositionLevel", F.lit("0")), digest, size, form))
     place = _el(p + "storage", _el(p + "contentLocation", F.concat(_el(p + "contentLocationType", F.lit("filepath")), _el(p + "contentLocationValue", path))))
     obj = _el(p + "object", F.concat(ident, chars, _el(p + "originalName", xml_escape(name)), place), 'xsi:type="premis:file"')
     event_id = F.concat(F.lit("urn:uuid:"), uuid5(F.concat_ws("|", "file_path", when)))
-    detail = F.concat(F.lit("Kryptographische SHA-256 Bitstream-Validierung für "), name, F.lit(" (Integritätsprüfung gegen Bit-Rot nach ISO 14721 OAIS)"))
+    detail = F.concat(F.lit(CHECK_DETAIL[0]), name, F.lit(CHECK_DETAIL[1]))
     outcome = _el(p + "eventOutcomeInformation", F.concat(_el(p + "eventOutcome", xml_escape(status)), _el(p + "eventOutcomeDetail", _el(p + "eventOutcomeDetailNote", xml_escape(fixity_note(status))))))
     link = F.concat(
         _el(p + "linkingObjectIdentifier", F.concat(_el(p + "linkingObjectIdentifierType", F.lit("local-filepath")), _el(p + "linkingObjectIdentifierValue", path))),
