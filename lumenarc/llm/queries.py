@@ -15,15 +15,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts have no words and fail the base; repeated rows each have a row; without trusted rows or documents see quality()."""
     trusted = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     return quality_rules.quality(_table(spark, sf_dir, "documents"), trusted)
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without words (null, empty, blank) are one class; repeated rows each have a row; an empty table gives an empty one."""
     return dart_minhash.near_duplicate_classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts are one piece of one token; repeated rows are documents of their own; an empty table gives no pieces."""
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
@@ -37,14 +40,17 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null counts as empty; of equal texts of equal length the smallest doc_id stays, null last; repeated rows each have a row."""
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty html give an empty text; pages with a null or odd url share one host; repeated rows each have a row."""
     return html_main.main_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
 def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts are a segment of one token (the end); repeated rows are documents of their own; an empty table gives no segments."""
     packed = token_binary.write_packed(_table(spark, sf_dir, "documents"), fresh_path(spark, "packed"), tokenizer_path(), id_bytes=2)
     return token_binary.segments(packed, 2).withColumnRenamed("id", "doc_id")
 
@@ -59,6 +65,7 @@ def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts have value 0; null ids aren't held out and have no label; repeated rows each have a row; without labels of both classes nothing is toxic."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     scored = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels))
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))

@@ -389,3 +389,94 @@ def test_made_pages_give_their_article(spark):
     rows = [(k, f"http://h{n}.example/", h, "x") for n, pages in enumerate(hosts.values()) for k, h, _ in pages]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     assert {r.page_id: r.text for r in html_main.main_text(df).collect()} == {k: t for k, (_, t) in enumerate(made)}
+
+
+def test_pipeline_is_brute_force(spark, tmp_path, words):
+    """Planted toxic documents, copies and near copies, nulls and empty texts, two sources: every row of the result is known."""
+    import duckdb
+
+    import corpus_pipeline as p
+    from lumenarc.llm._tokens import encoder, tokenizer_path
+    from lumenarc.llm.queries import ORACLE
+
+    r = np.random.default_rng(4)
+    plain = "river stone garden window yellow morning paper bridge silver letter market dinner summer forest engine".split()
+    rows, labels = [], []
+    for i in range(400):
+        w = r.choice(plain, 60 + i % 90).tolist()
+        toxic = i % 4 == 0
+        for at in range(0, len(w) if toxic else 0, 6):
+            w[at] = "vexkrul" + "abcdefgh"[i // 4 % 8]
+        text = " ".join(w)
+        rows.append((i, text, "en", f"s{i % 3}" if i % 7 else None, len(text)))
+        labels.append((i, 1, int(toxic)))
+    clean = [x for x in rows if x[0] % 4]
+    copies = [(1000 + k, f" {x[1]}\n" if k % 2 else x[1], "en", "s1", x[4]) for k, x in enumerate(clean[:20])]
+    near = [(2000 + k, f"{x[1]} tail", "en", "s2", x[4]) for k, x in enumerate(clean[20:40])]
+    odd = [(3000, None, None, None, None), (3001, "", "en", "s1", 0), (3002, " \n", "en", "s1", 2), (3003, "long " * 5000, "en", "s0", 25_000)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    table = spark.createDataFrame(rows + copies + near + odd, schema)
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    # of equal texts the one with most code points stays, of near copies and of texts without words the least id
+    longer = {x[0]: 1000 + k for k, x in enumerate(clean[:20]) if k % 2}
+    kept = {longer.get(x[0], x[0]) for x in clean} | {3000, 3003}
+    # the blank text is the longest of the empty ones, so it stays of these
+    kept = kept - {3000} | {3002}
+    # what the classifier lets pass of toxic documents stays; it drops no other
+    left = {x.doc_id for x in p.drop_toxic(spark, table, str(tmp_path)).select("doc_id").collect()}
+    missed = {x[0] for x in rows if x[0] % 4 == 0} & left
+    assert len(missed) <= 5 and left >= {x[0] for x in clean + copies + near + odd}
+    kept |= missed
+    by_id = {x[0]: x for x in rows + copies + near + odd}
+    mixed_from = spark.createDataFrame([by_id[k] for k in sorted(kept)], schema)
+    mixed_from.write.parquet(str(tmp_path / "kept.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/kept.parquet/*.parquet'")
+    taken = {t["doc_id"]: t["taken"] // t["size"] for t in con.execute(ORACLE["op4_mix_sources"]).df().to_dict("records") if t["size"]}
+    want = Counter()
+    for i, n in taken.items():
+        ids = np.r_[encoder(tokenizer_path())(by_id[i][1]), 0]
+        first = (len(ids) - 1) % 2048 + 1
+        lengths = [len(ids)] if len(ids) <= 2048 else [first] + [2048] * ((len(ids) - first) // 2048)
+        want[i, tuple(sorted(lengths))] += n
+    found = p.run(spark, str(tmp_path)).collect()
+    per = defaultdict(list)
+    for x in found:
+        per[x.doc_id].append(x)
+    assert {i: sum(x.length for x in v) for i, v in per.items()} == {i: n * sum(lengths) for (i, lengths), n in want.items() if n}
+    by_sequence = defaultdict(list)
+    for x in found:
+        by_sequence[x.sequence_id].append(x)
+    for pieces in by_sequence.values():
+        pieces.sort(key=lambda x: x.offset)
+        assert [x.offset for x in pieces] == [sum(y.length for y in pieces[:k]) for k in range(len(pieces))] and sum(x.length for x in pieces) <= 2048
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline as p
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    assert p.run(spark, str(tmp_path)).count() == 0
+    (tmp_path / "nulls").mkdir()
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "nulls" / "labels.parquet"))
+    spark.createDataFrame([(None, None, None, None, None)] * 3 + [(1, "a b c", None, None, None)] * 3, schema).write.parquet(str(tmp_path / "nulls" / "documents.parquet"))
+    assert {x.doc_id for x in p.run(spark, str(tmp_path / "nulls")).collect()} == {1}
+
+
+def test_no_broadcasts_change_nothing(spark, docs, words, monkeypatch):
+    """op6 and op9 beyond their broadcast limits, and a model in many parts."""
+    pages = spark.createDataFrame([(i, f"http://h{i % 3}.example/{i}", PAGE % (i, "x"), "t") for i in range(9)], "page_id long, url string, html string, text string")
+    plain = sorted(map(str, html_main.main_text(pages).collect()))
+    rows = [(i, " ".join(["idiot scum trash"] * (i % 3 == 0) * 5) + " " + words(40, i)) for i in range(150)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(150)], "doc_id long, toxic int")
+    scores = {r.doc_id: r.score for r in toxicity.score_toxicity(docs(rows), toxicity.fit_toxicity(docs(rows), labels)).collect()}
+    monkeypatch.setattr(html_main, "BROADCAST_HOSTS", 0)
+    monkeypatch.setattr(toxicity, "BROADCAST_LABELS", 0)
+    assert sorted(map(str, html_main.main_text(pages).collect())) == plain
+    model = toxicity.fit_toxicity(docs(rows), labels, part_rows=5)
+    assert model.parts > 1
+    again = {r.doc_id: r.score for r in toxicity.score_toxicity(docs(rows), model).collect()}
+    assert again == pytest.approx(scores, abs=1e-9)
