@@ -124,7 +124,7 @@ def _vocabulary(spark, d):
     return made(spark, d, "vocabulary").withColumn("synonyms", F.array(F.concat(F.lit("syn "), "canonical"), F.lower("brand")))
 
 
-_Q13 = "SELECT DISTINCT CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) WHEN p_partkey % 3 = 1 THEN concat('x', p_name, 'y') ELSE concat('zz ', p_name) END AS query FROM part WHERE p_partkey < 60"
+_Q13 = "SELECT DISTINCT CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) WHEN p_partkey % 3 = 1 THEN concat('x', p_name, 'y') ELSE concat('zz ', p_name) END AS query FROM part WHERE p_partkey % 100 = 0"
 
 
 @query("JN_13_expand_term", ctes("vocabulary").rstrip() + f""", q AS ({_Q13}), syn AS (SELECT position, canonical, lower(canonical) AS term, 0 AS kind, 0 AS place FROM vocabulary UNION ALL SELECT position, canonical, 'syn ' || lower(canonical), 1, 1 FROM vocabulary UNION ALL SELECT position, canonical, lower(brand), 1, 2 FROM vocabulary),

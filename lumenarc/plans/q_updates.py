@@ -139,11 +139,11 @@ def ups_12(spark, d):
     return C.audit_rows(entries, [F.col("ts"), F.col("event_id")], 1000).select("id", "event_id", "action", "details")
 
 
-@query("UPS_13_save_verso_notes", ctes("sides").rstrip() + """, ok AS (SELECT conv_id FROM sides GROUP BY conv_id HAVING count(*) FILTER (turn = 0) > 0 AND count(*) FILTER (turn = 1) > 0), b AS (SELECT * FROM sides WHERE turn < 2)
+@query("UPS_13_save_verso_notes", ctes("sides").rstrip() + """, ok AS (SELECT conv_id FROM sides GROUP BY conv_id HAVING count(*) FILTER (turn = 0) > 0 AND count(*) FILTER (turn = 1) > 0)
     SELECT s.file_path, CASE WHEN e THEN 'note' END AS verso_notes, CASE WHEN e THEN CASE s.turn WHEN 0 THEN 'recto' ELSE 'verso' END END AS sheet_role, CASE WHEN e THEN o.file_path END AS companion_path
-    FROM (SELECT *, conv_id % 2 = 0 AND (turn = 0 OR conv_id IN (SELECT conv_id FROM ok)) AS e FROM b) s LEFT JOIN b o ON o.conv_id = s.conv_id AND o.turn = 1 - s.turn""")
+    FROM (SELECT *, conv_id % 2 = 0 AND (turn = 0 OR turn = 1 AND conv_id IN (SELECT conv_id FROM ok)) AS e FROM sides) s LEFT JOIN sides o ON o.conv_id = s.conv_id AND o.turn = 1 - s.turn""")
 def ups_13(spark, d):
-    sides = made(spark, d, "sides").where("turn < 2")
+    sides = made(spark, d, "sides")
     empty = F.lit(None).cast("string")
     records = sides.select("file_path", empty.alias("verso_notes"), empty.alias("sheet_role"), empty.alias("companion_path"))
     edits = sides.where("turn = 0 and conv_id % 2 = 0").select("file_path", F.lit("note").alias("verso_notes"))
