@@ -130,7 +130,15 @@ def aligned(texts: list[str | None], left: Vocabulary, right: Vocabulary) -> Ali
     none = np.zeros(0, np.int64)
     (a, b), (a_doc, b_doc) = ([np.concatenate(x) if x else none for x in y] for y in (ids, docs))
     a_end, b_end = np.cumsum(left.lengths[a]), np.cumsum(right.lengths[b])
-    return Aligned(a, a_end, a_doc, b, b_end, b_doc, np.intersect1d(a_end, b_end))
+    return Aligned(a, a_end, a_doc, b, b_end, b_doc, _common(a_end, b_end))
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Values of both of two sorted arrays, once each."""
+    if not len(a) or not len(b):
+        return a[:0]
+    found = a[b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a]
+    return found[np.r_[True, found[1:] != found[:-1]]] if len(found) else found
 
 
 def strips(x: Aligned, size: int = STRIP) -> Iterator[tuple[slice, slice, int, np.ndarray]]:
