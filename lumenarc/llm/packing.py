@@ -3,13 +3,14 @@
 Documents become pieces of at most ``capacity`` tokens. As a piece's length decides where it fits, packing works on
 the histogram of lengths, which has at most ``capacity`` entries whatever the input. First a best-fit solution: the largest length
 left is completed with the filling of least waste that a bounded depth-first search finds, as often as the histogram allows. Where that takes more sequences than the
-lower bound, bin completion branches over the sequences with most waste: around the largest piece left it enumerates the undominated fillings, least waste first,
+lower bound, bin completion packs neighbourhoods of wasteful sequences anew: around the largest piece left it enumerates the undominated fillings, least waste first,
 and prunes where waste exceeds what one sequence fewer leaves; best-fit solutions are the incumbents. The plan (a few thousand patterns) goes to the
 tasks, which turn each piece's rank among the pieces of its length into its place.
 """
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
@@ -24,7 +25,7 @@ from lumenarc.llm._tokens import encoder
 
 #: Nodes that the search for one filling of the best-fit solution may visit.
 NODES = 3_000
-#: Pieces of the most wasteful sequences that branch and bound packs anew, and steps of its enumeration in all; beyond them the incumbent stays.
+#: Pieces that branch and bound packs anew at once, and steps of its enumeration in all; beyond them the incumbent stays.
 SEARCH_PIECES, SEARCH_STEPS = 64, 1_000_000
 #: Pieces of one length that one window ranks.
 GROUP_ROWS = 20_000
@@ -159,23 +160,58 @@ def _best_fit_plan(counts: np.ndarray, capacity: int, nodes: int) -> list[tuple[
         plan.append((pattern, times))
 
 
-def pack_histogram(counts: np.ndarray, capacity: int, nodes: int = NODES) -> list[tuple[list[int], int]]:
-    """Patterns (lengths of one sequence, longest first) and how often each is used; together they use up ``counts``."""
-    plan = _best_fit_plan(counts, capacity, nodes)
-    least, budget = lower_bound(counts, capacity), [SEARCH_STEPS]
-    while sum(times for _, times in plan) > least:
-        # sequences with most waste, then those of fewest pieces, as far as their pieces can be searched
-        order = sorted(range(len(plan)), key=lambda k: (sum(plan[k][0]) - capacity, len(plan[k][0])))
-        taken, pieces = Counter(), Counter()
-        for k in order:
-            pattern, times = plan[k]
-            n = min(times, (SEARCH_PIECES - pieces.total()) // len(pattern))
+def _neighbourhood(plan: list[tuple[list[int], int]], capacity: int, most: int, rng: random.Random | None) -> Counter:
+    """How many sequences of each pattern to pack anew, of ``most`` pieces at most: those with most waste, then of fewest pieces; with ``rng`` a random
+    draw, in which waste weighs, that ends where it holds the waste of a sequence and somewhat more."""
+    waste = [capacity - sum(p) for p, _ in plan]
+    if rng is None:
+        order, enough = sorted(range(len(plan)), key=lambda k: (-waste[k], len(plan[k][0]))), float("inf")
+    else:
+        order, enough = sorted(range(len(plan)), key=lambda k: rng.random() ** (1 / (1 + waste[k])), reverse=True), capacity * rng.uniform(1.02, 1.6)
+    taken, pieces, held = Counter(), 0, 0
+    for k in order:
+        size = len(plan[k][0])
+        wanted = plan[k][1] if rng is None or not waste[k] else min(plan[k][1], -(-int(max(0.0, enough - held)) // waste[k]))
+        n = min(wanted, (most - pieces) // size)
+        if n > 0:
             taken[k] = n
-            pieces += Counter({x: m * n for x, m in Counter(pattern).items()})
-        better = complete_bins(pieces, capacity, taken.total() - 1, budget) if pieces else None
+            pieces += n * size
+            held += n * waste[k]
+        if held >= enough:
+            break
+    return taken
+
+
+def pack_histogram(counts: np.ndarray, capacity: int, nodes: int = NODES, steps: int | None = SEARCH_STEPS, most: int | None = SEARCH_PIECES) -> list[tuple[list[int], int]]:
+    """Patterns (lengths of one sequence, longest first) and how often each is used; together they use up ``counts``.
+
+    Where the best-fit solution misses the lower bound, neighbourhoods of up to ``most`` pieces are packed into one sequence less by bin completion: first that of most waste, then random ones (of a fixed
+    seed), each with a part of the steps, until the bound is met or the steps are spent. With ``steps`` and ``most`` None all pieces (900 at most, else ValueError) are one neighbourhood and the search ends with
+    the optimum, however long it takes.
+    """
+    if most is None and counts.sum() > 900:
+        raise ValueError(f"{int(counts.sum())} pieces are too many for an exact search")
+    plan = _best_fit_plan(counts, capacity, nodes)
+    least, left, rng, failed = lower_bound(counts, capacity), steps, random.Random(capacity), 0
+    while sum(times for _, times in plan) > least and (left is None or left > 0):
+        taken = _neighbourhood(plan, capacity, most or sum(len(p) * t for p, t in plan), rng if failed else None)
+        pieces = Counter()
+        for k, n in taken.items():
+            pieces += Counter({x: m * n for x, m in Counter(plan[k][0]).items()})
+        budget = [1 << 62 if left is None else min(left, max(steps // 25, 1000))]
+        before = budget[0]
+        # one sequence less needs its room in waste
+        room = sum(n * (capacity - sum(plan[k][0])) for k, n in taken.items())
+        better = complete_bins(pieces, capacity, taken.total() - 1, budget) if room >= capacity else None
+        if left is not None:
+            left -= max(before - max(budget[0], 0), 100)
         if better is None:
-            return plan
+            if most is None:
+                return plan
+            failed += 1
+            continue
         plan = [(p, times - taken[k]) for k, (p, times) in enumerate(plan) if times > taken[k]] + [(b, 1) for b in better]
+        failed = 0
     return plan
 
 
@@ -243,7 +279,7 @@ def _placer(slots: dict[int, np.ndarray]):
     return place
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end: int | None = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end: int | None = 0, search_steps: int | None = SEARCH_STEPS, search_pieces: int | None = SEARCH_PIECES) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its ids and then ``end``; null text counts as empty, so every document has a piece. Only documents of more
@@ -259,7 +295,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     counts = np.zeros(capacity + 1, np.int64)
     for row in pieces.groupBy("length").count().collect():  # at most `capacity` rows
         counts[row["length"]] = row["count"]
-    slots = _slots(pack_histogram(counts, capacity), capacity)
+    slots = _slots(pack_histogram(counts, capacity, steps=search_steps, most=search_pieces), capacity)
     # salts of a length grow with its own pieces
     groups = docs.sparkSession.createDataFrame([(k, max(1, int(n) // GROUP_ROWS)) for k, n in enumerate(counts.tolist()) if n], "length long, groups int")
     salted = pieces.join(F.broadcast(groups), "length").withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.col("groups"))).drop("groups")

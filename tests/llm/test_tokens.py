@@ -213,3 +213,22 @@ def test_packed_ids_of_other_types(spark, tmp_path, kind):
     df = spark.sql(f"SELECT CAST(x AS {kind}) AS doc_id, 'one two' AS text FROM VALUES (CAST(NULL AS {kind})), ({'DATE 2020-01-01' if kind == 'date' else 7}) AS t(x)".replace("DATE 2020-01-01", "DATE '2020-01-01'"))
     packed = token_binary.write_packed(df, str(tmp_path / kind[:4]), PATH, id_bytes=2)
     assert Counter(r.id for r in token_binary.segments(packed, 2).collect()) == Counter(r.doc_id for r in df.collect())
+
+
+@pytest.mark.parametrize("n,low,high,seed,most", [(200, 300, 1199, 1, 78), (100, 500, 900, 2, 38), (1000, 300, 1199, 4, 378)])
+def test_other_neighbourhoods_save_sequences(n, low, high, seed, most):
+    """Best fit takes 81, 40 and 388 sequences here, the lower bounds are 76, 35 and 373."""
+    counts = np.bincount(np.random.default_rng(seed).integers(low, high + 1, n), minlength=2049)
+    plan = packing.pack_histogram(counts, 2048)
+    used = Counter()
+    for pattern, times in plan:
+        assert sum(pattern) <= 2048
+        used.update({x: m * times for x, m in Counter(pattern).items()})
+    assert used == {int(x): int(c) for x, c in enumerate(counts) if c} and sum(times for _, times in plan) <= most
+
+
+def test_exact_search_is_the_optimum_without_limits():
+    counts = np.bincount([7, 7, 6, 5, 5, 4, 4, 3, 3, 2, 2, 2], minlength=11)
+    assert sum(t for _, t in packing.pack_histogram(counts, 10, nodes=1, steps=None, most=None)) == 5
+    with pytest.raises(ValueError, match="too many"):
+        packing.pack_histogram(np.bincount([6] * 901, minlength=11), 10, most=None)
