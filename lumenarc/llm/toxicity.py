@@ -302,8 +302,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     alike = keys.groupBy("label", "key").agg(F.count("*").alias("copies"))
     weighed = keys.join(broadcast_below(alike, n_marks, BROADCAST_LABELS), ["label", "key"]).groupBy("id", "label").agg(F.max("copies").alias("copies"))
     weighed = cut(weighed.select("id", "label", F.floor(F.lit(WEIGHT) / F.col("copies")).alias("weight")))
-    texts = read.join(broadcast_below(weighed, n_marks, BROADCAST_LABELS), "id").select("text", "label", "weight")
-    # few rows of a partition are labelled: tasks of some thousand of them sum up more before the shuffle
+    # the scan keeps its tasks; the labelled texts that it leaves, few in a partition, are then counted by tasks of some thousand, which sum up more before the shuffle
+    texts = cut(read.join(broadcast_below(weighed, n_marks, BROADCAST_LABELS), "id").select("text", "label", "weight"))
     tasks = max(3 * spark.sparkContext.defaultParallelism, n_marks // ROWS_PER_TASK)
     counts = texts.coalesce(tasks).mapInArrow(_counter, "gram long, label int, n long")
     of = lambda c: (F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)) / WEIGHT)

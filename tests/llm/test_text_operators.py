@@ -470,8 +470,10 @@ def test_no_broadcasts_change_nothing(spark, docs, words, monkeypatch):
     """op6 and op9 beyond their broadcast limits, and a model in many parts."""
     pages = spark.createDataFrame([(i, f"http://h{i % 3}.example/{i}", PAGE % (i, "x"), "t") for i in range(9)], "page_id long, url string, html string, text string")
     plain = sorted(map(str, html_main.main_text(pages).collect()))
-    rows = [(i, " ".join(["idiot scum trash"] * (i % 3 == 0) * 5) + " " + words(40, i)) for i in range(150)]
-    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(150)], "doc_id long, toxic int")
+    r = np.random.default_rng(9)
+    plain_words = "river stone garden window yellow morning paper bridge silver letter market dinner summer forest engine".split()
+    rows = [(i, " ".join(f"vexkrul{'abcdefgh'[i // 4 % 8]}" if i % 4 == 0 and k % 4 == 1 else w for k, w in enumerate(r.permutation(plain_words)))) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
     scores = {r.doc_id: r.score for r in toxicity.score_toxicity(docs(rows), toxicity.fit_toxicity(docs(rows), labels)).collect()}
     monkeypatch.setattr(html_main, "BROADCAST_HOSTS", 0)
     monkeypatch.setattr(toxicity, "BROADCAST_LABELS", 0)
