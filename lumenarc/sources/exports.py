@@ -211,7 +211,7 @@ def premis_records(items: DataFrame, agent: str = "archive-fixity-daemon") -> Da
     outcome = _el(p + "eventOutcomeInformation", F.concat(_el(p + "eventOutcome", xml_escape(status)), _el(p + "eventOutcomeDetail", _el(p + "eventOutcomeDetailNote", xml_escape(fixity_note(status))))))
     link = F.concat(
         _el(p + "linkingObjectIdentifier", F.concat(_el(p + "linkingObjectIdentifierType", F.lit("local-filepath")), _el(p + "linkingObjectIdentifierValue", path))),
-        _el(p + "linkingAgentIdentifier", F.concat(_el(p + "linkingAgentIdentifierType", F.lit("local-id")), _el(p + "linkingAgentIdentifierValue", F.lit(agent)))))
+        _el(p + "linkingAgentIdentifier", F.concat(_el(p + "linkingAgentIdentifierType", F.lit("local-id")), _el(p + "linkingAgentIdentifierValue", xml_escape(F.lit(agent))))))
     event = _el(p + "event", F.concat(
         _el(p + "eventIdentifier", F.concat(_el(p + "eventIdentifierType", F.lit("UUID")), _el(p + "eventIdentifierValue", event_id))),
         _el(p + "eventType", F.lit("fixity check")), _el(p + "eventDateTime", when), _el(p + "eventDetailInformation", xml_escape(detail)), outcome, link))

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from lumenarc.functions.keys import base_name, uuid5_image
 from lumenarc.functions.text import consolidate
 from lumenarc.operators.joins import best_by
-from lumenarc.sources.versions import Archive, write_batches
+from lumenarc.sources.versions import Archive, rebalanced
 
 # fixed values: suffixes of image files
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "tif", "tiff", "webp")
@@ -65,8 +65,8 @@ def attach_sidecars(images: DataFrame, sidecars: DataFrame) -> DataFrame:
 
 
 def write_catalogue(table: DataFrame, path: str) -> None:
-    """SRC-4: a new version of a table, partitioned by batch, which as many tasks write as its bytes need (see versions.write_batches); versions.Archive switches several tables together."""
-    write_batches(table, path, F.col("import_id"), "import_id")
+    """SRC-4: a new version of a table, partitioned by batch, which as many tasks write as its bytes need (see versions.rebalanced); versions.Archive switches several tables together."""
+    rebalanced(table, "import_id").write.partitionBy("import_id").parquet(path)
 
 
 def read_catalogue(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

@@ -335,7 +335,7 @@ def test_the_last_of_repeated_edits_wins(spark):
 
 def test_catalogue_keeps_batch_ids(spark, tmp_path):
     table = spark.createDataFrame([(1, "007"), (2, "007"), (3, "12"), (4, None)], "id int, import_id string")
-    inventory.write_catalogue(table, str(tmp_path / "t"), files=2)
+    inventory.write_catalogue(table, str(tmp_path / "t"))
     assert sorted((r.id, r.import_id) for r in inventory.read_catalogue(spark, str(tmp_path / "t")).collect()) == [(1, "007"), (2, "007"), (3, "12"), (4, None)]
 
 
