@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenarc.functions.vectors import cosine, doubles, hamming64
+from lumenarc.functions.vectors import cosine, doubles
 from lumenarc.operators.graph import checkpointed, connected_components
 from lumenarc.operators.windows import Desc, row_numbers
 
@@ -281,24 +281,59 @@ def bits_of(hashes: DataFrame) -> DataFrame:
     return hashes.where("hash is not null").select("id", F.shiftleft(half(1), 32).bitwiseOR(half(9)).alias("bits"))
 
 
-def hash_join(hashes: DataFrame, max_distance: int, bands: int | None = None, block_rows: int = 16_384) -> DataFrame:
+def hash_join(hashes: DataFrame, max_distance: int, bands: int | None = None, block_rows: int = 16_384, bucket_rows: int = 256) -> DataFrame:
     """JN-10: pairs (a < b, distance) of 16-digit hex hashes that differ in at most ``max_distance`` bits.
 
-    With more bands than differing bits some band agrees, so bands are equi-joined and the distance is checked. Bands of few bits have full buckets: where n rows of evenly spread hashes
+    With more bands than differing bits some band agrees, so bands are equi-joined and the distance is checked; a band's buckets of more than ``bucket_rows`` hashes are cut into blocks of
+    ``block_rows`` at most, each pair of blocks one task's packed comparison. A pair counts in the first band that it shares. Bands of few bits have full buckets: where n rows of evenly spread hashes
     would meet more than half of all pairs (see band_pairs()), packed blocks are compared instead (hash_join_blocks()). ``bands`` asks for bands, whatever they cost.
     """
     if bands is None and band_pairs(1.0, max_distance + 1) > 0.5:
         return hash_join_blocks(hashes, max_distance, block_rows)
     bands = bands or max_distance + 1
     edges = [64 * k // bands for k in range(bands + 1)]
-    digits = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.lpad(F.conv(F.substr(F.col("hash"), k * 4 + 1, F.lit(4)), 16, 2), 16, "0"))
-    spelled = hashes.select("id", "hash", F.array_join(digits, "").alias("bits"))
-    parts = F.array(*(F.concat_ws(":", F.lit(k), F.substring("bits", edges[k] + 1, edges[k + 1] - edges[k])) for k in range(bands)))
-    banded = spelled.select("id", "hash", F.explode(parts).alias("band"))
-    a = banded.select(F.col("id").alias("a"), F.col("hash").alias("hash_a"), "band")
-    b = banded.select(F.col("id").alias("b"), F.col("hash").alias("hash_b"), "band")
-    near = a.join(b, "band").where("a < b").select("a", "b", hamming64(F.col("hash_a"), F.col("hash_b")).alias("distance"))
-    return near.where(F.col("distance") <= max_distance).distinct()
+    masks = [(1 << 64 - low) - (1 << 64 - high) for low, high in zip(edges, edges[1:], strict=False)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    parts = F.array(*(F.struct(F.lit(k).alias("band"), F.col("bits").bitwiseAND(F.lit(m)).alias("value")) for k, m in enumerate(signed)))
+    banded = checkpointed(bits_of(hashes)).select("id", "bits", F.inline(parts))
+    # buckets of many hashes are compared in packed blocks, all others by an equi-join
+    full = checkpointed(banded.groupBy("band", "value").count().where(F.col("count") > bucket_rows).withColumn("blocks", F.ceil(F.col("count") / block_rows).cast("int")).drop("count"))
+    none = full.isEmpty()
+    rest = banded if none else banded.join(full, ["band", "value"], "left_anti")
+    a, b = (rest.select(F.col("id").alias(e), F.col("bits").alias(f"bits_{e}"), "band", "value") for e in "ab")
+    apart = F.col("bits_a").bitwiseXOR(F.col("bits_b"))
+    # a pair counts in the first of the bands that it shares
+    first = F.coalesce(*(F.when(apart.bitwiseAND(F.lit(m)) == 0, k) for k, m in enumerate(signed)))
+    near = a.join(b, ["band", "value"]).where((F.col("a") < F.col("b")) & (F.bit_count(apart) <= max_distance) & (first == F.col("band"))).select("a", "b", F.bit_count(apart).cast("int").alias("distance"))
+    if none:
+        return near
+    each = banded.join(full, ["band", "value"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = each.select("band", "value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "bits")
+
+    def pairs(table: pa.Table) -> pa.Table:
+        return _near_bits(table, max_distance, masks[: table["band"][0].as_py()])
+
+    return near.unionByName(dealt.groupBy("band", "value", "i", "j").applyInArrow(pairs, "a long, b long, distance int"))
+
+
+def _near_bits(table: pa.Table, max_distance: int, earlier: Sequence[int] = ()) -> pa.Table:
+    """Pairs of the blocks i and j of a table that differ in at most so many bits, without those that agree on one of the ``earlier`` masks."""
+    i, j = table["i"][0].as_py(), table["j"][0].as_py()
+    block, ids, bits = np.asarray(table["block"]), np.asarray(table["id"]), np.asarray(table["bits"]).view(np.uint64)
+    left, right = (block == i, block == j)
+    ids_l, bits_l, ids_r, bits_r = ids[left], bits[left], ids[right], bits[right]
+    out = []
+    for at in range(0, len(ids_l), 64):
+        apart = bits_l[at : at + 64, None] ^ bits_r[None, :]
+        d = np.bitwise_count(apart)
+        x, y = np.nonzero(d <= max_distance)
+        a, b = ids_l[at + x], ids_r[y]
+        keep = (a < b) if i == j else (a != b)
+        for mask in earlier:
+            keep &= (apart[x, y] & np.uint64(mask)) != 0
+        out.append((np.minimum(a, b)[keep], np.maximum(a, b)[keep], d[x, y][keep]))
+    columns = [np.concatenate([o[k] for o in out]) if out else np.zeros(0) for k in range(3)]
+    return pa.table({c: pa.array(columns[k], t) for k, (c, t) in enumerate((("a", pa.int64()), ("b", pa.int64()), ("distance", pa.int32())))})
 
 
 def band_pairs(pairs: float, bands: int) -> float:
@@ -333,18 +368,7 @@ def hash_join_blocks(hashes: DataFrame, max_distance: int, block_rows: int = 16_
     spread = own.join(F.broadcast(meets), "range").withColumn("other", F.explode(F.sequence("low", "high"))).select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "bits")
 
     def pairs(table: pa.Table) -> pa.Table:
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        block, ids, bits = np.asarray(table["block"]), np.asarray(table["id"]), np.asarray(table["bits"]).view(np.uint64)
-        left, right = (block == i, block == j)
-        out = []
-        for at in range(0, int(left.sum()), 256):
-            mine, some = ids[left][at : at + 256], bits[left][at : at + 256]
-            d = np.bitwise_count(some[:, None] ^ bits[right][None, :])
-            x, y = np.nonzero(d <= max_distance)
-            a, b = mine[x], ids[right][y]
-            keep = (a < b) if i == j else (a != b)
-            out.append((np.minimum(a, b)[keep], np.maximum(a, b)[keep], d[x, y][keep]))
-        return pa.table({c: pa.array(np.concatenate([o[k] for o in out]), t) for k, (c, t) in enumerate((("a", pa.int64()), ("b", pa.int64()), ("distance", pa.int32())))})
+        return _near_bits(table, max_distance)
 
     return spread.groupBy("i", "j").applyInArrow(pairs, "a long, b long, distance int")
 

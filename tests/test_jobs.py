@@ -197,6 +197,19 @@ def test_long_distances_go_to_blocks(spark):
     assert "FlatMapGroupsInArrow" not in similarity.hash_join(df, 7)._jdf.queryExecution().toString()
 
 
+def test_full_buckets_of_bands_are_packed_blocks(spark):
+    """Each pair comes once, by whatever way its bucket goes; no two hashes of a full bucket are joined row by row."""
+    rng = np.random.default_rng(5)
+    bits = [int(b) for b in rng.integers(0, 2**64, 60, dtype=np.uint64)] * 2 + [int("f" * 16, 16) - 3, 2**63, 0, 1, 3]
+    df = spark.createDataFrame([(i, f"{b:016x}") for i, b in enumerate(bits)] + [(9999, None)], "id long, hash string")
+    want = {(a, b): (bits[a] ^ bits[b]).bit_count() for a in range(len(bits)) for b in range(a + 1, len(bits)) if (bits[a] ^ bits[b]).bit_count() <= 16}
+    for bucket, block in ((256, 16_384), (3, 16_384), (0, 4)):
+        found = similarity.hash_join(df, 16, bands=17, block_rows=block, bucket_rows=bucket)
+        got = found.collect()
+        assert len(got) == len(want) and {(r.a, r.b): r.distance for r in got} == want
+        assert ("FlatMapGroupsInArrow" in found._jdf.queryExecution().toString()) == (bucket < 256)
+
+
 def test_grid_needs_no_driver(spark, monkeypatch):
     monkeypatch.setattr(type(spark.range(1)), "toPandas", lambda self: pytest.fail("rows at the driver"))
     v = spark.range(1000).selectExpr("id", "array(cos(id), sin(id), cos(3 * id)) AS vector")
