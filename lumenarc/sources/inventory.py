@@ -81,15 +81,17 @@ def read_catalogue(spark: SparkSession, path: str, schema: T.StructType | None =
 FIRST_NAMES = 20
 
 
-def ingest(files: DataFrame, catalogue: DataFrame, batch: str, root: str, force: bool = False, fields: dict[str, Sequence[Column]] | None = None) -> tuple[DataFrame, DataFrame]:
+def ingest(files: DataFrame, catalogue: DataFrame, batch: str, root: str, force: bool = False, fields: dict[str, Sequence[Column]] | None = None, key: str = "id") -> tuple[DataFrame, DataFrame]:
     """ING-1: (rows to append, journal row) for files (path, size) under ``root`` that the catalogue (id) lacks.
 
     Ids come from the path relative to the archive root, so a file has one id whatever folder was scanned. Files of size 0 or without one are rejected and counted as failed. ``fields`` adds columns by PRJ-1, each
-    the first filled of its candidates (columns of ``files``: sidecar values, then header tags). The journal row has the counts, the first 20 names taken and the first 20 rejected, by path.
+    the first filled of its candidates (columns of ``files``: sidecar values, then header tags). Files are told apart, among themselves and from the catalogue's, by their id; where several entries of an inventory
+    share a path, ``key`` names a column of both tables that tells them apart, and each is a row. The journal row has the counts, the first 20 names taken and the first 20 rejected, by path.
     """
-    judged = _judged(files, catalogue, root, force)
+    judged = _judged(files, catalogue, root, force, key)
     extra = consolidate(fields or {})
-    rows = judged.where("taken and readable").select("id", "path", base_name(F.col("path")).alias("file_name"), "size", F.lit(batch).alias("import_id"), *extra)
+    own = ["id"] if key == "id" else ["id", key]
+    rows = judged.where("taken and readable").select(*own, "path", base_name(F.col("path")).alias("file_name"), "size", F.lit(batch).alias("import_id"), *extra)
     def names(which: str, column: str) -> DataFrame:
         first = judged.where(which).select(F.lit(batch).alias("id"), "path").orderBy("path").limit(FIRST_NAMES)
         return first.groupBy("id").agg(F.transform(F.array_sort(F.collect_list("path")), lambda p: F.regexp_extract(p, "[^/]*$", 0)).alias(column))
@@ -103,12 +105,12 @@ def ingest(files: DataFrame, catalogue: DataFrame, batch: str, root: str, force:
     return rows, told.withColumn("status", F.lit("completed"))
 
 
-def _judged(files: DataFrame, catalogue: DataFrame, root: str, force: bool) -> DataFrame:
-    """``files`` with id, taken (not known yet) and readable, one row per id."""
+def _judged(files: DataFrame, catalogue: DataFrame, root: str, force: bool, key: str = "id") -> DataFrame:
+    """``files`` with id, taken (not known yet) and readable, one row per key."""
     relative = F.substring(F.col("path"), len(root.rstrip("/")) + 2, 1 << 20)
-    keyed = files.withColumn("id", uuid5_image(relative)).dropDuplicates(["id"])
-    known = catalogue.select("id").distinct().withColumn("__known", F.lit(True))
-    return keyed.join(known, "id", "left").withColumns({"taken": F.lit(force) | F.col("__known").isNull(), "readable": F.coalesce(F.col("size") > 0, F.lit(False))}).drop("__known")
+    keyed = files.withColumn("id", uuid5_image(relative)).dropDuplicates([key])
+    known = catalogue.select(key).distinct().withColumn("__known", F.lit(True))
+    return keyed.join(known, key, "left").withColumns({"taken": F.lit(force) | F.col("__known").isNull(), "readable": F.coalesce(F.col("size") > 0, F.lit(False))}).drop("__known")
 
 
 JOURNAL = "id string, status string, started_at timestamp, finished_at timestamp, image_count long, skipped_count long, failed_count long, first_names array<string>, failed_names array<string>, note string"

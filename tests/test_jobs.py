@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -12,8 +13,10 @@ from pyspark.sql import functions as F
 from lumenarc.operators import aggregates, catalogue, fixity, graph, search, similarity, windows
 from lumenarc.operators.graph import connected_components
 from lumenarc.operators.windows import row_numbers
+from lumenarc.plans.queries import ORACLE, QUERIES
 from lumenarc.sources import exports, inventory
 from lumenarc.streaming import streams
+from tests.oracle import rows
 
 
 @pytest.fixture(scope="module")
@@ -438,3 +441,21 @@ def test_facets_of_nothing(spark):
     assert aggregates.year_range(spark.createDataFrame([], "year int")).first() == (1860, 2026)
     nulls = spark.createDataFrame([(None, " ", None, None)], "creator string, signature string, import_id string, y int")
     assert [tuple(r) for r in aggregates.facet_values(nulls, F.col("y")).collect()] == [("batch", "legacy", 1)]
+
+
+def repeated_pages(spark, tmp_path):
+    """Addresses that repeat, also by scheme, of known and of new files."""
+    urls = ["https://a.org/x.html", "http://a.org/x.html", "https://a.org/x.html", "https://b.org/y", "http://b.org/y", "https://b.org/", "https://a.org/x.html"]
+    d = str(tmp_path / "tables")
+    spark.createDataFrame([(k, u, "<p>" + "z" * k) for k, u in enumerate(urls)], "page_id long, url string, html string").coalesce(1).write.parquet(f"{d}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{d}/pages.parquet/*.parquet'")
+    return d, con
+
+
+def test_each_entry_of_an_inventory_is_a_file(spark, tmp_path):
+    d, con = repeated_pages(spark, tmp_path)
+    for name in ("ING_1_ingest_journal", "ING_1_ingest_rows"):
+        df, want = QUERIES[name](spark, d), con.execute(ORACLE[name])
+        columns = [c[0] for c in want.description]
+        assert rows(df.collect(), df.columns) == rows(want.fetchall(), columns)
