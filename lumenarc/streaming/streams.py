@@ -15,30 +15,32 @@ BUCKETS = 256
 CATALOGUE = "id string, path string, size long, bucket int"
 
 
-def known_ids(spark, catalogue_path: str, buckets: list[int]) -> DataFrame:
-    """(id) of a catalogue's buckets; files of other buckets aren't read."""
+def known_ids(spark, catalogue_path: str, buckets: list[int], key: str = "id", kind: str = "string") -> DataFrame:
+    """(key) of a catalogue's buckets; files of other buckets aren't read."""
     if not _exists(spark, catalogue_path):
-        return spark.createDataFrame([], "id string")
-    read = spark.read.schema(CATALOGUE).option("ignoreMissingFiles", "true").parquet(catalogue_path)
-    return read.where(F.col("bucket").isin(buckets)).select("id")
+        return spark.createDataFrame([], f"{key} {kind}")
+    read = spark.read.schema(CATALOGUE if key == "id" else f"{key} {kind}, {CATALOGUE}").option("ignoreMissingFiles", "true").parquet(catalogue_path)
+    return read.where(F.col("bucket").isin(buckets)).select(key)
 
 
-def ingest_stream(files: DataFrame, catalogue_path: str, checkpoint: str, root: str, buckets: int = BUCKETS) -> StreamingQuery:
+def ingest_stream(files: DataFrame, catalogue_path: str, checkpoint: str, root: str, buckets: int = BUCKETS, key: str = "id") -> StreamingQuery:
     """STR-1: append each new file (path, size) once to a Parquet catalogue, across restarts; runs over what is there and ends.
 
     The catalogue is partitioned by ``bucket``, a hash of the id, which must stay as it was. A batch is joined against the ids that earlier batches wrote to the buckets it touches, so a batch that is run again after a
-    failure adds nothing twice and a small batch reads a small part of a large catalogue.
+    failure adds nothing twice and a small batch reads a small part of a large catalogue. Where several entries share a path, ``key`` names the column that tells them apart instead of the id: see inventory.ingest().
     """
     spark = files.sparkSession
     relative = F.substring(F.col("path"), len(root.rstrip("/")) + 2, 1 << 20)
+    own = ["id"] if key == "id" else [key, "id"]
+    kind = "string" if key == "id" else files.schema[key].dataType.simpleString()
 
     def append(batch: DataFrame, number: int) -> None:
-        keyed = batch.withColumn("id", uuid5_image(relative)).dropDuplicates(["id"]).withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
-        keyed = keyed.select("id", "path", "size", "bucket").persist()
+        keyed = batch.withColumn("id", uuid5_image(relative)).dropDuplicates([key]).withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
+        keyed = keyed.select(*own, "path", "size", "bucket").persist()
         try:
             touched = [r.bucket for r in keyed.select("bucket").distinct().collect()]
-            known = known_ids(spark, catalogue_path, touched)
-            keyed.join(known, "id", "left_anti").repartition("bucket").write.mode("append").partitionBy("bucket").parquet(catalogue_path)
+            known = known_ids(spark, catalogue_path, touched, key, kind)
+            keyed.join(known, key, "left_anti").repartition("bucket").write.mode("append").partitionBy("bucket").parquet(catalogue_path)
         finally:
             keyed.unpersist()
 

@@ -459,3 +459,10 @@ def test_each_entry_of_an_inventory_is_a_file(spark, tmp_path):
         df, want = QUERIES[name](spark, d), con.execute(ORACLE[name])
         columns = [c[0] for c in want.description]
         assert rows(df.collect(), df.columns) == rows(want.fetchall(), columns)
+
+
+def test_each_entry_of_a_stream_is_a_file(spark, tmp_path):
+    d, con = repeated_pages(spark, tmp_path)
+    df, want = QUERIES["STR_1_ingest_stream"](spark, d), con.execute(ORACLE["STR_1_ingest_stream"])
+    columns = [c[0] for c in want.description]
+    assert rows(df.collect(), df.columns) == rows(want.fetchall(), columns)
