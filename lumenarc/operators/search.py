@@ -204,5 +204,6 @@ def browse(table: DataFrame, year: Column, year_from: int | None, year_to: int |
 def zero_shot_tags(scores: DataFrame, k: int, floor: float = 0.20, keep: int = 2) -> DataFrame:
     """TAG-1: of ranked (query_id = image, id = term, score, rank): the best k of 2k candidates, those below the floor only among the first ``keep``; confidence in per cent."""
     kept = scores.where((F.col("rank") <= 2 * k) & ((F.col("score") >= floor) | (F.col("rank") <= keep)) & (F.col("rank") <= k))
-    confidence = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("score") - 0.15) / 0.20)) * 100, 1)
+    # tenths are rounded as whole numbers: 28.85, which a double holds as 28.849999999999998, is 28.9
+    confidence = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("score") - 0.15) / 0.20)) * 100 * 10) / 10
     return kept.withColumn("confidence", confidence)

@@ -466,3 +466,23 @@ def test_each_entry_of_a_stream_is_a_file(spark, tmp_path):
     df, want = QUERIES["STR_1_ingest_stream"](spark, d), con.execute(ORACLE["STR_1_ingest_stream"])
     columns = [c[0] for c in want.description]
     assert rows(df.collect(), df.columns) == rows(want.fetchall(), columns)
+
+
+def test_confidence_rounds_tenths_half_up(spark):
+    scores = spark.createDataFrame([(1, 1, 0.2077, 1), (1, 2, 0.2076, 2), (2, 1, 0.2737, 1)], "query_id long, id long, score double, rank int")
+    assert sorted(r.confidence for r in search.zero_shot_tags(scores, 5).collect()) == [28.8, 28.9, 61.9]
+
+
+def test_best_rows_of_long_tables():
+    """Strips after the first, equal scores (the earlier row wins), copies, and k beyond the table."""
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(6000, 8))
+    m[3000:5200] = m[:2200]
+    m[5200:5600] = m[0]
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    q = m[::13]
+    want = np.argsort(-np.round(q @ m.T, 6), axis=1, kind="stable")
+    for k in (1, 7, 700, 6001):
+        for at, place, score in similarity._best(q, m, k):
+            assert (place == want[at : at + len(place), :k]).all()
+            assert (score == np.round(np.take_along_axis(q[at : at + len(place)] @ m.T, place, 1), 6)).all()
