@@ -18,6 +18,8 @@ from lumenarc.operators.windows import Desc, row_numbers
 
 #: Bytes of query vectors that may be broadcast.
 BROADCAST_BYTES = 16 << 20
+#: Pairs that a cell without a bound on its hits may pass on.
+CELL_PAIRS = 2_000_000
 #: Rows of a block that are multiplied at once.
 STRIP = 2048
 #: Rows (ids and numbers) that one task may sort.
@@ -40,6 +42,36 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return m / np.where(n > 0, n, 1)
 
 
+def _best(queries: np.ndarray, m: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first query, places in ``m``, scores), the k best of ``m``'s rows in order, for 256 queries at a time; of equal scores the earlier rows come first.
+
+    The first rows of ``m`` are sorted; from then on only scores that round to more than a query's k-th best so far are looked at, so that memory is one strip of the product.
+    """
+    head = max(512, k)
+    for at in range(0, len(queries), 256):
+        q = queries[at : at + 256]
+        s = np.round(q @ m[:head].T, 6)
+        place = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        score, width = np.take_along_axis(s, place, 1), place.shape[1]
+        for start in range(head, len(m), 2048):
+            s = q @ m[start : start + 2048].T
+            x, y = np.nonzero(s > score[:, -1:] + 4e-7)
+            v = np.round(s[x, y], 6)
+            better = v > score[x, -1]
+            if not better.any():
+                continue
+            x, y, v = x[better], y[better], v[better]
+            touched = np.unique(x)
+            row = np.concatenate([np.repeat(touched, width), x])
+            value, column = np.concatenate([score[touched].ravel(), v]), np.concatenate([place[touched].ravel(), start + y])
+            order = np.lexsort((column, -value, row))
+            sizes = np.unique(row, return_counts=True)[1]
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            order = order[nth < width]
+            score[touched], place[touched] = value[order].reshape(-1, width), column[order].reshape(-1, width)
+        yield at, place, score
+
+
 def vector_topk_batch(vectors: DataFrame, queries: DataFrame, k: int | None, threshold: float | None = None) -> DataFrame:
     """TOP-2: for every (query_id, vector) the k most similar of (id, vector): (query_id, id, score, rank); all from ``threshold`` on where k is None.
 
@@ -58,11 +90,11 @@ def vector_topk_batch(vectors: DataFrame, queries: DataFrame, k: int | None, thr
     def search(frames: Iterator[pd.DataFrame], ids=ids, shared=shared) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             if len(pdf):
-                scores = np.round(_matrix(pdf["vector"]) @ shared.value.T, 6)
-                own = pdf["id"].to_numpy()
-                order = np.lexsort((np.broadcast_to(own[:, None], scores.shape).T, -scores.T), axis=1)[:, :k]
-                out = pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "id": own[order].ravel(), "score": np.take_along_axis(scores.T, order, 1).ravel()})
-                yield out if threshold is None else out[out["score"] >= threshold]
+                pdf = pdf.sort_values("id", kind="stable")
+                own, m = pdf["id"].to_numpy(), _matrix(pdf["vector"])
+                for at, place, score in _best(shared.value, m, k):
+                    out = pd.DataFrame({"query_id": np.repeat(ids[at : at + len(place)], place.shape[1]), "id": own[place].ravel(), "score": score.ravel()})
+                    yield out if threshold is None else out[out["score"] >= threshold]
 
     return _ranked(vectors.select("id", "vector").mapInPandas(search, schema), k)
 
@@ -85,6 +117,8 @@ def topk_grid(vectors: DataFrame, queries: DataFrame, k: int | None, threshold:
     n_q, n_v = queries.count(), vectors.count()
     q_blocks, v_blocks = max(1, math.ceil(n_q / block_rows)), max(1, math.ceil(n_v / block_rows))
     v_blocks = max(v_blocks, min(math.ceil(2 * cores / q_blocks), math.ceil(n_v / 64)))
+    if k is None:
+        q_blocks = max(q_blocks, math.ceil(n_q * n_v / v_blocks / CELL_PAIRS))
     of = lambda key, blocks: F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
     vector = F.col("vector").cast("array<double>").alias("vector")
     asked = queries.where("vector is not null").select(F.col("query_id").alias("id"), vector, F.lit(True).alias("asked"), of("query_id", q_blocks).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1))).alias("j"))
@@ -97,17 +131,15 @@ def topk_grid(vectors: DataFrame, queries: DataFrame, k: int | None, threshold:
         if len(asked) and len(ids):
             order = np.argsort(ids, kind="stable")
             m, q, ids = _unit_rows(right["vector"])[order], _unit_rows(left["vector"]), ids[order]
-            for at in range(0, len(q), 256):
-                scores = np.round(q[at : at + 256] @ m.T, 6)
-                if k is not None and k < len(ids):
-                    # of equal scores those with the least ids: they come first in a stable order
-                    best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                    row, column = np.repeat(np.arange(len(best)), k), best.ravel()
-                else:
+            if k is not None:
+                for at, place, score in _best(q, m, k):
+                    keep = score >= threshold if threshold is not None else np.ones(score.shape, bool)
+                    out.append((np.repeat(asked[at : at + len(place)], keep.sum(axis=1)), ids[place][keep], score[keep]))
+            else:
+                for at in range(0, len(q), 256):
+                    scores = np.round(q[at : at + 256] @ m.T, 6)
                     row, column = (x.ravel() for x in np.indices(scores.shape)) if threshold is None else np.nonzero(scores >= threshold)
-                found = scores[row, column]
-                keep = found >= threshold if threshold is not None else slice(None)
-                out.append((asked[at + row][keep], ids[column][keep], found[keep]))
+                    out.append((asked[at + row], ids[column], scores[row, column]))
         columns = [np.concatenate([o[c] for o in out]) if out else np.zeros(0) for c in range(3)]
         return pa.table({"query_id": pa.array(columns[0], pa.int64()), "id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
 
@@ -118,33 +150,26 @@ def topk_grid(vectors: DataFrame, queries: DataFrame, k: int | None, threshold:
 def best_for_rows(rows: DataFrame, terms: DataFrame, k: int) -> DataFrame:
     """For every row (query_id, vector) the k most similar of ``terms`` (id, vector): (query_id, id, score, rank).
 
-    The counterpart of vector_topk_batch() for many rows and few terms: rows stay where they are and are read once for each
-    block of terms, which is one broadcast of bounded size.
+    The counterpart of vector_topk_batch() for many rows and few terms: rows stay where they are and are read once, terms are one broadcast of at most ``BROADCAST_BYTES``. More terms go through topk_grid().
     """
     n, width = terms.agg(F.count("*"), F.max(F.size("vector"))).first()
-    blocks = max(1, math.ceil(n * 8 * (width or 1) / BROADCAST_BYTES))
     schema = "query_id long, id long, score double"
-    found = None
-    for block in range(blocks):
-        mine = terms.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).select("id", "vector").toPandas()
-        if mine.empty:
-            continue
-        shared = rows.sparkSession.sparkContext.broadcast((mine["id"].to_numpy(), _matrix(mine["vector"])))
-
-        def search(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, matrix = shared.value
-            for pdf in frames:
-                if len(pdf):
-                    scores = np.round(_matrix(pdf["vector"]) @ matrix.T, 6)
-                    order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-                    yield pd.DataFrame({"query_id": np.repeat(pdf["query_id"].to_numpy(), order.shape[1]), "id": ids[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
-
-        part = rows.select("query_id", "vector").mapInPandas(search, schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
+    if not n:
         return rows.sparkSession.createDataFrame([], schema + ", rank int")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    if n * 8 * (width or 1) > BROADCAST_BYTES:
+        return topk_grid(terms, rows, k)
+    mine = terms.select("id", "vector").toPandas().sort_values("id", kind="stable")
+    shared = rows.sparkSession.sparkContext.broadcast((mine["id"].to_numpy(), _matrix(mine["vector"])))
+
+    def search(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        ids, matrix = shared.value
+        for pdf in frames:
+            if len(pdf):
+                asked = pdf["query_id"].to_numpy()
+                for at, place, score in _best(_matrix(pdf["vector"]), matrix, k):
+                    yield pd.DataFrame({"query_id": np.repeat(asked[at : at + len(place)], place.shape[1]), "id": ids[place].ravel(), "score": score.ravel()})
+
+    return _ranked(rows.select("query_id", "vector").mapInPandas(search, schema), k)
 
 
 def _unit_rows(column: pa.ChunkedArray) -> np.ndarray:
