@@ -486,3 +486,14 @@ def test_best_rows_of_long_tables():
         for at, place, score in similarity._best(q, m, k):
             assert (place == want[at : at + len(place), :k]).all()
             assert (score == np.round(np.take_along_axis(q[at : at + len(place)] @ m.T, place, 1), 6)).all()
+
+
+def test_stacks_with_a_table_of_vectors(spark):
+    """Hits without vectors, lists in several rounds and cells; no pair of hits is kept."""
+    hits = spark.createDataFrame([r[:3] for r in long_lists()], "query_id long, id long, rank int").repartition(6)
+    whole = spark.createDataFrame(long_lists(), "query_id long, id long, rank int, vector array<double>")
+    want = {(r.query_id, r.id): r.stack_of for r in similarity.stack_results(whole, 0.95, list_rows=10_000).collect()}
+    table = whole.where("query_id = 3").select("id", "vector")
+    for first in (1, 50):
+        got = similarity.stack_results(hits, 0.95, first, table).collect()
+        assert len(got) == 1400 and {(r.query_id, r.id): r.stack_of for r in got} == want
