@@ -267,11 +267,11 @@ def var_1(spark, d):
     return R.find_variants(images, 5, 0.25, shift=-0.6).select("id", "score", "distance", "kind")
 
 
-@query("TAG_1_zero_shot_tags", ctes("vectors") + f"SELECT query_id, id, score, r AS rank, round(greatest(0.0, least(1.0, (score - 0.15) / 0.20)) * 100, 1) AS confidence FROM (SELECT q.id AS query_id, v.id, {_COS} AS score, row_number() OVER (PARTITION BY q.id ORDER BY {_COS} DESC, v.id) AS r FROM vectors v, vectors q WHERE v.id % 100 = 0) t WHERE r <= 5 AND (score >= 0.2 OR r <= 2)")
+@query("TAG_1_zero_shot_tags", ctes("vectors") + f"SELECT query_id, id, score, r AS rank, round(greatest(0.0, least(1.0, (score - 0.15) / 0.20)) * 100, 1) AS confidence FROM (SELECT q.id AS query_id, v.id, {_COS} AS score, row_number() OVER (PARTITION BY q.id ORDER BY {_COS} DESC, v.id) AS r FROM vectors v, vectors q) t WHERE r <= 5 AND (score >= 0.2 OR r <= 2)")
 def tag_1(spark, d):
-    """Terms are every hundredth vector, so both sides grow with the table."""
+    """All vectors are terms."""
     v = vectors(spark, d)
-    ranked = S.best_for_rows(v.withColumnRenamed("id", "query_id"), v.where("id % 100 = 0"), 10)
+    ranked = S.best_for_rows(v.withColumnRenamed("id", "query_id"), v, 10)
     return R.zero_shot_tags(ranked, 5)
 
 
