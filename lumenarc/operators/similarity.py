@@ -22,8 +22,8 @@ BROADCAST_BYTES = 16 << 20
 CELL_PAIRS = 2_000_000
 #: Hits of a cell that are given to heads.
 CELL_HITS = 250_000
-#: Rows of a block that are multiplied at once.
-STRIP = 2048
+#: Pairs of rows of two blocks that are multiplied at once.
+STRIP_PAIRS = 1_000_000
 #: Rows (ids and numbers) that one task may sort.
 SMALL_ROWS = 200_000
 
@@ -280,6 +280,8 @@ def similarity_join(vectors: DataFrame, threshold: float, block_rows: int = 16_3
     blocks = F.sequence(F.lit(0), F.when(F.col("inner"), F.col("inners") + F.col("guests")).otherwise(F.col("inners")) - 1)
     dealt = each.withColumn("other", F.explode(blocks)).select("own", "cell", F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"), "block", "id", "vector")
 
+    at_once = STRIP_PAIRS
+
     def pairs(table: pa.Table) -> pa.Table:
         u, v = table["u"][0].as_py(), table["v"][0].as_py()
         block, ids = np.asarray(table["block"]), np.asarray(table["id"])
@@ -287,8 +289,9 @@ def similarity_join(vectors: DataFrame, threshold: float, block_rows: int = 16_3
         left, right = (m, m) if u == v else (m[block == u], m[block == v])
         ids_l, ids_r = (ids, ids) if u == v else (ids[block == u], ids[block == v])
         small, out = right.astype(np.float32), []
-        for at in range(0, len(left), STRIP):
-            near = left[at : at + STRIP].astype(np.float32) @ small.T >= threshold - 1e-4
+        strip = max(1, at_once // len(right))
+        for at in range(0, len(left), strip):
+            near = left[at : at + strip].astype(np.float32) @ small.T >= threshold - 1e-4
             x, y = np.nonzero(near)
             x += at
             s = np.round(np.einsum("ij,ij->i", left[x], right[y]), 6)

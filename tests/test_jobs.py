@@ -497,3 +497,20 @@ def test_stacks_with_a_table_of_vectors(spark):
     for first in (1, 50):
         got = similarity.stack_results(hits, 0.95, first, table).collect()
         assert len(got) == 1400 and {(r.query_id, r.id): r.stack_of for r in got} == want
+
+
+def test_strips_of_pairs_are_bounded(spark, planted, monkeypatch):
+    """A strip of one row gives the same pairs."""
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(planted)], "id long, vector array<double>").repartition(3)
+    want = sorted(tuple(r) for r in similarity.similarity_join(df, 0.5).collect())
+    monkeypatch.setattr(similarity, "STRIP_PAIRS", 50)
+    assert sorted(tuple(r) for r in similarity.similarity_join(df, 0.5).collect()) == want and len(want) >= 9
+
+
+def test_merge_joins_faces_by_cluster_only(spark):
+    """Faces without an end, nearly all, aren't joined by it: they would be one task's."""
+    faces = spark.createDataFrame([(f"f{k}", f"c{k % 5}", f"L{k}") for k in range(20)], "face_id string, cluster_id string, label string")
+    moves = spark.createDataFrame([("c1", "c2")], "source string, target string")
+    out = catalogue.merge_clusters(faces, moves)
+    assert sorted(out.where("cluster_id = 'c2'").select("face_id", "label").collect()) == sorted((f"f{k}", "L12") for k in range(20) if k % 5 in (1, 2))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
