@@ -107,6 +107,10 @@ def rejected_labels(edits: DataFrame) -> DataFrame:
     return edits.where(filled(F.col("new_label")).isNull())
 
 
+#: Moved clusters that may be broadcast.
+BROADCAST_MOVES = 100_000
+
+
 def merge_clusters(faces: DataFrame, moves: DataFrame) -> DataFrame:
     """UPS-7: (source, target[, new_label]): faces move to the end of their chain of moves.
 
@@ -128,7 +132,10 @@ def merge_clusters(faces: DataFrame, moves: DataFrame) -> DataFrame:
     else:
         first = first.withColumn("asked", F.lit(None).cast("string"))
     chosen = first.select("end", F.coalesce("asked", "own", "other").alias("__label"))
-    out = faces.join(mapped, "cluster_id", "left").join(chosen, "end", "left")
+    # one join by cluster: most faces have no end, and joined by it they would all be one task's
+    ends_of = checkpointed(mapped.join(chosen, "end", "left"))
+    small = ends_of.limit(BROADCAST_MOVES + 1).count() <= BROADCAST_MOVES
+    out = faces.join(F.broadcast(ends_of) if small else ends_of, "cluster_id", "left")
     return out.withColumns({"label": F.when(F.col("end").isNotNull(), F.coalesce("__label", "label")).otherwise(F.col("label")), "cluster_id": F.coalesce("end", "cluster_id")}).select(*faces.columns)
 
 
