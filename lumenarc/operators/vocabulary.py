@@ -83,7 +83,9 @@ def authority_lookup(table: DataFrame, asked: DataFrame, columns: tuple[str, ...
     """TOP-9: for each ``identifier`` of ``asked`` the record that has it in one of ``columns``: the earlier column wins, then the less id; identifiers without a record are missing."""
     named = F.array_distinct(F.filter(F.array(*(F.struct(F.col(c).cast("string").alias("identifier"), F.lit(k).alias("rank")) for k, c in enumerate(columns))), lambda x: x["identifier"].isNotNull()))
     index = table.select(F.explode(named).alias("__n"), "*").select("__n.identifier", "__n.rank", *table.columns)
-    return best_by(asked.select("identifier").distinct().join(index, "identifier"), ["identifier"], [F.col("rank"), F.col("id")]).drop("rank")
+    # tasks pass on one record of an identifier before the shuffle, so that one that many records share is no task's
+    best = best_by(index, ["identifier"], [F.col("rank"), F.col("id")]).drop("rank")
+    return asked.select("identifier").distinct().join(best, "identifier")
 
 
 def categories(vocabulary: DataFrame) -> DataFrame:

@@ -514,3 +514,16 @@ def test_merge_joins_faces_by_cluster_only(spark):
     out = catalogue.merge_clusters(faces, moves)
     assert sorted(out.where("cluster_id = 'c2'").select("face_id", "label").collect()) == sorted((f"f{k}", "L12") for k in range(20) if k % 5 in (1, 2))
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_authorities_are_ranked_before_they_are_joined(spark):
+    """An identifier that many records share doesn't bring them all to the join."""
+    from lumenarc.operators import vocabulary
+
+    table = spark.createDataFrame([(k, f"n{k}", "g", "11Q") for k in range(50)], "id long, canonical string, gnd string, iconclass string")
+    asked = spark.createDataFrame([("11Q",), ("g",), ("g",), ("n7",), ("8",), ("none",)], "identifier string")
+    found = vocabulary.authority_lookup(table, asked)
+    assert sorted((r.identifier, r.id) for r in found.collect()) == [("11Q", 0), ("8", 8), ("g", 0), ("n7", 7)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    depth = lambda word: min(len(x) - len(x.lstrip(" :+-|")) for x in plan if word in x)
+    assert depth("Join") < depth("WindowGroupLimit")
