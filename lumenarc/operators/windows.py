@@ -51,9 +51,25 @@ def running_totals(df: DataFrame, order: Sequence[Column | Desc], sums: dict[str
     return joined.select(*(F.col(c) for c in df.columns), *out)
 
 
-def row_numbers(df: DataFrame, order: Sequence[Column | Desc], name: str = "row_no", start: int = 1, small: bool = False) -> DataFrame:
-    """``df`` with a gapless number in the given order."""
-    return running_totals(df, order, {name: F.lit(1)}, small=small).withColumn(name, (F.col(name) + start).cast("long"))
+def row_numbers(df: DataFrame, order: Sequence[Column | Desc], name: str = "row_no", start: int = 1, small: bool = False, ties: Sequence[Column] = ()) -> DataFrame:
+    """``df`` with a gapless number in the given order.
+
+    Rows are dealt out by ranges of ``order`` once and numbered where they lie, then the counts of the partitions before are added. ``ties`` put rows of equal ``order`` in order; they are worked out
+    only where such rows are compared, and are neither sent nor kept, so they may be long texts.
+    """
+    if small:
+        return running_totals(df, [*order, *ties], {name: F.lit(1)}, small=True).withColumn(name, (F.col(name) + start).cast("long"))
+    keys = [c.alias(f"__order{i}") for i, c in enumerate(_values(order))]
+    by = _sorted_by(order, [F.col(f"__order{i}") for i in range(len(order))])
+    spread = df.select("*", *keys).repartitionByRange(*by).sortWithinPartitions(*by, *ties)
+    # partition and place in it, as Spark packs them
+    spread = checkpointed(spread.select(*(F.col(c) for c in df.columns), F.monotonically_increasing_id().alias("__at")))
+    part, place = F.shiftright("__at", 33).alias("__part"), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    # one row per partition
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = spread.groupBy(part).count().select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
+    joined = spread.withColumn("__part", part).join(F.broadcast(offsets), "__part")
+    return joined.select(*(F.col(c) for c in df.columns), (F.col("__before") + place + start).cast("long").alias(name))
 
 
 #: Rows up to which a page comes from one sorted head.

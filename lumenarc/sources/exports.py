@@ -79,6 +79,10 @@ def ead_items(items: DataFrame) -> DataFrame:
 
 def ead_texts(items: DataFrame) -> DataFrame:
     """SNK-2: (no, xml): one c01 element per numbered item, as text."""
+    return items.select("no", _ead_text().alias("xml"))
+
+
+def _ead_text() -> Column:
     given = lambda c: filled(c).isNotNull()
     some = lambda condition, element: F.coalesce(F.when(condition, element), F.lit(""))
     name = F.coalesce(filled(F.col("file_name")), base_name(F.col("file_path")))
@@ -90,18 +94,25 @@ def ead_texts(items: DataFrame) -> DataFrame:
         some(given(F.col("file_path")), _el("daoset", F.concat(F.lit('<dao daotype="derived" href="'), xml_escape(F.col("file_path")), F.lit('">'), _el("descriptivenote", _el("p", xml_escape(name))), F.lit("</dao>")))))
     persons = F.array_join(F.transform(F.coalesce("persons", F.array().cast("array<string>")), lambda p: _el("persname", xml_escape(p), 'relator="dep"')), "")
     rest = F.concat(some(given(F.col("notes")), _el("scopecontent", _el("p", xml_escape(F.col("notes"))))), some(F.size("persons") > 0, _el("controlaccess", persons)))
-    return items.select("no", F.concat(F.lit('<c01 level="item" id="'), F.format_string("item_%04d", "no"), F.lit('">'), _el("did", did), rest, F.lit("</c01>")).alias("xml"))
+    return F.concat(F.lit('<c01 level="item" id="'), F.format_string("item_%04d", "no"), F.lit('">'), _el("did", did), rest, F.lit("</c01>"))
 
 
 def _quoted(text: str) -> str:
     return text.replace("&", "&amp;").replace("<", "&lt;").replace('"', "&quot;")
 
 
-def _around(records: DataFrame, order: Column, head: str, tail: str) -> DataFrame:
-    """(place, line): the head at place 0, one record a line from 1 on, the tail behind the last."""
-    spark = records.sparkSession
-    lines = row_numbers(records.select(order.alias("__by"), F.col("xml").alias("line")), [F.col("__by"), F.col("line")], "place").select("place", "line")
-    ends = spark.createDataFrame([(0, head), ((1 << 62), tail)], "place long, line string")
+# columns of which the records of documents are made
+ITEM_COLUMNS = ("no", "file_path", "file_name", "title", "signature", "creator", "date", "persons", "notes")
+CHECK_COLUMNS = ("file_path", "file_name", "file_size", "fixity_status", "last_fixity_check", "sha256")
+
+
+def _around(items: DataFrame, line: Column, order: Sequence[Column], head: str, tail: str) -> DataFrame:
+    """(place, line): the head at place 0, one record a line from 1 on by ``order`` and line, the tail behind the last.
+
+    Items are sorted and numbered; the long lines are made of what is numbered, so that none is shuffled or kept.
+    """
+    lines = row_numbers(items, order, "place", ties=[line]).select("place", line.alias("line"))
+    ends = items.sparkSession.createDataFrame([(0, head), ((1 << 62), tail)], "place long, line string")
     return ends.unionByName(lines)
 
 
@@ -115,12 +126,12 @@ def ead_document(items: DataFrame, archive: str, collection: str, created: str,
         f"<unitdate>{made}</unitdate><repository><corpname>{arch}</corpname></repository></did><scopecontent><p>Verzeichnis von {items.count()} digital erschlossenen Bilddokumenten und Master-Scans.</p></scopecontent>"
         '<dsc dsctype="combined">'
     )
-    return _around(ead_texts(items), F.col("no"), head, "</dsc></archdesc></ead>")
+    return _around(items.select(*ITEM_COLUMNS), _ead_text(), [F.col("no")], head, "</dsc></archdesc></ead>")
 
 
 def lido_document(items: DataFrame, archive: str, rights: str = RIGHTS) -> DataFrame:
     """SNK-3: (place, line) of a lidoWrap around lido_records()."""
-    return _around(lido_records(items, archive, rights), F.col("no"), f'{DECLARATION}<lido:lidoWrap xmlns:lido="{LIDO_NS}" xmlns:xsi="{XSI}" xsi:schemaLocation="{LIDO_NS} {LIDO_XSD}">', "</lido:lidoWrap>")
+    return _around(items.select(*ITEM_COLUMNS), _lido_xml(archive, rights), [F.col("no")], f'{DECLARATION}<lido:lidoWrap xmlns:lido="{LIDO_NS}" xmlns:xsi="{XSI}" xsi:schemaLocation="{LIDO_NS} {LIDO_XSD}">', "</lido:lidoWrap>")
 
 
 def premis_document(items: DataFrame, archive: str, agent: str = "archive-fixity-daemon") -> DataFrame:
@@ -129,7 +140,9 @@ def premis_document(items: DataFrame, archive: str, agent: str = "archive-fixity
     head = f'{DECLARATION}<premis:premis xmlns:premis="{PREMIS_NS}" xmlns:xsi="{XSI}" xsi:schemaLocation="{PREMIS_NS} {PREMIS_XSD}" version="3.0">'
     who = f"<{p}agent><{p}agentIdentifier><{p}agentIdentifierType>local-id</{p}agentIdentifierType><{p}agentIdentifierValue>{_quoted(agent)}</{p}agentIdentifierValue></{p}agentIdentifier>"
     who += f"<{p}agentName>{_quoted(archive)} - {AGENT_NAME}</{p}agentName><{p}agentType>software</{p}agentType><{p}agentNote>{AGENT_NOTE}</{p}agentNote></{p}agent>"
-    return _around(premis_records(items, agent), F.col("file_path"), head, f"{who}</premis:premis>")
+    # records of one path go on with the digest, those without one come last
+    digest = F.concat(_text(F.col("sha256")), F.lit("<"))
+    return _around(items.select(*CHECK_COLUMNS), _premis_xml(agent), [F.col("file_path"), digest.isNull(), digest], head, f"{who}</premis:premis>")
 
 
 def write_document(lines: DataFrame, path: str) -> None:
@@ -154,6 +167,10 @@ def _text(c: Column) -> Column:
 
 def lido_records(items: DataFrame, archive: str, rights: str = RIGHTS) -> DataFrame:
     """SNK-3: (no, xml): one lido:lido element per numbered item, with the rights of the collection."""
+    return items.select("no", _lido_xml(archive, rights).alias("xml"))
+
+
+def _lido_xml(archive: str, rights: str) -> Column:
     n = "lido:"
     actor = lambda name: _el(n + "actor", _el(n + "nameActorSet", _el(n + "appellationValue", name)))
     rec = F.coalesce(filled(F.col("signature")), filled(F.col("file_name")), F.format_string("obj_%04d", "no"))
@@ -174,7 +191,7 @@ def lido_records(items: DataFrame, archive: str, rights: str = RIGHTS) -> DataFr
     link = xml_escape(F.coalesce(filled(F.col("file_path")), filled(F.col("file_name")), F.lit("")))
     resource = _el(n + "resourceWrap", _el(n + "resourceSet", _el(n + "resourceRepresentation", _el(n + "linkResource", link), f'lido:type="{RESOURCE_TYPE}"')))
     admin = _el(n + "administrativeMetadata", F.concat(rights, resource), 'xml:lang="de"')
-    return items.select("no", _el(n + "lido", F.concat(_el(n + "lidoRecID", xml_escape(rec), f'lido:source="{arch}" lido:type="local"'), described, admin)).alias("xml"))
+    return _el(n + "lido", F.concat(_el(n + "lidoRecID", xml_escape(rec), f'lido:source="{arch}" lido:type="local"'), described, admin))
 
 
 def mime_type(name: Column) -> Column:
@@ -194,6 +211,10 @@ def fixity_note(status: Column) -> Column:
 
 def premis_records(items: DataFrame, agent: str = "archive-fixity-daemon") -> DataFrame:
     """SNK-4: (file_path, xml): an object and its fixity check event; the event's id comes from path and time, so reruns agree."""
+    return items.select("file_path", _premis_xml(agent).alias("xml"))
+
+
+def _premis_xml(agent: str) -> Column:
     p = "premis:"
     name = F.coalesce(filled(F.col("file_name")), base_name(F.col("file_path")))
     status = F.coalesce(filled(F.col("fixity_status")), F.lit("OK"))
@@ -215,7 +236,7 @@ def premis_records(items: DataFrame, agent: str = "archive-fixity-daemon") -> Da
     event = _el(p + "event", F.concat(
         _el(p + "eventIdentifier", F.concat(_el(p + "eventIdentifierType", F.lit("UUID")), _el(p + "eventIdentifierValue", event_id))),
         _el(p + "eventType", F.lit("fixity check")), _el(p + "eventDateTime", when), _el(p + "eventDetailInformation", xml_escape(detail)), outcome, link))
-    return items.select("file_path", F.concat(obj, event).alias("xml"))
+    return F.concat(obj, event)
 
 
 def xmp_records(items: DataFrame) -> DataFrame:

@@ -67,3 +67,15 @@ def test_premis(spark, tmp_path):
 def test_nothing_is_a_document_too(items, tmp_path):
     root, _ = read(exports.lido_document(items.where("false"), "A"), str(tmp_path / "none"))
     assert len(root) == 0
+
+
+def test_records_of_one_path_are_in_order_and_made_after_numbering(spark):
+    """Digests one of which begins the other, none, equal but for the size; no line is in what is shuffled and kept."""
+    rows = [(path, "a.jpg", None, digest, size) for path in ("/a", None, "/b") for digest in ("ab", "abc", "ab0", None, "a&", " ", "ab<") for size in (12, 3, None)]
+    df = spark.createDataFrame(rows, "file_path string, file_name string, fixity_status string, sha256 string, file_size long").withColumn("last_fixity_check", F.timestamp_seconds(F.lit(1_700_000_000))).repartition(7)
+    found = exports.premis_document(df, "A")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert any("eventIdentifier" in x for x in plan.split("\n") if "Project" in x)
+    want = sorted(((r.file_path is not None, r.file_path or "", r.xml.encode()) for r in exports.premis_records(df).collect()))
+    got = sorted((r.place, r.line.encode()) for r in found.collect())
+    assert [x[1] for x in got[1:-1]] == [x[2] for x in want] and [x[0] for x in got[1:-1]] == list(range(1, 64))
