@@ -82,12 +82,21 @@ def clean_ocr_text(text: Column) -> Column:
     out = F.coalesce(text, F.lit(""))
     for old, new in OLD_LETTERS:
         out = F.replace(out, F.lit(old), F.lit(new))
-    for pattern, right in OCR_TERMS:
-        out = F.regexp_replace(out, f"(?iU){pattern}", right)
-    lines = F.transform(F.split(out, r"\r\n|\n|\r"), lambda x: F.trim(F.regexp_replace(x, r"[ \t]+", " ")))
+    # a pattern is tried only where its letters are in the text without case; no correction makes another misread word, so one look is enough
+    terms = F.array(*(F.struct(F.lit(bare_term(p)).alias("word"), F.lit(f"(?iU){p}").alias("pattern"), F.lit(right).alias("right")) for p, right in OCR_TERMS))
+    folded = lambda t: F.lower(F.replace(F.replace(t, F.lit("İ"), F.lit("i")), F.lit("ı"), F.lit("i")))
+    both = F.transform(F.array(out), lambda t: F.struct(t.alias("text"), folded(t).alias("folded")))
+    corrected = lambda b: F.aggregate(F.filter(terms, lambda t: F.contains(b["folded"], t["word"])), b["text"], lambda done, t: F.regexp_replace(done, t["pattern"], t["right"]))
+    out = F.get(F.transform(both, corrected), F.lit(0))
+    lines = F.transform(F.split(out, r"\r\n|\n|\r"), lambda x: F.trim(F.regexp_replace(x, r"[ \t]{2,}|\t", " ")))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
+def bare_term(pattern: str) -> str:
+    """The letters of a pattern of ``OCR_TERMS``, in lower case."""
+    return pattern.replace(r"\b", "").lower()
+
+
 def word_count(text: Column) -> Column:
     """PRJ-11: words between white space."""
     return F.size(F.filter(F.split(F.trim(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != ""))

@@ -39,6 +39,31 @@ def test_ocr(spark):
     assert one(spark, text.clean_ocr_text(F.lit(dirty))) == "In noftro Kloster trug der Priester ein Messgewand\nSacrae Scripturae et Coelum Messe"
 
 
+def test_ocr_patterns_are_tried_where_their_letters_are(spark):
+    """Letters that are i or k without case, white space of all kinds, words beside each other: as with every pattern in turn, which is no part of the plan."""
+    cases = ["PRİEFTER PRıEFTER KLOFTER Kloſters", "\t a \t\tb\t \r\n\r  \rFEFT feftlicher Feftes\t", "Erzbifchof Bifchof bifchöflicher BIFCHÖFLICH CHORGEFTÜHL", "Chriftus-Chrifto chriftlich Kruzifir Mifsa Eucharifties", "Feftakriftei Meffe Meffgewand ́Meffe Meffé", "", "nichts"]
+    out = F.col("x")
+    for old, new in text.OLD_LETTERS:
+        out = F.replace(out, F.lit(old), F.lit(new))
+    for pattern, right in text.OCR_TERMS:
+        out = F.regexp_replace(out, f"(?iU){pattern}", right)
+    lines = F.transform(F.split(out, r"\r\n|\n|\r"), lambda x: F.trim(F.regexp_replace(x, r"[ \t]+", " ")))
+    df = spark.createDataFrame([(c,) for c in cases], "x string")
+    found = df.select(text.clean_ocr_text(F.col("x")).alias("got"), F.array_join(F.filter(lines, lambda x: x != ""), "\n").alias("want"), "x")
+    assert all(r.got == r.want for r in found.collect()) and found.where("got <> x").count() == 5
+    plan = df.select(text.clean_ocr_text(F.col("x")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 2
+
+
+def test_no_ocr_correction_makes_another_misread_word():
+    """Both begin at a word's start, so the corrected letters would have to be the other word's."""
+    for pattern, right in text.OCR_TERMS:
+        word, other = text.bare_term(pattern), right.lower()
+        assert pattern.startswith(r"\b") and len(word) == len(other)
+        first = next(k for k in range(len(word)) if word[k] != other[k])
+        assert not any(text.bare_term(p)[: first + 1] == other[: first + 1] for p, _ in text.OCR_TERMS)
+
+
 def test_lists(spark):
     assert one(spark, text.decode_list(F.lit('["b", "a"]'))) == ["b", "a"]
     assert one(spark, text.decode_list(F.lit("b, ,a"))) == ["b", "a"]
