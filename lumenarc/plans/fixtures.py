@@ -35,13 +35,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def made(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """An archive table from its driver table."""
+def made(spark: SparkSession, sf_dir: str, name: str, by: str | None = None) -> DataFrame:
+    """An archive table from its driver table, whose rows are dealt out by the column ``by`` where that is given."""
     base = _FROM[name]
     text = TABLES[name].replace(f"FROM {base}", "FROM {base}")
     if name == "fixity":
         text = text.replace("sha256(concat('v', o_orderkey))", "sha2(concat('v', o_orderkey), 256)")
-    return spark.sql(text, base=table(spark, sf_dir, base))
+    rows = table(spark, sf_dir, base)
+    return spark.sql(text, base=rows.repartition(by) if by else rows)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

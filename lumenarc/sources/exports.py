@@ -239,6 +239,12 @@ def _premis_xml(agent: str) -> Column:
     return F.concat(obj, event)
 
 
+def _six(x: Column) -> Column:
+    """A number with six decimals as printf gives it; printf itself, which is slow, writes only what is no decimal number, or -0."""
+    x = x.cast("double")
+    return F.coalesce(F.when((x >= 5e-7) | (x <= -5e-7) | (x.cast("string") == "0.0"), x.try_cast("decimal(38,6)").cast("string")), F.format_string("%.6f", x))
+
+
 def xmp_records(items: DataFrame) -> DataFrame:
     """SNK-5: (file_path, xml) with subjects = distinct persons, region names, keywords and iconclass, in this order; empty fields are left out.
 
@@ -248,10 +254,12 @@ def xmp_records(items: DataFrame) -> DataFrame:
     names = F.filter(F.transform(F.coalesce("regions", F.array().cast(items.schema["regions"].dataType)), lambda r: filled(r["name"])), lambda s: s.isNotNull())
     clean = lambda c: F.filter(F.transform(F.coalesce(c, none), filled), lambda s: s.isNotNull())
     icon = F.when(filled(F.col("iconclass")).isNotNull(), F.array(F.concat(F.lit("Iconclass: "), "iconclass"))).otherwise(none)
-    persons = F.array_distinct(F.concat(clean(F.col("persons")), names))
-    subjects = F.array_distinct(F.concat(persons, clean(F.col("keywords")), icon))
+    # lists that are used several times are made once
+    items = items.withColumn("__persons", F.array_distinct(F.concat(clean(F.col("persons")), names)))
+    items = items.withColumn("__subjects", F.array_distinct(F.concat("__persons", clean(F.col("keywords")), icon)))
+    persons, subjects = F.col("__persons"), F.col("__subjects")
     bag = lambda tag, xs: F.coalesce(F.when(F.size(xs) > 0, _el(tag, _el("rdf:Bag", F.array_join(F.transform(xs, lambda s: _el("rdf:li", xml_escape(s))), "")))), F.lit(""))
-    area = lambda r: F.format_string('<mwg-rs:Area stArea:x="%.6f" stArea:y="%.6f" stArea:w="%.6f" stArea:h="%.6f" stArea:unit="normalized"/>', r["x"], r["y"], r["w"], r["h"])
+    area = lambda r: F.concat(F.lit("<mwg-rs:Area"), *(F.concat(F.lit(f' stArea:{k}="'), _six(r[k]), F.lit('"')) for k in "xywh"), F.lit(' stArea:unit="normalized"/>'))
     regions = F.filter(F.coalesce("regions", F.array().cast(items.schema["regions"].dataType)), lambda r: r["region"].isNotNull())
     faces = F.array_join(F.transform(regions, lambda r: _el("rdf:li", _el("rdf:Description", F.concat(area(r["region"]), _el("mwg-rs:Name", _text(r["name"])), F.lit("<mwg-rs:Type>Face</mwg-rs:Type>"))))), "")
     region_list = F.coalesce(F.when(F.size(regions) > 0, _el("mwg-rs:Regions", _el("mwg-rs:RegionList", _el("rdf:Bag", faces)))), F.lit(""))

@@ -79,3 +79,17 @@ def test_records_of_one_path_are_in_order_and_made_after_numbering(spark):
     want = sorted(((r.file_path is not None, r.file_path or "", r.xml.encode()) for r in exports.premis_records(df).collect()))
     got = sorted((r.place, r.line.encode()) for r in found.collect())
     assert [x[1] for x in got[1:-1]] == [x[2] for x in want] and [x[0] for x in got[1:-1]] == list(range(1, 64))
+
+
+def test_six_decimals_are_those_of_printf(spark):
+    values = [0.0, -0.0, 1 / 3, -2 / 3, 5e-7, 4.9e-7, -4e-7, -5e-7, 1.0000005, 0.1234565, 0.1234575, 12345678.1234565, 1e20, 1e33, 1e300, float("nan"), float("inf"), float("-inf"), None]
+    df = spark.createDataFrame([(x,) for x in values], "x double").select("x", exports._six(F.col("x")).alias("got"), F.format_string("%.6f", "x").alias("want"))
+    assert all(r.got == r.want for r in df.collect()) and df.where("got = '0.123457'").count() == 1
+
+
+def test_regions_of_images_take_one_shuffle(spark):
+    """Faces and their images are made where the lines of an order are."""
+    from lumenarc.plans.queries import QUERIES
+
+    found = QUERIES["SNK_5_xmp_records"](spark, "/root/testdata/sf0.001")
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
