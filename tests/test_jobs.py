@@ -527,3 +527,13 @@ def test_authorities_are_ranked_before_they_are_joined(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
     depth = lambda word: min(len(x) - len(x.lstrip(" :+-|")) for x in plan if word in x)
     assert depth("Join") < depth("WindowGroupLimit")
+
+
+def test_row_numbers_are_given_after_one_shuffle(spark):
+    """Rows aren't dealt out again to be numbered; ties, falling orders and nulls in place."""
+    rows = [(k % 4 or None, k // 4 % 3 or None, k) for k in range(48)]
+    df = spark.createDataFrame(rows, "a long, b long, k long").repartition(5)
+    found = row_numbers(df, [F.col("a"), windows.Desc(F.col("b"))], "n", start=10, ties=[F.concat(F.lit("x"), F.format_string("%03d", "k"))])
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    want = sorted(rows, key=lambda r: (r[0] or 0, r[1] is None, -(r[1] or 0), r[2]))
+    assert found.columns == ["a", "b", "k", "n"] and [tuple(r) for r in found.orderBy("n").collect()] == [(*r, 10 + i) for i, r in enumerate(want)]
