@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lumenarc.operators import aggregates, catalogue, fixity, graph, search, similarity, windows
 from lumenarc.operators.graph import connected_components
 from lumenarc.operators.windows import row_numbers
+from lumenarc.plans import q_search
 from lumenarc.plans.queries import ORACLE, QUERIES
 from lumenarc.sources import exports, inventory
 from lumenarc.streaming import streams
@@ -499,6 +500,56 @@ def test_stacks_with_a_table_of_vectors(spark):
         assert len(got) == 1400 and {(r.query_id, r.id): r.stack_of for r in got} == want
 
 
+def stacked_by_hand(ids, m, queries, least, threshold):
+    """(query_id, id, rank, stack_of) by the greedy rule, one hit after the other."""
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    m, out = m / np.where(n > 0, n, 1), set()
+    for q in queries:
+        s = np.round(m @ m[q], 6)
+        hits = [i for i in np.lexsort((ids, -s)) if s[i] >= least]
+        owner = {}
+        for k, i in enumerate(hits):
+            if i not in owner:
+                owner[i] = i
+                owner |= {j: i for j in hits[k + 1 :] if j not in owner and np.round(m[j] @ m[i], 6) >= threshold}
+        out |= {(int(ids[q]), int(ids[i]), r + 1, int(ids[owner[i]])) for r, i in enumerate(hits)}
+    return out
+
+
+@pytest.mark.parametrize(("first", "rows", "band"), [(1, 100, 50), (7, 1000, 10**6), (40, 65_536, 200), (2048, 150, 10**6)])
+def test_searches_are_stacked_by_the_greedy_rule(spark, monkeypatch, first, rows, band):
+    """Rounds, blocks and bands of any size; equal scores and copies, a zero vector, null vectors."""
+    ids, m = np.arange(700) * 3, np.array([r[3] for r in long_lists()[700:]])
+    m[300:420] = m[30]
+    m[650] = 0
+    table = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, m, strict=True)] + [(5, None)], "id long, vector array<double>").repartition(5)
+    asked = [0, 30, 110, 650]
+    queries = table.where(F.col("id").isin([int(ids[q]) for q in asked] + [5])).withColumnRenamed("id", "query_id")
+    monkeypatch.setattr(similarity, "BAND_HITS", band)
+    got = similarity.stack_search(table, queries, 0.0, 0.95, first, rows).collect()
+    want = stacked_by_hand(ids, m, asked, 0.0, 0.95)
+    assert len(got) == len(want) > 1000 and {(r.query_id, r.id, r.rank, r.stack_of) for r in got} == want
+    assert all(r.similarity == 1.0 if r.stack_of == r.id else r.similarity >= 0.95 for r in got)
+    assert not similarity.stack_search(table, queries.where("query_id < 0"), 0.0, 0.95).collect()
+
+
+@pytest.mark.parametrize("name", ["STK_1_stacks_in_rounds"])
+def test_hits_that_are_stacked_are_not_kept(spark, monkeypatch, name):
+    """What is checkpointed are vectors and heads; hits, a hundredth of all pairs, filled the disk."""
+    kept = []
+
+    def counted(df, f=graph.checkpointed):
+        out = f(df)
+        kept.append(out.count())
+        return out
+
+    for module in (similarity, windows, q_search):
+        if hasattr(module, "checkpointed"):
+            monkeypatch.setattr(module, "checkpointed", counted)
+    hits = QUERIES[name](spark, "/root/testdata/sf0.1").count()
+    assert kept and sum(kept) < hits / 2
+
+
 def test_strips_of_pairs_are_bounded(spark, planted, monkeypatch):
     """A strip of one row gives the same pairs."""
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(planted)], "id long, vector array<double>").repartition(3)
