@@ -533,7 +533,7 @@ def test_searches_are_stacked_by_the_greedy_rule(spark, monkeypatch, first, rows
     assert not similarity.stack_search(table, queries.where("query_id < 0"), 0.0, 0.95).collect()
 
 
-@pytest.mark.parametrize("name", ["STK_1_stacks_in_rounds"])
+@pytest.mark.parametrize("name", ["STK_1_stack_results", "STK_1_stacks_in_rounds"])
 def test_hits_that_are_stacked_are_not_kept(spark, monkeypatch, name):
     """What is checkpointed are vectors and heads; hits, a hundredth of all pairs, filled the disk."""
     kept = []
